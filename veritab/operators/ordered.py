@@ -78,3 +78,42 @@ def fill_in_order(df: DataFrame, columns: list[str], order_by: str, block_rows:
     }
     joined = blocked.join(F.broadcast(carried), "__block")
     return joined.select(*[filled[c].alias(c) if c in filled else E.quoted(c) for c in df.columns])
+
+
+def blocks_for_groups(df: DataFrame, keys: list[str], order_by: str, block_rows: int = BLOCK_ROWS) -> Column | None:
+    """Block number for windows per key, or None where no key is large enough to need blocks."""
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return block_of(df, order_by, block_rows) if largest > block_rows else None
+
+
+def segmented_min(
+    df: DataFrame, keys: list[str], order_by: str, value: Column, reset: Column, name: str, block: Column | None = None
+) -> DataFrame:
+    """Running minimum per key that starts afresh at rows where ``reset`` holds.
+
+    Adds ``<name>`` (this row included) and ``<name>_before`` (up to the row before). The operation is associative, so
+    with ``block`` given each (key, block) is scanned by itself and one row per (key, block) carries the state over.
+    """
+    order = E.quoted(order_by)
+    part = [F.col(k) for k in keys] + ([] if block is None else [F.col("__block")])
+    base = df if block is None else df.withColumn("__block", block)
+    base = base.withColumns({"__value": value, "__reset": F.coalesce(reset, F.lit(False)).cast("int")})
+    upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    base = base.withColumn("__segment", F.sum("__reset").over(upto))
+    within = Window.partitionBy(*part, "__segment").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    base = base.withColumn(name, F.min("__value").over(within))
+    line = Window.partitionBy(*part).orderBy(order)
+    if block is None:
+        base = base.withColumn(f"{name}_before", F.lag(name).over(line))
+        return base.drop("__value", "__reset", "__segment")
+
+    summary = base.groupBy(*part).agg(
+        (F.max("__segment") > 0).alias("__restarted"), F.max_by(F.col(name), order).alias("__tail")
+    )
+    summary = segmented_min(summary, keys, "__block", F.col("__tail"), F.col("__restarted"), "__carry")
+    carried = summary.select(*keys, "__block", F.col("__carry_before").alias("__carried"))
+    base = base.join(carried, [*keys, "__block"], "left")
+    base = base.withColumn(name, F.when(F.col("__segment") > 0, F.col(name)).otherwise(F.least(F.col(name), F.col("__carried"))))
+    first = F.row_number().over(line) == 1
+    base = base.withColumn(f"{name}_before", F.when(first, F.col("__carried")).otherwise(F.lag(name).over(line)))
+    return base.drop("__value", "__reset", "__segment", "__block", "__carried")
