@@ -105,6 +105,16 @@ def contains_any(c: Column, words) -> Column:
     return hit
 
 
+def instant(c: Column, type_name: str) -> Column:
+    """Whole number that keeps the values of a temporal column apart: days or microseconds, free of time zones."""
+    if type_name == "date":
+        return F.unix_date(c)
+    if type_name == "timestamp":
+        return F.unix_micros(c)
+    seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c)
+    return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + (seconds * 1_000_000).cast("long")
+
+
 def fixed(c: Column, digits: int) -> Column:
     """Text of a number with a fixed count of decimals, without grouping."""
     return F.format_string(f"%.{digits}f", c)

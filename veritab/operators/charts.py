@@ -22,7 +22,7 @@ def correlation_matrix(facts: TableFacts) -> DataFrame:
     rows = []
     if len(names) >= 2:
         found = correlations(facts, loose=True)
-        flat = {c: facts.base[c].std in (None, 0.0) for c in names}
+        flat = {c: facts.measured[c].std in (None, 0.0) for c in names}
         for a in names:
             for b in names:
                 r = (0.0 if flat[a] else 1.0) if a == b else found.get((a, b), found.get((b, a)))

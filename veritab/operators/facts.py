@@ -7,14 +7,16 @@ Profile, audit, typing, cleaning and advice are rules over these facts.
 from __future__ import annotations
 
 import math
+import sys
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exprs as E
-from .quantiles import exact_quantiles
+from .quantiles import bin_of, exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -38,7 +40,6 @@ class ColumnFacts:
     zeros: int = 0
     negatives: int = 0
     bytes: int = 0
-    length_with_nulls: float | None = None
     length: float | None = None
     bad_email: int = 0
     first_time: object = None
@@ -66,8 +67,9 @@ def long_cells(df: DataFrame, columns: list[tuple[int, Column]], value: str) ->
     return df.select(F.explode(cells).alias("cell")).select("cell.field", f"cell.{value}")
 
 
-def set_moments(f: ColumnFacts, n: int, s2: float, s3: float, s4: float) -> None:
+def set_moments(f: ColumnFacts, s2: float, s3: float, s4: float) -> None:
     """Sample deviation and bias-corrected skewness and excess kurtosis from central power sums."""
+    n = f.n_numeric
     f.std_population = math.sqrt(s2 / n)
     f.variance = s2 / (n - 1) if n > 1 else None
     f.std = math.sqrt(f.variance) if n > 1 else None
@@ -77,10 +79,32 @@ def set_moments(f: ColumnFacts, n: int, s2: float, s3: float, s4: float) -> None
     f.kurtosis = corrected_kurtosis(None if flat else (s4 / n) / m2**2 - 3, n)
 
 
+def _read_cell_facts(f: ColumnFacts, r) -> None:
+    f.count = r.n_texts if f.kind == "text" else r.n
+    if f.kind in ("number", "text"):
+        f.n_numeric, f.min, f.max, f.mean = r.n, r.min, r.max, r.mean
+        f.zeros, f.negatives, f.loose = r.zeros, r.negatives, {"zero_one": r.zero_one}
+    if f.kind == "text":
+        f.bytes, f.bad_email, f.length = r.bytes or 0, r.bad_email, r.length
+        f.loose |= {"n": r.n_loose, "min": r.loose_min, "max": r.loose_max, "plain": r.plain}
+        if f.count and r.n_pair == f.count and r.pair_low == r.pair_high:
+            f.pair = r.pair_low
+    elif "email" in f.name.lower() and f.kind not in ("other", "mixed"):
+        f.bad_email = r.n
+    if f.kind == "temporal":
+        f.first_time, f.last_time = _from_micros(r.min), _from_micros(r.max)
+
+
 def _from_micros(x: float | None):
     return None if x is None else datetime(1970, 1, 1) + timedelta(microseconds=int(x))
 
 
+def _temporal_text(instant: str, dtype: str) -> str:
+    if dtype == "date":
+        return str(date.fromordinal(date(1970, 1, 1).toordinal() + int(instant)))
+    return str(datetime(1970, 1, 1) + timedelta(microseconds=int(instant)))
+
+
 def half_even(x: float | None, digits: int) -> float | None:
     return None if x is None else float(round(x, digits))
 
@@ -100,13 +124,14 @@ def corrected_kurtosis(population: float | None, n: int) -> float | None:
 
 
 def fold_nan(df: DataFrame) -> DataFrame:
-    """NaN to NULL in floating columns, so that missing is one concept."""
+    """NaN and infinities to NULL in floating columns, so that missing is one concept and sums stay finite."""
     floats = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
     if not floats:
         return df
+    largest = sys.float_info.max
     return df.select(
         *[
-            F.when(~F.isnan(E.quoted(c)), E.quoted(c)).alias(c) if c in floats else E.quoted(c)
+            F.when(E.quoted(c).between(-largest, largest), E.quoted(c)).alias(c) if c in floats else E.quoted(c)
             for c in df.columns
         ]
     )
@@ -121,6 +146,14 @@ class TableFacts:
         self.dtypes = {f.name: f.dataType.simpleString() for f in df.schema}
         self.names = list(df.columns)
 
+    def gather(self, *passes: str) -> None:
+        """Start independent passes together, so that the short stages of one fill the idle cores of another."""
+        self.base
+        todo = [p for p in passes if p not in self.__dict__]
+        if len(todo) > 1:
+            with ThreadPoolExecutor(len(todo)) as pool:
+                list(pool.map(lambda p: getattr(self, p), todo))
+
     # ---------------------------------------------------------------- numbers of the strict reading
     def number(self, name: str) -> Column:
         return E.numeric_value(E.quoted(name), self.kinds[name])
@@ -132,49 +165,58 @@ class TableFacts:
     # ---------------------------------------------------------------- pass 1: scalars
     @cached_property
     def _scan(self) -> tuple[int, int, dict[str, ColumnFacts]]:
+        """One scan: every cell as (field, number, text); field -1 says whether the row has a gap."""
         out = {c: ColumnFacts(c, self.kinds[c], self.dtypes[c]) for c in self.names}
         any_null = F.lit(False)
         for c in self.names:
             any_null = any_null | E.quoted(c).isNull()
-
-        # Every non-text column as one double per cell; field -1 says whether the row has a gap.
-        cells = [(-1, any_null.cast("double"))]
-        cells += [(i, self._plain_double(c)) for i, c in enumerate(self.names) if self.kinds[c] != "text"]
-        x = F.col("x")
-        rows = with_missing = 0
-        scalars = [
+        no_text = F.lit(None).cast("string")
+        cells = [(-1, F.struct(any_null.cast("double").alias("x"), no_text.alias("v")))]
+        for i, c in enumerate(self.names):
+            if self.kinds[c] == "text":
+                cells.append((i, F.struct(F.lit(None).cast("double").alias("x"), E.quoted(c).alias("v"))))
+            else:
+                cells.append((i, F.struct(self._plain_double(c).alias("x"), no_text.alias("v"))))
+        v, x, loose, pair = F.col("v"), F.col("x"), F.col("loose"), F.col("pair")
+        mail = [i for i, c in enumerate(self.names) if self.kinds[c] == "text" and "email" in c.lower()]
+        parsed = long_cells(self.df, cells, "cell").select(
+            "field",
+            F.col("cell.v").alias("v"),
+            F.coalesce("cell.x", E.to_number(F.col("cell.v"))).alias("x"),
+            E.to_number_loose(F.col("cell.v")).alias("loose"),
+            E.boolean_pair(F.col("cell.v")).alias("pair"),
+        )
+        found = parsed.groupBy("field").agg(
             F.count(F.lit(1)).alias("rows"),
+            F.count(v).alias("n_texts"),
             F.count(x).alias("n"),
             F.min(x).alias("min"),
             F.max(x).alias("max"),
             F.avg(x).alias("mean"),
-            F.sum(x).alias("total"),
             F.count_if(x == 0).alias("zeros"),
             F.count_if(x < 0).alias("negatives"),
-            F.count_if(x.isin(0.0, 1.0)).alias("zero_one"),
-        ]
-        for r in long_cells(self.df, cells, "x").groupBy("field").agg(*scalars).collect():
+            F.count_if(F.coalesce(loose, x).isin(0.0, 1.0)).alias("zero_one"),
+            F.sum(F.octet_length(v)).alias("bytes"),
+            F.avg(F.char_length(v)).alias("length"),
+            F.count(loose).alias("n_loose"),
+            F.min(loose).alias("loose_min"),
+            F.max(loose).alias("loose_max"),
+            F.count(pair).alias("n_pair"),
+            F.min(pair).alias("pair_low"),
+            F.max(pair).alias("pair_high"),
+            F.count_if(v.rlike(E.PLAIN_NUMBER)).alias("plain"),
+            (F.count_if(F.col("field").isin(*mail) & ~v.rlike(E.EMAIL)) if mail else F.lit(0)).alias("bad_email"),
+        )
+        rows = with_missing = 0
+        for r in found.collect():  # one row per column
             if r.field < 0:
-                rows, with_missing = r.rows, int(r.total)
-                continue
-            f = out[self.names[r.field]]
-            f.count = r.n
-            if f.kind == "number":
-                f.n_numeric, f.min, f.max, f.mean = r.n, r.min, r.max, r.mean
-                f.zeros, f.negatives, f.loose = r.zeros, r.negatives, {"zero_one": r.zero_one}
-            elif f.kind == "temporal":
-                f.first_time, f.last_time = _from_micros(r.min), _from_micros(r.max)
-            if "email" in f.name.lower() and f.kind not in ("other", "mixed"):
-                f.bad_email = r.n
-
-        texts = [(i, E.quoted(c)) for i, c in enumerate(self.names) if self.kinds[c] == "text"]
-        if texts:
-            self._scan_texts(texts, out)
+                rows, with_missing = r.rows, round(r.mean * r.n)
+            else:
+                _read_cell_facts(out[self.names[r.field]], r)
         for f in out.values():
             f.missing = rows - f.count
             if f.kind != "text":
                 f.bytes = {"number": 8, "boolean": 1, "temporal": 8}.get(f.kind, 0) * rows
-        self._add_moments(out)
         return rows, with_missing, out
 
     def _plain_double(self, name: str) -> Column:
@@ -187,61 +229,52 @@ class TableFacts:
             return F.unix_micros(c.cast("timestamp")).cast("double")
         return F.when(c.isNotNull(), F.lit(1.0))
 
-    def _scan_texts(self, texts: list[tuple[int, Column]], out: dict[str, ColumnFacts]) -> None:
-        v, x, loose, pair = F.col("v"), F.col("x"), F.col("loose"), F.col("pair")
-        mail = [i for i, _ in texts if "email" in self.names[i].lower()]
-        bad_mail = F.count_if(F.col("field").isin(*mail) & ~v.rlike(E.EMAIL)) if mail else F.lit(0)
-        cells = long_cells(self.df, texts, "v").select(
-            "field",
-            "v",
-            E.to_number(v).alias("x"),
-            E.to_number_loose(v).alias("loose"),
-            E.boolean_pair(v).alias("pair"),
-        )
-        found = cells.groupBy("field").agg(
-            F.count(v).alias("n_values"),
-            F.count(x).alias("n"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-            F.avg(x).alias("mean"),
-            F.count_if(x == 0).alias("zeros"),
-            F.count_if(x < 0).alias("negatives"),
-            F.sum(F.octet_length(v)).alias("bytes"),
-            F.avg(F.coalesce(F.char_length(v), F.lit(3))).alias("length_with_nulls"),
-            F.avg(F.char_length(v)).alias("length"),
-            F.count(loose).alias("n_loose"),
-            F.count_if(loose.isin(0.0, 1.0)).alias("zero_one"),
-            F.min(loose).alias("loose_min"),
-            F.max(loose).alias("loose_max"),
-            F.count(pair).alias("n_pair"),
-            F.min(pair).alias("pair_low"),
-            F.max(pair).alias("pair_high"),
-            F.count_if(v.rlike(E.PLAIN_NUMBER)).alias("plain"),
-            bad_mail.alias("bad_email"),
-        )
-        for r in found.collect():
-            f = out[self.names[r.field]]
-            f.count, f.bytes, f.bad_email = r.n_values, r.bytes or 0, r.bad_email
-            f.n_numeric, f.min, f.max, f.mean = r.n, r.min, r.max, r.mean
-            f.zeros, f.negatives = r.zeros, r.negatives
-            f.length_with_nulls, f.length = r.length_with_nulls, r.length
-            f.loose = dict(n=r.n_loose, zero_one=r.zero_one, min=r.loose_min, max=r.loose_max, plain=r.plain)
-            if f.count and r.n_pair == f.count and r.pair_low == r.pair_high:
-                f.pair = r.pair_low
-
-    def _add_moments(self, out: dict[str, ColumnFacts]) -> None:
-        """Central moments around the known mean: a second pass of plain sums, stable and cheap."""
-        measured = [(i, c) for i, c in enumerate(self.names) if out[c].is_numeric]
-        if not measured:
-            return
-        cells = [(i, self.number(c) - F.lit(out[c].mean)) for i, c in measured]
-        d = F.col("d")
-        sums = long_cells(self.df, cells, "d").groupBy("field").agg(
-            F.sum(d * d).alias("s2"), F.sum(d * d * d).alias("s3"), F.sum(d * d * d * d).alias("s4")
+    # ---------------------------------------------------------------- pass 2: moments and histogram
+    @cached_property
+    def _bins(self) -> dict[str, list]:
+        """Histogram per numeric column, and from the same scan the central moments around the known mean."""
+        base = self.base
+        fields = [(i, c) for i, c in enumerate(self.numeric)]
+        if not fields:
+            return {}
+        cells = [
+            (
+                i,
+                F.struct(
+                    bin_of(self.number(c), base[c].min, base[c].max).alias("bin"),
+                    self.number(c).alias("x"),
+                    (self.number(c) - F.lit(base[c].mean)).alias("d"),
+                ),
+            )
+            for i, c in fields
+        ]
+        d, x = F.col("cell.d"), F.col("cell.x")
+        counted = (
+            long_cells(self.df, cells, "cell")
+            .where(x.isNotNull())
+            .groupBy("field", "cell.bin")
+            .agg(
+                F.count(x).alias("n"),
+                F.min(x).alias("low"),
+                F.max(x).alias("high"),
+                F.sum(d * d).alias("s2"),
+                F.sum(d * d * d).alias("s3"),
+                F.sum(d * d * d * d).alias("s4"),
+            )
         )
-        for r in sums.collect():
-            f = out[self.names[r.field]]
-            set_moments(f, f.n_numeric, r.s2, r.s3, r.s4)
+        bins: dict[str, list] = {c: [] for c in self.numeric}
+        for r in counted.collect():  # at most columns x BINS rows
+            bins[self.numeric[r.field]].append(r)
+        for c, rows in bins.items():
+            rows.sort(key=lambda r: r.bin)
+            set_moments(base[c], *(math.fsum(getattr(r, s) for r in rows) for s in ("s2", "s3", "s4")))
+        return bins
+
+    @property
+    def measured(self) -> dict[str, ColumnFacts]:
+        """The column facts with deviation, skewness and kurtosis filled in."""
+        self._bins
+        return self.base
 
     @property
     def rows(self) -> int:
@@ -259,7 +292,8 @@ class TableFacts:
     @cached_property
     def quartiles(self) -> dict[str, dict[float, float]]:
         spans = {c: (self.base[c].n_numeric, self.base[c].min, self.base[c].max) for c in self.numeric}
-        return exact_quantiles(self.df, {c: self.number(c) for c in self.numeric}, spans, QUARTILES)
+        bins = {c: [(r.low, r.high, r.n) for r in rows] for c, rows in self._bins.items()}
+        return exact_quantiles(self.df, {c: self.number(c) for c in self.numeric}, spans, QUARTILES, bins)
 
     @cached_property
     def outliers(self) -> dict[str, dict[str, int]]:
@@ -268,7 +302,7 @@ class TableFacts:
             return {}
         cells = []
         for i, c in enumerate(self.numeric):
-            f, q, x = self.base[c], self.quartiles[c], self.number(c)
+            f, q, x = self.measured[c], self.quartiles[c], self.number(c)
             spread = q[0.75] - q[0.25]
             low, high = q[0.25] - 1.5 * spread, q[0.75] + 1.5 * spread
             far = F.abs((x - f.mean) / f.std_population) > 3 if f.std_population else F.lit(False)
@@ -301,7 +335,8 @@ class TableFacts:
             else:
                 name = self.names[row.field]
                 keep = found[name].mode if name in also and found[name].mode is not None else None
-                found[name] = ValueFacts(row.distinct_n, row.top, row.bottom, row.mode, row.normalised)
+                mode = _temporal_text(row.mode, self.dtypes[name]) if self.kinds[name] == "temporal" else row.mode
+                found[name] = ValueFacts(row.distinct_n, row.top, row.bottom, mode, row.normalised)
                 if keep is not None:
                     found[name].mode = keep
         return found
@@ -333,12 +368,7 @@ def _families(df: DataFrame, kinds: dict[str, str], also_numeric: list[str]) ->
         elif kind == "boolean":
             fam["bigint"].append((i, c.cast("int")))
         elif kind == "temporal":
-            if type_name == "date":
-                fam["bigint"].append((i, F.unix_date(c)))
-            elif type_name == "timestamp":
-                fam["bigint"].append((i, F.unix_micros(c)))
-            else:
-                fam["string"].append((i, c))
+            fam["bigint"].append((i, E.instant(c, type_name)))
         elif kind == "text":
             fam["string"].append((i, c))
         elif kind == "mixed":

@@ -47,10 +47,11 @@ def target_balance(facts: TableFacts) -> str:
 
 
 def column_flags(facts: TableFacts) -> dict[str, dict[str, bool]]:
+    facts.gather("_bins", "values")
     constant = set(constant_columns(facts))
     out = {}
     for c in facts.names:
-        f, v, text = facts.base[c], facts.values[c], facts.kinds[c] == "text"
+        f, v, text = facts.measured[c], facts.values[c], facts.kinds[c] == "text"
         live = c not in constant
         if facts.kinds[c] == "number":
             flat = f.std is None or f.std < 0.01
@@ -111,7 +112,7 @@ def correlations(facts: TableFacts, loose: bool = False) -> dict[tuple[str, str]
         df, at = centred(part)
         row = df.agg(*[F.sum(at[a] * at[b]).alias(f"s{i}") for i, (a, b) in enumerate(part)]).first()
         for (a, b), s in zip(part, row):
-            spread = facts.base[a].std_population * facts.base[b].std_population * facts.rows
+            spread = facts.measured[a].std_population * facts.measured[b].std_population * facts.rows
             out[(a, b)] = _bounded(s / spread) if spread else None
 
     step = max(PAIRS_PER_PASS // 6, 1)

@@ -36,9 +36,10 @@ def profile_summary(facts: TableFacts) -> DataFrame:
 
 
 def profile_columns(facts: TableFacts) -> DataFrame:
+    facts.gather("quartiles", "values")
     rows = []
     for i, c in enumerate(facts.names):
-        f, v = facts.base[c], facts.values[c]
+        f, v = facts.measured[c], facts.values[c]
         number = f.is_numeric
         rows.append(
             (

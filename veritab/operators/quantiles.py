@@ -1,10 +1,10 @@
 """Exact quantiles with bounded state.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer, so it serves only columns known to be short.
-Longer ones go through histogram selection: cut the range of a column into equal bins, count the values per bin together
-with the smallest and largest value found there, and keep the bin that holds the wanted rank. Each round is one scan with
-map-side combine and at most columns x BINS groups, and divides the open range by BINS. A bin with a single value, or few
-enough values to list, ends the search. Nothing is approximated.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer, which a large column overflows. Here a rank is
+found by histogram selection: cut the range of a column into equal bins, count the values per bin together with the
+smallest and largest value found there, and keep the bin that holds the wanted rank. Each round is one scan with map-side
+combine and at most columns x BINS groups, and divides the open range by BINS. A bin with a single value, or few enough
+values to list, ends the search. Nothing is approximated.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SHORT = 50_000  # values per column that one aggregation buffer may hold
 BINS = 1024
 LISTED = 2_000  # values per open range that may be listed on the driver
 
@@ -34,6 +33,16 @@ class _Rank:
     def range_key(self) -> tuple:
         return self.name, self.low, self.high
 
+    def descend(self, bins: list[tuple[float, float, int]]) -> None:
+        """Narrow to the bin that holds the rank."""
+        seen = self.below
+        for low, high, n in bins:
+            if self.rank < seen + n:
+                self.low, self.high, self.inside, self.below = low, high, n, seen
+                return
+            seen += n
+        raise RuntimeError(f"rank {self.rank} of {self.name} not found: the input changed between passes")
+
     @property
     def done(self) -> bool:
         return self.low == self.high
@@ -44,25 +53,30 @@ def exact_quantiles(
     columns: dict[str, Column],
     spans: dict[str, tuple[int, float, float]],
     probabilities: tuple[float, ...] = (0.25, 0.5, 0.75),
-    short: int = SHORT,
+    bins: dict[str, list[tuple[float, float, int]]] | None = None,
     listed: int = LISTED,
 ) -> dict[str, dict[float, float]]:
-    """Linear-interpolated quantiles per column; ``spans`` gives (non-null count, min, max) of each."""
-    names = [c for c in columns if spans[c][0] > 0]
-    result: dict[str, dict[float, float]] = {}
-    few = [c for c in names if spans[c][0] <= short]
-    if few:
-        result.update(_buffered(df, {c: columns[c] for c in few}, probabilities))
+    """Linear-interpolated quantiles per column.
 
+    ``spans`` gives (non-null count, min, max) of each column; ``bins``, where already counted, the first histogram as
+    ascending (smallest, largest, count) per filled bin.
+    """
+    names = [c for c in columns if spans[c][0] > 0]
     ranks: dict[tuple[str, int], _Rank] = {}
-    many = [c for c in names if spans[c][0] > short]
-    for c in many:
+    for c in names:
         n, low, high = spans[c]
         for p in probabilities:
             for r in _neighbours(p, n):
                 ranks.setdefault((c, r), _Rank(c, r, low, high, n))
-    _select(df, columns, list(ranks.values()), listed)
-    for c in many:
+    if bins:
+        for rank in ranks.values():
+            rank.descend(bins[rank.name])
+    while wide := [r for r in ranks.values() if not r.done and r.inside > listed]:
+        _narrow(df, columns, wide)
+    if left := [r for r in ranks.values() if not r.done]:
+        _pick(df, columns, left)
+    result: dict[str, dict[float, float]] = {}
+    for c in names:
         n = spans[c][0]
         result[c] = {}
         for p in probabilities:
@@ -80,19 +94,12 @@ def _cells(df: DataFrame, parts: list[Column]) -> DataFrame:
     return df.select(F.explode(F.array(*parts)).alias("cell")).select("cell.*")
 
 
-def _buffered(df: DataFrame, columns: dict[str, Column], probabilities) -> dict[str, dict[float, float]]:
-    names = list(columns)
-    cells = _cells(df, [F.struct(F.lit(i).alias("field"), columns[c].alias("x")) for i, c in enumerate(names)])
-    shares = F.array(*[F.lit(p) for p in probabilities])
-    rows = cells.groupBy("field").agg(F.percentile("x", shares).alias("q")).collect()
-    return {names[r.field]: dict(zip(probabilities, r.q)) for r in rows}
-
-
-def _select(df: DataFrame, columns: dict[str, Column], ranks: list[_Rank], listed: int) -> None:
-    while wide := [r for r in ranks if not r.done and r.inside > listed]:
-        _narrow(df, columns, wide)
-    if left := [r for r in ranks if not r.done]:
-        _pick(df, columns, left)
+def bin_of(x: Column, low: float, high: float) -> Column:
+    """Equal-width bin of a value within [low, high]; halved first so that the width of the range cannot overflow."""
+    if low == high:
+        return F.when(x.isNotNull(), F.lit(0))
+    share = (x * 0.5 - low * 0.5) / (high * 0.5 - low * 0.5)
+    return F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int"))
 
 
 def _open_ranges(columns: dict[str, Column], ranks: list[_Rank]) -> list[tuple[tuple, Column, Column]]:
@@ -104,10 +111,7 @@ def _narrow(df: DataFrame, columns: dict[str, Column], ranks: list[_Rank]) -> No
     ranges = _open_ranges(columns, ranks)
     parts = []
     for i, ((_, low, high), x, inside) in enumerate(ranges):
-        # Halved before subtracting so that the width of a range cannot overflow.
-        share = (x * 0.5 - low * 0.5) / (high * 0.5 - low * 0.5)
-        bin_ = F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int"))
-        parts.append(F.struct(F.lit(i).alias("k"), F.when(inside, bin_).alias("bin"), x.alias("x")))
+        parts.append(F.struct(F.lit(i).alias("k"), F.when(inside, bin_of(x, low, high)).alias("bin"), x.alias("x")))
     found = (
         _cells(df, parts)
         .where("bin is not null")
@@ -120,14 +124,7 @@ def _narrow(df: DataFrame, columns: dict[str, Column], ranks: list[_Rank]) -> No
         bins.setdefault(row.k, []).append(row)
     index = {k: i for i, (k, _, _) in enumerate(ranges)}
     for r in ranks:
-        seen = r.below
-        for row in bins[index[r.range_key]]:
-            if r.rank < seen + row.n:
-                r.low, r.high, r.inside, r.below = row.low, row.high, row.n, seen
-                break
-            seen += row.n
-        else:
-            raise RuntimeError(f"rank {r.rank} of {r.name} not found: the input changed between passes")
+        r.descend([(row.low, row.high, row.n) for row in bins[index[r.range_key]]])
 
 
 def _pick(df: DataFrame, columns: dict[str, Column], ranks: list[_Rank]) -> None:

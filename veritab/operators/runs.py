@@ -57,19 +57,17 @@ def expired(sessions: DataFrame, created: str, as_of: Column, minutes: int = SES
 def run_metrics(runs: DataFrame, actions: DataFrame, calls: DataFrame) -> DataFrame:
     """One row: runs, mean health, most common cleaning action (smallest of ties), calls by provider kind.
 
-    runs(health_score), actions(action), calls(provider). All three sides are single rows when they meet.
+    runs(health_score), actions(action), calls(provider). Each is one row by the time they are put together.
     """
     total = runs.agg(
         F.count(F.lit(1)).alias("total_runs"),
         F.coalesce(F.bround(F.avg("health_score"), 2), F.lit(0.0)).alias("average_health_score"),
     )
     per_action = actions.groupBy("action").agg(F.count("action").alias("n"))
-    common = per_action.agg(
-        F.coalesce(F.min(F.struct((-F.col("n")).alias("o"), F.col("action")))["action"], F.lit("None")).alias(
-            "most_common_action"
-        )
-    )
-    return total.join(F.broadcast(common)).join(F.broadcast(call_counts(calls)))
+    leader = F.min(F.struct((-F.col("n")).alias("o"), F.col("action")))["action"]
+    common = per_action.agg(F.coalesce(leader, F.lit("None")).alias("most_common_action"))
+    parts = total.unionByName(common, allowMissingColumns=True).unionByName(call_counts(calls), allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def call_counts(calls: DataFrame, primary: str = "primary") -> DataFrame:
@@ -80,7 +78,7 @@ def call_counts(calls: DataFrame, primary: str = "primary") -> DataFrame:
 def request_log(log: DataFrame) -> DataFrame:
     """Latencies per request in milliseconds from started, first_token and ended; success means no errors."""
     def ms(a: str, b: str) -> Column:
-        return F.bround((F.unix_micros(b) - F.unix_micros(a)) / 1000.0, 2)
+        return F.bround((F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))) / 1000.0, 2)
 
     return log.withColumns(
         {

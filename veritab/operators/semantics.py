@@ -89,6 +89,7 @@ def _parse_shares(facts: TableFacts, formats: dict[str, str]) -> dict[str, float
 
 
 def infer_semantics(facts: TableFacts) -> dict[str, Semantic]:
+    facts.gather("values", "heads")
     used = [c for c in facts.names if facts.rows and facts.base[c].count]
     coerced = [c for c in used if _reads_as_number(facts, c)]
     formats = {c: fmt for c in used if c not in coerced and (fmt := _date_candidate(facts, c))}

@@ -23,7 +23,7 @@ def recommendations(facts: TableFacts) -> list[tuple[str, str, float, str]]:
         if not f.missing:
             continue
         if f.is_numeric:
-            skewed = abs(f.skewness or 0.0) > 1
+            skewed = abs(facts.measured[c].skewness or 0.0) > 1
             if facts.outliers[c]["iqr"] > 0 or skewed:
                 out.append((c, "median_imputation", 0.92, "Outliers or skew are present; the median is robust."))
             else:
@@ -50,7 +50,7 @@ def structured_plan(facts: TableFacts) -> DataFrame:
     for c in facts.names:
         f = facts.base[c]
         if f.missing:
-            skewed = abs(f.skewness or 0.0) > 1.5
+            skewed = abs(facts.measured[c].skewness or 0.0) > 1.5
             method = ("median" if skewed else "mean") if f.is_numeric else "mode"
             pct = 100.0 * share(f.missing, facts.rows)
             rows.append(("fill_missing", c, method, f"Column '{c}' has {f.missing} missing cells ({pct:.1f}% missing)."))
