@@ -91,8 +91,8 @@ def profile_columns() -> str:
             mode_t = f"(SELECT CAST(x AS VARCHAR) FROM (SELECT {c} AS x, count(*) AS n FROM {t} GROUP BY 1) WHERE x IS NOT NULL ORDER BY n DESC, x LIMIT 1)"
             parts.append(
                 f"SELECT {lit(source)} AS source, CAST({i} AS INTEGER) AS ordinal, {lit(c)} AS \"column\", {lit(dtype)} AS dtype, "
-                f"CAST({missing(c)} AS BIGINT) AS missing_count, round_even(100.0 * {missing(c)} / count(*), 4) AS missing_pct, "
-                f"count(DISTINCT {c}) AS unique_values, round(CAST(count(DISTINCT {c}) AS DOUBLE) / count(*), 4) AS cardinality, "
+                f"CAST({missing(c)} AS BIGINT) AS missing_count, CAST(printf('%.4f', CAST(100.0 AS DOUBLE) * {missing(c)} / count(*)) AS DOUBLE) AS missing_pct, "
+                f"count(DISTINCT {c}) AS unique_values, CAST(printf('%.4f', CAST(count(DISTINCT {c}) AS DOUBLE) / count(*)) AS DOUBLE) AS cardinality, "
                 f"round({when(f'min({x})')}, 4) AS min, round({when(f'max({x})')}, 4) AS max, round({when(f'avg({x})')}, 4) AS mean, "
                 f"round({when(quartile(x, 0.5))}, 4) AS median, {when(mode_n)} AS mode_number, "
                 f"{f'CASE WHEN {is_num} THEN NULL ELSE {mode_t} END' if numeric else mode_t} AS mode_text, "
@@ -741,7 +741,7 @@ def analytics_datetime() -> str:
 
 def missing_days() -> str:
     return (
-        "SELECT CAST(day AS DATE) AS day FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE::TIMESTAMP, max(o_orderdate)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM orders) "
+        "SELECT strftime(day, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE::TIMESTAMP, max(o_orderdate)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM orders) "
         "WHERE CAST(day AS DATE) NOT IN (SELECT o_orderdate::DATE FROM orders)"
     )
 
@@ -792,12 +792,557 @@ def answer_metrics() -> str:
     )
 
 
+# -------------------------------------------------------------------- features and advice
+def pair_list(cols):
+    names = numeric_columns(cols)
+    return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+
+
+def r_of(t: str, a: str, b: str) -> str:
+    return f"(SELECT CASE WHEN isnan(r) THEN NULL ELSE r END FROM (SELECT corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM {t}))"
+
+
+def correlation_pairs() -> str:
+    parts = [
+        f"SELECT {lit(source)} AS source, {lit(a)} AS feature_a, {lit(b)} AS feature_b, {r_of(t, a, b)} AS r"
+        for t, cols, source in tables()
+        for a, b in pair_list(cols)
+    ]
+    return with_orders(
+        "SELECT source, feature_a, feature_b, round(r, 5) AS correlation, coalesce(abs(r) > 0.8, false) AS collinear FROM (" + union(parts) + ")"
+    )
+
+
+def correlation_matrix() -> str:
+    names = numeric_columns(LINEITEM)
+    parts = [
+        f"SELECT {lit(a)} AS x, {lit(b)} AS y, " + ("CAST(1.0 AS DOUBLE)" if a == b else f"round(coalesce({r_of('lineitem', a, b)}, 0), 2) + 0.0") + " AS r"
+        for a in names
+        for b in names
+    ]
+    return union(parts)
+
+
+def leakage() -> str:
+    view = "(SELECT o_orderkey, o_totalprice, o_totalprice * 2 + o_custkey % 7 AS price_outcome FROM orders)"
+    parts = [
+        f"SELECT {lit(c)} AS \"column\", 'price_outcome' AS target, {r_of(view, c, 'price_outcome')} AS r" for c in ("o_orderkey", "o_totalprice")
+    ]
+    return "SELECT \"column\", target, round(r, 5) AS correlation FROM (" + union(parts) + ") WHERE abs(r) > 0.95"
+
+
+def feature_flags() -> str:
+    parts = []
+    for t, cols, source, target in (("part", PART, "part", None), ("d", ORDERS, "dirty_orders", "class_label")):
+        for c, kind, _ in cols:
+            named = any(w in c for w in ("id", "key", "index", "pk", "fk"))
+            live = f"count(DISTINCT {c}) > 1"
+            ident = "true" if named else (f"count(DISTINCT {c}) = count(*)" if kind == "text" else "false")
+            if kind == "number":
+                flat = f"coalesce(stddev_samp(CAST({c} AS DOUBLE)) < 0.01, true)"
+            else:
+                flat = f"(SELECT max(n) > 0.98 * sum(n) FROM (SELECT count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}))"
+            wide = f"count(DISTINCT {c}) > 30 OR count(DISTINCT {c}) > 0.2 * count(*)" if kind == "text" else "false"
+            parts.append(
+                f"SELECT {lit(source)} AS source, {lit(c)} AS \"column\", NOT ({live}) AS is_constant, {live} AND {ident} AS is_identifier, "
+                f"{live} AND {flat} AS is_near_zero_variance, {wide} AS is_high_cardinality, {str(c == target).lower()} AS is_target FROM {t}"
+            )
+    return with_orders(union(parts))
+
+
+def target_summary() -> str:
+    return with_orders(f"SELECT 'class_label' AS target, {label('max(n)', 'min(n)', 'count(*)')} AS balance FROM {CLASS_COUNTS}")
+
+
+def semantics_of_orders() -> str:
+    parts = []
+    for i, (c, kind, _) in enumerate(ORDERS):
+        ty, _conf = semantic_case("d", "o_orderkey", c, kind)
+        parts.append(f"SELECT {i} AS o, {lit(c)} AS c, {ty} AS type, (SELECT count(DISTINCT {c}) FROM d) AS u, (SELECT {missing(c)} FROM d) AS gaps")
+    return union(parts)
+
+
+SUGGESTED = (
+    "SELECT CASE WHEN u <= 1 OR type = 'Identifier' THEN 'drop_column' WHEN type = 'DateTime' THEN 'create_feature' "
+    "WHEN type IN ('Categorical', 'High Cardinality Categorical') THEN 'encoding' WHEN type LIKE '% Numeric' THEN 'scaling' END AS type, "
+    "c AS \"column\", CASE WHEN u <= 1 THEN NULL WHEN type = 'High Cardinality Categorical' THEN 'hash_or_target' WHEN type = 'Categorical' AND u <= 15 THEN 'one_hot' "
+    "WHEN type = 'Categorical' THEN 'target_or_frequency' WHEN type LIKE '% Numeric' THEN 'standard_scaler' END AS method FROM (<s>)"
+)
+
+
+def feature_suggestions() -> str:
+    return with_orders("SELECT * FROM (" + SUGGESTED.replace("<s>", semantics_of_orders()) + ") WHERE type IS NOT NULL")
+
+
+def readiness_score() -> str:
+    drops = "(SELECT count(*) FROM (" + SUGGESTED.replace("<s>", semantics_of_orders()) + ") WHERE type = 'drop_column')"
+    gaps = "(SELECT CAST(" + " + ".join(missing(c) for c, _, _ in ORDERS) + " AS DOUBLE) / count(*) FROM d)"
+    return f"CAST(25 + greatest(0, 35 - least(20, {drops})) + trunc(40 - least(40, {gaps})) AS INTEGER)"
+
+
+def ml_readiness() -> str:
+    dense = f"(SELECT bool_or(type LIKE '% Numeric' AND gaps < 0.2 * (SELECT count(*) FROM d)) FROM ({semantics_of_orders()}))"
+    return with_orders(f"SELECT {readiness_score()} AS score, true AS classification, {dense} AS regression, true AS time_series")
+
+
+def insights() -> str:
+    parts = []
+    for c, _, _ in ORDERS:
+        parts.append(
+            f"SELECT 'missing' AS rule, {lit(c)} AS \"column\", 'High Missing Values in ''{c}''' AS title, CAST(1.0 AS DOUBLE) AS confidence FROM d HAVING {missing(c)} > 0.05 * count(*)"
+        )
+        parts.append(
+            f"SELECT 'identifier', {lit(c)}, 'Identifier Candidate ''{c}'' Detected', 0.95 FROM d HAVING count(DISTINCT {c}) >= 0.99995 * count(*)"
+        )
+    for c in numeric_columns(ORDERS):
+        parts.append(f"SELECT 'skew', {lit(c)}, 'Highly Skewed Column ''{c}''', 0.9 FROM d HAVING abs(skewness({c})) > 1.5")
+    parts.append(
+        f"SELECT 'readiness', NULL, CASE WHEN {readiness_score()} >= 80 THEN 'Dataset Ready for Machine Learning' ELSE 'Action Needed for ML Readiness' END, 0.85"
+    )
+    return with_orders(union(parts))
+
+
+def advanced_features() -> str:
+    encoded = f"SELECT c || '_Encoded' AS feature_name, CAST(0.92 AS DOUBLE) AS confidence_score FROM ({semantics_of_orders()}) WHERE type = 'High Cardinality Categorical'"
+    return with_orders(
+        f"{encoded} UNION ALL SELECT 'age_Group', 0.85 UNION ALL SELECT 'o_totalprice_Per_o_orderkey', 0.90"
+    )
+
+
+def recommend_models() -> str:
+    task = "CASE WHEN typeof(any_value(class_label)) = 'VARCHAR' OR count(DISTINCT class_label) <= 10 THEN {} ELSE {} END"
+    c, r = (advice.FIRST_LOOK_MODELS[t] for t in ("Supervised (Classification)", "Supervised (Regression)"))
+    parts = [
+        f"SELECT CAST({i} AS INTEGER) AS rank, {task.format(lit('Supervised (Classification)'), lit('Supervised (Regression)'))} AS task, "
+        f"'class_label' AS target, {task.format(lit(a), lit(b))} AS model FROM d"
+        for i, (a, b) in enumerate(zip(c, r))
+    ]
+    return with_orders(union(parts))
+
+
+def ml_advice() -> str:
+    a = advice.ADVISOR["Classification"]
+    text = [c for c, kind, _ in ORDERS if kind == "text" and c != "order_date"]
+    every_text = [c for c, kind, _ in ORDERS if kind == "text"]
+    is_wide = "(SELECT count(DISTINCT {c}) > 30 OR count(DISTINCT {c}) > 0.2 * count(*) FROM d)"
+    wide = "concat_ws(', ', " + ", ".join(f"CASE WHEN {is_wide.format(c=c)} THEN {lit(c)} END" for c in every_text) + ")"
+    narrow = "concat_ws(', ', " + ", ".join(f"CASE WHEN NOT {is_wide.format(c=c)} THEN {lit(c)} END" for c in text) + ")"
+    numbers = ", ".join(numeric_columns(ORDERS)[:5])
+    ids = ", ".join(c for c, _, _ in ORDERS if any(w in c for w in ("id", "key", "index", "pk", "fk")))
+    steps = (
+        f"'Use target, binary or hash encoding for high cardinality fields: ' || {wide} || ' | Use one-hot encoding for low cardinality features: ' || {narrow} || "
+        f"' | Scale the numerical columns (robustly if outliers remain): {numbers}'"
+    )
+    return with_orders(
+        f"SELECT 'Classification' AS problem_type, 'class_label' AS target_column, {lit(a['task'])} AS task, {lit(' | '.join(a['models']))} AS models, "
+        f"{lit(' | '.join(a['metrics']))} AS metrics, {lit(a['validation'])} AS validation, {steps} AS preprocessing, "
+        f"'Drop identifier columns: {ids}' AS selection"
+    )
+
+
+def domain_detection() -> str:
+    hits = [f"count(*) FILTER (WHERE {any_of('lower(c)', words)}) AS h{i}" for i, words in enumerate(advice.DOMAINS.values())]
+    best = "greatest(" + ", ".join(f"h{i}" for i in range(len(advice.DOMAINS))) + ")"
+    winner = "CASE " + " ".join(f"WHEN h{i} = {best} THEN {lit(d)}" for i, d in enumerate(advice.DOMAINS)) + " END"
+    rows = (
+        "SELECT user_id, event_type || '_ad' AS c FROM events UNION ALL SELECT user_id, 'user_id' FROM events "
+        "UNION ALL SELECT user_id, unnest(json_keys(props)) FROM events"
+    )
+    share = f"round_even(CAST({best} AS DOUBLE) / n, 2)"
+    return (
+        f"SELECT user_id, CASE WHEN {share} >= 0.6 THEN {winner} ELSE 'General Tabular Dataset' END AS domain, {share} AS confidence "
+        f"FROM (SELECT user_id, count(*) AS n, {', '.join(hits)} FROM ({rows}) GROUP BY user_id)"
+    )
+
+
+# -------------------------------------------------------------------- charts
+def missing_bars() -> str:
+    parts = [f"SELECT {i} AS o, {lit(c)} AS \"column\", CAST({missing(c)} AS BIGINT) AS missing FROM d" for i, (c, _, _) in enumerate(ORDERS)]
+    return with_orders(
+        "SELECT CAST(row_number() OVER (ORDER BY missing DESC, o) - 1 AS INTEGER) AS position, \"column\", missing FROM ("
+        + union(parts)
+        + ") ORDER BY missing DESC, o LIMIT 15"
+    )
+
+
+def histogram() -> str:
+    return (
+        "WITH b AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 30 AS w FROM lineitem), "
+        "n AS (SELECT CAST(least(29, floor((l_extendedprice - lo) / w)) AS INTEGER) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1) "
+        "SELECT 'l_extendedprice' AS \"column\", CAST(i AS INTEGER) AS bin, round(lo + i * w, 4) AS lower, round(lo + (i + 1) * w, 4) AS upper, "
+        "coalesce(n.n, 0) AS count FROM range(30) t(i), b LEFT JOIN n ON n.bin = t.i"
+    )
+
+
+def box_summary() -> str:
+    q = "(SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS m, quantile_cont(o_totalprice, 0.75) AS b FROM d)"
+    inside = "o_totalprice BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)"
+    return with_orders(
+        "SELECT 'o_totalprice' AS \"column\", round(min(o_totalprice), 4) AS min, round(any_value(a), 4) AS q1, round(any_value(m), 4) AS median, "
+        "round(any_value(b), 4) AS q3, round(max(o_totalprice), 4) AS max, "
+        f"round(min(o_totalprice) FILTER (WHERE {inside}), 4) AS whisker_low, round(max(o_totalprice) FILTER (WHERE {inside}), 4) AS whisker_high, "
+        f"count(*) FILTER (WHERE NOT ({inside})) AS outliers FROM d, {q}"
+    )
+
+
+def distribution() -> str:
+    def top(t, c, source):
+        return (
+            f"SELECT * FROM (SELECT {lit(source)} AS source, {lit(c)} AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {t} "
+            f"WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 15)"
+        )
+
+    # the first target-like name: a name with a 'y' in it counts
+    return with_orders(top("d", "o_orderkey", "dirty_orders") + " UNION ALL " + top("lineitem", "l_orderkey", "lineitem"))
+
+
+def totals() -> str:
+    parts = []
+    for t, cols, source in tables():
+        gaps = " + ".join(missing(c) for c, _, _ in cols)
+        out = " + ".join(iqr_count(t, c) for c in numeric_columns(cols))
+        parts.append(f"SELECT {lit(source)} AS source, CAST({gaps} AS BIGINT) AS total_missing, CAST({out} AS BIGINT) AS total_outliers FROM {t}")
+    return with_orders(union(parts))
+
+
+# -------------------------------------------------------------------- cleaning on request
+def recommendation_rows() -> str:
+    parts = []
+    for i, (c, kind, _) in enumerate(ORDERS):
+        if kind == "number":
+            robust = f"({iqr_count('d', c)} > 0 OR abs(coalesce(skewness({c}), 0)) > 1)"
+            action, conf = f"CASE WHEN {robust} THEN 'median_imputation' ELSE 'mean_imputation' END", f"CASE WHEN {robust} THEN 0.92 ELSE 0.84 END"
+        else:
+            action, conf = "'mode_imputation'", "0.86"
+        parts.append(
+            f"SELECT {lit(c)} AS \"column\", {action} AS recommended_action, CAST({conf} AS DOUBLE) AS confidence FROM d HAVING {missing(c)} > 0"
+        )
+    parts.append(f"SELECT '__rows__', 'remove_duplicates', 0.97 WHERE {duplicates('d', ORDERS)} > 0")
+    return union(parts)
+
+
+def cleaning_recommendations() -> str:
+    return with_orders(recommendation_rows())
+
+
+def structured_plan() -> str:
+    parts = [
+        "SELECT 0 AS o, 'remove_duplicates' AS action, CAST(NULL AS VARCHAR) AS \"column\", 'drop_exact_duplicates' AS method "
+        f"WHERE {duplicates('d', ORDERS)} > 0"
+    ]
+    for i, (c, kind, _) in enumerate(ORDERS):
+        how = f"CASE WHEN abs(skewness({c})) > 1.5 THEN 'median' ELSE 'mean' END" if kind == "number" else "'mode'"
+        parts.append(f"SELECT {100 + i}, 'fill_missing', {lit(c)}, {how} FROM d HAVING {missing(c)} > 0")
+        if kind == "number":
+            parts.append(f"SELECT {200 + i}, 'handle_outliers', {lit(c)}, 'clip_iqr_bounds' WHERE {iqr_count('d', c)} > 0")
+        else:
+            parts.append(
+                f"SELECT {300 + i}, 'fix_formatting', {lit(c)}, 'strip_whitespace' FROM d HAVING count(DISTINCT {c}) <> count(DISTINCT lower(trim({c})))"
+            )
+            if "date" in c or "time" in c:
+                parts.append(f"SELECT {400 + i}, 'convert_dtypes', {lit(c)}, 'datetime_parse'")
+    return with_orders(
+        f"SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS position, action, \"column\", method FROM ({union(parts)})"
+    )
+
+
+def manual_actions() -> str:
+    """Distinct rows, then median or mode, then strip, then IQR clipping, then dates."""
+    filled = [
+        f"coalesce(CAST({c} AS DOUBLE), (SELECT {quartile(c, 0.5)} FROM dd)) AS {c}" if kind == "number" and c in ("o_totalprice", "age")
+        else f"trim(coalesce({c}, {mode_of('dd', c)})) AS {c}" if kind == "text" else f"CAST({c} AS DOUBLE) AS {c}"
+        for c, kind, _ in ORDERS
+    ]
+    clipped = [
+        f"(SELECT CASE WHEN b > a THEN greatest(a - 1.5 * (b - a), least(b + 1.5 * (b - a), f.{c})) ELSE f.{c} END FROM "
+        f"(SELECT {quartile(c, 0.25)} AS a, {quartile(c, 0.75)} AS b FROM f)) AS {c}"
+        for c in numeric_columns(ORDERS)
+    ]
+    texts = [c for c, kind, _ in ORDERS if kind == "text"]
+    shown = [c if c != "order_date" else "strftime(try_strptime(order_date, '%Y-%m-%d'), '%Y-%m-%d') AS order_date" for c in texts]
+    return with_orders("SELECT * FROM d").replace(
+        "SELECT * FROM d",
+        f"SELECT * REPLACE (round(o_totalprice, 4) AS o_totalprice, round(age, 4) AS age) FROM (SELECT {', '.join(shown)}, {', '.join(clipped)} FROM f)",
+    ).replace(") SELECT * REPLACE", f"), dd AS MATERIALIZED (SELECT DISTINCT * FROM d), f AS MATERIALIZED (SELECT {', '.join(filled)} FROM dd) SELECT * REPLACE", 1)
+
+
+def apply_plan() -> str:
+    new = []
+    for c, kind, _ in ORDERS:
+        if kind == "number":
+            robust = f"(SELECT {iqr_count('d', c)} > 0 OR abs(coalesce(skewness({c}), 0)) > 1 FROM d)"
+            fill = f"CASE WHEN {robust} THEN (SELECT {quartile(c, 0.5)} FROM d) ELSE (SELECT avg({c}) FROM d) END"
+            new.append(f"round(coalesce(CAST({c} AS DOUBLE), {fill}), 4) AS {c}" if c in ("o_totalprice", "age") else c)
+        else:
+            new.append(f"coalesce({c}, {mode_of('d', c)}) AS {c}")
+    at = "try_strptime(order_date, '%Y-%m-%d')"
+    return with_orders(
+        f"SELECT *, CAST(month({at}) AS INTEGER) AS order_date_month, CAST(isodow({at}) - 1 AS INTEGER) AS order_date_weekday "
+        f"FROM (SELECT {', '.join(new)} FROM (SELECT DISTINCT * FROM d))"
+    )
+
+
+def csv_round_trip() -> str:
+    """Whole numbers with gaps come back as doubles; everything else as it was."""
+    return with_orders("SELECT * REPLACE (round(o_totalprice, 4) AS o_totalprice, CAST(age AS DOUBLE) AS age) FROM d")
+
+
+def json_log_round_trip() -> str:
+    return with_orders(f"SELECT \"column\", issue, severity, affected_rows FROM ({issue_rows()})")
+
+
+# -------------------------------------------------------------------- questions and conversations
+def scores(q: str) -> list[str]:
+    return [
+        "round(least(1.0, " + " + ".join(f"CASE WHEN contains({q}, {lit(w)}) THEN CAST({v} AS DOUBLE) ELSE 0 END" for w, v in words.items()) + "), 2)"
+        for words in Q.INTENTS.values()
+    ]
+
+
+def top_intent(q: str) -> str:
+    parts = scores(q)
+    best = "greatest(" + ", ".join(parts) + ")"
+    return f"CASE WHEN {best} < 0.25 THEN 'General Discussion' " + " ".join(f"WHEN {s} = {best} THEN {lit(i)}" for i, s in zip(Q.INTENTS, parts)) + " END"
+
+
+def conversations() -> str:
+    return f"({I.for_duckdb(I.DIRTY_CONVERSATIONS)})"
+
+
+def route_intents() -> str:
+    parts = [
+        f"SELECT conv_id, turn, {i} AS p, {lit(name)} AS intent, {score} AS confidence FROM c"
+        for i, (name, score) in enumerate(zip(Q.INTENTS, scores("q")))
+    ]
+    return (
+        f"WITH c AS (SELECT conv_id, turn, lower(text) AS q FROM {conversations()}), s AS ({union(parts)}), "
+        "b AS (SELECT conv_id, turn, max(confidence) AS best FROM s GROUP BY ALL), "
+        "k AS (SELECT conv_id, turn, p, intent, confidence FROM s JOIN b USING (conv_id, turn) WHERE best >= 0.25 AND confidence > 0 "
+        "UNION ALL SELECT conv_id, turn, 7, 'General Discussion', 1.0 FROM b WHERE best < 0.25) "
+        "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY confidence DESC, p) AS INTEGER) AS rank, intent, CAST(confidence AS DOUBLE) AS confidence FROM k"
+    )
+
+
+def plan_modes() -> str:
+    chain = " ".join(f"WHEN {any_of('lower(text)', words)} THEN {lit(m)}" for m, words in Q.MODES.items())
+    return f"SELECT conv_id, turn, CASE {chain} ELSE 'GENERAL' END AS mode FROM {conversations()}"
+
+
+def pick(q: str, words, out=None) -> str:
+    return "CASE " + " ".join(f"WHEN contains({q}, {lit(w)}) THEN {lit(w if out is None else out(w))}" for w in words) + " END"
+
+
+def followups() -> str:
+    """The conversation told turn by turn: a recursive query that carries the memory along."""
+    compare, column, chart = C.COMPARE_FOLLOW_UP, C.COLUMN_FOLLOW_UP, C.CHART_FOLLOW_UP
+    lists = {"bench": C.BENCHMARKS}
+    known = "lower(target) IN (" + ", ".join(lit(b) for b in lists["bench"]) + ")"
+    resolved = (
+        "CASE WHEN target IS NOT NULL AND (known OR cmp IS NOT NULL) THEN 'Compare the uploaded dataset with ' || target "
+        "WHEN subject IS NOT NULL AND metric IS NOT NULL THEN 'What is the ' || metric || ' of ' || subject || '?' "
+        "WHEN subject IS NOT NULL AND intent = 'Statistics' THEN 'Show statistics and summary for column ' || subject "
+        "WHEN chart <> '' THEN 'Explain the ' || chart || ' chart and its data distributions/relationships' ELSE question END"
+    )
+    step = (
+        f"SELECT conv_id, turn, k, question, resolved, {top_intent('lower(resolved)')} AS intent, "
+        f"coalesce({pick('lower(resolved)', C.REMEMBERED_METRICS)}, metric) AS metric, "
+        f"coalesce({pick('lower(resolved)', C.REMEMBERED_BENCHMARKS, str.title)}, CASE WHEN target IS NOT NULL AND (known OR cmp IS NOT NULL) THEN target END, cmp) AS cmp "
+        f"FROM (SELECT *, {resolved} AS resolved FROM (SELECT u.*, coalesce({known}, false) AS known, {{state}}))"
+    )
+    asked = "trim(text)"
+    users = (
+        f"SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, text AS question, "
+        f"CASE WHEN regexp_matches(lower({asked}), {lit(compare)}) THEN initcap_words(trim(regexp_extract(lower({asked}), {lit(compare)}, 2))) END AS target, "
+        f"CASE WHEN regexp_matches(lower({asked}), {lit(column)}) THEN trim(regexp_extract({asked}, {lit('(?i)' + column)}, 2)) END AS subject, "
+        f"regexp_extract(lower({asked}), {lit(chart)}, 3) AS chart FROM {conversations()} WHERE role = 'user'"
+    )
+    # title case of the single words that occur here
+    users = users.replace(
+        f"initcap_words(trim(regexp_extract(lower({asked}), {lit(compare)}, 2)))",
+        f"array_to_string(list_transform(str_split(trim(regexp_extract(lower({asked}), {lit(compare)}, 2)), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')",
+    )
+    first = step.replace("{state}", "CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS metric, CAST(NULL AS VARCHAR) AS cmp FROM u WHERE k = 1")
+    later = step.replace("{state}", "m.intent, m.metric, m.cmp FROM u JOIN m ON u.conv_id = m.conv_id AND u.k = m.k + 1")
+    low = "lower(resolved)"
+    return (
+        f"WITH RECURSIVE u AS ({users}), m AS ({first} UNION ALL {later}) "
+        f"SELECT conv_id, turn, question, resolved, intent, metric AS last_metric, cmp AS last_comparison, "
+        f"{pick(low, C.REMEMBERED_MODELS, str.title)} AS model_mentioned, {pick(low, C.REMEMBERED_CHARTS)} AS chart_mentioned FROM m"
+    )
+
+
+def last_messages() -> str:
+    return (
+        "SELECT conv_id, turn, role, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_turn FROM "
+        f"(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM {conversations()}) WHERE n <= 4"
+    )
+
+
+def edit_messages() -> str:
+    return (
+        f"WITH m AS ({conversations()[1:-1]}), e AS (SELECT conv_id, min(turn) AS edit_turn FROM m WHERE role = 'user' AND turn % 4 = 2 GROUP BY conv_id) "
+        "SELECT m.conv_id, turn, CASE WHEN turn = edit_turn THEN 'user' ELSE role END AS role, CASE WHEN turn = edit_turn THEN 'Edited: ' || text ELSE text END AS text, "
+        "coalesce(turn = edit_turn, false) AS edited, CASE WHEN turn = edit_turn THEN turn END AS replaces_turn FROM m LEFT JOIN e ON m.conv_id = e.conv_id WHERE edit_turn IS NULL OR turn <= edit_turn"
+    )
+
+
+def suggest_questions() -> str:
+    s = SITUATION
+    bonus = {
+        "always": True, "health_below_80": s["health_score"] < 80, "health_below_90": s["health_score"] < 90,
+        "has_gaps_or_outliers": s["missing"] > 0 or s["outliers"] > 0, "was_cleaned": s["cleaning_steps"] > 0,
+        "ready_below_90": s["readiness_score"] < 90, "ready_below_80": s["readiness_score"] < 80, "not_titanic": True, "not_iris": True,
+    }
+    rows = []
+    for i, (t, w, cond) in enumerate(C.SUGGESTIONS):
+        t = t.replace("{task}", "classification")
+        weight = "CASE intent " + " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in w.items()) + " ELSE 0 END"
+        boost = "CASE WHEN lower(intent) LIKE '%comparison%' THEN 2 ELSE 0 END" if "compare" in t.lower() else "0"
+        rows.append(f"SELECT conv_id, intent, {i} AS i, {lit(t)} AS t, {weight} + {3 if bonus[cond] else 0} + {boost} AS score FROM i")
+    for j, t in enumerate(C.FALLBACK_SUGGESTIONS):
+        rows.append(f"SELECT conv_id, intent, {100 + j}, {lit(t)}, -1 FROM i")
+    letters = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+    return (
+        f"WITH m AS ({conversations()[1:-1]}), i AS (SELECT c.conv_id, coalesce(intent, 'General Discussion') AS intent FROM (SELECT DISTINCT conv_id FROM m) c LEFT JOIN "
+        f"(SELECT conv_id, arg_max({top_intent('lower(text)')}, turn) AS intent FROM m WHERE role = 'user' GROUP BY conv_id) q ON q.conv_id = c.conv_id), "
+        f"r AS (SELECT conv_id, {letters.format('text')} AS said FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM m) WHERE n <= 10), "
+        f"x AS ({union(rows)}), "
+        f"f AS (SELECT * FROM x WHERE i >= 100 OR NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = x.conv_id AND (contains(said, {letters.format('t')}) OR contains({letters.format('t')}, said)))), "
+        "best AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY (i >= 100), score DESC, i) AS n FROM f), "
+        "kept AS (SELECT * FROM best WHERE i >= 100 OR n <= 4), "
+        "once AS (SELECT conv_id, any_value(intent) AS intent, t, min(n) AS n FROM kept GROUP BY conv_id, t), "
+        "ranked AS (SELECT conv_id, intent, t, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS rank FROM once) "
+        "SELECT conv_id, intent, CAST(rank AS INTEGER) AS rank, t AS suggestion FROM ranked WHERE rank <= 4"
+    )
+
+
+def search_messages() -> str:
+    def n(pattern):
+        return f"CAST(len(regexp_extract_all(text, {lit(pattern)})) AS INTEGER)"
+
+    return (
+        f"SELECT conv_id, turn, {n('(?i)the')} AS anywhere, {n('(?i)' + chr(92) + 'bthe' + chr(92) + 'b')} AS words, {n('The')} AS exact "
+        f"FROM {conversations()} WHERE contains(lower(text), 'the')"
+    )
+
+
+def export_sections() -> str:
+    nl = "chr(10)"
+    return (
+        f"SELECT conv_id, turn, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN '# Report' || {nl} || {nl} || '---' || {nl} || {nl} ELSE {nl} || '---' || {nl} || {nl} END "
+        f"|| '### ' || CASE WHEN role = 'user' THEN 'User Query' ELSE 'Assistant' END || {nl} || {nl} || text || {nl} || {nl} AS section FROM {conversations()}"
+    )
+
+
+def join_chunks() -> str:
+    return (
+        "SELECT conv_id, CAST(floor(turn / 10000) AS BIGINT) AS segment, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS chunks "
+        "FROM conversations GROUP BY ALL"
+    )
+
+
+# -------------------------------------------------------------------- text guards
+def documents() -> str:
+    return f"({I.for_duckdb(I.DIRTY_DOCUMENTS)})"
+
+
+BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{BLANKS}+|{BLANKS}+$', '', 'g')"
+
+
+def text_guards() -> str:
+    prompt = f"regexp_replace(substr(coalesce(text, ''), 1, 4000), {lit(X.SCRIPT)}, '', 'g')"
+    prompt = strip(f"replace(replace({prompt}, '<', '&lt;'), '>', '&gt;')")
+    user = strip(f"substr(regexp_replace(text, {lit(X.SQL_TOKENS)}, '', 'g'), 1, 10000)")
+    content = "CASE WHEN length(text) > 5000 THEN substr(text, 1, 5000) || '... (truncated)' ELSE text END"
+    for phrase in X.INJECTIONS:
+        content = f"regexp_replace({content}, {lit('(?i)' + phrase)}, '[REDACTED]', 'g')"
+    return f"SELECT doc_id, {prompt} AS prompt, {user} AS user_input, {content} AS content FROM {documents()}"
+
+
+def payload_flags() -> str:
+    lines = f"list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: {strip('x')}), lambda x: x <> '')"
+    commas = f"list_min(list_transform(list_slice({lines}, 1, 5), lambda x: length(x) - length(replace(x, ',', ''))))"
+    whole = strip("text")
+    return (
+        "SELECT doc_id, CASE WHEN length(text) > 10000 THEN 'oversized' "
+        f"WHEN len({lines}) >= 3 AND {commas} >= 2 THEN 'tabular' "
+        f"WHEN starts_with({whole}, '[') AND ends_with({whole}, ']') AND regexp_matches({whole}, {lit(X.JSON_RECORD)}) THEN 'records' END AS problem FROM {documents()}"
+    )
+
+
+def repair_responses() -> str:
+    t1 = r"regexp_replace(text, '(?m)^(#{1,6})([^#\s])', '\1 \2', 'g')"
+    key = f"CASE WHEN length({strip('p')}) > 40 THEN lower(regexp_replace({strip('p')}, '{BLANKS}+', ' ', 'g')) END"
+    t3 = "CASE WHEN ((length(b) - length(replace(b, '```', ''))) // 3) % 2 = 1 THEN b || chr(10) || '```' || chr(10) ELSE b END"
+    line = f"CASE WHEN starts_with({strip('l')}, '|') AND NOT ends_with({strip('l')}, '|') THEN l || ' |' ELSE l END"
+    return (
+        f"SELECT doc_id, CASE WHEN text IS NULL OR {strip('text')} = '' THEN {lit(X.EMPTY_RESPONSE)} ELSE "
+        f"array_to_string(list_transform(str_split(c, chr(10)), lambda l: {line}), chr(10)) END AS text FROM "
+        f"(SELECT *, {t3} AS c FROM (SELECT *, array_to_string(list_filter(ps, lambda p, i: keys[i] IS NULL OR list_position(keys, keys[i]) = i), chr(10) || chr(10)) AS b FROM "
+        f"(SELECT *, list_transform(ps, lambda p: {key}) AS keys FROM (SELECT *, str_split({t1}, chr(10) || chr(10)) AS ps FROM {documents()}))))"
+    )
+
+
+# -------------------------------------------------------------------- run logs
+def over_limit() -> str:
+    return (
+        "SELECT event_id, user_id, n AS earlier, n >= 5 AS limited FROM (SELECT event_id, user_id, "
+        "(SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND (o.ts < e.ts OR (o.ts = e.ts AND o.event_id < e.event_id)) "
+        "AND o.ts > e.ts - INTERVAL 1 DAY) AS n FROM events e)"
+    )
+
+
+def enforced_limit() -> str:
+    """The fold told event by event."""
+    return (
+        "WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), "
+        "f AS (SELECT event_id, user_id, k, [t] AS taken, true AS accepted FROM e WHERE k = 1 UNION ALL "
+        "SELECT event_id, user_id, k, CASE WHEN len(live) < 5 THEN list_append(live, t) ELSE live END, len(live) < 5 FROM "
+        "(SELECT e.*, list_filter(f.taken, lambda x: e.t - x < 86400000000) AS live FROM e JOIN f ON e.user_id = f.user_id AND e.k = f.k + 1)) "
+        "SELECT event_id, user_id, accepted FROM f"
+    )
+
+
+def expired_sessions() -> str:
+    return "SELECT event_id FROM events WHERE ts + INTERVAL 30 MINUTE < TIMESTAMP '2024-01-10 00:00:00'"
+
+
+def run_metrics() -> str:
+    return (
+        "SELECT (SELECT count(*) FROM events WHERE event_type = 'signup') AS total_runs, "
+        "(SELECT round_even(avg(value), 2) FROM events WHERE event_type = 'signup') AS average_health_score, "
+        "(SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS most_common_action, "
+        "(SELECT count(*) FROM events WHERE event_type = 'view') AS primary_calls, "
+        "(SELECT count(*) FROM events WHERE event_type <> 'view') AS fallback_calls"
+    )
+
+
+def request_summary() -> str:
+    first, total = "floor(value * 0.25 * 1000) / 1000.0", "floor(value * 1.0 * 1000) / 1000.0"
+    return (
+        "SELECT event_type, count(*) AS total_requests, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total_tokens, "
+        "count(*) FILTER (WHERE event_type = 'error') AS failures, "
+        "round(CAST(count(*) FILTER (WHERE event_type <> 'error') AS DOUBLE) / count(*), 3) AS success_rate, "
+        f"round(avg(round_even({total}, 2)), 3) AS mean_latency_ms, round(avg(round_even({first}, 2)), 3) AS mean_first_token_ms, "
+        f"round(avg(round_even({total} - {first}, 2)), 3) AS mean_stream_ms FROM events GROUP BY event_type"
+    )
+
+
 NAMES = (
     profile_columns, profile_summary, profile_roles, role_counts, column_roles, missing_by_column,
     missing_and_duplicates, outlier_counts, invalid_entries, inconsistent_formatting, class_imbalance,
     class_distribution, issues, health_score, health_explanation, semantic_types, clean_orders,
     clean_orders_removing, clean_shipments, cleaning_log, cleaning_strategies, column_impact, cleaning_impact,
     analytics_summary, analytics_numeric, analytics_categorical, top_values, analytics_datetime, missing_days,
-    answer_metrics,
+    answer_metrics, correlation_pairs, correlation_matrix, leakage, feature_flags, target_summary,
+    feature_suggestions, ml_readiness, insights, advanced_features, recommend_models, ml_advice, domain_detection,
+    missing_bars, histogram, box_summary, distribution, totals, cleaning_recommendations, structured_plan,
+    manual_actions, apply_plan, csv_round_trip, json_log_round_trip, route_intents, plan_modes, followups,
+    last_messages, edit_messages, suggest_questions, search_messages, export_sections, join_chunks, text_guards,
+    payload_flags, repair_responses, over_limit, enforced_limit, expired_sessions, run_metrics, request_summary,
 )
 ORACLES = {f.__name__: f() for f in NAMES}

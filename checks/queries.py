@@ -175,7 +175,8 @@ def analytics_datetime(spark, sf_dir):
 
 
 def missing_days(spark, sf_dir):
-    return analytics.missing_days(I.table(spark, sf_dir, "orders"), "o_orderdate")
+    days = analytics.missing_days(I.table(spark, sf_dir, "orders"), "o_orderdate")
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 def answer_metrics(spark, sf_dir):
