@@ -1173,7 +1173,7 @@ def followups() -> str:
 
 def last_messages() -> str:
     return (
-        "SELECT conv_id, turn, role, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_turn FROM "
+        "SELECT conv_id, turn, role, text, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS parent_turn FROM "
         f"(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM {conversations()}) WHERE n <= 4"
     )
 
@@ -1182,7 +1182,7 @@ def edit_messages() -> str:
     return (
         f"WITH m AS ({conversations()[1:-1]}), e AS (SELECT conv_id, min(turn) AS edit_turn FROM m WHERE role = 'user' AND turn % 4 = 2 GROUP BY conv_id) "
         "SELECT m.conv_id, turn, CASE WHEN turn = edit_turn THEN 'user' ELSE role END AS role, CASE WHEN turn = edit_turn THEN 'Edited: ' || text ELSE text END AS text, "
-        "coalesce(turn = edit_turn, false) AS edited, CASE WHEN turn = edit_turn THEN turn END AS replaces_turn FROM m LEFT JOIN e ON m.conv_id = e.conv_id WHERE edit_turn IS NULL OR turn <= edit_turn"
+        "coalesce(turn = edit_turn, false) AS edited, CASE WHEN turn = edit_turn THEN turn ELSE -1 END AS replaces_turn FROM m LEFT JOIN e ON m.conv_id = e.conv_id WHERE edit_turn IS NULL OR turn <= edit_turn"
     )
 
 

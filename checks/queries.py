@@ -330,13 +330,15 @@ def followups(spark, sf_dir):
 
 
 def last_messages(spark, sf_dir):
-    return conversation.last_messages(I.dirty_conversations(spark, sf_dir), keep=4)
+    out = conversation.last_messages(I.dirty_conversations(spark, sf_dir), keep=4)
+    return out.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1).cast("long")))
 
 
 def edit_messages(spark, sf_dir):
     m = I.dirty_conversations(spark, sf_dir)
     edits = m.where("role = 'user' and turn % 4 = 2").select("conv_id", "turn", F.concat(F.lit("Edited: "), "text").alias("text"))
-    return conversation.edit_messages(m, edits)
+    out = conversation.edit_messages(m, edits)
+    return out.withColumn("replaces_turn", F.coalesce("replaces_turn", F.lit(-1).cast("long")))
 
 
 def suggest_questions(spark, sf_dir):

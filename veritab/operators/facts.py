@@ -349,11 +349,26 @@ class TableFacts:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows (NULLs equal). Map-side combine absorbs hot copies."""
-    return df.groupBy(*[E.quoted(c) for c in df.columns]).count().agg(
+    return df.groupBy(*comparable(df)).count().agg(
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows")
     )
 
 
+def comparable(df: DataFrame) -> list[Column]:
+    """Every column in a form that can be grouped: variants and maps as their JSON text."""
+    json = {f.name for f in df.schema if f.dataType.typeName() in ("variant", "map")}
+    return [F.to_json(E.quoted(c)).alias(c) if c in json else E.quoted(c) for c in df.columns]
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    json = [f.name for f in df.schema if f.dataType.typeName() in ("variant", "map")]
+    if not json:
+        return df.distinct()
+    keyed = df.withColumns({f"__key_{c}": F.to_json(E.quoted(c)) for c in json})
+    keys = [c for c in df.columns if c not in json] + [f"__key_{c}" for c in json]
+    return keyed.dropDuplicates(keys).select(*[E.quoted(c) for c in df.columns])
+
+
 # -------------------------------------------------------------------- value counts
 def _families(df: DataFrame, kinds: dict[str, str], also_numeric: list[str]) -> dict[str, list[tuple[int, Column]]]:
     """Columns grouped by the widest type that keeps their values apart: long, double or string."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..config import materialise
 from ..functions import dates, exprs as E
 from ..operators import audit
-from ..operators.facts import TableFacts
+from ..operators.facts import TableFacts, distinct_rows
 from ..operators.profile import DATE_WORDS, frame, named, share
 
 # --- fixed values -----------------------------------------------------------
@@ -80,7 +81,7 @@ def apply_actions(df: DataFrame, actions: list[str], order_by: str | None = None
     if "remove_duplicates" in actions:
         log.append(("remove_duplicates", facts.duplicate_rows, []))
         if facts.duplicate_rows:
-            df = df.distinct()
+            df = materialise(distinct_rows(df), "deduplicated")
             facts = TableFacts(df, order_by)
     if "fill_missing" in actions:
         new, filled = {}, 0
@@ -143,7 +144,7 @@ def apply_plan(facts: TableFacts, date_columns: list[str] = ()) -> DataFrame:
             value = F.lit("Unknown" if mode is None else mode)
             new[c] = F.coalesce(E.quoted(c), value if facts.kinds[c] == "text" else F.lit(mode == "1"))
     if facts.duplicate_rows:
-        df = df.distinct()
+        df = distinct_rows(df)
     df = _replace(df, new)
     for c in date_columns:
         at = E.quoted(c)

@@ -106,7 +106,9 @@ def read_json(spark: SparkSession, path: str, lines: bool = False, keep_mixed: b
     mixed = {c for c, k in kinds.items() if len(k) > 1}
     return variants.select(
         *[
-            E.quoted(c).cast("string").alias(c) if c in texts and c not in mixed else E.quoted(c)
+            E.quoted(c) if c not in texts
+            else F.when(~F.is_variant_null(E.quoted(c)), E.quoted(c)).alias(c) if c in mixed
+            else E.quoted(c).cast("string").alias(c)
             for c in variants.columns
         ]
     )

@@ -11,7 +11,16 @@ def write_run(df: DataFrame, root: str, run_id: str, part: str = "cleaned", kind
     writer = df.write.mode("errorifexists")
     if kind == "csv":
         # Quotes inside a cell are doubled, empty text is quoted and NULL is left empty, so that all three come back.
-        writer.csv(path, header=True, quote='"', escape='"', emptyValue='""', timestampFormat="yyyy-MM-dd HH:mm:ss")
+        writer.csv(
+            path,
+            header=True,
+            quote='"',
+            escape='"',
+            emptyValue='""',
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+            timestampFormat="yyyy-MM-dd HH:mm:ss",
+        )
     elif kind == "parquet":
         writer.parquet(path)
     else:
