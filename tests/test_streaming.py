@@ -25,7 +25,7 @@ def source(spark, pdf, schema, path):
 
 
 def test_limit_stream(spark, tmp_path):
-    at = pd.to_datetime([0, 10, 20, 30, 70, 75], unit="s")
+    at = pd.to_datetime([1000, 1010, 1020, 1030, 1070, 1075], unit="s")
     pdf = pd.DataFrame({"n": range(6), "user": [1] * 6, "at": at})
     stream = source(spark, pdf, "n long, user long, at timestamp", tmp_path / "in").withWatermark("at", "1 minute")
     out = drain(limits.enforce_limit_stream(stream, "user", "at", limit=2, window_seconds=60), "limited")

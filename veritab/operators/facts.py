@@ -82,12 +82,13 @@ def set_moments(f: ColumnFacts, s2: float, s3: float, s4: float) -> None:
 def _read_cell_facts(f: ColumnFacts, r) -> None:
     f.count = r.n_texts if f.kind == "text" else r.n
     if f.kind in ("number", "text"):
-        f.n_numeric, f.min, f.max, f.mean = r.n, r.min, r.max, r.mean
+        f.n_numeric, f.min, f.max = r.n, r.min, r.max
+        f.mean = r.total / r.n if r.n else None
         f.zeros, f.negatives, f.loose = r.zeros, r.negatives, {"zero_one": r.zero_one}
     if f.kind == "text":
-        f.bytes, f.bad_email, f.length = r.bytes or 0, r.bad_email, r.length
+        f.bytes, f.bad_email, f.length = r.bytes, r.bad_email, r.chars / f.count
         f.loose |= {"n": r.n_loose, "min": r.loose_min, "max": r.loose_max, "plain": r.plain}
-        if f.count and r.n_pair == f.count and r.pair_low == r.pair_high:
+        if r.n_pair == f.count and r.pair_low == r.pair_high:
             f.pair = r.pair_low
     elif "email" in f.name.lower() and f.kind not in ("other", "mixed"):
         f.bad_email = r.n
@@ -137,6 +138,13 @@ def fold_nan(df: DataFrame) -> DataFrame:
     )
 
 
+def at_once(facts: "TableFacts", *passes: str) -> None:
+    todo = [p for p in passes if p not in facts.__dict__]
+    if todo:
+        with ThreadPoolExecutor(len(todo)) as pool:
+            list(pool.map(lambda p: getattr(facts, p), todo))
+
+
 class TableFacts:
     def __init__(self, df: DataFrame, order_by: str | None = None):
         self.df = fold_nan(df)
@@ -148,11 +156,15 @@ class TableFacts:
 
     def gather(self, *passes: str) -> None:
         """Start independent passes together, so that the short stages of one fill the idle cores of another."""
-        self.base
-        todo = [p for p in passes if p not in self.__dict__]
-        if len(todo) > 1:
-            with ThreadPoolExecutor(len(todo)) as pool:
-                list(pool.map(lambda p: getattr(self, p), todo))
+        at_once(self, "_number_cells", "_text_cells", *(p for p in passes if p == "duplicate_rows"))
+        at_once(self, *passes)
+
+    def for_same_values(self, df: DataFrame) -> "TableFacts":
+        """Facts of a table that holds the same values, at most in other types: nothing is measured again."""
+        other = TableFacts(df, self.order_by)
+        done = ("_number_cells", "_text_cells", "_scan", "_bins", "quartiles", "outliers", "values", "duplicate_rows")
+        other.__dict__.update({p: self.__dict__[p] for p in done if p in self.__dict__})
+        return other
 
     # ---------------------------------------------------------------- numbers of the strict reading
     def number(self, name: str) -> Column:
@@ -164,60 +176,92 @@ class TableFacts:
 
     # ---------------------------------------------------------------- pass 1: scalars
     @cached_property
-    def _scan(self) -> tuple[int, int, dict[str, ColumnFacts]]:
-        """One scan: every cell as (field, number, text); field -1 says whether the row has a gap."""
-        out = {c: ColumnFacts(c, self.kinds[c], self.dtypes[c]) for c in self.names}
+    def _number_cells(self) -> dict[int, object]:
+        """One row per column that is not text; field -1 says whether the row has a gap."""
         any_null = F.lit(False)
         for c in self.names:
             any_null = any_null | E.quoted(c).isNull()
-        no_text = F.lit(None).cast("string")
-        cells = [(-1, F.struct(any_null.cast("double").alias("x"), no_text.alias("v")))]
-        for i, c in enumerate(self.names):
-            if self.kinds[c] == "text":
-                cells.append((i, F.struct(F.lit(None).cast("double").alias("x"), E.quoted(c).alias("v"))))
-            else:
-                cells.append((i, F.struct(self._plain_double(c).alias("x"), no_text.alias("v"))))
-        v, x, loose, pair = F.col("v"), F.col("x"), F.col("loose"), F.col("pair")
-        mail = [i for i, c in enumerate(self.names) if self.kinds[c] == "text" and "email" in c.lower()]
-        parsed = long_cells(self.df, cells, "cell").select(
-            "field",
-            F.col("cell.v").alias("v"),
-            F.coalesce("cell.x", E.to_number(F.col("cell.v"))).alias("x"),
-            E.to_number_loose(F.col("cell.v")).alias("loose"),
-            E.boolean_pair(F.col("cell.v")).alias("pair"),
-        )
-        found = parsed.groupBy("field").agg(
+        cells = [(-1, any_null.cast("double"))]
+        cells += [(i, self._plain_double(c)) for i, c in enumerate(self.names) if self.kinds[c] != "text"]
+        x = F.col("x")
+        found = long_cells(self.df, cells, "x").groupBy("field").agg(
             F.count(F.lit(1)).alias("rows"),
-            F.count(v).alias("n_texts"),
             F.count(x).alias("n"),
             F.min(x).alias("min"),
             F.max(x).alias("max"),
-            F.avg(x).alias("mean"),
+            F.sum(x).alias("total"),
             F.count_if(x == 0).alias("zeros"),
             F.count_if(x < 0).alias("negatives"),
-            F.count_if(F.coalesce(loose, x).isin(0.0, 1.0)).alias("zero_one"),
-            F.sum(F.octet_length(v)).alias("bytes"),
-            F.avg(F.char_length(v)).alias("length"),
-            F.count(loose).alias("n_loose"),
-            F.min(loose).alias("loose_min"),
-            F.max(loose).alias("loose_max"),
-            F.count(pair).alias("n_pair"),
-            F.min(pair).alias("pair_low"),
-            F.max(pair).alias("pair_high"),
-            F.count_if(v.rlike(E.PLAIN_NUMBER)).alias("plain"),
-            (F.count_if(F.col("field").isin(*mail) & ~v.rlike(E.EMAIL)) if mail else F.lit(0)).alias("bad_email"),
+            F.count_if(x.isin(0.0, 1.0)).alias("zero_one"),
         )
-        rows = with_missing = 0
-        for r in found.collect():  # one row per column
-            if r.field < 0:
-                rows, with_missing = r.rows, round(r.mean * r.n)
-            else:
-                _read_cell_facts(out[self.names[r.field]], r)
-        for f in out.values():
-            f.missing = rows - f.count
-            if f.kind != "text":
-                f.bytes = {"number": 8, "boolean": 1, "temporal": 8}.get(f.kind, 0) * rows
-        return rows, with_missing, out
+        return {r.field: r for r in found.collect()}
+
+    @cached_property
+    def _text_cells(self) -> dict[int, object]:
+        """One row per text column, from its value counts: each distinct text is parsed once, weighed by its count."""
+        columns = [(i, E.quoted(c)) for i, c in enumerate(self.names) if self.kinds[c] == "text"]
+        if not columns:
+            return {}
+        mail = [i for i, _ in columns if "email" in self.names[i].lower()]
+        v, n = F.col("value"), F.col("n")
+        number, loose, pair = F.col("number"), F.col("loose"), F.col("pair")
+
+        def weighed(flag: Column) -> Column:
+            return F.sum(F.when(flag, n).otherwise(F.lit(0)))
+
+        parsed = value_counts(self.df, columns, "string").select(
+            "field",
+            "value",
+            "n",
+            E.to_number(v).alias("number"),
+            E.to_number_loose(v).alias("loose"),
+            E.boolean_pair(v).alias("pair"),
+            F.lower(E.strip(v)).alias("folded"),
+        )
+        sums = {
+            "n_texts": F.sum(n),
+            "n": weighed(number.isNotNull()),
+            "total": F.sum(number * n),
+            "zeros": weighed(number == 0),
+            "negatives": weighed(number < 0),
+            "zero_one": weighed(loose.isin(0.0, 1.0)),
+            "bytes": F.sum(F.octet_length(v) * n),
+            "chars": F.sum(F.char_length(v) * n),
+            "n_loose": weighed(loose.isNotNull()),
+            "n_pair": weighed(pair.isNotNull()),
+            "plain": weighed(v.rlike(E.PLAIN_NUMBER)),
+            "bad_email": weighed(F.col("field").isin(*mail) & ~v.rlike(E.EMAIL)) if mail else F.sum(F.lit(0)),
+            "distinct_n": F.count(F.lit(1)),
+        }
+        lows = {
+            "min": F.min(number), "loose_min": F.min(loose), "pair_low": F.min(pair), "bottom": F.min(n),
+            "leader": F.min(F.struct((-n).alias("rank"), v.alias("value"))),
+        }
+        highs = {"max": F.max(number), "loose_max": F.max(loose), "pair_high": F.max(pair), "top": F.max(n)}
+        first = {**sums, **lows, **highs}
+        folded = parsed.groupBy("field", "folded").agg(*[e.alias(k) for k, e in first.items()])
+        summary = folded.groupBy("field").agg(
+            *[F.sum(k).alias(k) for k in sums],
+            *[F.min(k).alias(k) for k in lows],
+            *[F.max(k).alias(k) for k in highs],
+            F.count(F.lit(1)).alias("normalised"),
+        )
+        return {r.field: r for r in summary.collect()}
+
+    @cached_property
+    def _scan(self) -> tuple[int, int, dict[str, ColumnFacts]]:
+        at_once(self, "_number_cells", "_text_cells")
+        numbers, texts = self._number_cells, self._text_cells
+        out = {c: ColumnFacts(c, self.kinds[c], self.dtypes[c]) for c in self.names}
+        rows = numbers[-1].rows if -1 in numbers else 0  # no cells at all: an empty table
+        for i, c in enumerate(self.names):
+            found = texts.get(i) if self.kinds[c] == "text" else numbers.get(i)
+            if found is not None:
+                _read_cell_facts(out[c], found)
+            out[c].missing = rows - out[c].count
+            if self.kinds[c] != "text":
+                out[c].bytes = {"number": 8, "boolean": 1, "temporal": 8}.get(self.kinds[c], 0) * rows
+        return rows, round(numbers[-1].total) if rows else 0, out
 
     def _plain_double(self, name: str) -> Column:
         c, kind = E.quoted(name), self.kinds[name]
@@ -326,19 +370,19 @@ class TableFacts:
     @cached_property
     def values(self) -> dict[str, ValueFacts]:
         """Distinct count, largest and smallest group, mode (smallest of ties) and case/blank-folded distinct count."""
-        # Text holding some numbers is profiled by the mode of its numbers, so it appears a second time.
+        # Text holding some numbers is profiled by the mode of its numbers, so those are counted as well.
         also = [c for c in self.numeric if self.kinds[c] == "text"]
         found = {c: ValueFacts() for c in self.names}
-        for row in value_summary(self.df, self.kinds, also).collect():  # at most two rows per column
+        for i, r in self._text_cells.items():
+            found[self.names[i]] = ValueFacts(r.distinct_n, r.top, r.bottom, r.leader["value"], r.normalised)
+        counted = value_summary(self.df, self.kinds, also)
+        for row in counted.collect() if counted is not None else []:  # at most one row per column
             if row.field >= len(self.names):
                 found[also[row.field - len(self.names)]].mode = float(row.mode)
             else:
                 name = self.names[row.field]
-                keep = found[name].mode if name in also and found[name].mode is not None else None
                 mode = _temporal_text(row.mode, self.dtypes[name]) if self.kinds[name] == "temporal" else row.mode
-                found[name] = ValueFacts(row.distinct_n, row.top, row.bottom, mode, row.normalised)
-                if keep is not None:
-                    found[name].mode = keep
+                found[name] = ValueFacts(row.distinct_n, row.top, row.bottom, mode, row.distinct_n)
         return found
 
     # ---------------------------------------------------------------- heads
@@ -384,8 +428,6 @@ def _families(df: DataFrame, kinds: dict[str, str], also_numeric: list[str]) ->
             fam["bigint"].append((i, c.cast("int")))
         elif kind == "temporal":
             fam["bigint"].append((i, E.instant(c, type_name)))
-        elif kind == "text":
-            fam["string"].append((i, c))
         elif kind == "mixed":
             fam["string"].append((i, c.cast("string")))
     for j, name in enumerate(also_numeric):
@@ -403,42 +445,18 @@ def value_counts(df: DataFrame, columns: list[tuple[int, Column]], type_name: st
     )
 
 
-def value_summary(df: DataFrame, kinds: dict[str, str], also_numeric: list[str] = ()) -> DataFrame:
-    """One row per column: distinct_n, top, bottom, mode, normalised. Two levels of grouping, nothing collected."""
-    parts = []
+def value_summary(df: DataFrame, kinds: dict[str, str], also_numeric: list[str] = ()) -> DataFrame | None:
+    """One row per column that is not text: distinct_n, top, bottom, mode. Nothing but these rows is collected."""
+    out = None
     for type_name, columns in _families(df, kinds, list(also_numeric)).items():
-        counted = value_counts(df, columns, type_name)
-        leader = F.min(F.struct((-F.col("n")).alias("rank"), F.col("value"))).alias("leader")
-        if type_name == "string":
-            folded = counted.groupBy("field", F.lower(E.strip(F.col("value"))).alias("folded")).agg(
-                F.count(F.lit(1)).alias("spellings"),
-                F.max("n").alias("top"),
-                F.min("n").alias("bottom"),
-                leader,
-            )
-            summary = folded.groupBy("field").agg(
-                F.sum("spellings").alias("distinct_n"),
-                F.max("top").alias("top"),
-                F.min("bottom").alias("bottom"),
-                F.min("leader").alias("leader"),
-                F.count(F.lit(1)).alias("normalised"),
-            )
-        else:
-            summary = counted.groupBy("field").agg(
-                F.count(F.lit(1)).alias("distinct_n"),
-                F.max("n").alias("top"),
-                F.min("n").alias("bottom"),
-                leader,
-                F.count(F.lit(1)).alias("normalised"),
-            )
-        parts.append(
-            summary.select(
-                "field", "distinct_n", "top", "bottom", F.col("leader.value").cast("string").alias("mode"), "normalised"
-            )
+        summary = value_counts(df, columns, type_name).groupBy("field").agg(
+            F.count(F.lit(1)).alias("distinct_n"),
+            F.max("n").alias("top"),
+            F.min("n").alias("bottom"),
+            F.min(F.struct((-F.col("n")).alias("rank"), F.col("value"))).alias("leader"),
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = summary.select("field", "distinct_n", "top", "bottom", F.col("leader.value").cast("string").alias("mode"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

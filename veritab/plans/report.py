@@ -29,8 +29,11 @@ class Report:
 
     @cached_property
     def after(self) -> TableFacts:
-        """Facts of the cleaned table, which is written once so that measuring does not clean again."""
-        return TableFacts(materialise(self.cleaned.df, "cleaned"), self.raw.order_by)
+        """Facts of the cleaned table; it is written once, so that measuring does not clean again, unless nothing changed."""
+        done = self.cleaned
+        if not done.modified and not self.raw.duplicate_rows:
+            return self.raw.for_same_values(done.df)
+        return TableFacts(materialise(done.df, "cleaned"), self.raw.order_by)
 
     @cached_property
     def readiness(self) -> dict:
