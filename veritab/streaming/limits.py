@@ -45,7 +45,8 @@ def enforce_limit(
 
     An attempt with nothing in its window starts afresh, so a client's history splits into busy stretches that do not
     influence each other. Only stretches in which the raw count reaches the limit need the fold; all others are
-    accepted as a whole and never leave the JVM.
+    accepted as a whole and never leave the JVM. The fold reads its stretch batch by batch in time order and keeps no
+    more than the last ``limit`` accepted times, so a long stretch never has to fit in memory.
     """
     width = window_seconds * 1_000_000
     micros = F.unix_micros(E.quoted(at).cast("timestamp"))
@@ -62,17 +63,24 @@ def enforce_limit(
     columns = [*events.columns, "accepted"]
     accept = _acceptor(limit, width)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__us", tie], kind="stable")
-        pdf["accepted"] = accept(pdf["__us"].tolist(), [])
-        return pdf[columns]
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stretch, taken = None, []
+        for pdf in batches:
+            verdicts = []
+            for key, t in zip(zip(pdf[client], pdf["__stretch"]), pdf["__us"].tolist()):
+                if key != stretch:
+                    stretch, taken = key, []
+                verdicts += accept([t], taken)
+            pdf["accepted"] = verdicts
+            yield pdf[columns]
 
     schema = T.StructType([*events.schema.fields, T.StructField("accepted", T.BooleanType())])
     folded = (
         marked.where("__busy")
         .select(*[E.quoted(c) for c in events.columns], "__us", "__stretch")
-        .groupBy(E.quoted(client), "__stretch")
-        .applyInPandas(fold, schema)
+        .repartition(E.quoted(client), F.col("__stretch"))
+        .sortWithinPartitions(E.quoted(client), "__stretch", "__us", E.quoted(tie))
+        .mapInPandas(fold, schema)
     )
     return quiet.select(*columns).unionByName(folded)
 
