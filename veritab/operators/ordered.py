@@ -7,11 +7,14 @@ state across.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exprs as E
 
 BLOCK_ROWS = 1_000_000
+MOST_BLOCKS = 8192  # beyond BLOCK_ROWS * MOST_BLOCKS rows, blocks grow instead of becoming more
 GRID = 1024
 
 
@@ -28,26 +31,41 @@ def order_value(df: DataFrame, name: str) -> Column | None:
 def block_of(df: DataFrame, order_by: str, block_rows: int = BLOCK_ROWS) -> Column:
     """Deterministic, order-preserving block number with at most ``block_rows`` rows per block.
 
-    Equal-width cells are counted, and only cells that are too full are cut again, so dense stretches of the order get
-    more blocks. A block may stay larger only when all its rows share one order value.
+    Blocks are counted, and those that are too full are cut again into equal-width cells, as many as their rows ask for,
+    so dense stretches of the order get more blocks. A block may stay larger only when all its rows share one order
+    value. The number of blocks stays within a small multiple of MOST_BLOCKS, which bounds what is collected here and
+    what callers broadcast.
     """
     x = order_value(df, order_by)
-    span = df.agg(F.count(F.lit(1)), *([] if x is None else [F.min(x), F.max(x)])).first()
-    if span[0] <= block_rows:
+    rows, low, high = df.agg(F.count(F.lit(1)), *([F.lit(0), F.lit(0)] if x is None else [F.min(x), F.max(x)])).first()
+    if rows <= block_rows:
         return F.lit(0).cast("long")
     if x is None:
         raise ValueError(f"order_by '{order_by}' must be numeric or temporal for tables beyond {block_rows} rows")
+    size = max(block_rows, rows // MOST_BLOCKS)
     block = F.lit(0).cast("long")
-    full = [(0, span[1], span[2])] if span[1] is not None else []
-    while full:
-        low = E.literal_map({b: lo for b, lo, _ in full})
-        width = E.literal_map({b: hi - lo for b, lo, hi in full})
-        share = (x - F.try_element_at(low, block)) / F.try_element_at(width, block)
-        cell = F.least(F.lit(GRID - 1), F.floor(share * GRID)).cast("long")
-        block = block * GRID + F.coalesce(cell, F.lit(0))
-        counted = df.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-        full = [tuple(r) for r in counted.where((F.col("n") > block_rows) & (F.col("lo") < F.col("hi"))).select("b", "lo", "hi").collect()]
-    return block
+    known = [(rows, low, high)]
+    while True:
+        cuts = [min(GRID, 2 * -(-n // size)) if n > size and lo < hi else 1 for n, lo, hi in known]
+        if all(c == 1 for c in cuts):
+            return block
+        starts = [0, *accumulate(cuts)]
+
+        def at(values, kind):
+            return F.get(_literal_array(values, kind), block.cast("int"))
+
+        cell = F.floor((x - at([k[1] for k in known], "double")) / at([k[2] - k[1] for k in known], "double") * at(cuts, "int"))
+        cell = F.when(at(cuts, "int") > 1, F.least(cell, at(cuts, "int") - 1)).otherwise(F.lit(0))
+        block = (at(starts[:-1], "long") + F.coalesce(cell, F.lit(0))).cast("long")
+        counted = df.groupBy(block.alias("b")).agg(F.count(F.lit(1)), F.min(x), F.max(x)).collect()
+        known = [(0, 0.0, 0.0)] * starts[-1]
+        for b, n, lo, hi in counted:
+            known[b] = (n, lo or 0.0, hi or 0.0)
+
+
+def _literal_array(values: list, kind: str) -> Column:
+    """A long array as one constant: folded by the optimizer, read by position."""
+    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{kind}>")
 
 
 def fill_in_order(df: DataFrame, columns: list[str], order_by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
