@@ -115,11 +115,6 @@ def instant(c: Column, type_name: str) -> Column:
     return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + (seconds * 1_000_000).cast("long")
 
 
-def fixed(c: Column, digits: int) -> Column:
-    """Text of a number with a fixed count of decimals, without grouping."""
-    return F.format_string(f"%.{digits}f", c)
-
-
 def literal_map(mapping: dict) -> Column:
     parts = [F.lit(x) for pair in mapping.items() for x in pair]
     return F.create_map(*parts)
