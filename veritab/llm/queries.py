@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing
+from . import chat, licenses, mixing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_personal_data(spark, sf_dir):
+    """Personal data in plain sight and disguised, as spans of the source text."""
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark, sf_dir):
+    """License phrases and notices found by diagonal voting."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_prefix_target(spark, sf_dir):
     """Digests of the formatted conversations, read back from the pieces."""
     planted = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
@@ -24,6 +34,11 @@ def op10_prefix_target(spark, sf_dir):
     return chat.digest(chat.format_turns(given.unionByName(added)))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op10_prefix_target": op10_prefix_target}
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op4_personal_data": op4_personal_data,
+    "op5_license_scan": op5_license_scan,
+    "op10_prefix_target": op10_prefix_target,
+}
 
 ORACLES = {"op1_mix_sources": mixing.SQL, "op10_prefix_target": chat.SQL}
