@@ -227,12 +227,16 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of the text replaced by its kind; a null text stays null, other columns stay."""
-    cols = docs.columns
-    given = docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(cols)})
-    rows = given.select("*", given[f"_{cols.index('text')}"].alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(lambda batches: _scan(batches, True), f"{fields}, {SCHEMA}, redacted string")
-    at = f"_{cols.index('text')}"
-    clean = F.when(F.col(at).isNotNull(), F.col("redacted"))
-    return out.select(*[(clean if f"_{i}" == at else F.col(f"_{i}")).alias(c) for i, c in enumerate(cols)])
+    """``docs`` with every span of the text replaced by its kind; a column n_chars, if there is one, follows the text.
+
+    A null text stays null; other columns stay.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("_all"), "text")
+    kind = packed.schema["_all"].dataType.simpleString()
+    out = packed.mapInArrow(lambda batches: _scan(batches, True), f"_all {kind}, text string, {SCHEMA}, redacted string")
+    clean = F.when(F.col("text").isNotNull(), F.col("redacted"))
+    cols = {c: F.col(f"_all.`{c}`") for c in docs.columns} | {"text": clean}
+    if "n_chars" in cols:
+        number = docs.schema["n_chars"].dataType
+        cols["n_chars"] = F.when(F.col("redacted") == F.col("text"), cols["n_chars"]).otherwise(F.char_length(clean).cast(number))
+    return out.select(*[x.alias(c) for c, x in cols.items()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, licenses, mixing, pii
+from . import chat, decontam, language, licenses, mixing, neardup, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_language_id(spark, sf_dir):
     return language.identify(rows, learn_from=~held_out, keep=("doc_id", "held_out"))
 
 
+def op3_near_duplicates(spark, sf_dir):
+    """Components of documents whose sets of 3-word shingles are 85 % alike."""
+    return neardup.cluster(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op4_personal_data(spark, sf_dir):
     """Personal data in plain sight and disguised, as spans of the source text."""
     return pii.scan(table(spark, sf_dir, "documents"))
@@ -49,6 +54,7 @@ def op10_prefix_target(spark, sf_dir):
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_personal_data": op4_personal_data,
     "op5_license_scan": op5_license_scan,
     "op9_decontaminate": op9_decontaminate,
