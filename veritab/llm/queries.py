@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, language, licenses, mixing, neardup, pii
+from . import ann, chat, decontam, language, licenses, mixing, neardup, pii, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,37 @@ def op5_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark, sf_dir):
+    """The 20 nearest vectors of every 20th vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = ann.search(vectors, vectors.filter("id % 20 = 0"))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op8_edited_token_counts(spark, sf_dir):
+    """Token counts of every text, and again after four edits: words put in, taken out, replaced and added at the end."""
+    n = F.char_length("text")
+    put = lambda start, stop, text: F.struct(start.alias("start"), stop.alias("stop"), text.alias("text"))
+    fifth = (n / 5).cast("int")
+    edits = F.array(
+        put(fifth, fifth, F.lit(" as noted,")),
+        put(fifth * 2, fifth * 2 + 12, F.lit("")),
+        put(fifth * 3, fifth * 3 + 4, F.upper(F.substring("text", 1, 9))),
+        put(n + 99, n + 99, F.lit("\nSee above.")),
+    )
+    built = tokens.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    built = built.withColumn("edits", edits).withColumn("tokens_before", F.col("n_tokens")).withColumn("chars_before", n)
+    after = tokens.edit(built)
+    return after.select(
+        "doc_id",
+        F.col("tokens_before").alias("n_tokens"),
+        F.coalesce("chars_before", F.lit(0)).alias("n_chars"),
+        F.col("n_tokens").alias("n_tokens_edited"),
+        F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars_edited"),
+        "encoded_chars",
+    )
+
+
 def op9_decontaminate(spark, sf_dir):
     """Which documents quote benchmark items, word changes tolerated."""
     return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
@@ -57,6 +88,8 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_personal_data": op4_personal_data,
     "op5_license_scan": op5_license_scan,
+    "op6_nearest": op6_nearest,
+    "op8_edited_token_counts": op8_edited_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_prefix_target": op10_prefix_target,
 }
