@@ -47,18 +47,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash for each word of the text, ASCII case folded."""
+def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word of the text, ASCII case folded, and where the words start and end."""
     b = LOW[np.frombuffer(data, np.uint8)]
     inside = ~BLANK[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if len(start) == 0:
-        return np.zeros(0, U64)
+        return np.zeros(0, U64), start, end
     # words as polynomials: differences of running sums, brought back to power 0
     total = np.concatenate([np.zeros(1, U64), np.cumsum(BYTE[b] * _power(BASE, len(b)), dtype=U64)])
     value = (total[end] - total[start]) * _power(BASE_INVERSE, len(b))[start]
-    return mix64(value + (end - start).astype(U64))
+    return mix64(value + (end - start).astype(U64)), start, end
+
+
+def cut(data: bytes) -> list[bytes]:
+    """A long text in pieces of about CHUNK bytes that end between words."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + CHUNK
+        while end < len(data) and not BLANK[data[end]]:
+            end += 1
+        out.append(data[at:end])
+        at = end
+    return out
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -72,15 +84,7 @@ def _power(base: int, n: int) -> np.ndarray:
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The distinct shingles of ``size`` words as sorted 64-bit hashes; a shorter text is one shingle, no words none."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    w = []
-    at = 0
-    while at < len(data):  # long texts in pieces that end between words
-        end = at + CHUNK
-        while end < len(data) and not BLANK[data[end]]:
-            end += 1
-        w.append(word_hashes(data[at:end]))
-        at = end
+    w = [hash_words(piece)[0] for piece in cut((text or "").encode("utf-8", "surrogatepass"))]
     w = np.concatenate(w) if w else np.zeros(0, U64)
     if len(w) == 0:
         return w

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, decontam, language, licenses, mixing, neardup, pii, tokens
+from . import ann, chat, classlm, decontam, language, licenses, mixing, neardup, pii, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,13 @@ def op6_nearest(spark, sf_dir):
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+def op7_class_bigrams(spark, sf_dir):
+    """Log10 probability of every text by single tokens and by the class-based model, learned from nine tenths."""
+    held_out = language.remainder(10) == 0
+    rows = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    return classlm.score(rows, learn_from=~held_out, keep=("doc_id", "held_out"))
+
+
 def op8_edited_token_counts(spark, sf_dir):
     """Token counts of every text, and again after four edits: words put in, taken out, replaced and added at the end."""
     n = F.char_length("text")
@@ -89,6 +96,7 @@ QUERIES = {
     "op4_personal_data": op4_personal_data,
     "op5_license_scan": op5_license_scan,
     "op6_nearest": op6_nearest,
+    "op7_class_bigrams": op7_class_bigrams,
     "op8_edited_token_counts": op8_edited_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_prefix_target": op10_prefix_target,
