@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import content_key, lower_ascii, materialise, words
+from .common import content_key, materialise, words
 
 # Masks of weight 5 and span 7. With a word changed in every five, some place of the first has its changed words at the
 # ignored positions; with one in every three, some place of the second has.
@@ -21,7 +21,7 @@ FEW_SEEDS = 500_000  # benchmark seeds up to which their table is broadcast (som
 
 
 def word_hashes(text):
-    return F.transform(words(lower_ascii(text)), lambda x: F.xxhash64(x))
+    return F.transform(words(F.lower(text)), lambda x: F.xxhash64(x))
 
 
 def seeds(w, at, masks=MASKS):
@@ -30,11 +30,15 @@ def seeds(w, at, masks=MASKS):
 
 
 def seeded(rows: DataFrame, w: str, at: str, seed: str, masks=MASKS) -> DataFrame:
-    """``rows`` once for each place of the words ``w`` that has room for a mask and each mask."""
+    """``rows`` once for each place of the words ``w`` that has room for a mask and each mask.
+
+    A row without room stays once with a null seed, which joins with nothing: for a plain explode the optimizer would
+    compute the words once more to filter such rows.
+    """
     span = max(map(len, masks))
-    rows = rows.filter(F.size(w) >= span)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size(w) - span)).alias(at))
-    return rows.select("*", F.explode(seeds(F.col(w), F.col(at), masks)).alias(seed))
+    places = F.when(F.size(w) >= span, F.sequence(F.lit(0), F.size(w) - span))
+    rows = rows.select("*", F.explode_outer(places).alias(at))
+    return rows.select("*", F.explode_outer(F.when(F.col(at).isNotNull(), seeds(F.col(w), F.col(at), masks))).alias(seed))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW, least: float = LEAST) -> DataFrame:
@@ -43,9 +47,9 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDO
     Words are compared by their 64-bit hashes.
     """
     s = items.select(F.col("item_id").alias("item"), word_hashes(F.col("text")).alias("item_words"))
-    s = seeded(s, "item_words", "at", "item_seed", masks)
+    s = seeded(s, "item_words", "at", "item_seed", masks).filter("item_seed IS NOT NULL")
     s = F.broadcast(s) if s.count() <= FEW_SEEDS else s
-    rows = docs.filter("text IS NOT NULL").select(content_key("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("w"))
+    rows = docs.select(content_key("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("w"))
     hit = seeded(rows, "w", "pos", "seed", masks).join(s, F.col("seed") == F.col("item_seed"))
     # the window of the item around the hit, and the same stretch of the text
     n = F.size("item_words")
@@ -54,8 +58,9 @@ def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDO
     hit = hit.select("*", lo.alias("lo"), width.alias("compared"), (F.col("pos") - F.col("at") + lo).alias("start"))
     offsets = F.sequence(F.lit(0), F.col("compared") - 1)
     same = lambda i: (F.col("start") + i >= 0) & (F.get("w", F.col("start") + i) == F.get("item_words", F.col("lo") + i))
-    hit = hit.select("key", "item", "start", "compared", F.size(F.filter(offsets, same)).alias("equal"))
-    return hit.filter(F.col("equal") >= F.ceil(F.col("compared") * least)).distinct()
+    # counted in the aggregate, so that the comparison is not drawn into the join and the join stays compiled
+    hit = hit.groupBy("key", "item", "start", "compared").agg(F.max(F.size(F.filter(offsets, same))).alias("equal"))
+    return hit.filter(F.col("equal") >= F.ceil(F.col("compared") * least))
 
 
 ADDED = ("contaminated", "n_items", "item_id", "overlap")
@@ -67,7 +72,7 @@ def scan(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] | None = None,
     ``items`` has item_id and text. A text is contaminated if some stretch of ``window`` words of an item (the whole item
     if shorter), around a common seed, agrees with it in at least ``least`` of its words. ``n_items`` counts such items,
     ``item_id`` is the one with the largest overlap (share of equal words; ties: the smallest id). Words compare without
-    ASCII case. Null, empty and very short texts are clean; items of fewer than seven words are not searched. Repeated rows
+    case. Null, empty and very short texts are clean; items of fewer than seven words are not searched. Repeated rows
     each get the full result. Columns of ``docs`` with one of these names are replaced.
     """
     keep = [c for c in docs.columns if c not in ADDED] if keep is None else list(keep)
@@ -95,9 +100,9 @@ def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w
   FROM documents WHERE text IS NOT NULL),
-b AS (SELECT item_id AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS v
+b AS (SELECT item_id AS item, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS v
   FROM benchmark WHERE text IS NOT NULL),
 dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 6)) AS p FROM d),
 bp AS (SELECT item, v, unnest(range(0, len(v) - 6)) AS p FROM b),
