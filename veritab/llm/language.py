@@ -119,15 +119,16 @@ class Automata:
         for j, i in enumerate(order):
             grid[: len(segments[i]), j] = segments[i]
         left = np.searchsorted(-sizes, -np.arange(longest), side="left")  # segments longer than t
-        count = np.ones((len(self.roots), n), np.int32)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], n, axis=1)
+        count = np.zeros((len(self.roots), n), np.int32)
+        root = np.array(self.roots, np.int32)[:, None]
+        state = np.repeat(root, n, axis=1)
         for t in range(longest):
             k = left[t]
             c = grid[t, :k]
             now = state[:, :k]
             to = self.next[now + c]
             miss = to < 0
-            count[:, :k] += miss
+            count[:, :k] += miss | (now == root)
             state[:, :k] = np.where(miss, self.begin[:, c], to)
         out = np.empty_like(count)
         out[:, order] = count
