@@ -159,11 +159,11 @@ def disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, i
         for c in changed:
             marks.append(marks[-1] + c)
         for s, k, e in find(text_):
-            if marks[e] == marks[s]:
-                continue  # nothing in it was disguised
-            if k == 0 and text_[s:e].count("@") == 1 and len(text_[s:e].rpartition(".")[2]) < 2:
-                continue
             a, b = lo + source[s][0], lo + source[e - 1][1]
+            if marks[e] == marks[s] and b - a == e - s:
+                continue  # nothing in it was disguised or left out
+            if k == 0 and len(text_[s:e].rpartition(".")[2]) < 2:
+                continue
             # a plain span within it is a part of what was disguised, any other overlap is the plain span seen again
             if all(x >= b or a >= y or (a <= x and y <= b) for x, y in known[k]):
                 found.append((a, k, b))
