@@ -13,8 +13,8 @@ from pyspark.sql.window import Window as W
 
 from .common import content_key, lower_ascii, materialise, words
 
-# Fixed: ASCII letters and digits and everything beyond ASCII form words.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Fixed: ASCII letters and digits and everything beyond ASCII form words; in texts that are not lower-cased yet.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Fixed phrases: label and words.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
@@ -68,14 +68,16 @@ def positions(spark: SparkSession, templates=None, k: int = 3) -> DataFrame:
 
 def hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(key, template, label, base, n, k, diagonal, pos): where k-grams of templates stand in the texts, each place once."""
-    w = words(lower_ascii(F.col("text")), WORD)
-    rows = docs.filter("text IS NOT NULL").select(content_key("doc_id", "text").alias("key"), w.alias("w"))
-    rows = rows.select("key", "w", F.posexplode("w").alias("pos", "a"))
+    rows = docs.select(content_key("doc_id", "text").alias("key"), words(F.col("text"), WORD).alias("w"))
+    # a plain posexplode would have the optimizer compute the words once more, to filter texts without any
+    rows = rows.select("key", "w", F.posexplode_outer("w").alias("pos", "a"))
     b, c = F.get("w", F.col("pos") + 1), F.get("w", F.col("pos") + 2)
-    rows = rows.select("key", "pos", "a", b.alias("b"), c.alias("c"), F.xxhash64("a", b).alias("h"))
-    grams = grams.withColumn("h2", F.xxhash64("w1", "w2"))
+    # lower() is quick and never parts words that are equal in ASCII lower case; those it joins beyond that fail below
+    rows = rows.select("key", "pos", "a", b.alias("b"), c.alias("c"), F.xxhash64(F.lower("a"), F.lower(b)).alias("h"))
+    grams = grams.withColumn("h2", F.xxhash64(F.lower("w1"), F.lower("w2")))
     grams = F.broadcast(grams) if grams.count() <= FEW_POSITIONS else grams
-    exact = (F.col("a") == F.col("w1")) & (F.col("b") == F.col("w2")) & (F.col("w3").isNull() | (F.col("c") == F.col("w3")))
+    a, b, c = (lower_ascii(F.col(x)) for x in "abc")
+    exact = (a == F.col("w1")) & (b == F.col("w2")) & (F.col("w3").isNull() | (c == F.col("w3")))
     found = rows.join(grams, (F.col("h") == F.col("h2")) & exact)
     return found.select("key", "template", "label", "base", "n", "k", (F.col("pos") - F.col("at")).alias("diagonal"), "pos").distinct()
 
@@ -122,7 +124,7 @@ def scan(docs: DataFrame, templates=None, keep: tuple[str, ...] = ("doc_id",), k
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"),
     )
-    n_words = F.coalesce(F.regexp_count(lower_ascii(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(*keep, content_key("doc_id", "text").alias("_key"), n_words.alias("n_words"))
     rows = rows.join(by_doc, F.col("_key") == F.col("key"), "left").drop("_key", "key")
     return rows.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})
