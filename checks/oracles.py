@@ -382,8 +382,8 @@ def loose(c: str) -> str:
 
 
 def semantic_case(t: str, order: str, c: str, kind: str) -> tuple[str, str]:
-    """(type, confidence) as scalar SQL; the first 100 values decide what the definition says they decide."""
-    head = f"(SELECT {c} AS v FROM {t} WHERE {c} IS NOT NULL ORDER BY {order} LIMIT 100)"
+    """(type, confidence) as scalar SQL; all values decide."""
+    head = f"(SELECT {c} AS v FROM {t} WHERE {c} IS NOT NULL)"
     n, rows, dist = f"(SELECT count({c}) FROM {t})", f"(SELECT count(*) FROM {t})", f"(SELECT count(DISTINCT {c}) FROM {t})"
     rules = [(f"{n} = 0", "Unknown", 0.0)]
     measure = any(w in c for w in CONTINUOUS_WORDS)
@@ -403,9 +403,7 @@ def semantic_case(t: str, order: str, c: str, kind: str) -> tuple[str, str]:
     elif kind == "temporal":
         rules.append(("true", "DateTime", 0.99))
     else:
-        head_share = f"(SELECT count({loose('v')}) >= 0.5 * count(*) FROM {head})"
-        all_share = f"(SELECT count({loose(c)}) > 0.8 * count({c}) FROM {t})"
-        coerced = f"({head_share} AND {all_share})"
+        coerced = f"(SELECT count({loose(c)}) > 0.8 * count({c}) FROM {t})"
         rules += [(f"{coerced} AND {cond}", ty, p) for cond, ty, p in numeric_rules(loose("v"))]
         if named_id:
             rules.append((f"{dist} >= 0.8 * {n}", "Identifier", 0.98))
@@ -462,7 +460,7 @@ def clean_steps(remove: bool) -> tuple[str, str]:
                 if c in DISCRETE
                 else f"CASE WHEN abs(skewness({c})) > 1.5 THEN {quartile(c, 0.5)} ELSE avg({c}) END"
             )
-            iqr = f"(abs(skewness({c})) > 1.5 OR (SELECT count(*) FROM d) < 500)"
+            iqr = f"(abs(skewness({c})) > 1.5)"
             q1, q3 = quartile(c, 0.25), quartile(c, 0.75)
             steps += [
                 f"{a} AS MATERIALIZED (SELECT * REPLACE ({x} AS {c}) FROM {prev})",
@@ -515,6 +513,20 @@ def clean_orders() -> str:
     return with_clean(CLEAN_SELECT)
 
 
+def clean_big_numbers() -> str:
+    return I.for_duckdb(I.BIG_NUMBERS)
+
+
+def clean_late_fractions() -> str:
+    return I.for_duckdb(I.LATE_FRACTIONS)
+
+
+def clean_mixed_dates() -> str:
+    return (
+        "SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 97 <> 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS order_date FROM orders"
+    )
+
+
 def clean_orders_removing() -> str:
     return with_clean(CLEAN_SELECT, remove=True)
 
@@ -727,7 +739,7 @@ def date_stats(t: str, c: str, x: str) -> str:
     days = f"(SELECT count(*) FROM range(min(v)::DATE::TIMESTAMP, min(v)::DATE::TIMESTAMP + to_days(CAST({span} + 1 AS INTEGER)), INTERVAL 1 DAY) g(day) WHERE day::DATE NOT IN (SELECT {x}::DATE FROM {t} WHERE {x} IS NOT NULL))"
     return (
         f"SELECT {lit(c)} AS \"column\", strftime(min(v), '%Y-%m-%d %H:%M:%S') AS min_date, strftime(max(v), '%Y-%m-%d %H:%M:%S') AS max_date, "
-        f"{span} AS date_span_days, CASE WHEN {span} > 1 AND {span} < 10000 THEN {span} + 1 - count(DISTINCT v::DATE) ELSE 0 END AS missing_dates_estimate, "
+        f"{span} AS date_span_days, CASE WHEN {span} > 1 THEN {span} + 1 - count(DISTINCT v::DATE) ELSE 0 END AS missing_dates_estimate, "
         f"CAST((SELECT {missing(c)} FROM {t}) AS BIGINT) AS missing_count, {pct(f'(SELECT {missing(c)} FROM {t})', f'(SELECT count(*) FROM {t})')} AS missing_pct "
         f"FROM (SELECT {x} AS v FROM {t}) WHERE v IS NOT NULL"
     )
@@ -1254,10 +1266,10 @@ def strip(x: str) -> str:
 
 
 def text_guards() -> str:
-    prompt = f"regexp_replace(substr(coalesce(text, ''), 1, 4000), {lit(X.SCRIPT)}, '', 'g')"
+    prompt = f"regexp_replace(coalesce(text, ''), {lit(X.SCRIPT)}, '', 'g')"
     prompt = strip(f"replace(replace({prompt}, '<', '&lt;'), '>', '&gt;')")
-    user = strip(f"substr(regexp_replace(text, {lit(X.SQL_TOKENS)}, '', 'g'), 1, 10000)")
-    content = "CASE WHEN length(text) > 5000 THEN substr(text, 1, 5000) || '... (truncated)' ELSE text END"
+    user = strip(f"regexp_replace(text, {lit(X.SQL_TOKENS)}, '', 'g')")
+    content = "text"
     for phrase in X.INJECTIONS:
         content = f"regexp_replace({content}, {lit('(?i)' + phrase)}, '[REDACTED]', 'g')"
     return f"SELECT doc_id, {prompt} AS prompt, {user} AS user_input, {content} AS content FROM {documents()}"
@@ -1268,9 +1280,9 @@ def payload_flags() -> str:
     commas = f"list_min(list_transform(list_slice({lines}, 1, 5), lambda x: length(x) - length(replace(x, ',', ''))))"
     whole = strip("text")
     return (
-        "SELECT doc_id, CASE WHEN length(text) > 10000 THEN 'oversized' "
-        f"WHEN len({lines}) >= 3 AND {commas} >= 2 THEN 'tabular' "
-        f"WHEN starts_with({whole}, '[') AND ends_with({whole}, ']') AND regexp_matches({whole}, {lit(X.JSON_RECORD)}) THEN 'records' END AS problem FROM {documents()}"
+        f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN concat_ws(',', CASE WHEN len({lines}) >= 3 AND {commas} >= 2 THEN 'tabular' END, "
+        f"CASE WHEN starts_with({whole}, '[') AND ends_with({whole}, ']') AND regexp_matches({whole}, {lit(X.JSON_RECORD)}) THEN 'records' END) "
+        f"ELSE '' END AS problems FROM {documents()}"
     )
 
 
@@ -1336,7 +1348,7 @@ NAMES = (
     profile_columns, profile_summary, profile_roles, role_counts, column_roles, missing_by_column,
     missing_and_duplicates, outlier_counts, invalid_entries, inconsistent_formatting, class_imbalance,
     class_distribution, issues, health_score, health_explanation, semantic_types, clean_orders,
-    clean_orders_removing, clean_shipments, cleaning_log, cleaning_strategies, column_impact, cleaning_impact,
+    clean_big_numbers, clean_late_fractions, clean_mixed_dates, clean_orders_removing, clean_shipments, cleaning_log, cleaning_strategies, column_impact, cleaning_impact,
     analytics_summary, analytics_numeric, analytics_categorical, top_values, analytics_datetime, missing_days,
     answer_metrics, correlation_pairs, correlation_matrix, leakage, feature_flags, target_summary,
     feature_suggestions, ml_readiness, insights, advanced_features, recommend_models, ml_advice, domain_detection,

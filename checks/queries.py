@@ -123,6 +123,22 @@ def clean_orders(spark, sf_dir):
     return rounded(done.withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd")), {"o_totalprice": 4, "price_text": 4})
 
 
+def clean_big_numbers(spark, sf_dir):
+    """Whole numbers beyond 2^53 come out digit by digit."""
+    return clean.clean(TableFacts(I.big_numbers(spark, sf_dir), "pos")).df
+
+
+def clean_late_fractions(spark, sf_dir):
+    """Fractions that show up only after many whole numbers stay."""
+    return clean.clean(TableFacts(I.late_fractions(spark, sf_dir), "pos")).df
+
+
+def clean_mixed_dates(spark, sf_dir):
+    """Dates in two formats are read; what is no date is left empty, not filled."""
+    done = clean.clean(TableFacts(I.mixed_dates(spark, sf_dir), "pos")).df
+    return done.withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd"))
+
+
 def clean_orders_removing(spark, sf_dir):
     done = clean.clean(orders(spark, sf_dir), CleanConfig(outliers="remove")).df
     return rounded(done.withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd")), {"o_totalprice": 4, "price_text": 4})
@@ -377,7 +393,7 @@ def text_guards(spark, sf_dir):
 
 
 def payload_flags(spark, sf_dir):
-    return I.dirty_documents(spark, sf_dir).select("doc_id", X.payload_problem(F.col("text")).alias("problem"))
+    return I.dirty_documents(spark, sf_dir).select("doc_id", F.array_join(X.payload_problems(F.col("text")), ",").alias("problems"))
 
 
 def repair_responses(spark, sf_dir):
@@ -433,6 +449,7 @@ ALL = [
     profile_columns, profile_summary, profile_roles, role_counts, column_roles, missing_by_column,
     missing_and_duplicates, outlier_counts, invalid_entries, inconsistent_formatting, class_imbalance,
     class_distribution, issues, health_score, health_explanation, semantic_types, clean_orders, clean_orders_removing,
+    clean_big_numbers, clean_late_fractions, clean_mixed_dates,
     clean_shipments, cleaning_log, cleaning_strategies, column_impact, cleaning_impact, analytics_summary,
     analytics_numeric, analytics_categorical, top_values, analytics_datetime, missing_days, answer_metrics,
     correlation_pairs, correlation_matrix, leakage, feature_flags, target_summary, feature_suggestions, ml_readiness,

@@ -22,19 +22,28 @@ def apply(spark, expression):
 
 def test_prompt_and_input_guards(spark):
     def prompt(t):
-        t = re.sub(r"<script.*?>.*?</script>", "", t[:4000], flags=re.I | re.S)
+        t = re.sub(r"<script.*?>.*?</script>", "", t, flags=re.I | re.S)
         return html.escape(t).replace("&quot;", '"').replace("&#x27;", "'").replace("&amp;", "&").strip()
 
     assert apply(spark, X.clean_prompt) == [prompt(t) for t in SAMPLES]
     cleaned = apply(spark, X.clean_user_input)
-    assert cleaned[4] == "x OR 1=1;   table  c  selected" and len(cleaned[-1]) == 10000
+    assert cleaned[4] == "x OR 1=1;   table  c  selected" and len(cleaned[-1]) == len(SAMPLES[-1])
+    assert len(apply(spark, lambda c: X.clean_user_input(c, 10_000))[-1]) == 10_000
     content = apply(spark, X.redact_injections)
-    assert content[5] == "please [REDACTED] now; [REDACTED]" and content[-1].endswith("... (truncated)")
+    assert content[5] == "please [REDACTED] now; [REDACTED]" and content[-1] == SAMPLES[-1]
+    assert apply(spark, lambda c: X.redact_injections(c, 5000))[-1].endswith("... (truncated)")
 
 
 def test_payload_problems(spark):
-    found = apply(spark, X.payload_problem)
-    assert [found[i] for i in (6, 7, 8, 9, 10, 14)] == ["tabular", None, "records", None, "frame", "oversized"]
+    found = apply(spark, lambda c: X.payload_problems(c, 10_000))
+    assert [found[i] for i in (6, 7, 8, 9, 10, 14)] == [["tabular"], [], ["records"], [], ["frame"], ["oversized"]]
+    assert apply(spark, X.payload_problems)[14] == []
+
+
+def test_repeated_paragraphs_in_a_long_text(spark):
+    text = "\n\n".join(f"Paragraph number {i % 4000} that is long enough to be looked at twice" for i in range(20_000))
+    row = spark.createDataFrame([(text,)], "t string").select(F.size(F.split(X.repair_response(F.col("t")), "\n\n"))).first()
+    assert row[0] == 4000
 
 
 def test_repairs(spark):

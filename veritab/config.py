@@ -15,10 +15,12 @@ class CleanConfig:
 
     identifier_missing: flag_issue, leave_untouched or remove_rows.
     outliers: cap, remove or flag.
+    outlier_method: iqr, zscore, or auto (iqr for skewed columns, else zscore).
     """
 
     identifier_missing: str = "flag_issue"
     outliers: str = "cap"
+    outlier_method: str = "auto"
     session_minutes: int = 30
     max_input_bytes: int = 100 * 1024 * 1024
 
@@ -27,6 +29,8 @@ class CleanConfig:
             raise ValueError(f"unknown identifier_missing: {self.identifier_missing}")
         if self.outliers not in ("cap", "remove", "flag"):
             raise ValueError(f"unknown outliers: {self.outliers}")
+        if self.outlier_method not in ("auto", "iqr", "zscore"):
+            raise ValueError(f"unknown outlier_method: {self.outlier_method}")
 
 
 def scratch_root(spark: SparkSession) -> str:

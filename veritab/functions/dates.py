@@ -1,53 +1,57 @@
-"""Picking one date format per column from its first value, then parsing with it."""
+"""The date formats a text column holds, counted over all its values, and parsing with all of them."""
 
 from __future__ import annotations
 
-import re
-from datetime import datetime
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, functions as F
-
-from .exprs import strip
+from .exprs import quoted, strip
 
 # --- fixed values -----------------------------------------------------------
-# (shape of the first value, Spark pattern, Python pattern). Month comes first in slashed dates unless the first value
-# rules that out.
+# (shape of a value, Spark pattern). Of two patterns of one shape the one that reads more of the column's values goes
+# first; if they read equally many, the month comes first.
 FORMATS = (
-    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d", "%Y-%m-%d"),
-    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d", "%Y/%m/%d"),
-    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}", "yyyy-M-d H:mm", "%Y-%m-%d %H:%M"),
-    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}", "yyyy-M-d H:mm:ss", "%Y-%m-%d %H:%M:%S"),
-    (r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}", "yyyy-M-d'T'H:mm:ss", "%Y-%m-%dT%H:%M:%S"),
-    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}\.\d{1,6}", "yyyy-M-d H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]", "%Y-%m-%d %H:%M:%S.%f"),
-    (r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}\.\d{1,6}", "yyyy-M-d'T'H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]", "%Y-%m-%dT%H:%M:%S.%f"),
-    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy", "%m/%d/%Y"),
-    (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy", "%d/%m/%Y"),
-    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy", "%m-%d-%Y"),
-    (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy", "%d-%m-%Y"),
-    (r"\d{1,2}/\d{1,2}/\d{2}", "M/d/yy", "%m/%d/%y"),
-    (r"\d{1,2}/\d{1,2}/\d{2}", "d/M/yy", "%d/%m/%y"),
-    (r"[A-Za-z]{3} \d{1,2}, \d{4}", "MMM d, yyyy", "%b %d, %Y"),
-    (r"[A-Za-z]{4,9} \d{1,2}, \d{4}", "MMMM d, yyyy", "%B %d, %Y"),
-    (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy", "%d %b %Y"),
-    (r"\d{1,2} [A-Za-z]{4,9} \d{4}", "d MMMM yyyy", "%d %B %Y"),
+    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}", "yyyy-M-d H:mm"),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}", "yyyy-M-d H:mm:ss"),
+    (r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}", "yyyy-M-d'T'H:mm:ss"),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}\.\d{1,6}", "yyyy-M-d H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
+    (r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}\.\d{1,6}", "yyyy-M-d'T'H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "d/M/yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "d-M-yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{2}", "M/d/yy"),
+    (r"\d{1,2}/\d{1,2}/\d{2}", "d/M/yy"),
+    (r"[A-Za-z]{3} \d{1,2}, \d{4}", "MMM d, yyyy"),
+    (r"[A-Za-z]{4,9} \d{1,2}, \d{4}", "MMMM d, yyyy"),
+    (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"),
+    (r"\d{1,2} [A-Za-z]{4,9} \d{4}", "d MMMM yyyy"),
 )
 # ----------------------------------------------------------------------------
 
 
-def format_for(first_value: str | None) -> str | None:
-    """Spark datetime pattern that fits the first value of a column, or None."""
-    if first_value is None:
-        return None
-    text = first_value.strip()
-    for shape, spark_pattern, python_pattern in FORMATS:
-        if re.fullmatch(shape, text):
-            try:
-                datetime.strptime(text, python_pattern)
-            except ValueError:
-                continue
-            return spark_pattern
-    return None
+SHAPES = dict((pattern, shape) for shape, pattern in FORMATS)
+
+
+def _read(c: Column, pattern: str) -> Column:
+    return F.when(c.rlike(f"^(?:{SHAPES[pattern]})$"), F.try_to_timestamp(c, F.lit(pattern)))
+
+
+def formats_of(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, ...]]:
+    """The patterns that read any value of each text column, those that read most first. One scan, no shuffle of values."""
+    out = {}
+    for lo in range(0, len(columns), 20):  # bounds the plan, not the columns
+        part = columns[lo : lo + 20]
+        counts = [F.count(_read(strip(quoted(c)), p)) for c in part for _, p in FORMATS]
+        found = iter(df.agg(*[n.alias(f"n{i}") for i, n in enumerate(counts)]).first())
+        for c in part:
+            n = {p: next(found) for _, p in FORMATS}
+            out[c] = tuple(sorted((p for p in n if n[p]), key=lambda p: -n[p]))
+    return out
 
 
-def parse_date(c: Column, spark_pattern: str) -> Column:
-    return F.try_to_timestamp(strip(c), F.lit(spark_pattern))
+def parse_date(c: Column, patterns: tuple[str, ...]) -> Column:
+    """The value as the first of the patterns reads it; NULL if none does."""
+    text = strip(c)
+    return F.coalesce(*[_read(text, p) for p in patterns]) if patterns else F.lit(None).cast("timestamp")

@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 from .exprs import strip
 
 # --- fixed values -----------------------------------------------------------
-PROMPT_CHARS, INPUT_CHARS, CONTENT_CHARS = 4000, 10_000, 5000
 SCRIPT = r"(?is)<script.*?>.*?</script>"
 SQL_TOKENS = r"(?i)('|(--)|(/\*)|(\*/)|(\bSELECT\b)|(\bDROP\b)|(\bINSERT\b)|(\bUPDATE\b)|(\bDELETE\b))"
 INJECTIONS = (
@@ -19,7 +18,7 @@ INJECTIONS = (
 )
 REDACTED = "[REDACTED]"
 TRUNCATED = "... (truncated)"
-MAX_TEXT, MAX_ITEMS = 10_000, 100
+MAX_ITEMS = 100
 TABLE_LINES, TABLE_COMMAS = 3, 2
 JSON_RECORD = r'\{\s*".*?"\s*:'
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -30,24 +29,29 @@ REPEATED_FROM = 40
 # ----------------------------------------------------------------------------
 
 
-def clean_prompt(c: Column, max_chars: int = PROMPT_CHARS) -> Column:
-    """Cut to the allowed size, drop script blocks, escape angle brackets, strip. NULL becomes ''."""
-    cut = F.substring(F.coalesce(c, F.lit("")), 1, max_chars)
-    plain = F.regexp_replace(cut, SCRIPT, "")
-    return strip(F.replace(F.replace(plain, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+def _cut(c: Column, max_chars: int | None) -> Column:
+    return c if max_chars is None else F.substring(c, 1, max_chars)
 
 
-def clean_user_input(c: Column, max_chars: int = INPUT_CHARS) -> Column:
-    """Drop quote marks, comment marks and SQL verbs, then cut and strip."""
-    return strip(F.substring(F.regexp_replace(c, SQL_TOKENS, ""), 1, max_chars))
+def clean_prompt(c: Column, max_chars: int | None = None) -> Column:
+    """Drop script blocks, escape angle brackets, strip; cut only if asked to. NULL becomes ''."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), SCRIPT, "")
+    return strip(_cut(F.replace(F.replace(plain, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), max_chars))
 
 
-def redact_injections(c: Column, max_chars: int = CONTENT_CHARS) -> Column:
-    """Replace known injection phrases; over-long content is cut and marked first."""
-    out = F.when(F.char_length(c) > max_chars, F.concat(F.substring(c, 1, max_chars), F.lit(TRUNCATED))).otherwise(c)
+def clean_user_input(c: Column, max_chars: int | None = None) -> Column:
+    """Drop quote marks, comment marks and SQL verbs, strip; cut only if asked to."""
+    return strip(_cut(F.regexp_replace(c, SQL_TOKENS, ""), max_chars))
+
+
+def redact_injections(c: Column, max_chars: int | None = None) -> Column:
+    """Replace known injection phrases; if asked to, over-long content is then cut and marked."""
+    out = c
     for phrase in INJECTIONS:
         out = F.regexp_replace(out, "(?i)" + phrase, REDACTED)
-    return out
+    if max_chars is None:
+        return out
+    return F.when(F.char_length(out) > max_chars, F.concat(F.substring(out, 1, max_chars), F.lit(TRUNCATED))).otherwise(out)
 
 
 def looks_tabular(c: Column) -> Column:
@@ -71,19 +75,18 @@ def looks_like_frame(c: Column) -> Column:
     )
 
 
-def payload_problem(c: Column) -> Column:
-    """First reason to hold a text back: oversized, tabular, records or frame; NULL when it may pass."""
-    return (
-        F.when(F.char_length(c) > MAX_TEXT, F.lit("oversized"))
-        .when(looks_tabular(c), F.lit("tabular"))
-        .when(looks_like_records(c), F.lit("records"))
-        .when(looks_like_frame(c), F.lit("frame"))
-    )
+def payload_problems(c: Column, max_chars: int | None = None) -> Column:
+    """All reasons to hold a text back: oversized (if a size is given), tabular, records, frame. Empty when it may pass."""
+    found = [F.when(F.char_length(c) > max_chars, F.lit("oversized"))] if max_chars is not None else []
+    found += [
+        F.when(test(c), F.lit(name)) for test, name in ((looks_tabular, "tabular"), (looks_like_records, "records"), (looks_like_frame, "frame"))
+    ]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def too_many_items(c: Column) -> Column:
+def too_many_items(c: Column, most: int = MAX_ITEMS) -> Column:
     """For array and map columns."""
-    return F.size(c) > MAX_ITEMS
+    return F.size(c) > most
 
 
 def repair_response(c: Column) -> Column:
@@ -108,12 +111,15 @@ def _drop_repeats(text: Column) -> Column:
         F.split(text, "\n\n", -1),
         lambda p: F.struct(
             p.alias("text"),
-            F.when(F.char_length(strip(p)) > REPEATED_FROM, F.lower(F.regexp_replace(strip(p), r"(?U)\s+", " "))).alias("key"),
+            F.when(F.char_length(strip(p)) > REPEATED_FROM, F.xxhash64(F.lower(F.regexp_replace(strip(p), r"(?U)\s+", " ")))).alias("key"),
         ),
     )
-    keys = F.transform(parts, lambda p: p["key"])
-    kept = F.filter(parts, lambda p, i: p["key"].isNull() | (F.array_position(keys, p["key"]) == i + 1))
-    return F.array_join(F.transform(kept, lambda p: p["text"]), "\n\n")
+    # The one-element array binds paragraphs and keys, so that the filter looks keys up instead of making them again.
+    bound = F.array(F.struct(parts.alias("parts"), F.transform(parts, lambda p: p["key"]).alias("keys")))
+    kept = F.transform(
+        bound, lambda b: F.filter(b["parts"], lambda p, i: p["key"].isNull() | (F.array_position(b["keys"], p["key"]) == i + 1))
+    )
+    return F.array_join(F.transform(F.get(kept, F.lit(0)), lambda p: p["text"]), "\n\n")
 
 
 def count_matches(c: Column, query: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:

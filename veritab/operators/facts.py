@@ -84,10 +84,10 @@ def _read_cell_facts(f: ColumnFacts, r) -> None:
     if f.kind in ("number", "text"):
         f.n_numeric, f.min, f.max = r.n, r.min, r.max
         f.mean = r.total / r.n if r.n else None
-        f.zeros, f.negatives, f.loose = r.zeros, r.negatives, {"zero_one": r.zero_one}
+        f.zeros, f.negatives, f.loose = r.zeros, r.negatives, {"zero_one": r.zero_one, "whole": r.whole}
     if f.kind == "text":
         f.bytes, f.bad_email, f.length = r.bytes, r.bad_email, r.chars / f.count
-        f.loose |= {"n": r.n_loose, "min": r.loose_min, "max": r.loose_max, "plain": r.plain}
+        f.loose |= {"n": r.n_loose, "min": r.loose_min, "max": r.loose_max, "plain": r.plain, "dates": r.dates}
         if r.n_pair == f.count and r.pair_low == r.pair_high:
             f.pair = r.pair_low
     elif "email" in f.name.lower() and f.kind not in ("other", "mixed"):
@@ -193,6 +193,7 @@ class TableFacts:
             F.count_if(x == 0).alias("zeros"),
             F.count_if(x < 0).alias("negatives"),
             F.count_if(x.isin(0.0, 1.0)).alias("zero_one"),
+            F.count_if(x == F.floor(x)).alias("whole"),
         )
         return {r.field: r for r in found.collect()}
 
@@ -225,6 +226,8 @@ class TableFacts:
             "zeros": weighed(number == 0),
             "negatives": weighed(number < 0),
             "zero_one": weighed(loose.isin(0.0, 1.0)),
+            "whole": weighed(loose == F.floor(loose)),
+            "dates": weighed(E.looks_like_date(v)),
             "bytes": F.sum(F.octet_length(v) * n),
             "chars": F.sum(F.char_length(v) * n),
             "n_loose": weighed(loose.isNotNull()),
@@ -385,11 +388,6 @@ class TableFacts:
                 found[name] = ValueFacts(row.distinct_n, row.top, row.bottom, mode, row.distinct_n)
         return found
 
-    # ---------------------------------------------------------------- heads
-    @cached_property
-    def heads(self) -> dict[str, list[dict]]:
-        return first_values(self.df, self.kinds, self.order_by, {c: self.base[c].count for c in self.names})
-
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows (NULLs equal). Map-side combine absorbs hot copies."""
@@ -458,53 +456,3 @@ def value_summary(df: DataFrame, kinds: dict[str, str], also_numeric: list[str]
         part = summary.select("field", "distinct_n", "top", "bottom", F.col("leader.value").cast("string").alias("mode"))
         out = part if out is None else out.unionByName(part)
     return out
-
-
-# -------------------------------------------------------------------- first values in row order
-HEAD = 100
-HEAD_ROWS = 1000
-
-
-def _head_flags(name: str, kind: str) -> Column | None:
-    c = E.quoted(name)
-    if kind == "text":
-        plain = E.without_symbols(c)
-        return F.when(
-            c.isNotNull(),
-            F.struct(
-                E.to_number(plain).isNotNull().alias("number"),
-                (E.to_number(plain) == F.floor(E.to_number(plain))).alias("whole"),
-                c.rlike(E.PLAIN_NUMBER).alias("plain"),
-                E.looks_like_date(c).alias("date"),
-                F.substring(E.strip(c), 1, 40).alias("start"),
-            ),
-        )
-    if kind == "number":
-        x = c.cast("double")
-        return F.when(c.isNotNull(), F.struct((x == F.floor(x)).alias("whole")))
-    return None
-
-
-def first_values(df, kinds, order_by, counts) -> dict[str, list[dict]]:
-    """Flags of the first 100 non-null values per column in ``order_by`` order.
-
-    A top-N over the first rows serves almost every column; a sparse column gets its own top-N. Only flags and the
-    start of each value reach the driver, at most 100 per column.
-    """
-    flags = {c: _head_flags(c, k) for c, k in kinds.items()}
-    flags = {c: f for c, f in flags.items() if f is not None and counts[c] > 0}
-
-    def ordered(frame: DataFrame) -> DataFrame:
-        return frame.orderBy(E.quoted(order_by)) if order_by else frame
-
-    out: dict[str, list[dict]] = {c: [] for c in kinds}
-    if not flags:
-        return out
-    names = list(flags)
-    rows = ordered(df).limit(HEAD_ROWS).select(*[flags[c].alias(f"h{i}") for i, c in enumerate(names)]).collect()
-    for i, c in enumerate(names):
-        out[c] = [r[i].asDict() for r in rows if r[i] is not None][:HEAD]
-        if len(out[c]) < min(HEAD, counts[c]):
-            own = ordered(df.where(E.quoted(c).isNotNull())).limit(HEAD).select(flags[c].alias("h")).collect()
-            out[c] = [r[0].asDict() for r in own]
-    return out

@@ -20,7 +20,6 @@ COLLINEAR, LEAKING = 0.80, 0.95
 ONE_HOT_LIMIT = 15
 CLASS_TARGET_LIMIT = 10
 # ----------------------------------------------------------------------------
-PAIRS_PER_PASS = 150
 CLASSES_LIMIT = 1000
 
 
@@ -87,55 +86,53 @@ def _columns_for(facts: TableFacts, loose: bool) -> dict[str, Column]:
     }
 
 
-def correlations(facts: TableFacts, loose: bool = False) -> dict[tuple[str, str], float | None]:
-    """Pearson's r per pair over the rows where both values are present.
+PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
-    Values are centred on the known means first. Where neither column has gaps, one sum of products per pair is enough;
-    otherwise the sums of the pair are taken over its common rows. Pairs are handled in groups so that one aggregate
-    stays of a size the JVM compiles.
+
+def _pair_sums(batches):
+    """Sums over the rows where both columns of a pair are present, as matrix products; one set of rows per task."""
+    import numpy as np
+    import pyarrow as pa
+
+    total = None
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        here = ~np.isnan(x)
+        x, here = np.where(here, x, 0.0), here.astype(float)
+        part = np.stack([here.T @ here, x.T @ here, here.T @ x, (x * x).T @ here, here.T @ (x * x), x.T @ x])
+        total = part if total is None else total + part
+    if total is not None:
+        i, j = np.triu_indices(total.shape[1], 1)
+        cells = [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(m[i, j]) for m in total]]
+        yield pa.RecordBatch.from_arrays(cells, names=["i", "j", *PAIR_SUMS])
+
+
+def correlations(facts: TableFacts, loose: bool = False, only: str | None = None) -> dict[tuple[str, str], float | None]:
+    """Pearson's r per pair, over the rows where both values are present; with ``only``, for the pairs of that column.
+
+    One scan whatever the number of columns: values are centred on the known means, each task multiplies its batches into
+    matrices of sums, and those are added up pair by pair.
     """
     columns = _columns_for(facts, loose)
-    pairs = list(combinations(columns, 2))
-    full = {c: facts.kinds[c] == "number" and facts.base[c].missing == 0 for c in columns}
-    quick = [p for p in pairs if full[p[0]] and full[p[1]]]
-    gappy = [p for p in pairs if not (full[p[0]] and full[p[1]])]
+    pairs = [p for p in combinations(columns, 2) if only is None or only in p]
+    if not pairs:
+        return {}
+    centred = facts.df.select(*[(x - F.lit(facts.base[c].mean or 0.0)).alias(f"d{i}") for i, (c, x) in enumerate(columns.items())])
+    sums = centred.mapInArrow(_pair_sums, "i int, j int, " + ", ".join(f"{s} double" for s in PAIR_SUMS))
+    at = {c: i for i, c in enumerate(columns)}
+    if only is not None:
+        sums = sums.where((F.col("i") == at[only]) | (F.col("j") == at[only]))
+    found = {(r.i, r.j): r for r in sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in PAIR_SUMS]).collect()}
     out: dict[tuple[str, str], float | None] = {}
-
-    def centred(part) -> tuple[DataFrame, dict[str, Column]]:
-        used = sorted({c for p in part for c in p}, key=list(columns).index)
-        at = {c: F.col(f"d{i}") for i, c in enumerate(used)}
-        means = {c: facts.base[c].mean or 0.0 for c in used}
-        return facts.df.select(*[(columns[c] - F.lit(means[c])).alias(f"d{i}") for i, c in enumerate(used)]), at
-
-    for start in range(0, len(quick), PAIRS_PER_PASS):
-        part = quick[start : start + PAIRS_PER_PASS]
-        df, at = centred(part)
-        row = df.agg(*[F.sum(at[a] * at[b]).alias(f"s{i}") for i, (a, b) in enumerate(part)]).first()
-        for (a, b), s in zip(part, row):
-            spread = facts.measured[a].std_population * facts.measured[b].std_population * facts.rows
-            out[(a, b)] = _bounded(s / spread) if spread else None
-
-    step = max(PAIRS_PER_PASS // 6, 1)
-    for start in range(0, len(gappy), step):
-        part = gappy[start : start + step]
-        df, at = centred(part)
-        aggs = []
-        for i, (a, b) in enumerate(part):
-            both = at[a].isNotNull() & at[b].isNotNull()
-            x, y = F.when(both, at[a]), F.when(both, at[b])
-            for name, value in (("x", x), ("y", y), ("xx", x * x), ("yy", y * y), ("xy", x * y)):
-                aggs.append(F.sum(value).alias(f"{name}{i}"))
-            aggs.append(F.count(x).alias(f"n{i}"))
-        row = df.agg(*aggs).first()
-        for i, pair in enumerate(part):
-            n = row[f"n{i}"]
-            out[pair] = None
-            if n > 1:
-                sx, sy = row[f"x{i}"], row[f"y{i}"]
-                vx, vy = row[f"xx{i}"] - sx * sx / n, row[f"yy{i}"] - sy * sy / n
-                if vx > 0 and vy > 0:
-                    out[pair] = _bounded((row[f"xy{i}"] - sx * sy / n) / (vx * vy) ** 0.5)
-    return {p: out[p] for p in pairs}
+    for a, b in pairs:
+        r = found.get((at[a], at[b]))
+        out[(a, b)] = None
+        if r is not None and r.n > 1:
+            vx, vy = r.xx - r.x * r.x / r.n, r.yy - r.y * r.y / r.n
+            flat = vx <= 1e-12 * r.xx or vy <= 1e-12 * r.yy  # rounding noise of a constant column
+            if vx > 0 and vy > 0 and not flat:
+                out[(a, b)] = _bounded((r.xy - r.x * r.y / r.n) / (vx * vy) ** 0.5)
+    return out
 
 
 def _bounded(r: float) -> float:
@@ -158,8 +155,8 @@ def leakage(facts: TableFacts) -> DataFrame:
     target = target_column(facts.names)
     rows = []
     if target is not None:
-        for pair, r in correlations(facts).items():
-            if target in pair and r is not None and abs(r) > LEAKING:
+        for pair, r in correlations(facts, only=target).items():
+            if r is not None and abs(r) > LEAKING:
                 rows.append((pair[0] if pair[1] == target else pair[1], target, r))
     return frame(facts, "column string, target string, correlation double", rows)
 

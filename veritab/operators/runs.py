@@ -30,14 +30,18 @@ def earlier_in_window(
     last_part = F.pmod(F.col("__us"), F.lit(width * span)) >= width * (span - 1)
     homes = F.when(last_part, F.array(F.col("__bucket"), F.col("__bucket") + 1)).otherwise(F.array(F.col("__bucket")))
     placed = base.withColumn("__home", F.explode(homes))
+    # Every attempt enters the count when it is made and leaves it a window later, before the attempts of that instant; so
+    # one running sum serves, however many attempts a window holds.
+    leaving = placed.select(E.quoted(client), (F.col("__us") + width).alias("__us"), "__home", F.lit(0).alias("__kind"), F.lit(-1).alias("__step"))
+    moves = placed.withColumns({"__kind": F.lit(1), "__step": F.lit(1)}).unionByName(leaving, allowMissingColumns=True)
     same = [E.quoted(client), F.col("__home")]
-    trailing = Window.partitionBy(*same).orderBy("__us").rangeBetween(-width + 1, -1)
-    n = F.count(F.lit(1)).over(trailing)
+    so_far = Window.partitionBy(*same).orderBy("__us", "__kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = Window.partitionBy(*same, "__us", "__kind")
+    n = F.sum("__step").over(so_far) - F.count(F.lit(1)).over(peers)
     if tie is not None:  # attempts of the same instant count when they come first by ``tie``
-        peers = Window.partitionBy(*same, "__us").orderBy(E.quoted(tie))
-        n = n + F.row_number().over(peers) - 1
-    counted = placed.withColumn("earlier", n).where(F.col("__home") == F.col("__bucket"))
-    return counted.drop("__us", "__bucket", "__home")
+        n = n + F.row_number().over(peers.orderBy(E.quoted(tie))) - 1
+    counted = moves.withColumn("earlier", n).where((F.col("__kind") == 1) & (F.col("__home") == F.col("__bucket")))
+    return counted.drop("__us", "__bucket", "__home", "__kind", "__step")
 
 
 def over_limit(

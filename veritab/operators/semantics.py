@@ -30,7 +30,7 @@ class Semantic:
     confidence: float
     reason: str
     coerced: bool = False  # text read as numbers once symbols are dropped
-    date_format: str | None = None  # the format that text dates are parsed with
+    date_formats: tuple[str, ...] = ()  # the formats that text dates are parsed with, in this order
 
     @property
     def is_numeric(self) -> bool:
@@ -42,20 +42,14 @@ def unknown(c: str) -> Semantic:
 
 
 def _reads_as_number(facts: TableFacts, c: str) -> bool:
-    f, head = facts.base[c], facts.heads[c]
-    if f.kind != "text" or not head:
-        return False
-    return sum(h["number"] for h in head) / len(head) >= 0.5 and f.loose["n"] / f.count > 0.8
+    f = facts.base[c]
+    return f.kind == "text" and f.loose["n"] / f.count > 0.8
 
 
-def _date_candidate(facts: TableFacts, c: str) -> str | None:
-    """Format to try on a text column that looks temporal by name or by one of its first values."""
-    f, head = facts.base[c], facts.heads[c]
-    if f.kind != "text" or not head or f.loose["plain"] == f.count:
-        return None
-    if named(c, TEMPORAL_WORDS) or any(h["date"] for h in head):
-        return dates.format_for(head[0]["start"])
-    return None
+def _may_be_dates(facts: TableFacts, c: str) -> bool:
+    """A text column that looks temporal by its name or by any of its values."""
+    f = facts.base[c]
+    return f.kind == "text" and f.loose["plain"] < f.count and (named(c, TEMPORAL_WORDS) or f.loose["dates"] > 0)
 
 
 def _value_uniqueness(facts: TableFacts, coerced: list[str]) -> dict[str, int]:
@@ -79,7 +73,7 @@ def _mixed_columns(facts: TableFacts) -> dict[str, bool]:
     return {c: "STRING" in k and len(k - {"STRING", "VOID"}) > 0 for c, k in kinds.items()}
 
 
-def _parse_shares(facts: TableFacts, formats: dict[str, str]) -> dict[str, float]:
+def _parse_shares(facts: TableFacts, formats: dict[str, tuple[str, ...]]) -> dict[str, float]:
     if not formats:
         return {}
     names = list(formats)
@@ -89,10 +83,11 @@ def _parse_shares(facts: TableFacts, formats: dict[str, str]) -> dict[str, float
 
 
 def infer_semantics(facts: TableFacts) -> dict[str, Semantic]:
-    facts.gather("values", "heads")
+    facts.gather("values")
     used = [c for c in facts.names if facts.rows and facts.base[c].count]
     coerced = [c for c in used if _reads_as_number(facts, c)]
-    formats = {c: fmt for c in used if c not in coerced and (fmt := _date_candidate(facts, c))}
+    tried = dates.formats_of(facts.df, [c for c in used if c not in coerced and _may_be_dates(facts, c)])
+    formats = {c: f for c, f in tried.items() if f}
     shares = _parse_shares(facts, formats)
     distinct_numbers = _value_uniqueness(facts, coerced)
     mixed = _mixed_columns(facts)
@@ -101,11 +96,11 @@ def infer_semantics(facts: TableFacts) -> dict[str, Semantic]:
         if c not in used or facts.kinds[c] == "other":
             out[c] = unknown(c)
         else:
-            out[c] = _classify(facts, c, c in coerced, formats.get(c), shares.get(c, 0.0), distinct_numbers.get(c), mixed)
+            out[c] = _classify(facts, c, c in coerced, formats.get(c, ()), shares.get(c, 0.0), distinct_numbers.get(c), mixed)
     return out
 
 
-def _classify(facts, c, coerced, date_format, parsed, distinct_numbers, mixed) -> Semantic:
+def _classify(facts, c, coerced, date_formats, parsed, distinct_numbers, mixed) -> Semantic:
     f, v, kind = facts.base[c], facts.values[c], facts.kinds[c]
     n = f.loose["n"] if coerced else f.count
     distinct = distinct_numbers if distinct_numbers is not None else v.distinct
@@ -117,7 +112,7 @@ def _classify(facts, c, coerced, date_format, parsed, distinct_numbers, mixed) -
     if kind == "temporal":
         return Semantic(c, "DateTime", 0.99, "Stored as a date or timestamp.")
     if text and parsed > 0.8:
-        return Semantic(c, "DateTime", 0.95, f"{parsed * 100:.1f}% of the values parse as dates.", False, date_format)
+        return Semantic(c, "DateTime", 0.95, f"{parsed * 100:.1f}% of the values parse as dates.", False, date_formats)
     if kind == "boolean":
         return Semantic(c, "Boolean", 0.99, "Stored as a boolean.")
     if number and _zero_one(facts, c, coerced):
@@ -127,9 +122,7 @@ def _classify(facts, c, coerced, date_format, parsed, distinct_numbers, mixed) -
     if mixed.get(c):
         return unknown(c)
     if number:
-        head = facts.heads[c]
-        values = [h["whole"] for h in head if not coerced or h["number"]]
-        if not all(values):
+        if f.loose["whole"] < n:
             return Semantic(c, "Continuous Numeric", 0.90, "Numbers with decimals.", coerced)
         if named(c, CONTINUOUS_WORDS):
             return Semantic(c, "Continuous Numeric", 0.90, "Whole numbers of a measure, going by the name.", coerced)
@@ -163,5 +156,5 @@ def typed_value(c: str, kind: str, s: Semantic) -> Column:
     if s.is_numeric and kind == "text":
         return E.to_number_loose(raw)
     if s.type == "DateTime" and kind == "text":
-        return dates.parse_date(raw, s.date_format)
+        return dates.parse_date(raw, s.date_formats)
     return raw

@@ -121,11 +121,10 @@ def apply_actions(df: DataFrame, actions: list[str], order_by: str | None = None
     if "convert_dtypes" in actions:
         facts = TableFacts(df, order_by)
         new = {}
-        for c in facts.names:
-            if facts.kinds[c] == "text" and named(c, DATE_WORDS) and facts.heads[c]:
-                fmt = dates.format_for(facts.heads[c][0]["start"])
-                if fmt:
-                    new[c] = dates.parse_date(E.quoted(c), fmt)
+        tried = [c for c in facts.names if facts.kinds[c] == "text" and named(c, DATE_WORDS)]
+        for c, formats in dates.formats_of(df, tried).items():
+            if formats:
+                new[c] = dates.parse_date(E.quoted(c), formats)
         log.append(("convert_dtypes", len(new), list(new)))
         df = _replace(df, new)
     return df, spark.createDataFrame(log, "action string, cells long, columns array<string>")
@@ -146,10 +145,8 @@ def apply_plan(facts: TableFacts, date_columns: list[str] = ()) -> DataFrame:
     if facts.duplicate_rows:
         df = distinct_rows(df)
     df = _replace(df, new)
+    formats = dates.formats_of(facts.df, [c for c in date_columns if facts.kinds[c] == "text"])
     for c in date_columns:
-        at = E.quoted(c)
-        if facts.kinds[c] == "text":
-            fmt = dates.format_for(facts.heads[c][0]["start"]) if facts.heads[c] else None
-            at = dates.parse_date(at, fmt) if fmt else F.lit(None).cast("timestamp")
+        at = dates.parse_date(E.quoted(c), formats[c]) if c in formats else E.quoted(c)
         df = df.withColumns({f"{c}_month": F.month(at), f"{c}_weekday": F.weekday(at)})
     return df
