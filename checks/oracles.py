@@ -1099,6 +1099,14 @@ def csv_round_trip() -> str:
     return with_orders("SELECT * REPLACE (round(o_totalprice, 4) AS o_totalprice, CAST(age AS DOUBLE) AS age) FROM d")
 
 
+def csv_line_breaks() -> str:
+    return f"SELECT doc_id, 'a \"b\", ' || text AS text FROM {documents()}"
+
+
+def run_round_trip() -> str:
+    return with_orders("SELECT * FROM d")
+
+
 def json_log_round_trip() -> str:
     return with_orders(f"SELECT \"column\", issue, severity, affected_rows FROM ({issue_rows()})")
 
@@ -1325,8 +1333,8 @@ def expired_sessions() -> str:
 
 def run_metrics() -> str:
     return (
-        "SELECT (SELECT count(*) FROM events WHERE event_type = 'signup') AS total_runs, "
-        "(SELECT round_even(avg(value), 2) FROM events WHERE event_type = 'signup') AS average_health_score, "
+        "SELECT (SELECT count(*) FROM events) AS total_runs, "
+        "(SELECT round_even(avg(value), 2) FROM events) AS average_health_score, "
         "(SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS most_common_action, "
         "(SELECT count(*) FROM events WHERE event_type = 'view') AS primary_calls, "
         "(SELECT count(*) FROM events WHERE event_type <> 'view') AS fallback_calls"
@@ -1347,6 +1355,7 @@ def request_summary() -> str:
 NAMES = (
     profile_columns, profile_summary, profile_roles, role_counts, column_roles, missing_by_column,
     missing_and_duplicates, outlier_counts, invalid_entries, inconsistent_formatting, class_imbalance,
+    csv_line_breaks, run_round_trip,
     class_distribution, issues, health_score, health_explanation, semantic_types, clean_orders,
     clean_big_numbers, clean_late_fractions, clean_mixed_dates, clean_orders_removing, clean_shipments, cleaning_log, cleaning_strategies, column_impact, cleaning_impact,
     analytics_summary, analytics_numeric, analytics_categorical, top_values, analytics_datetime, missing_days,

@@ -327,6 +327,20 @@ def csv_round_trip(spark, sf_dir):
     return rounded(readers.read_csv(spark, path), {"o_totalprice": 4})
 
 
+def csv_line_breaks(spark, sf_dir):
+    """Whole texts with line breaks, quotes and gaps through a CSV file and back."""
+    root = f"{scratch_root(spark)}/csv-{uuid.uuid4().hex}"
+    texts = I.dirty_documents(spark, sf_dir).select("doc_id", F.concat(F.lit('a "b", '), "text").alias("text"))
+    return readers.read_csv(spark, sinks.write_run(texts, root, "r1", "raw", "csv"))
+
+
+def run_round_trip(spark, sf_dir):
+    """Raw data of a run as parquet, read again by its id."""
+    root = f"{scratch_root(spark)}/run-{uuid.uuid4().hex}"
+    sinks.write_run(I.dirty_orders(spark, sf_dir), root, "r1", "raw")
+    return sinks.read_run(spark, root, "r1", "raw")
+
+
 def json_log_round_trip(spark, sf_dir):
     root = f"{scratch_root(spark)}/log-{uuid.uuid4().hex}"
     sinks.append_log(issues(spark, sf_dir), root, "r1")
@@ -421,7 +435,7 @@ def expired_sessions(spark, sf_dir):
 def run_metrics(spark, sf_dir):
     e = I.table(spark, sf_dir, "events")
     return runs.run_metrics(
-        e.where("event_type = 'signup'").select(F.col("value").alias("health_score")),
+        e.select(F.col("value").alias("health_score")),
         e.select(F.col("event_type").alias("action")),
         e.select(F.when(F.col("event_type") == "view", "PrimaryModel").otherwise("Offline").alias("provider")),
     )
@@ -457,7 +471,7 @@ ALL = [
     histogram, box_summary, distribution, totals, cleaning_recommendations, structured_plan, manual_actions,
     apply_plan, before_after, context_record, csv_round_trip, json_log_round_trip, route_intents, plan_modes,
     followups, last_messages, edit_messages, suggest_questions, search_messages, export_sections, join_chunks,
-    text_guards, payload_flags, repair_responses, over_limit, enforced_limit, expired_sessions, run_metrics,
+    csv_line_breaks, run_round_trip, text_guards, payload_flags, repair_responses, over_limit, enforced_limit, expired_sessions, run_metrics,
     request_summary,
 ]
 QUERIES = {q.__name__: q for q in ALL}

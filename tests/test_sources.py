@@ -16,10 +16,30 @@ def test_csv_types_gaps_and_encodings(spark, tmp_path):
 
     latin = tmp_path / "latin.csv"
     latin.write_bytes("id,city\n1,Orléans\n".encode("latin-1"))
-    assert readers.csv_encoding(spark, str(latin)) == "ISO-8859-1"
+    assert list(readers.csv_layouts(spark, str(latin))) == [("ISO-8859-1", False)]
     assert readers.read_csv(spark, str(latin)).first().city == "Orléans"
 
 
+def test_line_breaks_and_mixed_encodings_in_one_folder(spark, tmp_path):
+    folder = tmp_path / "up load"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("id,city\n1,café\n".encode())
+    (folder / "b.csv").write_bytes("id,city\n2,café\n".encode("latin-1"))
+    (folder / "c.csv").write_bytes('id,city\n3,"two\nlines ""q"""\n4,x\n'.encode())
+    rows = {r.id: r.city for r in readers.read_csv(spark, str(folder)).collect()}
+    assert rows == {1: "café", 2: "café", 3: 'two\nlines "q"', 4: "x"}
+    df = spark.createDataFrame([(i, f"line {i}\nnext, \"q\"") for i in range(10)], "id long, t string")
+    back = readers.read_csv(spark, sinks.write_run(df, str(tmp_path), "r9", "download", "csv"))
+    assert sorted(back.collect()) == sorted(df.collect()) and back.dtypes == df.dtypes
+
+
+def test_json_lines_are_seen(spark, tmp_path):
+    file = tmp_path / "r.json"
+    file.write_text("\n".join(json.dumps({"id": i, "m": i if i % 2 else "x"}) for i in range(6)))
+    df = readers.read_dataset(spark, str(file))
+    assert readers.one_record_per_line(spark, str(file)) and dict(df.dtypes) == {"id": "bigint", "m": "variant"} and df.count() == 6
+
+
 def test_numbers_that_are_not_numbers(spark, tmp_path):
     file = tmp_path / "odd.csv"
     file.write_text("a,b\n1.0d,1_000\n0x1A,True\n")

@@ -15,6 +15,7 @@ class CleanConfig:
 
     identifier_missing: flag_issue, leave_untouched or remove_rows.
     outliers: cap, remove or flag.
+    max_input_bytes: size from which input files are called too large; no limit by default.
     outlier_method: iqr, zscore, or auto (iqr for skewed columns, else zscore).
     """
 
@@ -22,7 +23,7 @@ class CleanConfig:
     outliers: str = "cap"
     outlier_method: str = "auto"
     session_minutes: int = 30
-    max_input_bytes: int = 100 * 1024 * 1024
+    max_input_bytes: int | None = None
 
     def __post_init__(self):
         if self.identifier_missing not in ("flag_issue", "leave_untouched", "remove_rows"):

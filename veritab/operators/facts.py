@@ -390,8 +390,16 @@ class TableFacts:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows (NULLs equal). Map-side combine absorbs hot copies."""
-    return df.groupBy(*comparable(df)).count().agg(
+    """Rows beyond the first of each group of equal rows (NULLs equal).
+
+    Rows are counted by two 64-bit hashes of their values and gaps, so 16 bytes a row travel; map-side combine absorbs hot
+    copies.
+    """
+    floats = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    cells = [(c + F.lit(0.0)).alias(n) if n in floats else c for n, c in zip(df.columns, comparable(df))]  # -0.0 is 0.0
+    gaps = [E.quoted(c).isNull() for c in df.columns]
+    first, second = F.xxhash64(*gaps, *cells), F.xxhash64(F.lit(1), *cells, *gaps)
+    return df.groupBy(first.alias("a"), second.alias("b")).count().agg(
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows")
     )
 

@@ -20,7 +20,6 @@ COLLINEAR, LEAKING = 0.80, 0.95
 ONE_HOT_LIMIT = 15
 CLASS_TARGET_LIMIT = 10
 # ----------------------------------------------------------------------------
-CLASSES_LIMIT = 1000
 
 
 def target_column(names: list[str]) -> str | None:
@@ -172,20 +171,15 @@ def feature_importance(facts: TableFacts, target: str) -> DataFrame:
     Text becomes an arbitrary but fixed number per value (a hash), so no dictionary of values is ever built.
     """
     from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
 
     schema = "feature string, importance double"
     classes = is_class_target(facts, target)
     y = E.quoted(target)
-    if facts.values[target].distinct <= 1 or (classes and facts.values[target].distinct > CLASSES_LIMIT):
+    if facts.values[target].distinct <= 1:
         return frame(facts, schema, [])
-    if classes:
-        found = facts.df.select(y.cast("string").alias("v")).where("v is not null").distinct().limit(CLASSES_LIMIT + 1)
-        labels = {v: float(i) for i, v in enumerate(sorted(r.v for r in found.collect()))}
-        label = F.coalesce(F.try_element_at(E.literal_map(labels), y.cast("string")), F.lit(float(len(labels))))
-    else:
-        label = F.coalesce(y.cast("double"), F.lit(facts.quartiles[target][0.5]))
+    label = y.cast("string") if classes else F.coalesce(y.cast("double"), F.lit(facts.quartiles[target][0.5]))
     inputs = [c for c in facts.names if c != target and facts.kinds[c] in ("number", "text", "boolean", "temporal")]
     numbers = []
     for c in inputs:
@@ -198,6 +192,10 @@ def feature_importance(facts: TableFacts, target: str) -> DataFrame:
         else:
             numbers.append(F.coalesce(F.xxhash64(E.quoted(c)).cast("double"), F.lit(-1.0)))
     prepared = facts.df.select(label.alias("__label"), *[x.alias(f"x{i}") for i, x in enumerate(numbers)])
+    if classes:  # any number of them, a gap as one of its own
+        indexer = StringIndexer(inputCol="__label", outputCol="__class", handleInvalid="keep", stringOrderType="alphabetAsc")
+        prepared = indexer.fit(prepared.where("__label is not null")).transform(prepared)
+        prepared = prepared.drop("__label").withColumnRenamed("__class", "__label")
     data = VectorAssembler(inputCols=[f"x{i}" for i in range(len(inputs))], outputCol="__x").transform(prepared)
     tree = DecisionTreeClassifier if classes else DecisionTreeRegressor
     model = tree(featuresCol="__x", labelCol="__label", maxDepth=4, seed=42).fit(data.select("__x", "__label"))

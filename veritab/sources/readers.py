@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..config import CleanConfig
@@ -9,7 +12,7 @@ from ..functions import exprs as E
 from ..operators.facts import long_cells
 
 # --- fixed values -----------------------------------------------------------
-ALLOWED = ("csv", "xlsx", "json")
+ALLOWED = ("csv", "json")
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -26,25 +29,41 @@ def check_inputs(spark: SparkSession, path: str, config: CleanConfig = CleanConf
     extension = F.when(F.contains(name, F.lit(".")), F.lower(F.element_at(F.split(name, r"\."), -1))).otherwise("")
     verdict = (
         F.when(~extension.isin(*ALLOWED), "type not allowed")
-        .when(F.col("bytes") > config.max_input_bytes, "too large")
+        .when(F.lit(False) if config.max_input_bytes is None else F.col("bytes") > config.max_input_bytes, "too large")
         .when(F.contains(name, F.lit("..")) | F.contains(name, F.lit("\\")), "invalid name")
         .otherwise("ok")
     )
     return files.withColumn("verdict", verdict)
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line is not valid UTF-8; then ISO-8859-1, in which every byte has a meaning."""
-    invalid = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value"))).first()[0]
-    return "ISO-8859-1" if invalid else "UTF-8"
+def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, bool], list[str]]:
+    """Files by (encoding, has line breaks inside quotes), from one pass over their lines.
+
+    A file is UTF-8 unless some line of it is not valid; then it is ISO-8859-1, in which every byte has a meaning. A line
+    with an odd number of quotes opens or closes a cell that goes on in another line. Such a file is one task; the others
+    are split by Spark.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    files = lines.groupBy("file").agg(
+        F.count_if(~F.is_valid_utf8("value")).alias("invalid"), F.count_if(quotes % 2 != 0).alias("open")
+    )
+    out: dict[tuple[str, bool], list[str]] = {}
+    for r in sorted(files.collect(), key=lambda r: r.file):  # one row per file
+        out.setdefault(("ISO-8859-1" if r.invalid else "UTF-8", r.open > 0), []).append(unquote(r.file))
+    return out
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, multiline: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """CSV with header. Cells that stand for nothing become NULL; types are inferred over all rows."""
-    raw = spark.read.csv(
-        path, header=True, encoding=csv_encoding(spark, path), quote='"', escape='"', multiLine=multiline
-    )
-    raw = raw.toDF(*[c.removeprefix("\ufeff").removeprefix("\xef\xbb\xbf") for c in raw.columns])
+    layouts = csv_layouts(spark, path) or {("UTF-8", False): [path]}
+    parts = []
+    for (encoding, multiline), files in layouts.items():
+        part = spark.read.csv(
+            path if len(layouts) == 1 else files, header=True, encoding=encoding, quote='"', escape='"', multiLine=multiline
+        )
+        parts.append(part.toDF(*[c.removeprefix("\ufeff").removeprefix("\xef\xbb\xbf") for c in part.columns]))
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     texts = raw.select(*[F.when(~E.quoted(c).isin(*NA_TOKENS), E.quoted(c)).alias(c) for c in raw.columns])
     return infer_types(texts) if infer else texts
 
@@ -85,12 +104,20 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else E.quoted(c) for c in df.columns])
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False, keep_mixed: bool = True) -> DataFrame:
-    """JSON records, as one array per file or one record per line (``lines``, which Spark can split).
+def one_record_per_line(spark: SparkSession, path: str) -> bool:
+    """Does every filled line hold an object of its own?"""
+    line = E.strip(F.col("value"))
+    alone = F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}"))
+    return spark.read.text(path).agg(F.count_if((line != "") & ~alone)).first()[0] == 0
+
+
+def read_json(spark: SparkSession, path: str, lines: bool | None = None, keep_mixed: bool = True) -> DataFrame:
+    """JSON records, as one array per file or one record per line (``lines``, which Spark can split; looked up if None).
 
     A field that holds both text and other values would be inferred as text. With ``keep_mixed`` such fields are read
     as VARIANT when their values really differ in kind.
     """
+    lines = one_record_per_line(spark, path) if lines is None else lines
     plain = spark.read.json(path, multiLine=not lines)
     texts = [f.name for f in plain.schema if isinstance(f.dataType, T.StringType)]
     if not (keep_mixed and texts):
