@@ -6,11 +6,10 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from veritab.functions import questions as Q
 from veritab.operators import conversation, ordered, runs
 from veritab.operators.facts import TableFacts
 from veritab.operators.quantiles import exact_quantiles
-from veritab.streaming import limits
+from veritab.streaming import limits, memory
 
 
 def quantiles(df, name, listed):
@@ -70,37 +69,6 @@ def test_fill_in_order_equals_pandas(spark, block_rows):
     np.testing.assert_allclose(got[["v", "w"]].to_numpy(), want[["v", "w"]].to_numpy())
 
 
-def memory_fold(questions):
-    """Follow-ups of one conversation told plainly, as the definition says."""
-    import re
-
-    metric = compared = None
-    statistics = False
-    out = []
-    for text in questions:
-        q = text.strip().lower()
-        resolved = text
-        m1, m2 = re.search(conversation.COMPARE_FOLLOW_UP, q), re.search(conversation.COLUMN_FOLLOW_UP, q)
-        m3 = re.search(conversation.CHART_FOLLOW_UP, q)
-        target = m1.group(2).strip().title() if m1 else None
-        if m1 and (target.lower() in conversation.BENCHMARKS or compared):
-            resolved, compared = f"Compare the uploaded dataset with {target}", target
-        elif m2 and metric:
-            resolved = f"What is the {metric} of {text.strip()[slice(*m2.span(2))].strip()}?"
-        elif m2 and statistics:
-            resolved = f"Show statistics and summary for column {text.strip()[slice(*m2.span(2))].strip()}"
-        elif m3:
-            resolved = f"Explain the {m3.group(3)} chart and its data distributions/relationships"
-        low = resolved.lower()
-        scores = {i: round(min(1.0, sum(v for w, v in ws.items() if w in low)), 2) for i, ws in Q.INTENTS.items()}
-        top = max(scores, key=scores.get)
-        statistics = (top if scores[top] >= 0.25 else Q.DEFAULT_INTENT) == "Statistics"
-        metric = next((w for w in conversation.REMEMBERED_METRICS if w in low), metric)
-        compared = next((b.title() for b in conversation.REMEMBERED_BENCHMARKS if b in low), compared)
-        out.append((resolved, metric, compared))
-    return out
-
-
 PHRASES = [
     "What is the mean of price?", "Show the same for age", "how about max speed?", "What about Titanic?", "and Foo Bar?",
     "Show summary stats", "hello there", "Explain the second graph", "what about skewness?", "try k-means set",
@@ -108,18 +76,22 @@ PHRASES = [
 ]
 
 
-@pytest.mark.parametrize("block_rows", [5, 1_000_000])
-def test_followups_equal_the_fold(spark, block_rows):
-    """Also with one conversation holding a third of all turns, cut into blocks."""
+def test_followups_by_blocks_windows_and_stream(spark, tmp_path):
+    """One conversation holds a third of all turns; the three ways of carrying the memory agree."""
     rng = np.random.default_rng(3)
     rows = [(0, t, "user", PHRASES[rng.integers(len(PHRASES))]) for t in range(120)]
     rows += [(c, t, "user", PHRASES[rng.integers(len(PHRASES))]) for c in range(1, 31) for t in range(8)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = conversation.resolve_followups(df, block_rows=block_rows).orderBy("conv_id", "turn").collect()
-    want = []
-    for c in range(31):
-        want += memory_fold([r[3] for r in rows if r[0] == c])
-    assert [(r.resolved, r.last_metric, r.last_comparison) for r in got] == want
+    whole, blocks = (conversation.resolve_followups(df, block_rows=n).orderBy("conv_id", "turn").collect() for n in (1_000_000, 5))
+    assert whole == blocks
+    assert {r.resolved for r in whole} >= {"What is the mean of age?", "Compare the uploaded dataset with Titanic"}
+    for part in range(3):  # three micro-batches
+        df.where(f"turn div 40 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = memory.resolve_stream(stream).writeStream.format("memory").queryName("followed").trigger(availableNow=True).start()
+    query.awaitTermination()
+    streamed = spark.table("followed").orderBy("conv_id", "turn").collect()
+    assert [r.resolved for r in streamed] == [r.resolved for r in whole]
 
 
 @pytest.mark.parametrize("block_rows", [10, 1_000_000])

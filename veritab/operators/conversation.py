@@ -82,6 +82,49 @@ def _word(at: Column, words) -> Column:
     return F.get(F.array(*[F.lit(w) for w in words]), at)
 
 
+def read_questions(questions: DataFrame) -> DataFrame:
+    """What each question says by itself: comparison target, subject, metric, benchmark and chart, NULL if not spoken of."""
+    asked = E.strip(F.col("question"))
+    q = F.lower(asked)
+    target = title_case(E.strip(F.regexp_extract(q, COMPARE_FOLLOW_UP, 2)))
+    subject = E.strip(F.regexp_extract(asked, "(?i)" + COLUMN_FOLLOW_UP, 2))
+    return questions.withColumns(
+        {
+            "target": F.when(q.rlike(COMPARE_FOLLOW_UP), target),
+            "subject": F.when(q.rlike(COLUMN_FOLLOW_UP), subject),
+            "metric": first_mention(F.lower(F.col("question")), REMEMBERED_METRICS),
+            "benchmark": first_mention(F.lower(F.col("question")), REMEMBERED_BENCHMARKS),
+            "chart": F.when(q.rlike(CHART_FOLLOW_UP), F.regexp_extract(q, CHART_FOLLOW_UP, 3)),
+        }
+    )
+
+
+def names_known(target: Column) -> Column:
+    return F.coalesce(F.lower(target).isin(*BENCHMARKS), F.lit(False))
+
+
+def is_statistics(text: Column) -> Column:
+    return F.coalesce(Q.top_intent(text) == "Statistics", F.lit(False))
+
+
+# --- fixed values: the sentences a follow-up is rewritten to ------------------
+def compare_sentence(target: Column) -> Column:
+    return F.concat(F.lit("Compare the uploaded dataset with "), target)
+
+
+def metric_sentence(metric: Column, subject: Column) -> Column:
+    return F.concat(F.lit("What is the "), metric, F.lit(" of "), subject, F.lit("?"))
+
+
+def chart_sentence(chart: Column) -> Column:
+    return F.concat(F.lit("Explain the "), chart, F.lit(" chart and its data distributions/relationships"))
+
+
+def summary_sentence(subject: Column) -> Column:
+    return F.concat(F.lit("Show statistics and summary for column "), subject)
+# ----------------------------------------------------------------------------
+
+
 def resolve_followups(
     messages: DataFrame,
     conversation: str = "conv_id",
@@ -100,21 +143,10 @@ def resolve_followups(
     )
     block = blocks_for_groups(questions, [conversation], turn, block_rows)
     keys = [conversation]
-    asked = E.strip(F.col("question"))
-    q = F.lower(asked)
-    target = title_case(E.strip(F.regexp_extract(q, COMPARE_FOLLOW_UP, 2)))
-    subject = E.strip(F.regexp_extract(asked, "(?i)" + COLUMN_FOLLOW_UP, 2))
-    df = questions.withColumns(
-        {
-            "target": F.when(q.rlike(COMPARE_FOLLOW_UP), target),
-            "subject": F.when(q.rlike(COLUMN_FOLLOW_UP), subject),
-            "metric": first_mention(F.lower(F.col("question")), REMEMBERED_METRICS),
-            "benchmark": first_mention(F.lower(F.col("question")), REMEMBERED_BENCHMARKS),
-        }
-    )
+    df = read_questions(questions)
 
     # Has a comparison been made before? (0 = yes)
-    known = F.col("target").isNotNull() & F.lower(F.col("target")).isin(*BENCHMARKS)
+    known = names_known(F.col("target"))
     made = F.when(known | F.col("benchmark").isNotNull(), F.lit(0))
     df = segmented_min(df, keys, turn, made, F.lit(False), "compared", block)
     compares = F.col("target").isNotNull() & (known | F.col("compared_before").isNotNull())
@@ -125,31 +157,23 @@ def resolve_followups(
     df = df.withColumn("follows", F.coalesce(follows, F.lit(False)))
     df = segmented_min(df, keys, turn, F.col("metric"), ~F.col("follows") & F.col("metric").isNotNull(), "last", block)
 
-    explains = F.regexp_extract(q, CHART_FOLLOW_UP, 3)
     resolved = (
-        F.when(F.col("compares"), F.concat(F.lit("Compare the uploaded dataset with "), F.col("target")))
+        F.when(F.col("compares"), compare_sentence(F.col("target")))
         .when(
             F.col("follows") & F.col("last_before").isNotNull(),
-            F.concat(
-                F.lit("What is the "), _word(F.col("last_before"), REMEMBERED_METRICS), F.lit(" of "), F.col("subject"), F.lit("?")
-            ),
-        )
-        .when(
-            q.rlike(CHART_FOLLOW_UP) & ~F.col("follows"),
-            F.concat(F.lit("Explain the "), explains, F.lit(" chart and its data distributions/relationships")),
+            metric_sentence(_word(F.col("last_before"), REMEMBERED_METRICS), F.col("subject")),
         )
+        .when(F.col("chart").isNotNull() & ~F.col("follows"), chart_sentence(F.col("chart")))
         .otherwise(F.col("question"))
     )
     df = df.withColumn("resolved", resolved)
 
     # Was the question before one of statistics? Only follow-ups without a metric inherit the answer.
     inherits = F.col("follows") & F.col("last_before").isNull()
-    statistical = F.when(Q.top_intent(F.col("resolved")) == "Statistics", F.lit(0))
+    statistical = F.when(is_statistics(F.col("resolved")), F.lit(0))
     df = segmented_min(df.withColumn("inherits", inherits), keys, turn, statistical, ~F.col("inherits"), "stats", block)
-    generic = F.concat(F.lit("Show statistics and summary for column "), F.col("subject"))
-    df = df.withColumn(
-        "resolved", F.when(F.col("inherits") & F.col("stats_before").isNotNull(), generic).otherwise(F.col("resolved"))
-    )
+    generic = F.when(F.col("inherits") & F.col("stats_before").isNotNull(), summary_sentence(F.col("subject")))
+    df = df.withColumn("resolved", F.coalesce(generic, F.col("resolved")))
 
     # Name of the last comparison: every mention replaces it. As a text it is carried like the others.
     named = F.coalesce(F.initcap(_word(F.col("benchmark"), REMEMBERED_BENCHMARKS)), F.when(F.col("compares"), F.col("target")))

@@ -1,49 +1,66 @@
-"""Follow-up questions on a stream: the memory of each conversation is the state."""
+"""Follow-up questions on a stream: the memory of each conversation is the state.
+
+What a question says by itself, and how a follow-up is worded, are the column expressions of the batch operator. The state
+function sees neither texts nor patterns: it carries three running values over flags and numbers, and says which sentence
+each question becomes.
+"""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import exprs as E, questions as Q
+from ..functions import exprs as E
 from ..operators import conversation as C
 
+PLAIN, COMPARE, METRIC, CHART, SUMMARY = range(5)
 
-def _stepper():
-    """One turn of the memory, as a closure over its fixed values, so that executors need not have this package."""
-    compare, column, chart = (re.compile(p) for p in (C.COMPARE_FOLLOW_UP, C.COLUMN_FOLLOW_UP, C.CHART_FOLLOW_UP))
-    known, remembered, metrics = C.BENCHMARKS, C.REMEMBERED_BENCHMARKS, C.REMEMBERED_METRICS
-    weights, weakest = Q.INTENTS, Q.WEAKEST
 
-    def statistical(text: str) -> bool:
-        low = text.lower()
-        scores = [(min(1.0, sum(v for w, v in words.items() if w in low)), name) for name, words in weights.items()]
-        best = max(s for s, _ in scores)
-        return best >= weakest and next(name for s, name in scores if s == best) == "Statistics"
+def _signals(asked: DataFrame) -> DataFrame:
+    """Flags and numbers per question; ``counts_as`` tells for each sentence it may become if that is one of statistics."""
+    df = C.read_questions(asked)
+    target, subject, chart = F.col("target"), F.col("subject"), F.col("chart")
+    by_metric = [C.is_statistics(C.metric_sentence(F.lit(m), subject)) for m in C.REMEMBERED_METRICS]
+    wordings = [C.is_statistics(F.col("question")), C.is_statistics(C.compare_sentence(target)), C.is_statistics(C.chart_sentence(chart))]
+    return df.select(
+        "conv_id",
+        "turn",
+        "question",
+        "target",
+        "subject",
+        "chart",
+        F.coalesce("metric", F.lit(-1)).alias("metric"),
+        F.col("benchmark").isNotNull().alias("mentions"),
+        C.names_known(target).alias("known"),
+        F.array(*wordings, *by_metric).alias("counts_as"),
+    )
 
-    def step(text: str, metric, compared, was_statistics) -> tuple:
-        asked = text.strip()
-        hit, sub, pic = compare.search(asked.lower()), column.search(asked.lower()), chart.search(asked.lower())
-        resolved = text
-        if hit and (hit.group(2).strip() in known or compared):
-            compared = hit.group(2).strip().title()
-            resolved = "Compare the uploaded dataset with " + compared
-        elif sub and metric:
-            resolved = f"What is the {metric} of {asked[sub.start(2):sub.end(2)].strip()}?"
-        elif sub and was_statistics:
-            resolved = "Show statistics and summary for column " + asked[sub.start(2) : sub.end(2)].strip()
-        elif pic:
-            resolved = f"Explain the {pic.group(3)} chart and its data distributions/relationships"
-        low = resolved.lower()
-        metric = next((w for w in metrics if w in low), metric)
-        compared = next((b.title() for b in remembered if b in low), compared)
-        return resolved, metric, compared, statistical(resolved)
 
-    return step
+def _walk(rows: pd.DataFrame, last: int, compared: bool, statistics: bool):
+    """(sentence, metric) per row, and the values to carry on. ``last`` is the place of the last metric in its list, -1: none."""
+    chosen = []
+    for r in rows.itertuples():
+        sentence, metric_before = PLAIN, last
+        follows = pd.notna(r.subject)
+        if pd.notna(r.target) and (r.known or compared):
+            sentence, follows = COMPARE, False
+        elif follows:
+            sentence = METRIC if last >= 0 else SUMMARY if statistics else PLAIN
+        elif pd.notna(r.chart):
+            sentence = CHART
+        chosen.append((sentence, metric_before))
+        compared = compared or r.known or r.mentions
+        if follows and metric_before < 0:  # nothing but its own words could end the run of statistics
+            statistics = statistics or bool(r.counts_as[0])
+        else:
+            at = {PLAIN: 0, COMPARE: 1, CHART: 2, METRIC: 3 + metric_before}[sentence]
+            statistics = bool(r.counts_as[at])
+        if r.metric >= 0:
+            last = min(last, r.metric) if follows and last >= 0 else r.metric
+    return chosen, (int(last), bool(compared), bool(statistics))
 
 
 def resolve_stream(
@@ -53,29 +70,34 @@ def resolve_stream(
 
     The state per conversation is three values, whatever its length.
     """
-    step = _stepper()
     asked = messages.where(E.quoted(role) == "user").select(
-        E.quoted(conversation).alias("conv_id"), E.quoted(turn).alias("turn"), E.quoted(text).alias("question")
-    )
-    out = T.StructType(
-        [
-            T.StructField("conv_id", asked.schema["conv_id"].dataType),
-            T.StructField("turn", asked.schema["turn"].dataType),
-            T.StructField("question", T.StringType()),
-            T.StructField("resolved", T.StringType()),
-        ]
+        E.quoted(conversation).alias("conv_id"),
+        E.quoted(turn).alias("turn"),
+        F.coalesce(E.quoted(text), F.lit("")).alias("question"),
     )
+    signals = _signals(asked)
+    kinds = {f.name: f.dataType.simpleString() for f in signals.schema}
+    given = ("conv_id", "turn", "question", "target", "subject", "chart")
+    out = ", ".join(f"{c} {kinds[c]}" for c in given) + ", sentence int, last int"
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = tuple(state.get) if state.exists else (None, None, False)
+        carried = tuple(state.get) if state.exists else (-1, False, False)
         rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
-        resolved = []
-        for question in rows["question"]:
-            answer, *memory = step(question or "", *memory)
-            resolved.append(answer)
-        state.update(tuple(memory))
-        yield rows.assign(resolved=resolved)[["conv_id", "turn", "question", "resolved"]]
+        chosen, carried = _walk(rows, *carried)
+        state.update(carried)
+        sentences, last = zip(*chosen)
+        yield rows[list(given)].assign(sentence=sentences, last=last)
 
-    return asked.groupBy("conv_id").applyInPandasWithState(
-        fold, out, "metric string, compared string, statistics boolean", "append", GroupStateTimeout.NoTimeout
+    walked = signals.groupBy("conv_id").applyInPandasWithState(
+        fold, out, "last int, compared boolean, statistics boolean", "append", GroupStateTimeout.NoTimeout
+    )
+    metric = F.get(F.array(*[F.lit(m) for m in C.REMEMBERED_METRICS]), F.col("last"))
+    sentence = F.col("sentence")
+    resolved = (
+        F.when(sentence == COMPARE, C.compare_sentence(F.col("target")))
+        .when(sentence == METRIC, C.metric_sentence(metric, F.col("subject")))
+        .when(sentence == CHART, C.chart_sentence(F.col("chart")))
+        .when(sentence == SUMMARY, C.summary_sentence(F.col("subject")))
+        .otherwise(F.col("question"))
     )
+    return walked.select("conv_id", "turn", "question", resolved.alias("resolved"))
