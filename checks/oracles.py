@@ -899,17 +899,38 @@ def ml_readiness() -> str:
 
 def insights() -> str:
     parts = []
+
+    def row(rule, c, title, evidence, confidence, recommendation, when):
+        column = "NULL" if c is None else lit(c)
+        return (
+            f"SELECT {lit(rule)} AS rule, {column} AS \"column\", {title} AS title, {evidence} AS evidence, "
+            f"CAST({confidence} AS DOUBLE) AS confidence, {lit(recommendation)} AS recommendation FROM d HAVING {when}"
+        )
+
     for c, _, _ in ORDERS:
         parts.append(
-            f"SELECT 'missing' AS rule, {lit(c)} AS \"column\", 'High Missing Values in ''{c}''' AS title, CAST(1.0 AS DOUBLE) AS confidence FROM d HAVING {missing(c)} > 0.05 * count(*)"
+            row(
+                "missing", c, f"{lit(c + ': ')} || printf('%.1f', 100.0 * {missing(c)} / count(*)) || '% empty'",
+                f"{missing(c)} || ' of ' || count(*) || {lit(f' rows have no {c}.')}", 1.0, f"Impute {c} or leave it out.", f"{missing(c)} > 0.05 * count(*)",
+            )
         )
         parts.append(
-            f"SELECT 'identifier', {lit(c)}, 'Identifier Candidate ''{c}'' Detected', 0.95 FROM d HAVING count(DISTINCT {c}) >= 0.99995 * count(*)"
+            row(
+                "identifier", c, lit(f"{c} names rows"), f"count(DISTINCT {c}) || ' different values in ' || count(*) || ' rows.'", 0.95,
+                f"Join by {c}, but do not learn from it.", f"count(DISTINCT {c}) >= 0.99995 * count(*)",
+            )
         )
     for c in numeric_columns(ORDERS):
-        parts.append(f"SELECT 'skew', {lit(c)}, 'Highly Skewed Column ''{c}''', 0.9 FROM d HAVING abs(skewness({c})) > 1.5")
+        parts.append(
+            row(
+                "skew", c, f"{lit(c + ' leans to the ')} || CASE WHEN skewness({c}) < 0 THEN 'left' ELSE 'right' END",
+                f"'Skewness ' || printf('%.2f', skewness({c})) || '.'", 0.9, f"Try {c} on a logarithmic scale or in ranks.", f"abs(skewness({c})) > 1.5",
+            )
+        )
+    score = readiness_score()
     parts.append(
-        f"SELECT 'readiness', NULL, CASE WHEN {readiness_score()} >= 80 THEN 'Dataset Ready for Machine Learning' ELSE 'Action Needed for ML Readiness' END, 0.85"
+        f"SELECT 'readiness', NULL, CASE WHEN s >= 80 THEN 'Fit for a first model' ELSE 'Not fit for a model yet' END, 'Readiness ' || CAST(s AS BIGINT) || ' of 100.', "
+        f"0.85, CASE WHEN s >= 80 THEN 'Train a baseline and measure it.' ELSE 'Mend gaps, outliers and types, then look again.' END FROM (SELECT {score} AS s)"
     )
     return with_orders(union(parts))
 
@@ -939,16 +960,16 @@ def ml_advice() -> str:
     is_wide = "(SELECT count(DISTINCT {c}) > 30 OR count(DISTINCT {c}) > 0.2 * count(*) FROM d)"
     wide = "concat_ws(', ', " + ", ".join(f"CASE WHEN {is_wide.format(c=c)} THEN {lit(c)} END" for c in every_text) + ")"
     narrow = "concat_ws(', ', " + ", ".join(f"CASE WHEN NOT {is_wide.format(c=c)} THEN {lit(c)} END" for c in text) + ")"
-    numbers = ", ".join(numeric_columns(ORDERS)[:5])
+    numbers = ", ".join(numeric_columns(ORDERS))
     ids = ", ".join(c for c, _, _ in ORDERS if any(w in c for w in ("id", "key", "index", "pk", "fk")))
     steps = (
-        f"'Use target, binary or hash encoding for high cardinality fields: ' || {wide} || ' | Use one-hot encoding for low cardinality features: ' || {narrow} || "
-        f"' | Scale the numerical columns (robustly if outliers remain): {numbers}'"
+        f"'Encode by hash or by target mean: ' || {wide} || ' | Encode one column per category: ' || {narrow} || "
+        f"' | Bring to one scale, by quartiles where outliers remain: {numbers}'"
     )
     return with_orders(
         f"SELECT 'Classification' AS problem_type, 'class_label' AS target_column, {lit(a['task'])} AS task, {lit(' | '.join(a['models']))} AS models, "
         f"{lit(' | '.join(a['metrics']))} AS metrics, {lit(a['validation'])} AS validation, {steps} AS preprocessing, "
-        f"'Drop identifier columns: {ids}' AS selection"
+        f"'Leave out, names rows: {ids}' AS selection"
     )
 
 

@@ -245,7 +245,7 @@ def feature_importance(spark, sf_dir):
 def insights(spark, sf_dir):
     f = orders(spark, sf_dir)
     score = features.readiness(f, semantics.infer_semantics(f))["score"]
-    return advice.insights(f, score).select("rule", "column", "title", "confidence")
+    return advice.insights(f, score)
 
 
 def advanced_features(spark, sf_dir):
