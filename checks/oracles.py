@@ -994,7 +994,7 @@ def missing_bars() -> str:
     return with_orders(
         "SELECT CAST(row_number() OVER (ORDER BY missing DESC, o) - 1 AS INTEGER) AS position, \"column\", missing FROM ("
         + union(parts)
-        + ") ORDER BY missing DESC, o LIMIT 15"
+        + ")"
     )
 
 
@@ -1022,7 +1022,7 @@ def distribution() -> str:
     def top(t, c, source):
         return (
             f"SELECT * FROM (SELECT {lit(source)} AS source, {lit(c)} AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {t} "
-            f"WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 15)"
+            f"WHERE {c} IS NOT NULL GROUP BY {c})"
         )
 
     # the first target-like name: a name with a 'y' in it counts

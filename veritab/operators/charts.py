@@ -11,7 +11,6 @@ from .profile import CATEGORY_LIMIT, TARGET_WORDS, frame, named, role_lists
 from .quantiles import exact_quantiles
 
 # --- fixed values -----------------------------------------------------------
-BARS = 15
 HISTOGRAM_BINS = 30
 # ----------------------------------------------------------------------------
 
@@ -33,8 +32,9 @@ def correlation_matrix(facts: TableFacts) -> DataFrame:
     return frame(facts, "x string, y string, r double", rows)
 
 
-def missing_bars(facts: TableFacts) -> DataFrame:
-    rows = sorted(((c, f.missing) for c, f in facts.base.items()), key=lambda r: -r[1])[:BARS]
+def missing_bars(facts: TableFacts, bars: int | None = None) -> DataFrame:
+    """Columns by their number of gaps; ``bars`` keeps the first of them."""
+    rows = sorted(facts.missing.items(), key=lambda r: -r[1])[:bars]
     return frame(facts, "position int, column string, missing long", [(i, *r) for i, r in enumerate(rows)])
 
 
@@ -44,7 +44,7 @@ def first_numeric(facts: TableFacts) -> str | None:
 
 def _loose(facts: TableFacts, c: str):
     """(values, count, min, max) of a column with symbols dropped."""
-    f = facts.base[c]
+    f = facts.column(c)
     if f.kind == "text":
         return E.to_number_loose(E.quoted(c)), f.loose["n"], f.loose["min"], f.loose["max"]
     return facts.number(c), f.n_numeric, f.min, f.max
@@ -98,17 +98,14 @@ def distribution_column(facts: TableFacts) -> str:
     return next(iter(aimed + roles["categorical"] + roles["boolean"] + few + facts.names))
 
 
-def distribution(facts: TableFacts, column: str | None = None, bars: int = BARS) -> DataFrame:
+def distribution(facts: TableFacts, column: str | None = None, bars: int | None = None) -> DataFrame:
+    """Values by how often they occur; ``bars`` keeps the first of them."""
     c = column or distribution_column(facts)
     value = E.quoted(c)
-    return (
-        facts.df.where(value.isNotNull())
-        .groupBy(value.cast("string").alias("value"))
-        .count()
-        .orderBy(F.desc("count"), "value")
-        .limit(bars)
-        .select(F.lit(c).alias("column"), "value", "count")
-    )
+    counted = facts.df.where(value.isNotNull()).groupBy(value.cast("string").alias("value")).count()
+    if bars is not None:
+        counted = counted.orderBy(F.desc("count"), "value").limit(bars)
+    return counted.select(F.lit(c).alias("column"), "value", "count")
 
 
 def totals(facts: TableFacts) -> DataFrame:

@@ -177,12 +177,12 @@ class TableFacts:
     # ---------------------------------------------------------------- pass 1: scalars
     @cached_property
     def _number_cells(self) -> dict[int, object]:
-        """One row per column that is not text; field -1 says whether the row has a gap."""
+        """One row per column, of texts only how many there are; field -1 says whether the row has a gap. No text travels."""
         any_null = F.lit(False)
         for c in self.names:
             any_null = any_null | E.quoted(c).isNull()
         cells = [(-1, any_null.cast("double"))]
-        cells += [(i, self._plain_double(c)) for i, c in enumerate(self.names) if self.kinds[c] != "text"]
+        cells += [(i, self._plain_double(c)) for i, c in enumerate(self.names)]
         x = F.col("x")
         found = long_cells(self.df, cells, "x").groupBy("field").agg(
             F.count(F.lit(1)).alias("rows"),
@@ -325,11 +325,27 @@ class TableFacts:
 
     @property
     def rows(self) -> int:
-        return self._scan[0]
+        return self._number_cells[-1].rows if -1 in self._number_cells else 0  # no cells at all: an empty table
 
     @property
     def rows_with_missing(self) -> int:
-        return self._scan[1]
+        return round(self._number_cells[-1].total) if self.rows else 0
+
+    @property
+    def missing(self) -> dict[str, int]:
+        """Gaps per column, without looking at what is in the texts."""
+        found = self._number_cells
+        return {c: self.rows - found[i].n if i in found else 0 for i, c in enumerate(self.names)}
+
+    def column(self, name: str) -> ColumnFacts:
+        """The facts of one column; those of a column that is not text take no look at the texts."""
+        i = self.names.index(name)
+        if self.kinds[name] == "text" or i not in self._number_cells:
+            return self.base[name]
+        out = ColumnFacts(name, self.kinds[name], self.dtypes[name])
+        _read_cell_facts(out, self._number_cells[i])
+        out.missing = self.rows - out.count
+        return out
 
     @property
     def base(self) -> dict[str, ColumnFacts]:
