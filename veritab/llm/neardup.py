@@ -5,9 +5,10 @@ and a band of the second forms the key of a table: side * side tables from 2 * s
 tables would need side * side * 2 * rows. Texts that meet in a table are candidates, and candidates count only once the
 full shingle sets confirm them.
 
-No group is expanded into its pairs. Texts with equal sets become one node first. Then each table bucket proposes its
-smallest member as partner to all others, which settles groups of copies with one pair per member; after that only members
-of different components are paired, so that no link between texts is lost because its group was large.
+No group is expanded into its pairs. Texts with equal sets become one node first. Then each table bucket proposes one member
+as partner to all others, which settles groups of copies with one pair per member; after that only members of different
+components are paired, and only where their odd sketches leave a link possible, so that no link between texts is lost
+because its group was large.
 """
 
 from __future__ import annotations
@@ -118,32 +119,25 @@ class Bands:
             out = mix64(out * U64(0x9E3779B97F4A7C15) + parts[:, r])
         return out
 
-    def sketch(self, mh: np.ndarray) -> tuple[int, int]:
-        """Four bits of the first 32 minhashes, as two longs: equal minhashes add no differing bit, others two on average."""
-        nibbles = mix64(np.resize(mh, 32)) & U64(15)
-        shifted = nibbles.reshape(2, 16) << (np.arange(16, dtype=U64) * U64(4))
-        return tuple(int(x) for x in np.bitwise_or.reduce(shifted, axis=1).view(np.int64))
 
-
-SIGNED = "doc_id long, ca long, cb long, n_shingles long, set_a long, set_b long, bands array<long>, sketch_a long, sketch_b long"
+SIGNED = "doc_id long, ca long, cb long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int, side: int, rows: int) -> Iterator[pa.RecordBatch]:
     maker = Bands(side, rows)
     for batch in batches:
-        n, sets, bands, sketches = [], [], [], []
+        n, sets, bands = [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py(), size)
             n.append(len(s))
             if len(s) == 0:
-                sets.append((None, None)), bands.append(None), sketches.append((None, None))
+                sets.append((None, None))
+                bands.append(None)
                 continue
             a = np.bitwise_xor.reduce(mix64(s + U64(1)))
             b = np.add.reduce(mix64(s ^ U64(0xD6E8FEB86659FD93)), dtype=U64)
             sets.append((int(a.view(np.int64)), int(b.view(np.int64))))
-            mh = maker.minhashes(s)
-            bands.append(maker.bands(mh).view(np.int64))
-            sketches.append(maker.sketch(mh))
+            bands.append(maker.bands(maker.minhashes(s)).view(np.int64))
         long = pa.int64()
         yield pa.RecordBatch.from_arrays(
             [
@@ -152,8 +146,6 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, side: int, rows: int) ->
                 pa.array([x for x, _ in sets], long),
                 pa.array([x for _, x in sets], long),
                 pa.array(bands, pa.list_(long)),
-                pa.array([x for x, _ in sketches], long),
-                pa.array([x for _, x in sketches], long),
             ],
             names=[f.split()[0] for f in SIGNED.split(", ")],
         )
@@ -174,6 +166,42 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
 
+ODD = [f"o{i}" for i in range(8)]
+FACTS = "node long, n long, " + ", ".join(f"{o} long" for o in ODD)
+
+
+def _odd(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Per node the size of its set and its odd sketch: of 512 bits, those that an odd number of its shingles fall on."""
+    for batch in batches:
+        n, rows = [], np.zeros((batch.num_rows, len(ODD)), U64)
+        for i, text in enumerate(batch.column("text")):
+            s = shingles(text.as_py(), size)
+            n.append(len(s))
+            place = mix64(s ^ U64(0xA24BAED4963EE407)) & U64(511)
+            odd = np.bincount(place.astype(np.int64), minlength=512) & 1
+            rows[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+        cols = [pa.array(rows[:, i].view(np.int64)) for i in range(len(ODD))]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), *cols], names=["node", "n", *ODD])
+
+
+def _can_link(one: str, other: str, percent: int) -> Column:
+    """False only where a link is impossible. Suffixes name the columns of the two nodes.
+
+    Sets linked at t differ in (1 - t) / (1 + t) of their sizes' sum at most, and each bit in which two odd sketches differ
+    takes an element of the difference; no link fails this.
+    """
+    c = F.col
+    n1, n2 = c(f"n{one}"), c(f"n{other}")
+    bits = sum((F.bit_count(c(f"{o}{one}").bitwiseXOR(c(f"{o}{other}"))) for o in ODD), F.lit(0))
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (bits * (100 + percent) <= (n1 + n2) * (100 - percent))
+
+
+def _first_shared(start: int, many: int) -> Column:
+    """The first of the bands from ``start`` on that both nodes of a pair have."""
+    same = lambda i: F.get("bands", F.lit(i)) == F.get("bands_", F.lit(i))
+    return F.coalesce(*[F.when(same(start + i), F.lit(i)) for i in range(many)])
+
+
 def components(links: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
     """(node, comp): the smallest node reachable over ``links`` (a, b), for all ``nodes`` (node).
 
@@ -182,6 +210,8 @@ def components(links: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
     nothing changes.
     """
     both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-links")
+    if both.isEmpty():
+        return nodes.select("node", F.col("node").alias("comp"))
     state = materialise(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")), f"{label}-0")
     step = 0
     while True:
@@ -214,41 +244,44 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, side: int = 8, row
     """One row per row of ``docs``: doc_id, ca, cb, n_shingles, group; ``group`` is null for texts without words.
 
     Two texts at similarity j meet in a table with probability (1 - (1 - j^rows)^side)^2: 0.99993 at 0.85, 0.9994 at 0.8
-    with the default 8 * 8 tables, more above. Candidates whose sketches differ in more than FAR of 128 bits are put aside
-    unread; at 0.8 the mean is 12, and the chance of more is below one in a million.
+    with the default 8 * 8 tables, more above. Candidates that sizes or odd sketches show to be too far apart are not read;
+    that loses no link.
     """
     c = F.col
     signed = materialise(signatures(docs, size, side, rows), "signed")
     by_set = ["set_a", "set_b"]
     sets = signed.filter("n_shingles > 0").groupBy(*by_set).agg(
-        F.min(F.struct("ca", "cb")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
-        F.first("sketch_a").alias("sa"), F.first("sketch_b").alias("sb"),
+        F.min(F.struct("ca", "cb")).alias("row"), F.first("bands").alias("bands")
     )
     nodes = materialise(sets.withColumnRenamed("set_a", "node"), "sets")
-    facts = nodes.select("node", "n", "sa", "sb")
 
     tables = [F.xxhash64(F.lit(i * side + j), F.get("bands", F.lit(i)), F.get("bands", F.lit(side + j))) for i in range(side) for j in range(side)]
-    keyed = nodes.select("node", F.explode(F.array(*tables)).alias("key"))
+    keyed = nodes.select("node", F.posexplode(F.array(*tables)).alias("table", "key"))
     # most buckets hold one node; only the others go on
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre")).filter("members > 1")
-    bucket = keyed.join(shared.select(c("key").alias("k"), "centre"), c("key") == c("k")).drop("k")
-    bucket = materialise(bucket, "buckets")
-
-    def like(pairs: DataFrame) -> DataFrame:
-        """Without pairs whose sizes rule a link out, or whose sketches all but do."""
-        one = facts.select(*[c(x).alias(f"{x}_a") for x in facts.columns])
-        other = facts.select(*[c(x).alias(f"{x}_b") for x in facts.columns])
-        both = pairs.join(one, c("a") == c("node_a")).join(other, c("b") == c("node_b"))
-        return both.filter(_like("n_a", "sa_a", "sb_a", "n_b", "sa_b", "sb_b", percent)).select("a", "b")
-
-    first = bucket.filter("node <> centre").select(c("centre").alias("a"), c("node").alias("b")).distinct()
-    first = materialise(like(first), "pairs-1")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    bucket = materialise(keyed.join(shared.select(c("key").alias("k")), c("key") == c("k")).drop("k"), "buckets")
 
     # the texts of nodes in shared buckets, once; rows with equal sets share one
     wanted = nodes.select("node", c("row.ca").alias("x"), c("row.cb").alias("y")).join(bucket.select("node").distinct(), "node", "left_semi")
     texts = _keyed(docs.select("doc_id", "text")).join(wanted, (c("ca") == c("x")) & (c("cb") == c("y")))
     texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
+    facts = materialise(texts.mapInArrow(lambda batches: _odd(batches, size), FACTS), "facts")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        one = facts.select(*[c(x).alias(f"{x}_a") for x in facts.columns])
+        other = facts.select(*[c(x).alias(f"{x}_b") for x in facts.columns])
+        both = pairs.join(one, c("a") == c("node_a")).join(other, c("b") == c("node_b"))
+        return both.filter(_can_link("_a", "_b", percent)).select("a", "b")
+
+    # The centre of a bucket is the node with most company over all tables: in a group of copies, the one they come from.
+    company = bucket.join(bucket.groupBy(c("key").alias("k")).agg(F.count(F.lit(1)).alias("members")), c("key") == c("k"))
+    company = company.groupBy(c("node").alias("m")).agg(F.sum("members").alias("company"))
+    centres = bucket.join(company, c("node") == c("m")).groupBy(c("key").alias("k")).agg(F.max_by("node", F.struct("company", "node")).alias("centre"))
+    first = bucket.join(centres, c("key") == c("k")).filter("node <> centre")
+    first = first.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    first = materialise(possible(first), "pairs-1")
+
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         one = texts.select(c("node").alias("x"), c("text").alias("text_a"))
         other = texts.select(c("node").alias("y"), c("text").alias("text_b"))
@@ -258,30 +291,24 @@ def linked(docs: DataFrame, size: int = 5, percent: int = 80, side: int = 8, row
     links = confirmed(first, "links-1")
     comp = materialise(components(links, nodes.select("node"), "round-1"), "comp-1")
     # Where a bucket's members are still apart: those outside its largest component against all its others.
-    placed = bucket.select("key", "node").join(comp, "node")
+    placed = bucket.join(comp, "node")
     counts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     open_ = materialise(placed.join(main.select(c("key").alias("k"), "main"), c("key") == c("k")).drop("k").join(facts, "node"), "open")
-    outside = open_.filter("comp <> main").select(*[c(x).alias(f"{x}_") for x in ("key", "node", "comp", "n", "sa", "sb")])
-    second = outside.join(open_, (c("key_") == c("key")) & (c("comp_") != c("comp")) & _like("n_", "sa_", "sb_", "n", "sa", "sb", percent))
+    open_ = open_.join(nodes.select("node", "bands"), "node")
+    outside = open_.filter("comp <> main").select(*[c(x).alias(f"{x}_") for x in ("key", "comp", "bands", *facts.columns)])
+    # a pair comes up once: in the first of the tables it shares
+    once = c("table") == _first_shared(0, side) * side + _first_shared(side, side)
+    second = outside.join(open_, (c("key_") == c("key")) & (c("comp_") != c("comp")) & once & _can_link("_", "", percent))
     second = second.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
     second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs-2")
-    more = confirmed(second, "links-2")
-    comp = materialise(components(links.union(more), nodes.select("node"), "round-2"), "comp-2")
+    if not second.isEmpty():
+        more = confirmed(second, "links-2")
+        comp = materialise(components(links.union(more), nodes.select("node"), "round-2"), "comp-2")
     named = nodes.select(c("node").alias("set_a"), "set_b").join(comp, c("set_a") == c("node")).select(*by_set, c("comp").alias("group"))
     return signed.select("doc_id", "ca", "cb", "n_shingles", *by_set).join(named, by_set, "left").drop(*by_set)
 
 
-FAR = 40
-
-
-def _like(n1, sa1, sb1, n2, sa2, sb2, percent: int) -> Column:
-    c = F.col
-    sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
-    bits = F.bit_count(c(sa1).bitwiseXOR(c(sa2))) + F.bit_count(c(sb1).bitwiseXOR(c(sb2)))
-    return sizes & (bits <= FAR)
-
-
 def cluster(docs: DataFrame, size: int = 5, percent: int = 80, side: int = 8, rows: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
