@@ -135,11 +135,11 @@ class Automata:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
-        """(language or und, score, bits a character) of whole texts."""
+        """(language or und, score, bits a character) of whole texts. Bits leave the first phrase out, which any text needs."""
         out: list[tuple[str, float, float | None]] = [("und", 0.0, None)] * len(texts)
         if not self.langs:
             return out
-        at, pending, size = 0, [], 0
+        pending, size = [], 0
         for i, text in enumerate(texts):
             s = self.encode((text or "").lower())
             if (s != GAP).any():
@@ -162,8 +162,9 @@ class Automata:
         best = bits.argmin(axis=0)
         weight = 2.0 ** (-SHARPNESS * (bits - bits.min(axis=0)))
         score = weight.max(axis=0) / weight.sum(axis=0)
-        for j, (i, _) in enumerate(pending):
-            out[i] = (self.langs[best[j]], float(score[j]), float(bits[best[j], j]))
+        for j, (i, s) in enumerate(pending):
+            beyond = (total[best[j], j] - 1) * self.log_size[best[j]] / len(s)
+            out[i] = (self.langs[best[j]], float(score[j]), float(beyond))
 
 
 _READY: dict[int, Automata] = {}  # one per worker process: built once from the broadcast sample
