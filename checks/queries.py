@@ -393,7 +393,7 @@ def export_sections(spark, sf_dir):
 
 def join_chunks(spark, sf_dir):
     m = I.table(spark, sf_dir, "conversations")
-    return conversation.join_chunks(m, "conv_id", "turn", "text", "\n\n").withColumn("segment", F.col("segment").cast("long"))
+    return conversation.join_chunks(m, "conv_id", "turn", "text", 10_000, "\n\n").withColumn("segment", F.col("segment").cast("long"))
 
 
 def text_guards(spark, sf_dir):

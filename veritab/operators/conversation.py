@@ -231,9 +231,9 @@ def edit_messages(
 
 
 def join_chunks(
-    chunks: DataFrame, message: str, position: str, text: str, separator: str = "", chunks_per_row: int = 10_000
+    chunks: DataFrame, message: str, position: str, text: str, chunks_per_row: int, separator: str = ""
 ) -> DataFrame:
-    """Ordered chunks to text. A message of more than ``chunks_per_row`` positions continues in further segments."""
+    """Ordered chunks to text, in segments of ``chunks_per_row`` positions: the caller says how much one row may hold."""
     segment = F.floor(E.quoted(position) / chunks_per_row).alias("segment")
     joined = F.expr(
         f"listagg(`{text}`, {_sql_text(separator)}) within group (order by `{position}`)"
