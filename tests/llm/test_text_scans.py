@@ -104,7 +104,7 @@ def test_licenses_by_brute_force(spark):
         assert (r.n_words, r.n_base) == (len(w), len(places))
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
-        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert got[1].labels == "cc-by,cc-by-nc-4.0" and got[3].labels == "gpl,gpl-3.0"
     assert got[6].labels == "mit" and got[6].score > 0.8
     assert licenses.scan(df).count() == 10
@@ -115,7 +115,7 @@ ITEM = "which of the following rivers runs through the largest number of countri
 
 
 def test_decontamination(spark):
-    changed = [w if i % 5 else "other" for i, w in enumerate(ITEM)]
+    changed = ["other" if i % 5 == 4 else w for i, w in enumerate(ITEM)]  # 19 of 23 words are left, just over 80 %
     texts = {
         1: "before " + " ".join(ITEM) + " after",
         2: "before " + " ".join(changed) + " after",
