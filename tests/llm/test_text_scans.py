@@ -59,6 +59,26 @@ def test_prose_is_left_alone(text):
     assert pii.disguised(text, pii.find(text)) == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Привет, как дела? Москва и Екатеринбург, в которых живут люди: пять книг, тысяча рублей.",
+        "Καλημέρα κόσμε, τι κάνετε; Ζητώ βιβλία και χάρτες από την Αθήνα, μετά ρωτώ.",
+        "Işık, İstanbul ve Diyarbakır'da nıne fıve ſix sıx seven: dokuz kişi kaldı, о kadar.",
+        "ſix fıve nıne SİX one two three ſeven fıve",
+    ],
+)
+def test_prose_of_other_scripts(text):
+    assert pii.disguised(text, pii.find(text)) == []
+    mail = f"{text} jоhn@exаmple.com {text}"
+    at = len(text) + 1
+    assert pii.disguised(mail, pii.find(mail)) == [(at, 0, at + 16)]
+
+
+def test_rewrite_leaves_other_letters():
+    assert pii.rewrite("вкмт βζηκ nıne ſix SEVEN о ｉ")[0] == "вкмт βζηκ nıne ſix 7 o i"
+
+
 def test_scan_and_redact(spark):
     extra = [(200, "a@b.co and 10.0.0.1, +1 (555) 010-9999", "en", "s", 38, None, None, None), (201, "😀 c@d.org ann(at)e.org", "en", "s", 1, None, None, None)]
     df = docs(spark).union(spark.createDataFrame(extra, docs(spark).schema))

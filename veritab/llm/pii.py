@@ -39,18 +39,25 @@ DIGIT_WORDS = {
     "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+
+
+def _any_case(word: str) -> str:
+    """Just the two cases of each letter: re.IGNORECASE would also take dotless i, long s and the like."""
+    return "".join(f"[{c}{c.upper()}]" for c in word)
+
+
 # by first letter, longest first, so that most words fail on one character
 _DIGIT = "|".join(
-    f"[{a}{a.upper()}](?i:{'|'.join(w[1:] for w in sorted(DIGIT_WORDS, key=len, reverse=True) if w[0] == a)})"
+    f"{_any_case(a)}(?:{'|'.join(_any_case(w[1:]) for w in sorted(DIGIT_WORDS, key=len, reverse=True) if w[0] == a)})"
     for a in sorted({w[0] for w in DIGIT_WORDS})
 )
 # what can be rewritten, in this order
 AT = r"\s*[\[({<]\s*(?:at|arroba|ät)\s*[\])}>]\s*|\s+(?:at|arroba)\s+(?=[A-Za-z0-9-]+(?:\s+(?:dot|punkt|punto|point)\s+|\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]))"
 DOT = r"\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+(?:dot|punkt|punto|point)\s+(?=[A-Za-z0-9])"
 SPELLED = rf"(?<![^\W_])(?:{_DIGIT})(?:[\s,-]{{1,3}}(?:{_DIGIT}))*(?![^\W_])"
-CHARS = f"[{''.join(LOOK_ALIKES)}{INVISIBLE}！-～]"
-REWRITE = re.compile(rf"(?P<at>{AT})|(?P<dot>{DOT})|(?P<plus>(?<![^\W_])plus\s+(?=[0-9]|{_DIGIT}))|(?P<spelled>{SPELLED})|(?P<char>{CHARS})", re.IGNORECASE)
-SPELLED_WORD = re.compile(_DIGIT, re.IGNORECASE)
+CHARS = f"[{''.join(LOOK_ALIKES)}{INVISIBLE}！-～]"  # in this case only: the other case of a look-alike need not be one
+REWRITE = re.compile(rf"(?P<at>(?i:{AT}))|(?P<dot>(?i:{DOT}))|(?P<plus>(?<![^\W_]){_any_case('plus')}\s+(?=[0-9]|{_DIGIT}))|(?P<spelled>{SPELLED})|(?P<char>{CHARS})")
+SPELLED_WORD = re.compile(_DIGIT)
 # cheap looks for anything worth rewriting: a disguise character, a bracketed at or dot, dot words, four digit words in a row
 HINT_CHARS = re.compile(CHARS)
 HINT_BRACKETS = re.compile(r"[\[({<]\s{0,3}(?:at|arroba|ät|dot|punkt|punto|point|\.)\s{0,3}[\])}>]", re.IGNORECASE)
@@ -119,7 +126,7 @@ def rewrite(text: str) -> tuple[str, list[tuple[int, int]], list[bool]]:
                 put(DIGIT_WORDS[w[0].lower()], lo + w.start(), lo + w.end())
         elif m[0] in LOOK_ALIKES:
             put(LOOK_ALIKES[m[0]], lo, hi)
-        elif m[0] not in INVISIBLE:
+        elif "！" <= m[0] <= "～":
             put(chr(ord(m[0]) - 0xFEE0), lo, hi)
         at = hi
     out.extend(text[at:])
