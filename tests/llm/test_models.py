@@ -46,6 +46,48 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(unlabelled).collect()} == {"und"}
 
 
+def many_letters(lang: str, n: int, seed: int) -> str:
+    """Prose of invented words of two letters out of 1,500 Chinese ones; the words differ by language, the letters do not."""
+    words = random.Random(lang)
+    vocabulary = [chr(0x4E00 + words.randrange(1500)) + chr(0x4E00 + words.randrange(1500)) for _ in range(1200)]
+    rng = random.Random(seed)
+    return "".join(vocabulary[int(1200 * rng.random() ** 3)] + ("，" if rng.random() < 0.1 else "") for _ in range(n // 2))
+
+
+CYRILLIC = "старый дом у реки был пуст и люди которые жили рядом были добры к каждому путнику что шёл по дороге мимо них"
+
+
+def test_languages_of_many_letters(spark):
+    data = [(i, many_letters(lang, 400, i), lang) for i in range(160) for lang in [("zh", "yue")[i % 2]]]
+    data += [(1000 + i, " ".join(CYRILLIC.split()[i % 7 :] + CYRILLIC.split()[: i % 7]), "ru") for i in range(20)]
+    data += [(2000 + i, t, lang) for i, t, lang, *_ in rows()[:60]]
+    rng = random.Random(5)
+    junk = ["".join(chr(a + rng.randrange(n)) for _ in range(300)) for a, n in ((0x4E00, 1500), (0xAC00, 9000), (0x430, 32), (97, 26))]
+    data += [(3000 + i, t, None) for i, t in enumerate(junk)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    learn = F.col("doc_id") % 4 < 2
+    got = {r.doc_id: r for r in language.identify(df, learn_from=learn, keep=("doc_id", "lang")).collect()}
+    assert all(r.lang_pred == r.lang for r in got.values() if r.lang)
+    assert {r.doc_id for r in language.keep_known(df, learn_from=learn).collect()} == {i for i in got if i < 3000}
+
+
+def test_rare_letters_by_brute_force():
+    sample = [(lang, [many_letters(lang, 900, 1), many_letters(lang, 900, 2)]) for lang in ("zh", "yue")] + [("ru", [CYRILLIC])]
+    model = language.Automata(sample, symbols=20)
+    segments = [model.encode(many_letters(lang, 60, 7) + CYRILLIC[k : k + 9]) for k in range(20) for lang in ("zh", "yue")]
+    got = model.phrases(segments)
+    for row, (_, pieces) in enumerate(sample):
+        known = "".join(map(chr, model.encode(" ".join(pieces).lower())))
+        for j, s in enumerate(segments):
+            s, at, n = "".join(map(chr, s)), 0, 0
+            while at < len(s):
+                k = 1
+                while at + k < len(s) and s[at : at + k + 1] in known:
+                    k += 1
+                at, n = at + k, n + 1
+            assert got[row, j] == n
+
+
 def brute_components(texts: dict, size: int, percent: int) -> dict:
     sets = {}
     for i, t in texts.items():

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 GAP, UNKNOWN, FIRST = 0, 1, 2  # symbols: anything between words, a letter the labelled text lacks, the letters
 SEGMENT = 2048  # symbols parsed in one go; each segment begins a phrase, which adds one phrase at most
+OWN = 1.5  # times the bits of a language's own text are still that language
 SHARPNESS = 4.0  # of the score: the weight of a language is 2 ** (-SHARPNESS * bits)
 
 
@@ -38,7 +39,11 @@ def labelled_sample(docs: DataFrame, where: Column, per_language: int = 120, cha
 
 
 class Automata:
-    """The languages' suffix automata as one table: row = state, column = symbol, entry = next row's offset or -1."""
+    """The languages' suffix automata as one table: row = state, column = symbol, entry = next row's offset or -1.
+
+    Every letter of the labelled text has a symbol. The most frequent ones, ``symbols`` with the other two, are columns of
+    the table; steps by any other letter are kept as sorted (state, symbol) keys, as a table of them would be mostly empty.
+    """
 
     def __init__(self, sample: list[tuple[str, list[str]]], symbols: int = 64):
         self.langs = [lang for lang, _ in sample]
@@ -48,22 +53,35 @@ class Automata:
             for c in set(text):
                 if c.isalpha():
                     counts[c] = counts.get(c, 0) + text.count(c)
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[: symbols - FIRST]
-        self.width = FIRST + len(letters)
-        self.symbol = np.array([UNKNOWN if chr(c).isalpha() else GAP for c in range(0x110000)], np.uint8)
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
+        self.many = FIRST + len(letters)
+        self.width = min(self.many, symbols)
+        self.symbol = np.array([UNKNOWN if chr(c).isalpha() else GAP for c in range(0x110000)], np.min_scalar_type(self.many))
         for i, c in enumerate(letters):
             self.symbol[ord(c)] = FIRST + i
-        tables, self.roots, self.log_size, at = [], [], [], 0
+        tables, keys, ends, begins, self.roots, self.log_size, at = [], [], [], [], [], [], 0
         for text in texts:
             s = self.encode(text)
-            table = self._automaton(s.tolist())
-            tables.append(np.where(table >= 0, (table + at) * self.width, -1))
+            steps = self._automaton(s.tolist())
+            table = np.full((len(steps), self.width), -1, np.int64)
+            for i, d in enumerate(steps):
+                for c, to in d.items():
+                    if c < self.width:
+                        table[i, c] = (to + at) * self.width
+                    else:
+                        keys.append((i + at) * self.width * self.many + c)
+                        ends.append((to + at) * self.width)
+            tables.append(table)
             self.roots.append(at * self.width)
             self.log_size.append(np.log2(max(2, len(s))))
-            at += len(table)
-        self.next = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
-        # a symbol that no phrase can begin with is a phrase of its own
-        self.begin = np.array([[n if (n := self.next[r + c]) >= 0 else r for c in range(self.width)] for r in self.roots], np.int32)
+            # a symbol that no phrase can begin with is a phrase of its own
+            begins.append([(steps[0].get(c, 0) + at) * self.width for c in range(self.many)])
+            at += len(steps)
+        kind = np.int32 if at * self.width < 2**31 else np.int64
+        self.next = np.concatenate(tables).astype(kind).ravel() if tables else np.zeros(0, kind)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.ends = np.array(keys, np.int64)[order], np.array(ends, kind)[order]
+        self.begin = np.array(begins, kind)
 
     def encode(self, lowered: str) -> np.ndarray:
         s = self.symbol[np.frombuffer(lowered.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -72,7 +90,7 @@ class Automata:
             keep[1:] |= s[:-1] != GAP  # one gap for a run of them
         return s[keep]
 
-    def _automaton(self, s: list[int]) -> np.ndarray:
+    def _automaton(self, s: list[int]) -> list[dict[int, int]]:
         step: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in s:
@@ -104,29 +122,37 @@ class Automata:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        table = np.full((len(step), self.width), -1, np.int64)
-        for i, d in enumerate(step):
-            for c, to in d.items():
-                table[i, c] = to
-        return table
+        return step
+
+    def _step(self, now: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The state after ``now`` by language and segment, -1 if there is none."""
+        if not len(self.keys):
+            return self.next[now + c]
+        to = self.next[now + np.where(c < self.width, c, UNKNOWN)]
+        rare = np.flatnonzero(c >= self.width)
+        if len(rare):
+            key = now[:, rare].astype(np.int64) * self.many + c[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            to[:, rare] = np.where(self.keys[at] == key, self.ends[at], -1)
+        return to
 
     def phrases(self, segments: list[np.ndarray]) -> np.ndarray:
         """Number of phrases, by language and segment. All segments and languages take one step at a time together."""
         order = sorted(range(len(segments)), key=lambda i: -len(segments[i]))
         sizes = np.array([len(segments[i]) for i in order])
         longest, n = int(sizes[0]), len(order)
-        grid = np.zeros((longest, n), np.uint8)
+        grid = np.zeros((longest, n), self.symbol.dtype)
         for j, i in enumerate(order):
             grid[: len(segments[i]), j] = segments[i]
         left = np.searchsorted(-sizes, -np.arange(longest), side="left")  # segments longer than t
         count = np.zeros((len(self.roots), n), np.int32)
-        root = np.array(self.roots, np.int32)[:, None]
+        root = np.array(self.roots, self.next.dtype)[:, None]
         state = np.repeat(root, n, axis=1)
         for t in range(longest):
             k = left[t]
             c = grid[t, :k]
             now = state[:, :k]
-            to = self.next[now + c]
+            to = self._step(now, c)
             miss = to < 0
             count[:, :k] += miss | (now == root)
             state[:, :k] = np.where(miss, self.begin[:, c], to)
@@ -213,6 +239,10 @@ def identify(docs: DataFrame, learn_from: Column | None = None, keep: tuple[str,
     compare without case. Ties go to the language first in code point order. Further columns are dropped unless kept.
     """
     sample = labelled_sample(docs, F.lit(True) if learn_from is None else learn_from, per_language, chars)
+    return _identify(docs, sample, keep)
+
+
+def _identify(docs: DataFrame, sample: list[tuple[str, list[str]]], keep: tuple[str, ...]) -> DataFrame:
     shared = _Sample(docs.sparkSession.sparkContext.broadcast(sample))
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
@@ -220,11 +250,30 @@ def identify(docs: DataFrame, learn_from: Column | None = None, keep: tuple[str,
     return rows.mapInArrow(lambda batches: _predict(batches, shared), f"{fields}, {added}" if fields else added)
 
 
-def keep_known(docs: DataFrame, most_bits: float = 6.0, **how) -> DataFrame:
+def own_bits(sample: list[tuple[str, list[str]]]) -> dict[str, float]:
+    """Bits a character that a language's own text needs: the median of every other piece, parsed with the rest."""
+    out = {}
+    for lang, pieces in sample:
+        if len(pieces) == 1:
+            half = len(pieces[0]) // 2
+            pieces = [pieces[0][:half], pieces[0][half:]]
+        bits = [b for _, _, b in Automata([(lang, pieces[::2])]).predict(pieces[1::2]) if b is not None]
+        if bits:
+            out[lang] = float(np.median(bits))
+    return out
+
+
+def keep_known(docs: DataFrame, most_bits: float = 6.0, learn_from: Column | None = None, per_language: int = 120, chars: int = 250) -> DataFrame:
     """The rows of ``docs`` in a language that was learned: ``und`` goes, and so does text that no language explains.
 
     ``most_bits`` is the cross entropy a character beyond which a text counts as no language; a text of random letters
-    needs about log2(size of the labelled text) / 2 bits or more. The other columns stay as they are.
+    needs about log2(size of the labelled text) / 2 bits or more. Where a language's own text comes near it, as with
+    thousands of letters, the limit is OWN times what that text needs (own_bits). The other columns stay as they are.
     """
-    packed = docs.withColumn("_all", F.struct(*docs.columns))
-    return identify(packed, keep=("_all",), **how).filter((F.col("lang_pred") != "und") & (F.col("bits") <= most_bits)).select("_all.*")
+    sample = labelled_sample(docs, F.lit(True) if learn_from is None else learn_from, per_language, chars)
+    limits = {lang: OWN * bits for lang, bits in own_bits(sample).items() if OWN * bits > most_bits}
+    limit = F.lit(most_bits)
+    for lang, bits in limits.items():
+        limit = F.when(F.col("lang_pred") == lang, bits).otherwise(limit)
+    got = _identify(docs.withColumn("_all", F.struct(*docs.columns)), sample, ("_all",))
+    return got.filter((F.col("lang_pred") != "und") & (F.col("bits") <= limit)).select("_all.*")
