@@ -54,6 +54,30 @@ def test_disguises(text, kind, span):
     assert (kind, span) in found
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("ruf plus vier neun eins fünf eins null fünf sechs sieben acht neun an", "phone", "plus vier neun eins fünf eins null fünf sechs sieben acht neun"),
+        ("PLUS VIER NEUN EINS FÜNF EINS NULL FUENF SECHS SIEBEN ACHT NEUN", "phone", "PLUS VIER NEUN EINS FÜNF EINS NULL FUENF SECHS SIEBEN ACHT NEUN"),
+        ("au plus trois trois six zéro un deux zero un cinq sept huit merci", "phone", "plus trois trois six zéro un deux zero un cinq sept huit"),
+        ("plus vier neun eins fu\u0308nf null null fu\u0308nf eins zwei drei", "phone", "plus vier neun eins fu\u0308nf null null fu\u0308nf eins zwei drei"),
+        ("call +1 555 one two 3456 78 now", "phone", "+1 555 one two 3456 78"),
+        ("call plus four nine 151 2345678 now", "phone", "plus four nine 151 2345678"),
+        ("plus 49 151 2345678", "phone", "plus 49 151 2345678"),
+        ("+one (555) five 010-9999", "phone", "+one (555) five 010-9999"),
+        ("card 4111 one one one one 1111 1111 on file", "card", "4111 one one one one 1111 1111"),
+    ],
+)
+def test_spelled_digits(text, kind, span):
+    found = [(pii.KINDS[k], text[a:b]) for a, k, b in pii.disguised(text, pii.find(text))]
+    assert (kind, span) in found
+
+
+@pytest.mark.parametrize("text", ["[" + "null, " * 15 + "null]", "un homme, 2 un peu plus 3 fois", "one 2 three plus four"])
+def test_digit_words_alone(text):
+    assert pii.disguised(text, pii.find(text)) == []
+
+
 @pytest.mark.parametrize("text", ["look at the house. A dot com is no place", "one two three. Meet at four", "x > y < z (at noon)", "un deux trois quatre cinq", ""])
 def test_prose_is_left_alone(text):
     assert pii.disguised(text, pii.find(text)) == []

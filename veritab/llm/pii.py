@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,11 +34,12 @@ LOOK_ALIKES = dict(
 )
 DIGIT_WORDS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
-    "eight": "8", "nine": "9", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "sechs": "6",
+    "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6",
     "sieben": "7", "acht": "8", "neun": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5",
-    "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "deux": "2", "trois": "3", "quatre": "4",
+    "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4",
     "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
+DIGIT_WORDS |= {unicodedata.normalize("NFD", w): d for w, d in DIGIT_WORDS.items()}  # accents as letters of their own
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 
@@ -58,11 +60,16 @@ SPELLED = rf"(?<![^\W_])(?:{_DIGIT})(?:[\s,-]{{1,3}}(?:{_DIGIT}))*(?![^\W_])"
 CHARS = f"[{''.join(LOOK_ALIKES)}{INVISIBLE}！-～]"  # in this case only: the other case of a look-alike need not be one
 REWRITE = re.compile(rf"(?P<at>(?i:{AT}))|(?P<dot>(?i:{DOT}))|(?P<plus>(?<![^\W_]){_any_case('plus')}\s+(?=[0-9]|{_DIGIT}))|(?P<spelled>{SPELLED})|(?P<char>{CHARS})")
 SPELLED_WORD = re.compile(_DIGIT)
-# cheap looks for anything worth rewriting: a disguise character, a bracketed at or dot, dot words, four digit words in a row
+# cheap looks for anything worth rewriting: a disguise character, a bracketed at or dot, dot words,
+# a digit word or plus beside a digit or another digit word
 HINT_CHARS = re.compile(CHARS)
 HINT_BRACKETS = re.compile(r"[\[({<]\s{0,3}(?:at|arroba|ät|dot|punkt|punto|point|\.)\s{0,3}[\])}>]", re.IGNORECASE)
 HINT_WORDS = re.compile(r"\s(?i:dot|punkt|punto|point)\s")
-HINT_DIGITS = re.compile(rf"[\s,-](?:{_DIGIT})(?:[\s,-]{{1,3}}(?:{_DIGIT})){{2}}(?![^\W_])")
+_BESIDE = r"[\s,().-]{1,3}"
+HINT_DIGITS = re.compile(
+    rf"(?<![^\W_])(?:{_DIGIT})(?={_BESIDE}(?:[0-9+]|{_DIGIT}))|[0-9+](?={_BESIDE}(?:{_DIGIT})(?![^\W_]))|\+(?={_DIGIT})"
+    rf"|(?<![^\W_]){_any_case('plus')}(?=\s+(?:[0-9]|{_DIGIT}))"
+)
 WINDOW = 80  # characters on either side of a rewritten place that can belong to one identifier
 
 
@@ -171,6 +178,8 @@ def disguised(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, i
                 continue  # nothing in it was disguised or left out
             if k == 0 and len(text_[s:e].rpartition(".")[2]) < 2:
                 continue
+            if k == 2 and not NOT_DIGIT.sub("", text_[s:e]).strip("0"):
+                continue  # a row of null, null, null is no card
             # a plain span within it is a part of what was disguised, any other overlap is the plain span seen again
             if all(x >= b or a >= y or (a <= x and y <= b) for x, y in known[k]):
                 found.append((a, k, b))
