@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -181,3 +182,21 @@ def test_decontamination(spark):
     assert decontam.clean(docs(spark), items).count() == len(rows())
     assert decontam.scan(empty(spark), items).count() == 0
     assert decontam.scan(df, items.limit(0)).filter("contaminated").count() == 0
+
+
+def test_every_overlap_of_four_fifths_is_found(spark):
+    item = lambda n: [f"i{n}w{k}" for k in range(n)]
+    items = [(n, " ".join(item(n))) for n in (*range(1, 13), 15, 20, 60)]
+    alike = lambda n, c: any(5 * sum(lo <= x < lo + k for x in c) <= k for k in range(min(13, n), n + 1) for lo in range(n - k + 1))
+    texts, found = [], {}
+    for n, at_most in ((1, 0), (2, 0), (4, 0), (5, 1), (6, 1), (7, 1), (8, 1), (10, 2), (11, 2), (15, 3)):
+        for m in range(at_most + 2):
+            for changed in itertools.combinations(range(n), m):
+                w = ["x" if k in changed else x for k, x in enumerate(item(n))]
+                found[len(texts)] = n if alike(n, changed) else None
+                texts.append((len(texts), " ".join(["before", *w, "after"])))
+    for lo, hi, change in ((0, 13, ()), (20, 39, ()), (47, 60, (50, 55)), (20, 30, ()), (30, 43, (33, 36, 39))):
+        found[len(texts)] = 60 if hi - lo >= 13 and len(change) <= 2 else None
+        texts.append((len(texts), " ".join(["before", *("x" if k in change else f"i60w{k}" for k in range(lo, hi)), "after"])))
+    got = decontam.scan(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_id for r in got} == found

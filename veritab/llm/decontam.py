@@ -2,8 +2,8 @@
 
 A seed is a fixed mask over a stretch of words that ignores some positions, so a changed word there does not matter. Every
 seed at every position of every text is joined with the seeds of the benchmark items. Around a hit the words of text and
-item are compared position by position, and the overlap counts if enough of them agree: substitutions are tolerated
-anywhere. The comparison runs where the hit is found, on the text's own words, so no text travels.
+item are compared position by position, and the overlap counts if enough of them agree in some stretch that holds the hit:
+substitutions are tolerated anywhere. The comparison runs where the hit is found, on the text's own words, so no text travels.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import content_key, materialise, words
 
-# Masks of weight 5 and span 7. With a word changed in every five, some place of the first has its changed words at the
-# ignored positions; with one in every three, some place of the second has.
-MASKS = ("1101011", "1011011")
-WINDOW = 24  # words compared around a hit; an item with fewer is compared whole
+# With 80 % of its words equal, a stretch of 6 words or more has three in a row, and one of 5 has them or only its middle word
+# changed. The masks of span 7 are the ones that the SQL has; items of one and two words have masks of their own.
+MASKS = ("1101011", "1011011", "11011", "111")
+WINDOW = 24  # words compared at most; an item with fewer is compared whole
+RUN = 13  # words compared at least, in items that have more
 LEAST = 0.8  # share of them that must agree
 FEW_SEEDS = 500_000  # benchmark seeds up to which their table is broadcast (some 100 MB)
 
@@ -25,8 +26,9 @@ def word_hashes(text):
 
 
 def seeds(w, at, masks=MASKS):
-    """One hash per mask over the words it picks from this place on; the mask is part of the hash."""
-    return F.array(*[F.xxhash64(F.lit(m), *[F.get(w, at + i) for i, bit in enumerate(m) if bit == "1"]) for m in masks])
+    """One hash per mask over the words it picks from this place on, null without room; the mask is part of the hash."""
+    hashed = lambda m: F.xxhash64(F.lit(m), *[F.get(w, at + i) for i, bit in enumerate(m) if bit == "1"])
+    return F.array(*[F.when(at + len(m) <= F.size(w), hashed(m)) for m in masks])
 
 
 def seeded(rows: DataFrame, w: str, at: str, seed: str, masks=MASKS) -> DataFrame:
@@ -35,50 +37,63 @@ def seeded(rows: DataFrame, w: str, at: str, seed: str, masks=MASKS) -> DataFram
     A row without room stays once with a null seed, which joins with nothing: for a plain explode the optimizer would
     compute the words once more to filter such rows.
     """
-    span = max(map(len, masks))
+    span = min(map(len, masks))
     places = F.when(F.size(w) >= span, F.sequence(F.lit(0), F.size(w) - span))
     rows = rows.select("*", F.explode_outer(places).alias(at))
     return rows.select("*", F.explode_outer(F.when(F.col(at).isNotNull(), seeds(F.col(w), F.col(at), masks))).alias(seed))
 
 
-def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW, least: float = LEAST) -> DataFrame:
-    """(key, item, start, compared, equal): verified overlaps, once per text, item, and start of the compared words.
+def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW, least: float = LEAST, run: int = RUN) -> DataFrame:
+    """(key, item, start, compared, equal): the longest verified overlap around each hit and its equal words.
 
     Words are compared by their 64-bit hashes.
     """
-    s = items.select(F.col("item_id").alias("item"), word_hashes(F.col("text")).alias("item_words"))
-    s = seeded(s, "item_words", "at", "item_seed", masks).filter("item_seed IS NOT NULL")
+    v = items.select(F.col("item_id").alias("item"), word_hashes(F.col("text")).alias("item_words"))
+    s = seeded(v.filter(F.size("item_words") > 2), "item_words", "at", "item_seed", masks)
+    for r in v.filter(F.size("item_words").isin(1, 2)).select(F.size("item_words").alias("n")).distinct().collect():
+        s = s.union(seeded(v.filter(F.size("item_words") == r.n), "item_words", "at", "item_seed", ("1" * r.n,)))
+        masks = (*masks, "1" * r.n)
+    s = s.filter("item_seed IS NOT NULL")
     s = F.broadcast(s) if s.count() <= FEW_SEEDS else s
     rows = docs.select(content_key("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("w"))
     hit = seeded(rows, "w", "pos", "seed", masks).join(s, F.col("seed") == F.col("item_seed"))
-    # the window of the item around the hit, and the same stretch of the text
+    # the words of the item that can share a stretch with the hit, and the same stretch of the text
     n = F.size("item_words")
     width = F.least(n, F.lit(window))
-    lo = F.greatest(F.lit(0), F.least(F.col("at") - window // 2 + 2, n - width))
-    hit = hit.select("*", lo.alias("lo"), width.alias("compared"), (F.col("pos") - F.col("at") + lo).alias("start"))
-    offsets = F.sequence(F.lit(0), F.col("compared") - 1)
-    same = lambda i: (F.col("start") + i >= 0) & (F.get("w", F.col("start") + i) == F.get("item_words", F.col("lo") + i))
-    # counted in the aggregate, so that the comparison is not drawn into the join and the join stays compiled
-    hit = hit.groupBy("key", "item", "start", "compared").agg(F.max(F.size(F.filter(offsets, same))).alias("equal"))
-    return hit.filter(F.col("equal") >= F.ceil(F.col("compared") * least))
+    lo, hi = F.greatest(F.lit(0), F.col("at") - width + 1), F.least(n, F.col("at") + width)
+    hit = hit.select("*", lo.alias("lo"), hi.alias("hi"), width.alias("width"), (F.col("pos") - F.col("at")).alias("shift"))
+    at = lambda i: F.col("shift") + i
+    same = lambda i: (at(i) >= 0) & F.coalesce(F.get("w", at(i)) == F.get("item_words", i), F.lit(False))
+    # compared in the aggregate, so that the comparison is not drawn into the join and the join stays compiled
+    equal = F.transform(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: same(i).cast("int"))
+    hit = hit.groupBy("key", "item", "shift", "lo", "width").agg(F.max(equal).alias("same"))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+    shortest = F.least(F.lit(run), F.col("width"))
+    hit = hit.filter(total(F.col("same")) >= F.ceil(shortest * least))
+    upto = F.transform(F.sequence(F.lit(0), F.size("same")), lambda k: total(F.slice("same", F.lit(1), k)))
+    hit = hit.withColumn("upto", upto)
+    stretch = lambda k, a: F.struct(k.alias("compared"), (F.get("upto", a + k) - F.get("upto", a)).alias("equal"), (F.col("shift") + F.col("lo") + a).alias("start"))
+    every = F.flatten(F.transform(F.sequence(shortest, F.col("width")), lambda k: F.transform(F.sequence(F.lit(0), F.size("same") - k), lambda a: stretch(k, a))))
+    longest = F.array_max(F.filter(every, lambda x: x["equal"] >= F.ceil(x["compared"] * least)))
+    return hit.select("key", "item", longest.alias("best")).filter("best IS NOT NULL").select("key", "item", "best.start", "best.compared", "best.equal")
 
 
 ADDED = ("contaminated", "n_items", "item_id", "overlap")
 
 
-def scan(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] | None = None, masks=MASKS, window: int = WINDOW, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] | None = None, masks=MASKS, window: int = WINDOW, least: float = LEAST, run: int = RUN) -> DataFrame:
     """``docs`` (or its columns ``keep``) with contaminated, n_items, item_id and overlap.
 
-    ``items`` has item_id and text. A text is contaminated if some stretch of ``window`` words of an item (the whole item
-    if shorter), around a common seed, agrees with it in at least ``least`` of its words. ``n_items`` counts such items,
-    ``item_id`` is the one with the largest overlap (share of equal words; ties: the smallest id). Words compare without
-    case. Null, empty and very short texts are clean; items of fewer than seven words are not searched. Repeated rows
+    ``items`` has item_id and text. A text is contaminated if some stretch of ``run`` to ``window`` words of an item (the
+    whole item if shorter) agrees with it in at least ``least`` of its words. ``n_items`` counts such items, ``item_id`` is
+    the one with the largest overlap (share of equal words in the longest such stretch; ties: the smallest id). Words
+    compare without case. Null and empty texts are clean. The masks find all stretches at 80 % or more. Repeated rows
     each get the full result. Columns of ``docs`` with one of these names are replaced.
     """
     keep = [c for c in docs.columns if c not in ADDED] if keep is None else list(keep)
-    found = materialise(overlaps(docs, items, masks, window, least), "overlaps")
+    found = materialise(overlaps(docs, items, masks, window, least, run), "overlaps")
     share = F.col("equal") / F.col("compared")
-    best = found.groupBy("key", "item").agg(F.max(share).alias("overlap"))
+    best = found.groupBy("key", "item").agg(F.max(F.struct("compared", share.alias("overlap")))["overlap"].alias("overlap"))
     best = best.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.max("overlap").alias("overlap"),
