@@ -1,5 +1,7 @@
 """Rows that every operator has to stand: nulls in any column, empty and long texts, repeats, further columns."""
 
+from pyspark.sql import functions as F
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, label int"
 PROSE = {
     "en": "the house by the river was old and the people who lived there were kind to every stranger that came along the road",
@@ -34,5 +36,14 @@ def docs(spark):
     return spark.createDataFrame(rows(), SCHEMA)
 
 
+CLASHES = ("key", "first", "kept", "_key", "_source", "_all", "ca", "cb", "of", "w", "seed", "n", "word", "lang_pred", "a.b")
+
+
+def clashing(spark):
+    """The same rows with columns named as the operators name theirs."""
+    df = docs(spark)
+    return df.select("*", *[F.lit(f"my {x}").alias(x) for x in CLASHES])
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)

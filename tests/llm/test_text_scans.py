@@ -5,9 +5,9 @@ import re
 
 import pytest
 
-from veritab.llm import decontam, licenses, pii
+from veritab.llm import decontam, language, licenses, mixing, neardup, pii
 
-from .edges import docs, empty, rows
+from .edges import CLASHES, clashing, docs, empty, rows
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
@@ -198,5 +198,20 @@ def test_every_overlap_of_four_fifths_is_found(spark):
     for lo, hi, change in ((0, 13, ()), (20, 39, ()), (47, 60, (50, 55)), (20, 30, ()), (30, 43, (33, 36, 39))):
         found[len(texts)] = 60 if hi - lo >= 13 and len(change) <= 2 else None
         texts.append((len(texts), " ".join(["before", *("x" if k in change else f"i60w{k}" for k in range(lo, hi)), "after"])))
-    got = decontam.scan(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    df, of = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.scan(df, of).collect()
     assert {r.doc_id: r.item_id for r in got} == found
+    shuffled = decontam.scan(df, of, broadcast_bytes=0)
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, got))
+
+
+def test_clashing_names(spark):
+    """Columns named as the operators name theirs stay as they are."""
+    df = clashing(spark)
+    items = spark.createDataFrame([(7, " ".join(ITEM), "k")], "item_id long, text string, key string")
+    outs = [decontam.scan(df, items), decontam.clean(df, items), mixing.mix(df), neardup.dedupe(df), pii.redact(df), language.keep_known(df)]
+    outs.append(licenses.scan(df, keep=("doc_id", *CLASHES)))
+    for out in outs:
+        r = out.first().asDict()
+        assert all(r[x] == f"my {x}" for x in CLASHES)
+    assert decontam.clean(df, items).columns == df.columns

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import content_key, materialise, words
+from .common import content_key, materialise, quoted, words
 
 # With 80 % of its words equal, a stretch of 6 words or more has three in a row, and one of 5 has them or only its middle word
 # changed. The masks of span 7 are the ones that the SQL has; items of one and two words have masks of their own.
@@ -18,7 +18,7 @@ MASKS = ("1101011", "1011011", "11011", "111")
 WINDOW = 24  # words compared at most; an item with fewer is compared whole
 RUN = 13  # words compared at least, in items that have more
 LEAST = 0.8  # share of them that must agree
-FEW_SEEDS = 500_000  # benchmark seeds up to which their table is broadcast (some 100 MB)
+BROADCAST_BYTES = 64_000_000  # of benchmark seeds with their stretch of words; beyond, seeds are joined by shuffling
 
 
 def word_hashes(text):
@@ -43,65 +43,84 @@ def seeded(rows: DataFrame, w: str, at: str, seed: str, masks=MASKS) -> DataFram
     return rows.select("*", F.explode_outer(F.when(F.col(at).isNotNull(), seeds(F.col(w), F.col(at), masks))).alias(seed))
 
 
-def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW, least: float = LEAST, run: int = RUN) -> DataFrame:
-    """(key, item, start, compared, equal): the longest verified overlap around each hit and its equal words.
-
-    Words are compared by their 64-bit hashes.
-    """
-    v = items.select(F.col("item_id").alias("item"), word_hashes(F.col("text")).alias("item_words"))
-    s = seeded(v.filter(F.size("item_words") > 2), "item_words", "at", "item_seed", masks)
-    for r in v.filter(F.size("item_words").isin(1, 2)).select(F.size("item_words").alias("n")).distinct().collect():
-        s = s.union(seeded(v.filter(F.size("item_words") == r.n), "item_words", "at", "item_seed", ("1" * r.n,)))
+def _item_seeds(items: DataFrame, masks, window: int) -> tuple[DataFrame, tuple[str, ...]]:
+    """(item, row, item_seed, at, lo, width, stretch): each seed with the words of its item that can share a stretch with
+    it, and the masks in use. ``row`` tells items of equal id apart by their words."""
+    v = items.select(F.col("item_id").alias("item"), word_hashes(F.col("text")).alias("v"))
+    s = seeded(v.filter(F.size("v") > 2), "v", "at", "item_seed", masks)
+    for r in v.filter(F.size("v").isin(1, 2)).select(F.size("v").alias("n")).distinct().collect():
+        s = s.union(seeded(v.filter(F.size("v") == r.n), "v", "at", "item_seed", ("1" * r.n,)))
         masks = (*masks, "1" * r.n)
-    s = s.filter("item_seed IS NOT NULL")
-    s = F.broadcast(s) if s.count() <= FEW_SEEDS else s
-    rows = docs.select(content_key("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("w"))
-    hit = seeded(rows, "w", "pos", "seed", masks).join(s, F.col("seed") == F.col("item_seed"))
-    # the words of the item that can share a stretch with the hit, and the same stretch of the text
-    n = F.size("item_words")
+    n = F.size("v")
     width = F.least(n, F.lit(window))
     lo, hi = F.greatest(F.lit(0), F.col("at") - width + 1), F.least(n, F.col("at") + width)
-    hit = hit.select("*", lo.alias("lo"), hi.alias("hi"), width.alias("width"), (F.col("pos") - F.col("at")).alias("shift"))
-    at = lambda i: F.col("shift") + i
-    same = lambda i: (at(i) >= 0) & F.coalesce(F.get("w", at(i)) == F.get("item_words", i), F.lit(False))
+    s = s.filter("item_seed IS NOT NULL").withColumn("lo", lo)
+    return s.select("item", F.xxhash64("v").alias("row"), "item_seed", "at", "lo", width.alias("width"), F.slice("v", F.col("lo") + 1, hi - F.col("lo")).alias("stretch")), masks
+
+
+def overlaps(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = WINDOW, least: float = LEAST, run: int = RUN, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(key, item, start, compared, equal): the longest stretch around each hit that passes, and its equal words.
+
+    Of equally long stretches the one with most equal words counts, then the last. Words are compared by their 64-bit
+    hashes. Seeds meet by broadcast while the items' seeds are few bytes; beyond, narrow seeds are shuffled and only texts
+    with a hit are looked up again.
+    """
+    s, masks = _item_seeds(items, masks, window)
+    s = materialise(s, "item-seeds")
+    size = s.agg(F.coalesce(F.sum(F.size("stretch") * 8 + 64), F.lit(0))).first()[0]
+    rows = docs.select(content_key("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("w"))
+    from_text = F.col("pos") - F.col("at") + F.col("lo")
+    if size <= broadcast_bytes:
+        hit = seeded(rows, "w", "pos", "seed", masks).join(F.broadcast(s), F.col("seed") == F.col("item_seed"))
+    else:
+        # the same few columns on both sides, one row per alignment, then the words of the texts that have one
+        met = seeded(rows, "w", "pos", "seed", masks).select("key", "pos", "seed").join(s.select("item", "row", "item_seed", "at", "lo"), F.col("seed") == F.col("item_seed"))
+        met = met.select("item", "row", "lo", F.col("key").alias("k"), (F.col("pos") - F.col("at")).alias("shift")).distinct()
+        full = s.groupBy(F.col("item").alias("i"), F.col("row").alias("r"), F.col("lo").alias("l")).agg(F.min("at").alias("at"), F.first("width").alias("width"), F.max_by("stretch", F.size("stretch")).alias("stretch"))
+        met = met.join(full, F.col("item").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")) & (F.col("lo") == F.col("l")))
+        hit = rows.join(met, F.col("key") == F.col("k")).withColumn("pos", F.col("shift") + F.col("at"))
     # compared in the aggregate, so that the comparison is not drawn into the join and the join stays compiled
-    equal = F.transform(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: same(i).cast("int"))
-    hit = hit.groupBy("key", "item", "shift", "lo", "width").agg(F.max(equal).alias("same"))
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+    there = lambda x, i: (from_text + i >= 0) & F.coalesce(F.get("w", from_text + i) == x, F.lit(False))
+    same = F.transform("stretch", lambda x, i: there(x, i).cast("int"))
+    hit = hit.groupBy("key", "item", "row", (F.col("pos") - F.col("at")).alias("shift"), "lo", "width").agg(F.max(same).alias("same"))
+    total = F.aggregate("same", F.lit(0), lambda a, b: a + b)
     shortest = F.least(F.lit(run), F.col("width"))
-    hit = hit.filter(total(F.col("same")) >= F.ceil(shortest * least))
-    upto = F.transform(F.sequence(F.lit(0), F.size("same")), lambda k: total(F.slice("same", F.lit(1), k)))
-    hit = hit.withColumn("upto", upto)
-    stretch = lambda k, a: F.struct(k.alias("compared"), (F.get("upto", a + k) - F.get("upto", a)).alias("equal"), (F.col("shift") + F.col("lo") + a).alias("start"))
-    every = F.flatten(F.transform(F.sequence(shortest, F.col("width")), lambda k: F.transform(F.sequence(F.lit(0), F.size("same") - k), lambda a: stretch(k, a))))
-    longest = F.array_max(F.filter(every, lambda x: x["equal"] >= F.ceil(x["compared"] * least)))
-    return hit.select("key", "item", longest.alias("best")).filter("best IS NOT NULL").select("key", "item", "best.start", "best.compared", "best.equal")
+    hit = hit.filter(total >= F.ceil(shortest * least))
+    # running sums in one fold, written before they are read many times: an expression would be made anew for each reading
+    upto = F.aggregate("same", F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
+    hit = materialise(hit.select("key", "item", (F.col("shift") + F.col("lo")).alias("from"), "width", upto.alias("upto")), "hits")
+    hit = hit.select("*", F.explode(F.sequence(F.least(F.lit(run), F.col("width")), "width")).alias("compared"))
+    equal = F.transform(F.sequence(F.lit(0), F.size("upto") - 1 - F.col("compared")), lambda a: F.struct((F.get("upto", a + F.col("compared")) - F.get("upto", a)).alias("equal"), (F.col("from") + a).alias("start")))
+    hit = hit.select("key", "item", "compared", F.array_max(equal).alias("best")).filter(F.col("best.equal") >= F.ceil(F.col("compared") * least))
+    best = hit.groupBy("key", "item").agg(F.max(F.struct("compared", "best")).alias("b"))
+    return best.select("key", "item", "b.best.start", "b.compared", "b.best.equal")
 
 
 ADDED = ("contaminated", "n_items", "item_id", "overlap")
 
 
-def scan(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] | None = None, masks=MASKS, window: int = WINDOW, least: float = LEAST, run: int = RUN) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] | None = None, **how) -> DataFrame:
     """``docs`` (or its columns ``keep``) with contaminated, n_items, item_id and overlap.
 
     ``items`` has item_id and text. A text is contaminated if some stretch of ``run`` to ``window`` words of an item (the
     whole item if shorter) agrees with it in at least ``least`` of its words. ``n_items`` counts such items, ``item_id`` is
-    the one with the largest overlap (share of equal words in the longest such stretch; ties: the smallest id). Words
-    compare without case. Null and empty texts are clean. The masks find all stretches at 80 % or more. Repeated rows
-    each get the full result. Columns of ``docs`` with one of these names are replaced.
+    the one with the largest overlap (ties: the smallest id). The overlap of an item is the share of equal words in the
+    longest stretch that passes, so a verbatim quote with other words around it may have less than 1: 13 quoted words
+    make a stretch of 16 with 13 equal. Words compare without case. Null and empty texts are clean. The masks find all
+    stretches at 80 % or more. Repeated rows each get the full result. Columns of ``docs`` with one of these names are
+    replaced; any other name is kept. ``how`` goes to ``overlaps``.
     """
     keep = [c for c in docs.columns if c not in ADDED] if keep is None else list(keep)
-    found = materialise(overlaps(docs, items, masks, window, least, run), "overlaps")
-    share = F.col("equal") / F.col("compared")
-    best = found.groupBy("key", "item").agg(F.max(F.struct("compared", share.alias("overlap")))["overlap"].alias("overlap"))
-    best = best.groupBy("key").agg(
+    found = overlaps(docs, items, **how)
+    best = found.select("key", "item", (F.col("equal") / F.col("compared")).alias("overlap")).groupBy("key").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.max("overlap").alias("overlap"),
         F.min_by("item", F.struct((-F.col("overlap")).alias("o"), "item")).alias("first"),
     )
-    rows = docs.select(*keep, content_key("doc_id", "text").alias("_key")).join(best, F.col("_key") == F.col("key"), "left")
+    rows = docs.select(F.struct(*[quoted(c) for c in keep]).alias("kept"), content_key("doc_id", "text").alias("of"))
+    rows = rows.join(best, F.col("of") == F.col("key"), "left")
     return rows.select(
-        *keep,
+        "kept.*",
         F.col("key").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.col("first").alias("item_id"),
@@ -111,25 +130,24 @@ def scan(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] | None = None,
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged."""
-    return scan(docs.withColumn("_all", F.struct(*docs.columns)), items, keep=("_all",), **how).filter("NOT contaminated").select("_all.*")
+    packed = docs.select("doc_id", "text", F.struct(*[quoted(c) for c in docs.columns]).alias("all"))
+    return scan(packed, items, keep=("all",), **how).filter("NOT contaminated").select("all.*")
 
 
+# Brute force: every alignment of every text with every item, every stretch of it.
 SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w
-  FROM documents WHERE text IS NOT NULL),
-b AS (SELECT item_id AS item, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS v
-  FROM benchmark WHERE text IS NOT NULL),
-dp AS (SELECT doc_id, w, unnest(range(0, len(w) - 6)) AS p FROM d),
-bp AS (SELECT item, v, unnest(range(0, len(v) - 6)) AS p FROM b),
-ds AS (SELECT doc_id, w, p, 1 AS mask, concat_ws(' ', w[p + 1], w[p + 2], w[p + 4], w[p + 6], w[p + 7]) AS seed FROM dp
-  UNION ALL SELECT doc_id, w, p, 2, concat_ws(' ', w[p + 1], w[p + 3], w[p + 4], w[p + 6], w[p + 7]) FROM dp),
-bs AS (SELECT item, v, p, 1 AS mask, concat_ws(' ', v[p + 1], v[p + 2], v[p + 4], v[p + 6], v[p + 7]) AS seed FROM bp
-  UNION ALL SELECT item, v, p, 2, concat_ws(' ', v[p + 1], v[p + 3], v[p + 4], v[p + 6], v[p + 7]) FROM bp),
-h AS (SELECT DISTINCT ds.doc_id, bs.item, ds.w, bs.v, greatest(0, least(bs.p - 10, len(bs.v) - least(len(bs.v), 24))) AS lo, ds.p - bs.p AS shift
-  FROM ds JOIN bs USING (mask, seed)),
-e AS (SELECT doc_id, item, least(len(v), 24) AS compared,
-  len(list_filter(range(lo, lo + least(len(v), 24)), lambda i: shift + i >= 0 AND shift + i < len(w) AND w[shift + i + 1] = v[i + 1])) AS equal FROM h),
-m AS (SELECT doc_id, item, max(equal / compared) AS overlap FROM e WHERE equal >= ceil(compared * 0.8) GROUP BY doc_id, item),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id AS item, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS v FROM benchmark WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+bw AS (SELECT item, len(v) AS n, unnest(v) AS word, unnest(range(0, len(v))) AS i FROM b),
+a AS (SELECT doc_id, item, n, p - i AS shift, list(i) AS same FROM dw JOIN bw USING (word) GROUP BY doc_id, item, n, p - i
+  HAVING count(*) >= ceil(least(n, 13) * 0.8)),
+k AS (SELECT *, unnest(range(least(n, 13), least(n, 24) + 1)) AS compared FROM a),
+s AS (SELECT *, unnest(range(0, n - compared + 1)) AS lo FROM k),
+e AS (SELECT doc_id, item, compared, len(list_filter(same, lambda x: x >= lo AND x < lo + compared)) AS equal FROM s),
+l AS (SELECT doc_id, item, max(compared) AS longest FROM e WHERE equal >= ceil(compared * 0.8) GROUP BY doc_id, item),
+m AS (SELECT e.doc_id, e.item, max(e.equal / e.compared) AS overlap FROM e JOIN l ON e.doc_id = l.doc_id AND e.item = l.item AND e.compared = l.longest
+  WHERE e.equal >= ceil(e.compared * 0.8) GROUP BY e.doc_id, e.item),
 r AS (SELECT doc_id, count(*) AS n_items, max(overlap) AS overlap, arg_min(item, (-overlap, item)) AS item_id FROM m GROUP BY doc_id)
 SELECT d.doc_id, r.doc_id IS NOT NULL AS contaminated, coalesce(r.n_items, 0) AS n_items, r.item_id, coalesce(r.overlap, 0.0) AS overlap
 FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id

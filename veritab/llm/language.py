@@ -13,8 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from .common import quoted
+
 GAP, UNKNOWN, FIRST = 0, 1, 2  # symbols: anything between words, a letter the labelled text lacks, the letters
 SEGMENT = 2048  # symbols parsed in one go; each segment begins a phrase, which adds one phrase at most
 OWN = 1.5  # times the bits of a language's own text are still that language
@@ -245,9 +248,9 @@ def identify(docs: DataFrame, learn_from: Column | None = None, keep: tuple[str,
 def _identify(docs: DataFrame, sample: list[tuple[str, list[str]]], keep: tuple[str, ...]) -> DataFrame:
     shared = _Sample(docs.sparkSession.sparkContext.broadcast(sample))
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    added = "lang_pred string, score double, bits double"
-    return rows.mapInArrow(lambda batches: _predict(batches, shared), f"{fields}, {added}" if fields else added)
+    fields = [f for f in rows.schema if f.name != "text"]
+    added = StructType.fromDDL("lang_pred string, score double, bits double")
+    return rows.mapInArrow(lambda batches: _predict(batches, shared), StructType([*fields, *added]))
 
 
 def own_bits(sample: list[tuple[str, list[str]]]) -> dict[str, float]:
@@ -275,5 +278,5 @@ def keep_known(docs: DataFrame, most_bits: float = 6.0, learn_from: Column | Non
     limit = F.lit(most_bits)
     for lang, bits in limits.items():
         limit = F.when(F.col("lang_pred") == lang, bits).otherwise(limit)
-    got = _identify(docs.withColumn("_all", F.struct(*docs.columns)), sample, ("_all",))
+    got = _identify(docs.select("text", F.struct(*[quoted(x) for x in docs.columns]).alias("_all")), sample, ("_all",))
     return got.filter((F.col("lang_pred") != "und") & (F.col("bits") <= limit)).select("_all.*")

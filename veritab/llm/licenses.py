@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
-from .common import content_key, lower_ascii, materialise, words
+from .common import content_key, lower_ascii, materialise, quoted, words
 
 # Fixed: ASCII letters and digits and everything beyond ASCII form words; in texts that are not lower-cased yet.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -125,6 +125,6 @@ def scan(docs: DataFrame, templates=None, keep: tuple[str, ...] = ("doc_id",), k
         F.max("cover").alias("score"),
     )
     n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(*keep, content_key("doc_id", "text").alias("_key"), n_words.alias("n_words"))
-    rows = rows.join(by_doc, F.col("_key") == F.col("key"), "left").drop("_key", "key")
-    return rows.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})
+    rows = docs.select(F.struct(*[quoted(x) for x in keep]).alias("kept"), content_key("doc_id", "text").alias("of"), n_words.alias("n_words"))
+    rows = rows.join(by_doc, F.col("of") == F.col("key"), "left").fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})
+    return rows.select("kept.*", *ADDED)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, materialise
+from .common import WORD, materialise, quoted
 
 ADDED = ("size", "source_size", "target", "taken")
 
@@ -96,23 +96,22 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, s
     falls on them they share what is left evenly, so a source may get fewer words than its budget by their number at
     most. A source without words takes nothing. An empty table gives an empty result. Reruns give the same rows.
     """
-    docs = docs.drop(*ADDED)
+    names = [x for x in docs.columns if x not in ADDED]
     p = materialise(plan(docs, weights, share, most, seed), "mix-plan")
-    p = p.select(*[F.col(c).alias(f"_{c}") for c in p.columns])
-    rows = docs.withColumns({"size": size_of(F.col("text")), "_key": hash_key(seed)})
-    rows = rows.join(p, F.col("source").eqNullSafe(F.col("_source")))
+    rows = docs.select(F.struct(*[quoted(x) for x in names]).alias("kept"), F.col("source").alias("of"), size_of(F.col("text")).alias("size"), hash_key(seed).alias("key"))
+    rows = rows.join(p, F.col("of").eqNullSafe(F.col("source")))
     last = (
-        F.when(F.col("_cut").isNull(), F.lit(0))
-        .when(F.col("_key") < F.col("_cut"), F.col("size"))
-        .when(F.col("_key") == F.col("_cut"), F.expr("_rest div _copies"))
+        F.when(F.col("cut").isNull(), F.lit(0))
+        .when(F.col("key") < F.col("cut"), F.col("size"))
+        .when(F.col("key") == F.col("cut"), F.expr("rest div copies"))
         .otherwise(F.lit(0))
     )
     return rows.select(
-        *docs.columns,
+        "kept.*",
         "size",
-        F.col("_source_size").cast("long").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_passes") * F.col("size") + last).cast("long").alias("taken"),
+        F.col("source_size").cast("long").alias("source_size"),
+        "target",
+        (F.col("passes") * F.col("size") + last).cast("long").alias("taken"),
     )
 
 

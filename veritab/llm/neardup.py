@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from .common import content_key, materialise
+from .common import content_key, materialise, quoted
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240613)
@@ -236,7 +236,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def signatures(docs: DataFrame, size: int, side: int, rows: int) -> DataFrame:
     """Per row: its names, the number of its shingles, set_a and set_b that name the set, its bands and its sketch."""
-    rows_ = _keyed(docs).select(F.col("doc_id").cast("long"), "ca", "cb", "text")
+    rows_ = _keyed(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "ca", "cb", "text")
     return rows_.mapInArrow(lambda batches: _sign(batches, size, side, rows), SIGNED)
 
 
@@ -337,6 +337,6 @@ def dedupe(docs: DataFrame, size: int = 5, percent: int = 80, **how) -> DataFram
     first = rows.filter("group IS NOT NULL").groupBy("group").agg(F.min(order).alias("o")).select(c("o.ca").alias("x"), c("o.cb").alias("y"))
     wordless = rows.filter("group IS NULL").select(c("ca").alias("x"), c("cb").alias("y")).distinct()
     stay = first.withColumn("one", F.lit(True)).union(wordless.withColumn("one", F.lit(False)))
-    kept = _keyed(docs.withColumn("_all", F.struct(*docs.columns))).select("_all", "ca", "cb").join(stay, (c("ca") == c("x")) & (c("cb") == c("y")))
+    kept = _keyed(docs.select("doc_id", "text", F.struct(*[quoted(x) for x in docs.columns]).alias("_all"))).select("_all", "ca", "cb").join(stay, (c("ca") == c("x")) & (c("cb") == c("y")))
     again = F.row_number().over(W.partitionBy("ca", "cb").orderBy("ca", "cb"))
     return kept.withColumn("again", again).filter("again = 1 OR NOT one").select("_all.*")

@@ -14,6 +14,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
+
+from .common import quoted
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -238,8 +241,8 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     none. Repeated rows give repeated results.
     """
     rows = docs.select(*keep, "text")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(lambda batches: _scan(batches, False), f"{kept}, {SCHEMA}" if kept else SCHEMA)
+    kept = [f for f in rows.schema if f.name != "text"]
+    return rows.mapInArrow(lambda batches: _scan(batches, False), StructType([*kept, *StructType.fromDDL(SCHEMA)]))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -247,9 +250,9 @@ def redact(docs: DataFrame) -> DataFrame:
 
     A null text stays null; other columns stay.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("_all"), "text")
-    kind = packed.schema["_all"].dataType.simpleString()
-    out = packed.mapInArrow(lambda batches: _scan(batches, True), f"_all {kind}, text string, {SCHEMA}, redacted string")
+    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_all"), "text")
+    schema = StructType([packed.schema["_all"], *StructType.fromDDL(f"text string, {SCHEMA}, redacted string")])
+    out = packed.mapInArrow(lambda batches: _scan(batches, True), schema)
     clean = F.when(F.col("text").isNotNull(), F.col("redacted"))
     cols = {c: F.col(f"_all.`{c}`") for c in docs.columns} | {"text": clean}
     if "n_chars" in cols:
