@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, chat, classlm, decontam, language, licenses, mixing, neardup, pii, tokens
+from . import ann, chat, classlm, decontam, divergence, language, licenses, mixing, neardup, pii, quality, spelling, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,23 @@ def op10_prefix_target(spark, sf_dir):
     return chat.digest(chat.format_turns(given.unionByName(added)))
 
 
+def op11_source_divergence(spark, sf_dir):
+    """How far the sources of each language are apart, and by which terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    """Words of all texts with the more frequent spelling that each may stand for."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark, sf_dir):
+    """The quality of every text, learned from the labelled rows that are not held out."""
+    held_out = language.remainder(3) == 1
+    rows = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    return quality.score(rows, table(spark, sf_dir, "labels"), learn_from=~F.col("held_out"), keep=("doc_id", "held_out"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
@@ -100,6 +117,9 @@ QUERIES = {
     "op8_edited_token_counts": op8_edited_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_prefix_target": op10_prefix_target,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
-ORACLES = {"op1_mix_sources": mixing.SQL, "op9_decontaminate": decontam.SQL, "op10_prefix_target": chat.SQL}
+ORACLES = {"op1_mix_sources": mixing.SQL, "op9_decontaminate": decontam.SQL, "op10_prefix_target": chat.SQL, "op11_source_divergence": divergence.SQL}
