@@ -45,7 +45,7 @@ def many_rows(seed, n=300):
     return out + [(None, "en", "a"), ("", "nl", "z"), ("alone", "xx", "only"), (None, None, None)] + out[:5]
 
 
-@pytest.mark.parametrize("least, held", [(30, 400_000), (3, 40), (60, 7)])
+@pytest.mark.parametrize("least, held", [(30, 400_000), (3, 40), (60, 1)])
 def test_source_divergence_by_brute_force(spark, least, held):
     table = many_rows(least)
     df = spark.createDataFrame(table, "text string, lang string, source string").repartition(5)

@@ -4,183 +4,242 @@ Texts are cut at blanks only, and chunks are counted per document. All counts of
 are found once, whatever the number of documents that hold it, and joined to its counts there. Terms are in turn brought
 together by language; those in enough documents are kept.
 
-Documents are counted exactly without listing them: what matters is whether a term has LEAST of them, so a chunk or a term
-carries the ids of fewer than LEAST documents, or the fact that it has as many. Every step streams over sorted rows and holds
-one run's state and a bounded table of sums.
+Documents are counted exactly without listing them all: what matters is whether a term has LEAST of them, so a chunk or a
+term carries LEAST ids of different documents at most. Every step streams over sorted rows; it holds a bounded number of
+counts, summed in arrays.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from .common import materialise
-from .neardup import cut
+from .neardup import CHUNK, cut
 
-TERM = re.compile(rb"[A-Za-z\x80-\xFF]+")  # [^\x00-\x40\x5B-\x60\x7B-\x7F]+ in UTF-8
+# Terms are [^\x00-\x40\x5B-\x60\x7B-\x7F]+, in UTF-8 these bytes; A to Z lower-cased, line ends kept, all else a blank
+LETTERS = {*range(65, 91), *range(97, 123), *range(128, 256)}
+FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if c in LETTERS or c == 10 else 32 for c in range(256))
 LEAST = 30  # documents of a language that keep a term
 ADD, SCALE = 5, 1_000_000_000  # added to counts; p is in parts of SCALE
 TOP = 50  # terms reported of a group
-HELD = 400_000  # sums held by a task before they are passed on
+HELD = 1_500_000  # counts held by a task before they are passed on
 BLOCK, TERMS = 512, 4096  # sources and terms compared at once
 
-CHUNKS = "chunk binary, lang string, source string, n long, docs array<long>"
-TERMS_BY_SOURCE = "lang string, term binary, source string, n long, docs array<long>"
-KEPT = "lang string, term binary, source string, n long"
-
-_ids = pa.list_(pa.int64())
-
-
-def _count_chunks(batches: Iterator[pa.RecordBatch], least: int, held_most: int) -> Iterator[pa.RecordBatch]:
-    """Per task: chunk, lang, source, occurrences, and the documents' ids (null: ``least`` or more)."""
-    held: dict[tuple, dict] = {}
-    size = 0
-
-    def passed_on():
-        for (lang, source), chunks in held.items():
-            n = len(chunks)
-            ids = [e[1] if len(e[1]) < least else None for e in chunks.values()]
-            columns = [pa.array(chunks, pa.binary()), pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string())]
-            columns += [pa.array([e[0] for e in chunks.values()], pa.int64()), pa.array(ids, _ids)]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "source", "n", "docs"])
-        held.clear()
-
+COUNTED = "key binary, lang string, counts binary"
+KEPT = "lang string, term binary, of long, n long"
+
+
+@dataclass
+class Part:
+    """Rows (lang, key) with counts by source, as (row, source, n), and ids of documents, as (row, id)."""
+
+    key: pa.Array
+    lang: pa.Array
+    count: tuple[np.ndarray, np.ndarray, np.ndarray]
+    doc: tuple[np.ndarray, np.ndarray]
+
+    def __len__(self):
+        return len(self.key)
+
+    @classmethod
+    def joined(cls, parts: list["Part"], least: int) -> "Part":
+        """One row for each (lang, key), in the order of their keys' first appearance: counts summed, ``least`` different
+        documents at most."""
+        key = pa.concat_arrays([p.key for p in parts]).dictionary_encode()
+        lang = pa.concat_arrays([p.lang for p in parts]).dictionary_encode()
+        langs = max(1, len(lang.dictionary))
+        named, row = np.unique(key.indices.to_numpy().astype(np.int64) * langs + lang.indices.to_numpy(), return_inverse=True)
+        begin = np.cumsum([0] + [len(p) for p in parts])
+        at = row[np.concatenate([p.count[0] + b for p, b in zip(parts, begin)])]
+        sources, source = np.unique(np.concatenate([p.count[1] for p in parts]), return_inverse=True)
+        both = at * max(1, len(sources)) + source
+        order = np.argsort(both, kind="stable")
+        first = _firsts(both[order])
+        n = np.concatenate([p.count[2] for p in parts])[order]
+        count = (at[order][first], sources[source[order][first]], np.add.reduceat(n, first) if len(first) else n)
+        at = row[np.concatenate([p.doc[0] + b for p, b in zip(parts, begin)])]
+        doc = np.concatenate([p.doc[1] for p in parts])
+        order = np.lexsort((doc, at))
+        at, doc = at[order], doc[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+        at, doc = at[new], doc[new]
+        few = np.arange(len(at)) - np.searchsorted(at, at) < least
+        take = lambda a, i: a.dictionary.take(pa.array(i))
+        return cls(take(key, named // langs), take(lang, named % langs), count, (at[few], doc[few]))
+
+    def split(self, rows: int) -> tuple["Part", "Part"]:
+        """The first ``rows`` rows and the others."""
+        out = []
+        for keep, less in ((slice(0, rows), 0), (slice(rows, len(self)), rows)):
+            inside = [(x[0] < rows) == (less == 0) for x in (self.count, self.doc)]
+            count = (self.count[0][inside[0]] - less, self.count[1][inside[0]], self.count[2][inside[0]])
+            doc = (self.doc[0][inside[1]] - less, self.doc[1][inside[1]])
+            out.append(Part(self.key[keep], self.lang[keep], count, doc))
+        return out[0], out[1]
+
+    def pack(self) -> pa.RecordBatch:
+        """A row's counts and ids as one binary value of 64-bit numbers: how many counts, their sources, their n, the ids."""
+        rows = len(self)
+        counts, docs = np.bincount(self.count[0], minlength=rows), np.bincount(self.doc[0], minlength=rows)
+        at = np.concatenate([[0], np.cumsum(1 + 2 * counts + docs)])
+        out = np.empty(at[-1], np.int64)
+        out[at[:-1]] = counts
+        in_row = np.arange(len(self.count[0])) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = at[self.count[0]] + 1 + in_row
+        out[place] = self.count[1]
+        out[place + counts[self.count[0]]] = self.count[2]
+        in_row = np.arange(len(self.doc[0])) - np.repeat(np.cumsum(docs) - docs, docs)
+        out[at[self.doc[0]] + 1 + 2 * counts[self.doc[0]] + in_row] = self.doc[1]
+        packed = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(at * 8), pa.py_buffer(out)])
+        return pa.RecordBatch.from_arrays([self.key, self.lang, packed.cast(pa.binary())], COUNTED.replace(" binary", "").replace(" string", "").split(", "))
+
+    @classmethod
+    def unpack(cls, batch: pa.RecordBatch) -> "Part":
+        packed = batch.column("counts").cast(pa.large_binary())
+        at = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 8
+        data = np.frombuffer(packed.buffers()[2] or b"", np.int64)
+        counts = data[at[:-1]]
+        docs = np.diff(at) - 1 - 2 * counts
+        row = np.repeat(np.arange(len(packed)), counts)
+        place = at[row] + 1 + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        whose = np.repeat(np.arange(len(packed)), docs)
+        ids = at[whose] + 1 + 2 * counts[whose] + np.arange(len(whose)) - np.repeat(np.cumsum(docs) - docs, docs)
+        return cls(batch.column("key"), batch.column("lang"), (row, data[place], data[place + counts[row]]), (whose, data[ids]))
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Texts, some CHUNK bytes at a time, with the numbers of their rows; a longer text comes in pieces cut at blanks."""
+    text = batch.column("text")
+    upto = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(text):
+        begin = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, begin + CHUNK, side="right")))
+        if hi == lo + 1 and upto[lo] - begin > CHUNK:
+            for piece in cut(text[lo].as_buffer().to_pybytes()):
+                yield np.array([lo]), pa.array([piece], pa.binary())
+        else:
+            yield np.arange(lo, hi), text[lo:hi]
+        lo = hi
+
+
+def _count_chunks(batches: Iterator[pa.RecordBatch], least: int, held: int) -> Iterator[pa.RecordBatch]:
+    """Chunks per document, summed per task."""
+    parts: list[Part] = []
     for batch in batches:
-        for doc, lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "lang", "source", "text"))):
-            chunks = held.setdefault((lang, source), {})
-            before = len(chunks)
-            counted: Counter = Counter()
-            for piece in cut(text):
-                counted.update(piece.split())
-            for chunk, n in counted.items():
-                entry = chunks.get(chunk)
-                if entry is None:
-                    chunks[chunk] = [n, [doc]]
-                else:
-                    entry[0] += n
-                    if len(entry[1]) < least:
-                        entry[1].append(doc)
-            size += len(chunks) - before
-            if size >= held_most:
-                yield from passed_on()
-                size = 0
-    yield from passed_on()
-
-
-def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+        doc, source = batch.column("doc").to_numpy(), batch.column("of").to_numpy()
+        langs = batch.column("lang").dictionary_encode()
+        lang = langs.indices.to_numpy().astype(np.int64)
+        for rows, texts in _pieces(batch):
+            split = pc.ascii_split_whitespace(texts.cast(pa.string(), safe=False) if texts.type != pa.string() else texts)
+            chunks = split.flatten().dictionary_encode()
+            whose = np.repeat(np.arange(len(rows)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+            if len(whose) == 0:
+                continue
+            pairs = np.sort(chunks.indices.to_numpy().astype(np.int64) * len(rows) + whose)
+            first = _firsts(pairs)
+            n = np.diff(np.append(first, len(pairs)))
+            chunk, at = pairs[first] // len(rows), rows[pairs[first] % len(rows)]
+            key, row = np.unique(chunk * len(langs.dictionary) + lang[at], return_inverse=True)
+            parts.append(Part(
+                chunks.dictionary.cast(pa.binary()).take(pa.array(key // len(langs.dictionary))),
+                langs.dictionary.take(pa.array(key % len(langs.dictionary))), (row, source[at], n), (row, doc[at]),
+            ))
+            if sum(len(p.count[0]) for p in parts) >= held:
+                parts = [Part.joined(parts, least)]
+                if len(parts[0].count[0]) >= held // 2:
+                    yield parts.pop().pack()
+    if parts:
+        yield Part.joined(parts, least).pack()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], least: int, held: int) -> Iterator[Part]:
+    """Sorted rows joined by (lang, key). All rows of a key are in one part: the last key waits for the next batches."""
+    parts, size = [], 0
     for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in names))
-
-
-def _join_terms(batches: Iterator[pa.RecordBatch], least: int, held_most: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by chunk, lang: terms with their occurrences by source, and their documents in rows without source."""
-    sums: dict[tuple, int] = {}
-    docs: dict[tuple, set | None] = {}  # None: least documents or more
-    chunk = lang = seen = None
-    terms: Counter = Counter()
-
-    def closed():
-        for t in terms if lang is not None else ():
-            key = (lang, t)
-            if seen is None:
-                docs[key] = None
-            elif key not in docs:
-                docs[key] = set(seen)
-            elif docs[key] is not None:
-                docs[key] |= seen
-                if len(docs[key]) >= least:
-                    docs[key] = None
-
-    def passed_on():
-        keys = [*((a, t, None) for a, t in docs), *sums]
-        counts = [*(0 for _ in docs), *sums.values()]
-        ids = [*(None if s is None else sorted(s) for s in docs.values()), *([] for _ in sums)]
-        a, t, s = zip(*keys)
-        columns = [pa.array(a, pa.string()), pa.array(t, pa.binary()), pa.array(s, pa.string()), pa.array(counts, pa.int64()), pa.array(ids, _ids)]
-        docs.clear()
-        sums.clear()
-        return pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "n", "docs"])
-
-    for c, a, source, n, ids in _rows(batches, "chunk", "lang", "source", "n", "docs"):
-        if c != chunk:
-            closed()
-            if len(sums) + len(docs) >= held_most:
-                yield passed_on()
-            chunk, lang = c, None
-            terms = Counter(TERM.findall(c.lower()))
-        if not terms:
-            continue
-        if a != lang:
-            closed()
-            lang, seen = a, set()
-        for t, m in terms.items():
-            key = (a, t, source)
-            sums[key] = sums.get(key, 0) + n * m
-        if ids is None:
-            seen = None
-        elif seen is not None:
-            seen.update(ids)
-            if len(seen) >= least:
-                seen = None
-    closed()
-    if docs:
-        yield passed_on()
-
-
-def _keep_terms(batches: Iterator[pa.RecordBatch], least: int, held_most: int) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by lang, term, source, null source first: occurrences by source of the terms in enough documents."""
-    out: list[tuple] = []
-    at = seen = None
-    last = None  # lang, term, source, sum
-
-    for lang, term, source, n, ids in _rows(batches, "lang", "term", "source", "n", "docs"):
-        if (lang, term) != at:
-            at, seen = (lang, term), set()
-        if source is None:
-            if ids is None:
-                seen = None
-            elif seen is not None:
-                seen.update(ids)
-                if len(seen) >= least:
-                    seen = None
-        elif seen is None:
-            if last and last[:3] == [lang, term, source]:
-                last[3] += n
-            else:
-                if last:
-                    out.append(tuple(last))
-                last = [lang, term, source, n]
-                if len(out) >= held_most:
-                    yield _kept_batch(out)
-                    out = []
-    if last:
-        out.append(tuple(last))
-    if out:
-        yield _kept_batch(out)
-
-
-def _kept_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.binary(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["lang", "term", "source", "n"])
+        if batch.num_rows:
+            parts.append(Part.unpack(batch))
+            size += len(parts[-1].count[0]) + len(parts[-1].doc[0])
+        if size >= held:
+            part = Part.joined(parts, least)
+            whole = int(np.searchsorted(_appearance(part.key), len(part.key.dictionary_encode().dictionary) - 1))
+            done, last = part.split(whole)
+            if len(done):
+                yield done
+            parts, size = [last], 0
+    if parts:
+        yield Part.joined(parts, least)
+
+
+def _appearance(key: pa.Array) -> np.ndarray:
+    return key.dictionary_encode().indices.to_numpy()
+
+
+def _terms_of(part: Part) -> Part:
+    """The rows of a part's chunks as rows of their terms: each distinct chunk is read once, its terms join all its counts."""
+    keys = part.key.dictionary_encode()
+    cleaned = b"\n".join(keys.dictionary.to_pylist()).translate(FOLD).split(b"\n")
+    found = [c.split() for c in cleaned]
+    many = np.array([len(f) for f in found], np.int64)
+    begin = np.cumsum(many) - many
+    terms = pa.array([t for f in found for t in f], pa.binary())
+    of = keys.indices.to_numpy()
+    each = many[of]
+    at = np.cumsum(each) - each
+
+    def spread(row: np.ndarray, *columns: np.ndarray) -> tuple:
+        times = each[row]
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return (np.repeat(at[row], times) + inside, *(np.repeat(c, times) for c in columns))
+
+    rows = np.repeat(np.arange(len(part)), each)
+    which = begin[of[rows]] + np.arange(len(rows)) - at[rows]
+    return Part(terms.take(pa.array(which)), part.lang.take(pa.array(rows)), spread(*part.count), spread(*part.doc))
+
+
+def _join_terms(batches: Iterator[pa.RecordBatch], least: int, held: int) -> Iterator[pa.RecordBatch]:
+    """From chunks, sorted, to terms."""
+    parts: list[Part] = []
+    for part in _runs(batches, least, max(1, held // 4)):
+        parts.append(_terms_of(part))
+        if sum(len(p.count[0]) for p in parts) >= held:
+            parts = [Part.joined(parts, least)]
+            if len(parts[0].count[0]) >= held // 2:
+                yield parts.pop().pack()
+    if parts:
+        yield Part.joined(parts, least).pack()
+
+
+def _keep_terms(batches: Iterator[pa.RecordBatch], least: int, held: int) -> Iterator[pa.RecordBatch]:
+    """From terms, sorted: those in enough documents, with their occurrences by source."""
+    for part in _runs(batches, least, max(1, held // 4)):
+        row, source, n = part.count
+        ok = (np.bincount(part.doc[0], minlength=len(part)) >= least)[row]
+        at = pa.array(row[ok])
+        yield pa.RecordBatch.from_arrays([part.lang.take(at), part.key.take(at), pa.array(source[ok]), pa.array(n[ok])], ["lang", "term", "of", "n"])
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST, held: int = HELD) -> DataFrame:
-    """(lang, term, source, n): occurrences of the terms in at least ``least`` documents of the language, n above 0."""
+    """(lang, term, of, n): occurrences of the terms in at least ``least`` documents of the language, n above 0; ``of`` is
+    the source's 64-bit hash."""
     blank = lambda c: F.coalesce(c, F.lit(""))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("doc"), blank("lang").alias("lang"), blank("source").alias("source"), blank("text").cast("binary").alias("text")
-    )
-    chunks = rows.mapInArrow(lambda b: _count_chunks(b, least, held), CHUNKS)
-    chunks = chunks.repartition("chunk").sortWithinPartitions("chunk", "lang", "source")
-    terms = chunks.mapInArrow(lambda b: _join_terms(b, least, held), TERMS_BY_SOURCE)
-    terms = terms.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    kept = terms.mapInArrow(lambda b: _keep_terms(b, least, held), KEPT)
+    rows = docs.select(F.monotonically_increasing_id().alias("doc"), blank("lang").alias("lang"), F.xxhash64(blank("source")).alias("of"), blank("text").alias("text"))
+    step = lambda df, f: df.mapInArrow(lambda batches: f(batches, least, held), COUNTED).repartition("key").sortWithinPartitions("key", "lang")
+    terms = step(step(rows, _count_chunks), _join_terms)
+    kept = terms.mapInArrow(lambda batches: _keep_terms(batches, least, held), KEPT)
     return kept.withColumn("term", F.col("term").cast("string"))
 
 
@@ -232,15 +291,15 @@ def audit(docs: DataFrame, least: int = LEAST, top: int = TOP, held: int = HELD,
     kept = materialise(kept_terms(docs, least, held), "kept-terms")
     by_lang = kept.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     langs = by_lang.groupBy(c("lang").alias("l")).agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-    totals = kept.groupBy(c("lang").alias("tl"), c("source").alias("ts")).agg(F.sum("n").alias("total"))
-    groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    groups = groups.join(langs, c("lang") == c("l"), "left").join(totals, (c("lang") == c("tl")) & (c("source") == c("ts")), "left")
-    groups = groups.select("lang", "source", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("v", "lang_total", "total")])
+    totals = kept.groupBy(c("lang").alias("tl"), c("of").alias("ts")).agg(F.sum("n").alias("total"))
+    groups = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct().withColumn("of", F.xxhash64("source"))
+    groups = groups.join(langs, c("lang") == c("l"), "left").join(totals, (c("lang") == c("tl")) & (c("of") == c("ts")), "left")
+    groups = groups.select("lang", "source", "of", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("v", "lang_total", "total")])
     here = W.partitionBy("lang")
     groups = groups.withColumn("at", (F.row_number().over(here.orderBy("source")) - 1).cast("int")).withColumn("many", F.count(F.lit(1)).over(here))
     groups = materialise(groups, "groups")
 
-    rows = kept.join(groups, ["lang", "source"]).withColumn("p", share(c("n"), c("total"), c("v")))
+    rows = kept.join(groups, ["lang", "of"]).withColumn("p", share(c("n"), c("total"), c("v")))
     parts = F.ceil(c("v") / terms_at_once).cast("long")
     part = F.pmod(F.xxhash64("term"), parts)
     blocks = F.explode(F.sequence(F.lit(0), F.ceil(c("many") / block).cast("int") - 1)).alias("other")
