@@ -46,14 +46,28 @@ def scratch_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="veritab-")
     spark.conf.set("spark.checkpoint.dir", root)
+    _goes_with_session(spark, root)
     return root
 
 
+def _goes_with_session(spark: SparkSession, path: str) -> None:
+    """The folder goes when the session's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared area, for as long as the session lasts."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _goes_with_session(spark, path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back: lineage ends at files every executor can re-read.
 
     A columnar table beats a row checkpoint here because later passes read a few columns each.
     """
-    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_run(df: DataFrame, root: str, run_id: str, part: str = "cleaned", kind: str = "parquet") -> str:
-    """Write ``raw`` or ``cleaned`` data of a run, as parquet or as CSV for download."""
+    """Write ``raw`` or ``cleaned`` data of a run, as parquet, or as CSV or JSON arrays for download."""
     path = f"{root.rstrip('/')}/{part}/run_id={run_id}"
     writer = df.write.mode("errorifexists")
     if kind == "csv":
@@ -21,6 +24,9 @@ def write_run(df: DataFrame, root: str, run_id: str, part: str = "cleaned", kind
             ignoreTrailingWhiteSpace=False,
             timestampFormat="yyyy-MM-dd HH:mm:ss",
         )
+    elif kind == "json":
+        arrays = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(_as_array, "value string")
+        arrays.write.mode("errorifexists").text(path)
     elif kind == "parquet":
         writer.parquet(path)
     else:
@@ -28,6 +34,17 @@ def write_run(df: DataFrame, root: str, run_id: str, part: str = "cleaned", kind
     return path
 
 
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The objects of a task as one JSON array."""
+    before = "["
+    for batch in batches:
+        if batch.num_rows:
+            lines = batch.column("value").to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [before + lines[0], *("," + x for x in lines[1:])]})
+            before = ","
+    yield pa.RecordBatch.from_pydict({"value": ["]" if before == "," else "[]"]})
+
+
 def read_run(spark: SparkSession, root: str, run_id: str, part: str = "cleaned") -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{part}/run_id={run_id}")
 
