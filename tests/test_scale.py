@@ -50,19 +50,52 @@ def test_measures_equal_pandas(spark, xs):
 def test_blocks_are_bounded_ordered_and_complete(spark):
     # two thirds of the order values sit in a thousandth of the range
     df = spark.range(3000).select(F.when(F.col("id") < 2000, F.col("id")).otherwise(F.col("id") * 1000).alias("at"))
-    block = ordered.block_of(df, "at", block_rows=100)
-    counted = df.groupBy(block.alias("b")).agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    rows = counted.orderBy("b").collect()
-    assert sum(r.n for r in rows) == 3000 and max(r.n for r in rows) <= 100
-    assert all(a.hi < b.lo for a, b in zip(rows, rows[1:]))
+    for name in ("at", "text"):
+        blocked = ordered.in_blocks(df.withColumn("text", F.concat(F.lit("t"), F.lpad("at", 9, "0"))), [name], 30)
+        counted = blocked.groupBy(F.col(ordered.BLOCK).alias("b")).agg(F.count("*").alias("n"), F.min(name).alias("lo"), F.max(name).alias("hi"))
+        rows = counted.orderBy("b").collect()
+        assert sum(r.n for r in rows) == 3000 and len(rows) == 30 and max(r.n for r in rows) <= 300
+        assert all(a.hi < b.lo for a, b in zip(rows, rows[1:]))
+
+
+def test_only_large_keys_are_cut(spark):
+    """One key holds two million rows beside many small ones: it alone is cut, into blocks of bounded size."""
+    small = spark.range(60_000).select((F.col("id") % 20_000 + 1).alias("k"), F.col("id").alias("t"))
+    df = spark.range(2_000_000).select(F.lit(0).cast("long").alias("k"), F.col("id").alias("t")).union(small).withColumn("one", F.lit(1))
+    seen = {}
+
+    def work(rows, block):
+        seen[block] = rows
+        return ordered.running_before(rows, ["k"], ["t"], "one", "n", block)
+
+    got = ordered.per_key(df, ["k"], ["t"], work, 100_000)
+    assert got.filter("k = 0 AND n <> t").isEmpty() and got.count() == 2_060_000
+    assert got.groupBy("k").agg(F.max("n").alias("m"), F.count("*").alias("c")).filter("m <> c - 1").isEmpty()
+    assert seen[None].filter("k = 0").isEmpty() and seen[ordered.BLOCK].filter("k <> 0").isEmpty()
+    assert seen[ordered.BLOCK].groupBy(ordered.BLOCK).count().agg(F.max("count")).first()[0] < 250_000
+
+
+def test_one_busy_client_over_many_tasks(spark):
+    """All events are of one client, within one window: blocks share them, and the counts are exact."""
+    df = spark.range(50_000).select(F.lit("c").alias("user"), F.timestamp_micros(F.lit(10**15) + F.col("id") * 1000).alias("at"), F.col("id"))
+    got = runs.over_limit(df, "user", "at", 20, 3600, "id", block_rows=4_000)
+    assert got.filter("earlier <> id").isEmpty() and got.filter("limited").count() == 50_000 - 20
+    short = runs.over_limit(df, "user", "at", 20, 7, "id", block_rows=4_000)
+    assert short.filter("earlier <> least(id, 6999)").isEmpty()
+    nobody = df.limit(30).withColumn("user", F.lit(None).cast("string"))
+    assert limits.enforce_limit(nobody, "user", "at", "id", 5).filter("accepted").count() == 5
 
 
 @pytest.mark.parametrize("block_rows", [7, 1_000_000])
-def test_fill_in_order_equals_pandas(spark, block_rows):
+@pytest.mark.parametrize("text", [False, True])
+def test_fill_in_order_equals_pandas(spark, block_rows, text):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"at": rng.permutation(500), "v": rng.normal(size=500), "w": rng.normal(size=500)})
     pdf.loc[rng.random(500) < 0.6, "v"] = np.nan
     pdf.loc[pdf["at"] < 40, "w"] = np.nan
+    pdf.loc[pdf["at"] < 40, "w"] = np.nan
+    if text:
+        pdf["at"] = pdf["at"].map("n{:04d}".format)
     df = TableFacts(spark.createDataFrame(pdf)).df
     got = ordered.fill_in_order(df, ["v", "w"], "at", block_rows).toPandas().sort_values("at")
     want = pdf.sort_values("at").ffill().bfill()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exprs as E, questions as Q
-from .ordered import BLOCK_ROWS, blocks_for_groups, segmented_min
+from .ordered import BLOCK_ROWS, per_key, segmented_min
 
 # --- fixed values -----------------------------------------------------------
 COMPARE_FOLLOW_UP = r"^(what about|how about|and|try|compare with)\s+([a-zA-Z0-9_\-\s]+)\??$"
@@ -136,12 +136,15 @@ def resolve_followups(
     """Rewrite follow-up questions from what the conversation said before, and report the memory after each.
 
     The memory of a conversation is four running values. Each is a minimum that restarts at certain rows, an associative
-    fold, so conversations are scanned with windows, and a very long one is scanned in blocks side by side.
+    fold, so conversations are scanned with windows, and very long ones, these alone, in blocks side by side.
     """
     questions = messages.where(E.quoted(role) == "user").select(
         E.quoted(conversation), E.quoted(turn), E.quoted(text).alias("question")
     )
-    block = blocks_for_groups(questions, [conversation], turn, block_rows)
+    return per_key(questions, [conversation], [turn], lambda rows, block: _resolved(rows, conversation, turn, block), block_rows)
+
+
+def _resolved(questions: DataFrame, conversation: str, turn: str, block: str | None) -> DataFrame:
     keys = [conversation]
     df = read_questions(questions)
 
@@ -180,6 +183,7 @@ def resolve_followups(
     df = segmented_min(df, keys, turn, named, named.isNotNull(), "comparison", block)
     low = F.lower(F.col("resolved"))
     return df.select(
+        *([] if block is None else [block]),
         E.quoted(conversation),
         E.quoted(turn),
         "question",

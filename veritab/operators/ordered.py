@@ -1,87 +1,74 @@
 """Ordered work without a single-task window.
 
-A window over the whole table, or over one very large key, would sort everything in one task. Here the order column is cut
-into blocks of bounded size by a literal expression; windows run per block, and one small row per block carries the
-state across.
+A window over the whole table, or over one very large key, would sort everything in one task. Here rows are dealt to blocks
+by ranges of their order, whatever its type; windows run per block, and one small row per key and block carries the state
+across. Keys of ordinary size need no blocks: only large ones are cut.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..config import materialise
 from ..functions import exprs as E
 
 BLOCK_ROWS = 1_000_000
-MOST_BLOCKS = 8192  # beyond BLOCK_ROWS * MOST_BLOCKS rows, blocks grow instead of becoming more
-GRID = 1024
+BLOCK = "__block"
 
 
-def order_value(df: DataFrame, name: str) -> Column | None:
-    """Order-preserving double of a numeric or temporal column, else None."""
-    kind = E.kind_of(df.schema[name].dataType)
-    if kind == "number":
-        return E.quoted(name).cast("double")
-    if kind == "temporal":
-        return F.unix_micros(E.quoted(name).cast("timestamp")).cast("double")
-    return None
+def in_blocks(df: DataFrame, order: list[str], blocks: int) -> DataFrame:
+    """``df`` with a block number that grows with ``order``; rows of equal order share a block.
 
+    Written once: range bounds are drawn from a sample, so the blocks must not be dealt anew for every reading.
+    """
+    return materialise(df.repartitionByRange(blocks, *[E.quoted(c) for c in order]).withColumn(BLOCK, F.spark_partition_id()), "blocks")
+
+
+def same(keys: list[str], others: list[str]) -> Column:
+    """Keys agree, nulls with each other."""
+    out = F.lit(True)
+    for k, o in zip(keys, others):
+        out = out & E.quoted(k).eqNullSafe(F.col(o))
+    return out
 
-def block_of(df: DataFrame, order_by: str, block_rows: int = BLOCK_ROWS) -> Column:
-    """Deterministic, order-preserving block number with at most ``block_rows`` rows per block.
 
-    Blocks are counted, and those that are too full are cut again into equal-width cells, as many as their rows ask for,
-    so dense stretches of the order get more blocks. A block may stay larger only when all its rows share one order
-    value. The number of blocks stays within a small multiple of MOST_BLOCKS, which bounds what is collected here and
-    what callers broadcast.
+def per_key(
+    df: DataFrame, keys: list[str], order: list[str], work: Callable[[DataFrame, str | None], DataFrame], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """``work`` over the rows of ordinary keys, and over those of large keys in blocks of about ``block_rows`` rows.
+
+    ``work`` takes the rows and the name of the block column, None where each key is one block. There are at most as many
+    large keys as the table has blocks, which bounds what is broadcast.
     """
-    x = order_value(df, order_by)
-    rows, low, high = df.agg(F.count(F.lit(1)), *([F.lit(0), F.lit(0)] if x is None else [F.min(x), F.max(x)])).first()
-    if rows <= block_rows:
-        return F.lit(0).cast("long")
-    if x is None:
-        raise ValueError(f"order_by '{order_by}' must be numeric or temporal for tables beyond {block_rows} rows")
-    size = max(block_rows, rows // MOST_BLOCKS)
-    block = F.lit(0).cast("long")
-    known = [(rows, low, high)]
-    while True:
-        cuts = [min(GRID, 2 * -(-n // size)) if n > size and lo < hi else 1 for n, lo, hi in known]
-        if all(c == 1 for c in cuts):
-            return block
-        starts = [0, *accumulate(cuts)]
-
-        def at(values, kind):
-            return F.get(_literal_array(values, kind), block.cast("int"))
-
-        cell = F.floor((x - at([k[1] for k in known], "double")) / at([k[2] - k[1] for k in known], "double") * at(cuts, "int"))
-        cell = F.when(at(cuts, "int") > 1, F.least(cell, at(cuts, "int") - 1)).otherwise(F.lit(0))
-        block = (at(starts[:-1], "long") + F.coalesce(cell, F.lit(0))).cast("long")
-        counted = df.groupBy(block.alias("b")).agg(F.count(F.lit(1)), F.min(x), F.max(x)).collect()
-        known = [(0, 0.0, 0.0)] * starts[-1]
-        for b, n, lo, hi in counted:
-            known[b] = (n, lo or 0.0, hi or 0.0)
-
-
-def _literal_array(values: list, kind: str) -> Column:
-    """A long array as one constant: folded by the optimizer, read by position."""
-    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{kind}>")
+    names = [f"__key{i}" for i in range(len(keys))]
+    counts = df.groupBy(*[E.quoted(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("__rows"))
+    large = materialise(counts.filter(F.col("__rows") > block_rows), "large-keys")
+    rows = large.agg(F.sum("__rows")).first()[0]
+    if not rows:
+        return work(df, None)
+    large = F.broadcast(large.select(*names))
+    ordinary = df.join(large, same(keys, names), "left_anti")
+    cut = in_blocks(df.join(large, same(keys, names), "left_semi"), [*keys, *order], -(-rows // block_rows))
+    return work(ordinary, None).unionByName(work(cut, BLOCK).drop(BLOCK))
 
 
 def fill_in_order(df: DataFrame, columns: list[str], order_by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Forward fill in ``order_by`` order, leading gaps taking the first value (backward fill)."""
+    """Forward fill in ``order_by`` order, leading gaps taking the first value (backward fill). Nulls of the order go first."""
     order = E.quoted(order_by)
-    blocked = df.withColumn("__block", block_of(df, order_by, block_rows))
+    rows = df.count()
+    blocked = df.withColumn(BLOCK, F.lit(0)) if rows <= block_rows else in_blocks(df, [order_by], -(-rows // block_rows))
     ends = []
     for i, c in enumerate(columns):
-        key = F.when(E.quoted(c).isNotNull(), order)
+        key = F.when(E.quoted(c).isNotNull(), F.struct(order))
         ends += [F.max_by(E.quoted(c), key).alias(f"last{i}"), F.min_by(E.quoted(c), key).alias(f"first{i}")]
-    summary = blocked.groupBy("__block").agg(*ends)
+    summary = blocked.groupBy(BLOCK).agg(*ends)
     # One row per block, so this window is over as many rows as there are blocks.
-    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = summary.select(
-        "__block",
+        BLOCK,
         *[
             F.coalesce(
                 F.last(f"last{i}", ignorenulls=True).over(earlier), F.first(f"first{i}", ignorenulls=True).over(whole)
@@ -89,23 +76,41 @@ def fill_in_order(df: DataFrame, columns: list[str], order_by: str, block_rows:
             for i in range(len(columns))
         ],
     )
-    running = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     filled = {
         c: F.coalesce(F.last(E.quoted(c), ignorenulls=True).over(running), F.col(f"__carry{i}"))
         for i, c in enumerate(columns)
     }
-    joined = blocked.join(F.broadcast(carried), "__block")
+    joined = blocked.join(F.broadcast(carried), BLOCK)
     return joined.select(*[filled[c].alias(c) if c in filled else E.quoted(c) for c in df.columns])
 
 
-def blocks_for_groups(df: DataFrame, keys: list[str], order_by: str, block_rows: int = BLOCK_ROWS) -> Column | None:
-    """Block number for windows per key, or None where no key is large enough to need blocks."""
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    return block_of(df, order_by, block_rows) if largest > block_rows else None
+def _carried(summary: DataFrame, keys: list[str], block: str, columns: list[str]) -> DataFrame:
+    """The columns of a summary by (key, block) under names that a join with the rows cannot mix up."""
+    return summary.select(*[E.quoted(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(block).alias("__b"), *columns)
+
+
+def _with_carried(df: DataFrame, carried: DataFrame, keys: list[str], block: str) -> DataFrame:
+    names = [f"__k{i}" for i in range(len(keys))]
+    return df.join(carried, same([*keys, block], [*names, "__b"]), "left").drop(*names, "__b")
+
+
+def running_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, block: str | None = None) -> DataFrame:
+    """Adds the sum of ``value`` over the key's earlier rows; one total per (key, block) carries it on."""
+    part = [E.quoted(k) for k in keys] + ([] if block is None else [F.col(block)])
+    before = Window.partitionBy(*part).orderBy(*[E.quoted(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    if block is None:
+        return out
+    totals = df.groupBy(*part).agg(F.sum(value).alias("__total"))
+    ahead = Window.partitionBy(*part[:-1]).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__ahead", F.coalesce(F.sum("__total").over(ahead), F.lit(0)))
+    out = _with_carried(out, _carried(totals, keys, block, ["__ahead"]), keys, block)
+    return out.withColumn(name, F.col(name) + F.col("__ahead")).drop("__ahead")
 
 
 def segmented_min(
-    df: DataFrame, keys: list[str], order_by: str, value: Column, reset: Column, name: str, block: Column | None = None
+    df: DataFrame, keys: list[str], order_by: str, value: Column, reset: Column, name: str, block: str | None = None
 ) -> DataFrame:
     """Running minimum per key that starts afresh at rows where ``reset`` holds.
 
@@ -113,9 +118,8 @@ def segmented_min(
     with ``block`` given each (key, block) is scanned by itself and one row per (key, block) carries the state over.
     """
     order = E.quoted(order_by)
-    part = [F.col(k) for k in keys] + ([] if block is None else [F.col("__block")])
-    base = df if block is None else df.withColumn("__block", block)
-    base = base.withColumns({"__value": value, "__reset": F.coalesce(reset, F.lit(False)).cast("int")})
+    part = [E.quoted(k) for k in keys] + ([] if block is None else [F.col(block)])
+    base = df.withColumns({"__value": value, "__reset": F.coalesce(reset, F.lit(False)).cast("int")})
     upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     base = base.withColumn("__segment", F.sum("__reset").over(upto))
     within = Window.partitionBy(*part, "__segment").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -126,12 +130,11 @@ def segmented_min(
         return base.drop("__value", "__reset", "__segment")
 
     summary = base.groupBy(*part).agg(
-        (F.max("__segment") > 0).alias("__restarted"), F.max_by(F.col(name), order).alias("__tail")
+        (F.max("__segment") > 0).alias("__restarted"), F.max_by(F.col(name), F.struct(order)).alias("__tail")
     )
-    summary = segmented_min(summary, keys, "__block", F.col("__tail"), F.col("__restarted"), "__carry")
-    carried = summary.select(*keys, "__block", F.col("__carry_before").alias("__carried"))
-    base = base.join(carried, [*keys, "__block"], "left")
-    base = base.withColumn(name, F.when(F.col("__segment") > 0, F.col(name)).otherwise(F.least(F.col(name), F.col("__carried"))))
+    summary = segmented_min(summary, keys, block, F.col("__tail"), F.col("__restarted"), "__carry")
+    base = _with_carried(base, _carried(summary, keys, block, ["__carry_before"]), keys, block)
+    base = base.withColumn(name, F.when(F.col("__segment") > 0, F.col(name)).otherwise(F.least(F.col(name), F.col("__carry_before"))))
     first = F.row_number().over(line) == 1
-    base = base.withColumn(f"{name}_before", F.when(first, F.col("__carried")).otherwise(F.lag(name).over(line)))
-    return base.drop("__value", "__reset", "__segment", "__block", "__carried")
+    base = base.withColumn(f"{name}_before", F.when(first, F.col("__carry_before")).otherwise(F.lag(name).over(line)))
+    return base.drop("__value", "__reset", "__segment", "__carry_before")

@@ -5,50 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exprs as E
+from .ordered import BLOCK_ROWS, per_key, running_before
 
 # --- fixed values -----------------------------------------------------------
 UPLOADS, UPLOAD_WINDOW = 20, 3600
 REQUESTS, REQUEST_WINDOW = 100, 60
 SESSION_MINUTES = 30
 # ----------------------------------------------------------------------------
-SPAN = 16  # windows per time bucket: one in SPAN rows is read by two buckets
 
 
 def earlier_in_window(
-    events: DataFrame, client: str, at: str, window_seconds: int, tie: str | None = None, span: int = SPAN
+    events: DataFrame, client: str, at: str, window_seconds: int, tie: str | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Adds ``earlier``: attempts of the same client less than ``window_seconds`` before this one.
 
-    Grouping by client alone would put a busy client into one task. Time is cut into buckets of ``span`` windows; the
-    last window of a bucket is repeated into the next as context, so every (client, bucket) can be counted by itself.
-    ``tie`` orders attempts of the same instant.
+    Every attempt enters the count when it is made and leaves it a window later, before the attempts of that instant; so one
+    running sum serves, however many attempts a window holds. A busy client's moves are cut into blocks, with totals
+    carried from block to block. ``tie`` orders attempts of the same instant; without it they do not count each other.
+    A null client is a client of its own.
     """
     micros = F.unix_micros(E.quoted(at).cast("timestamp"))
-    width = window_seconds * 1_000_000
-    bucket = F.floor(micros / (width * span))
-    base = events.withColumns({"__us": micros, "__bucket": bucket})
-    last_part = F.pmod(F.col("__us"), F.lit(width * span)) >= width * (span - 1)
-    homes = F.when(last_part, F.array(F.col("__bucket"), F.col("__bucket") + 1)).otherwise(F.array(F.col("__bucket")))
-    placed = base.withColumn("__home", F.explode(homes))
-    # Every attempt enters the count when it is made and leaves it a window later, before the attempts of that instant; so
-    # one running sum serves, however many attempts a window holds.
-    leaving = placed.select(E.quoted(client), (F.col("__us") + width).alias("__us"), "__home", F.lit(0).alias("__kind"), F.lit(-1).alias("__step"))
-    moves = placed.withColumns({"__kind": F.lit(1), "__step": F.lit(1)}).unionByName(leaving, allowMissingColumns=True)
-    same = [E.quoted(client), F.col("__home")]
-    so_far = Window.partitionBy(*same).orderBy("__us", "__kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    peers = Window.partitionBy(*same, "__us", "__kind")
-    n = F.sum("__step").over(so_far) - F.count(F.lit(1)).over(peers)
-    if tie is not None:  # attempts of the same instant count when they come first by ``tie``
-        n = n + F.row_number().over(peers.orderBy(E.quoted(tie))) - 1
-    counted = moves.withColumn("earlier", n).where((F.col("__kind") == 1) & (F.col("__home") == F.col("__bucket")))
-    return counted.drop("__us", "__bucket", "__home", "__kind", "__step")
+    made = events.withColumns({"__us": micros, "__kind": F.lit(1), "__step": F.lit(1)})
+    leaving = made.select(E.quoted(client), (F.col("__us") + window_seconds * 1_000_000).alias("__us"), F.lit(0).alias("__kind"), F.lit(-1).alias("__step"))
+    moves = made.unionByName(leaving, allowMissingColumns=True)
+    instant = ["__us", "__kind"]
+
+    def count(rows: DataFrame, block: str | None) -> DataFrame:
+        rows = running_before(rows, [client], instant + ([] if tie is None else [tie]), "__step", "earlier", block)
+        if tie is not None:
+            return rows
+        # attempts of one instant stand side by side: the first of them has none of the others before it
+        part = [E.quoted(client)] + ([] if block is None else [F.col(block)])
+        return rows.withColumn("earlier", F.min("earlier").over(Window.partitionBy(*part, *instant)))
+
+    counted = per_key(moves, [client], instant + ([] if tie is None else [tie]), count, 2 * block_rows)
+    return counted.where("__kind = 1").drop("__us", "__kind", "__step")
 
 
 def over_limit(
-    events: DataFrame, client: str, at: str, limit: int = UPLOADS, window_seconds: int = UPLOAD_WINDOW, tie: str | None = None
+    events: DataFrame,
+    client: str,
+    at: str,
+    limit: int = UPLOADS,
+    window_seconds: int = UPLOAD_WINDOW,
+    tie: str | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Every attempt with the number of earlier ones in its window, and whether that reaches the limit."""
-    counted = earlier_in_window(events, client, at, window_seconds, tie)
+    counted = earlier_in_window(events, client, at, window_seconds, tie, block_rows)
     return counted.withColumn("limited", F.col("earlier") >= limit)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import exprs as E
-from ..operators.ordered import BLOCK_ROWS, blocks_for_groups, segmented_min
+from ..operators.ordered import BLOCK_ROWS, per_key, running_before, same
 from ..operators.runs import SESSION_MINUTES, UPLOAD_WINDOW, UPLOADS, earlier_in_window
 
 
@@ -50,15 +50,13 @@ def enforce_limit(
     """
     width = window_seconds * 1_000_000
     micros = F.unix_micros(E.quoted(at).cast("timestamp"))
-    counted = earlier_in_window(events, client, at, window_seconds, tie).withColumn("__us", micros)
-    counted = counted.withColumn("__seq", F.struct("__us", E.quoted(tie)))
-    starts = F.when(F.col("earlier") == 0, F.col("__us"))
-    block = blocks_for_groups(counted, [client], at, block_rows)
-    marked = segmented_min(counted, [client], "__seq", starts, F.col("earlier") == 0, "__stretch", block)
-    busy = (
-        marked.where(F.col("earlier") >= limit).select(E.quoted(client), "__stretch").distinct().withColumn("__busy", F.lit(True))
-    )
-    marked = marked.join(busy, [client, "__stretch"], "left").drop("__seq", "__stretch_before")
+    counted = earlier_in_window(events, client, at, window_seconds, tie, block_rows)
+    counted = counted.withColumns({"__us": micros, "__start": (F.col("earlier") == 0).cast("int")})
+    order = ["__us", tie]
+    marked = per_key(counted, [client], order, lambda rows, block: running_before(rows, [client], order, "__start", "__stretch", block), block_rows)
+    marked = marked.withColumn("__stretch", F.col("__stretch") + F.col("__start")).drop("__start")
+    busy = marked.where(F.col("earlier") >= limit).select(E.quoted(client).alias("__c"), F.col("__stretch").alias("__s")).distinct()
+    marked = marked.join(busy.withColumn("__busy", F.lit(True)), same([client, "__stretch"], ["__c", "__s"]), "left").drop("__c", "__s")
     quiet = marked.where("__busy is null").withColumn("accepted", F.lit(True))
     columns = [*events.columns, "accepted"]
     accept = _acceptor(limit, width)
