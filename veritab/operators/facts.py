@@ -15,8 +15,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..config import materialise
 from ..functions import exprs as E
 from .quantiles import bin_of, exact_quantiles
+from .values import leading_values, long_cells, text_counts, text_summary
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -61,12 +63,6 @@ class ValueFacts:
     normalised: int = 0
 
 
-def long_cells(df: DataFrame, columns: list[tuple[int, Column]], value: str) -> DataFrame:
-    """(field, value) per cell. One grouping then serves every column, and the plan does not grow with their number."""
-    cells = F.array(*[F.struct(F.lit(i).alias("field"), c.alias(value)) for i, c in columns])
-    return df.select(F.explode(cells).alias("cell")).select("cell.field", f"cell.{value}")
-
-
 def set_moments(f: ColumnFacts, s2: float, s3: float, s4: float) -> None:
     """Sample deviation and bias-corrected skewness and excess kurtosis from central power sums."""
     n = f.n_numeric
@@ -162,7 +158,7 @@ class TableFacts:
     def for_same_values(self, df: DataFrame) -> "TableFacts":
         """Facts of a table that holds the same values, at most in other types: nothing is measured again."""
         other = TableFacts(df, self.order_by)
-        done = ("_number_cells", "_text_cells", "_scan", "_bins", "quartiles", "outliers", "values", "duplicate_rows")
+        done = ("_number_cells", "_text_cells", "_scan", "_bins", "quartiles", "outliers", "values", "duplicate_rows", "text_counts")
         other.__dict__.update({p: self.__dict__[p] for p in done if p in self.__dict__})
         return other
 
@@ -197,59 +193,61 @@ class TableFacts:
         )
         return {r.field: r for r in found.collect()}
 
+    @property
+    def _texts(self) -> list[tuple[int, Column]]:
+        return [(i, E.quoted(c)) for i, c in enumerate(self.names) if self.kinds[c] == "text"]
+
     @cached_property
     def _text_cells(self) -> dict[int, object]:
-        """One row per text column, from its value counts: each distinct text is parsed once, weighed by its count."""
-        columns = [(i, E.quoted(c)) for i, c in enumerate(self.names) if self.kinds[c] == "text"]
-        if not columns:
+        """One row per text column, summed where the texts are: none travels."""
+        if not self._texts:
             return {}
-        mail = [i for i, _ in columns if "email" in self.names[i].lower()]
-        v, n = F.col("value"), F.col("n")
+        mail = [i for i, _ in self._texts if "email" in self.names[i].lower()]
+        v = F.col("value")
         number, loose, pair = F.col("number"), F.col("loose"), F.col("pair")
-
-        def weighed(flag: Column) -> Column:
-            return F.sum(F.when(flag, n).otherwise(F.lit(0)))
-
-        parsed = value_counts(self.df, columns, "string").select(
+        parsed = long_cells(self.df, self._texts, "value").where("value is not null").select(
             "field",
-            "value",
-            "n",
             E.to_number(v).alias("number"),
             E.to_number_loose(v).alias("loose"),
             E.boolean_pair(v).alias("pair"),
-            F.lower(E.strip(v)).alias("folded"),
+            E.looks_like_date(v).alias("date"),
+            v.rlike(E.PLAIN_NUMBER).alias("plain"),
+            (F.col("field").isin(*mail) & ~v.rlike(E.EMAIL) if mail else F.lit(False)).alias("bad_email"),
+            F.octet_length(v).alias("bytes"),
+            F.char_length(v).alias("chars"),
         )
-        sums = {
-            "n_texts": F.sum(n),
-            "n": weighed(number.isNotNull()),
-            "total": F.sum(number * n),
-            "zeros": weighed(number == 0),
-            "negatives": weighed(number < 0),
-            "zero_one": weighed(loose.isin(0.0, 1.0)),
-            "whole": weighed(loose == F.floor(loose)),
-            "dates": weighed(E.looks_like_date(v)),
-            "bytes": F.sum(F.octet_length(v) * n),
-            "chars": F.sum(F.char_length(v) * n),
-            "n_loose": weighed(loose.isNotNull()),
-            "n_pair": weighed(pair.isNotNull()),
-            "plain": weighed(v.rlike(E.PLAIN_NUMBER)),
-            "bad_email": weighed(F.col("field").isin(*mail) & ~v.rlike(E.EMAIL)) if mail else F.sum(F.lit(0)),
-            "distinct_n": F.count(F.lit(1)),
-        }
-        lows = {
-            "min": F.min(number), "loose_min": F.min(loose), "pair_low": F.min(pair), "bottom": F.min(n),
-            "leader": F.min(F.struct((-n).alias("rank"), v.alias("value"))),
-        }
-        highs = {"max": F.max(number), "loose_max": F.max(loose), "pair_high": F.max(pair), "top": F.max(n)}
-        first = {**sums, **lows, **highs}
-        folded = parsed.groupBy("field", "folded").agg(*[e.alias(k) for k, e in first.items()])
-        summary = folded.groupBy("field").agg(
-            *[F.sum(k).alias(k) for k in sums],
-            *[F.min(k).alias(k) for k in lows],
-            *[F.max(k).alias(k) for k in highs],
-            F.count(F.lit(1)).alias("normalised"),
+        found = parsed.groupBy("field").agg(
+            F.count(F.lit(1)).alias("n_texts"),
+            F.count(number).alias("n"),
+            F.sum(number).alias("total"),
+            F.min(number).alias("min"),
+            F.max(number).alias("max"),
+            F.count_if(number == 0).alias("zeros"),
+            F.count_if(number < 0).alias("negatives"),
+            F.count_if(loose.isin(0.0, 1.0)).alias("zero_one"),
+            F.count_if(loose == F.floor(loose)).alias("whole"),
+            F.count_if("date").alias("dates"),
+            F.sum("bytes").alias("bytes"),
+            F.sum("chars").alias("chars"),
+            F.count(loose).alias("n_loose"),
+            F.min(loose).alias("loose_min"),
+            F.max(loose).alias("loose_max"),
+            F.count(pair).alias("n_pair"),
+            F.min(pair).alias("pair_low"),
+            F.max(pair).alias("pair_high"),
+            F.count_if("plain").alias("plain"),
+            F.count_if("bad_email").alias("bad_email"),
         )
-        return {r.field: r for r in summary.collect()}
+        return {r.field: r for r in found.collect()}
+
+    @cached_property
+    def text_counts(self) -> DataFrame | None:
+        """(field, a, b, fold_a, fold_b, n) per distinct text, by hashes; written once for all that read it."""
+        return materialise(text_counts(self.df, self._texts), "text-counts") if self._texts else None
+
+    def leading_texts(self, limit: int) -> dict[int, list[tuple[str, int]]]:
+        """The most frequent texts of each text column with their counts; ties go to the smaller text."""
+        return leading_values(self.df, self._texts, self.text_counts, limit) if self._texts else {}
 
     @cached_property
     def _scan(self) -> tuple[int, int, dict[str, ColumnFacts]]:
@@ -392,8 +390,9 @@ class TableFacts:
         # Text holding some numbers is profiled by the mode of its numbers, so those are counted as well.
         also = [c for c in self.numeric if self.kinds[c] == "text"]
         found = {c: ValueFacts() for c in self.names}
-        for i, r in self._text_cells.items():
-            found[self.names[i]] = ValueFacts(r.distinct_n, r.top, r.bottom, r.leader["value"], r.normalised)
+        leaders = self.leading_texts(1)
+        for r in text_summary(self.text_counts).collect() if leaders else []:  # one row per text column
+            found[self.names[r.field]] = ValueFacts(r.distinct_n, r.top, r.bottom, leaders[r.field][0][0], r.normalised)
         counted = value_summary(self.df, self.kinds, also)
         for row in counted.collect() if counted is not None else []:  # at most one row per column
             if row.field >= len(self.names):
@@ -411,15 +410,20 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     Rows are counted by two 64-bit hashes of their values and gaps, so 16 bytes a row travel; map-side combine absorbs hot
     copies.
     """
-    floats = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
-    cells = [(c + F.lit(0.0)).alias(n) if n in floats else c for n, c in zip(df.columns, comparable(df))]  # -0.0 is 0.0
-    gaps = [E.quoted(c).isNull() for c in df.columns]
-    first, second = F.xxhash64(*gaps, *cells), F.xxhash64(F.lit(1), *cells, *gaps)
+    first, second = row_hashes(df)
     return df.groupBy(first.alias("a"), second.alias("b")).count().agg(
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows")
     )
 
 
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's values and gaps; equal rows have equal ones."""
+    floats = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    cells = [(c + F.lit(0.0)).alias(n) if n in floats else c for n, c in zip(df.columns, comparable(df))]  # -0.0 is 0.0
+    gaps = [E.quoted(c).isNull() for c in df.columns]
+    return F.xxhash64(*gaps, *cells), F.xxhash64(F.lit(1), *cells, *gaps)
+
+
 def comparable(df: DataFrame) -> list[Column]:
     """Every column in a form that can be grouped: variants and maps as their JSON text."""
     json = {f.name for f in df.schema if f.dataType.typeName() in ("variant", "map")}
@@ -427,6 +431,18 @@ def comparable(df: DataFrame) -> list[Column]:
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
+    """One of each group of equal rows. Rows whose hash occurs once stay where they are; only the others are compared."""
+    first, second = row_hashes(df)
+    hashed = df.withColumns({"__a": first, "__b": second})
+    again = hashed.groupBy(F.col("__a").alias("__x"), F.col("__b").alias("__y")).count().where("count > 1").select("__x", "__y")
+    again = materialise(again, "repeated")
+    same = (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y"))
+    columns = [E.quoted(c) for c in df.columns]
+    alone = hashed.join(again, same, "left_anti").select(*columns)
+    return alone.unionAll(_compared(hashed.join(again, same, "left_semi").select(*columns)))
+
+
+def _compared(df: DataFrame) -> DataFrame:
     json = [f.name for f in df.schema if f.dataType.typeName() in ("variant", "map")]
     if not json:
         return df.distinct()
