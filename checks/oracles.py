@@ -689,7 +689,8 @@ def analytics_numeric() -> str:
             q1, q2, q3 = (quartile(x, p) for p in (0.25, 0.5, 0.75))
             parts.append(
                 f"SELECT {lit(source)} AS source, {lit(c)} AS \"column\", round(avg({x}), 4) AS mean, round({q2}, 4) AS median, "
-                f"CAST({mode_of(t, c)} AS DOUBLE) AS mode, round(stddev_samp({x}), 3) AS std, round(var_samp({x}) / 1000, 0) AS variance, "
+                f"CAST({mode_of(t, c)} AS DOUBLE) AS mode, round(stddev_samp({x}), 3) AS std, round(var_samp({x}) / pow(10, CASE WHEN var_samp({x}) > 0 THEN floor(log10(var_samp({x}))) ELSE 0 END), 9) AS variance, "
+                f"CAST(CASE WHEN var_samp({x}) > 0 THEN floor(log10(var_samp({x}))) ELSE 0 END AS BIGINT) AS variance_power, "
                 f"round(min({x}), 4) AS min, round(max({x}), 4) AS max, round({q1}, 4) AS q25, round({q2}, 4) AS q50, round({q3}, 4) AS q75, "
                 f"round({q3} - {q1}, 4) AS iqr, round(coalesce(skewness({x}), 0), 2) AS skewness, round(coalesce(kurtosis({x}), 0), 2) AS kurtosis, "
                 f"{iqr_count(t, c, True)} AS outliers_count, count(*) FILTER (WHERE {c} = 0) AS zeros_count, CAST({missing(c)} AS BIGINT) AS missing_count, "
@@ -1007,6 +1008,71 @@ def histogram() -> str:
     )
 
 
+def feature_importance() -> str:
+    """A tree of four levels by brute force: at every value of every feature the classes left and right of it."""
+    names = ("doc_id", "lang", "source", "n_chars", "toxic")
+    code = "(SELECT {0}, row_number() OVER (ORDER BY min(doc_id)) - 1 AS code FROM j WHERE {0} IS NOT NULL GROUP BY {0})"
+    parts = [
+        "WITH j AS (SELECT doc_id, lang, source, n_chars, toxic, quality FROM documents JOIN labels USING (doc_id))",
+        "r0 AS (SELECT coalesce(CAST(quality AS VARCHAR), '') AS label, 1 AS node, CAST(doc_id AS DOUBLE) AS x0, "
+        "CAST(coalesce(l.code, -1) AS DOUBLE) AS x1, CAST(coalesce(s.code, -1) AS DOUBLE) AS x2, "
+        "CAST(coalesce(n_chars, (SELECT quantile_cont(n_chars, 0.5) FROM j)) AS DOUBLE) AS x3, "
+        "CAST(coalesce(toxic, (SELECT quantile_cont(toxic, 0.5) FROM j)) AS DOUBLE) AS x4 FROM j "
+        f"LEFT JOIN {code.format('lang')} l ON j.lang = l.lang LEFT JOIN {code.format('source')} s ON j.source = s.source)",
+    ]
+    for k in range(4):
+        cells = union([f"SELECT node, label, {i} AS f, x{i} AS x FROM r{k} WHERE node > 0" for i in range(5)])
+        parts += [
+            f"t{k} AS (SELECT node, label, count(*) AS total FROM r{k} WHERE node > 0 GROUP BY node, label)",
+            f"c{k} AS (SELECT node, f, x, label, count(*) AS n FROM ({cells}) GROUP BY node, f, x, label)",
+            f"v{k} AS (SELECT DISTINCT node, f, x FROM c{k})",
+            f"g{k} AS (SELECT v.node, v.f, v.x, t.total, sum(coalesce(c.n, 0)) OVER (PARTITION BY v.node, v.f, t.label ORDER BY v.x) AS lft "
+            f"FROM v{k} v JOIN t{k} t ON v.node = t.node LEFT JOIN c{k} c ON c.node = v.node AND c.f = v.f AND c.x = v.x AND c.label = t.label)",
+            f"h{k} AS (SELECT node, f, x, CAST(sum(lft) AS DOUBLE) AS n, CAST(sum(total) AS DOUBLE) AS whole, CAST(sum(lft * lft) AS DOUBLE) AS ls, "
+            f"CAST(sum((total - lft) * (total - lft)) AS DOUBLE) AS rs, CAST(sum(total * total) AS DOUBLE) AS sq FROM g{k} GROUP BY node, f, x)",
+            f"b{k} AS (SELECT node, f, x AS cut, ls / n + rs / (whole - n) - sq / whole AS gain FROM h{k} WHERE whole > n)",
+            f"s{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, cut) AS rk FROM b{k} WHERE gain > 1e-9) WHERE rk = 1)",
+            f"r{k + 1} AS (SELECT r.label, CASE WHEN s.node IS NULL THEN 0 ELSE r.node * 2 + CASE WHEN (CASE s.f WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x2 "
+            f"WHEN 3 THEN x3 ELSE x4 END) > s.cut THEN 1 ELSE 0 END END AS node, x0, x1, x2, x3, x4 FROM r{k} r LEFT JOIN s{k} s ON r.node = s.node)",
+        ]
+    parts.append("a AS (" + union([f"SELECT f, gain FROM s{k}" for k in range(4)]) + ")")
+    label = " ".join(f"WHEN {i} THEN {lit(n)}" for i, n in enumerate(names))
+    return ", ".join(parts) + (
+        f" SELECT CASE f {label} END AS feature, round(sum(gain) / (SELECT sum(gain) FROM a), 3) AS importance FROM a GROUP BY f "
+        "HAVING sum(gain) / (SELECT sum(gain) FROM a) > 0.01"
+    )
+
+
+def histogram_coerced() -> str:
+    x = "TRY_CAST(replace(replace(trim(price_text), '$', ''), ',', '') AS DOUBLE)"
+    return with_orders("").rstrip() + (
+        f", p AS (SELECT {x} AS x FROM d WHERE price_text IS NOT NULL), b AS (SELECT min(x) AS lo, (max(x) - min(x)) / 30 AS w FROM p), "
+        "n AS (SELECT CAST(least(29, floor((x - lo) / w)) AS INTEGER) AS bin, count(*) AS n FROM p, b GROUP BY 1) "
+        "SELECT 'price_text' AS \"column\", CAST(i AS INTEGER) AS bin, round(lo + i * w, 4) AS lower, round(lo + (i + 1) * w, 4) AS upper, "
+        "coalesce(n.n, 0) AS count FROM range(30) t(i), b LEFT JOIN n ON n.bin = t.i"
+    )
+
+
+def read_json_arrays() -> str:
+    return "SELECT event_id, user_id, event_type, value, props FROM events"
+
+
+def read_json_mixed() -> str:
+    kind = "CASE event_id % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'text' ELSE 'flag' END"
+    return f"SELECT {kind} AS kind, count(*) AS count, 'Unknown' AS type FROM events GROUP BY 1"
+
+
+def input_checks() -> str:
+    return (
+        "SELECT k.kind, k.verdict, count(*) > 0 AS filled FROM nation, "
+        "(VALUES ('csv', 'ok'), ('json', 'ok'), ('parquet', 'type not allowed')) k(kind, verdict) GROUP BY ALL"
+    )
+
+
+def payload_items() -> str:
+    return f"SELECT doc_id, len(string_split(text, ' ')) > 100 AS too_many FROM ({I.for_duckdb(I.DIRTY_DOCUMENTS)})"
+
+
 def box_summary() -> str:
     q = "(SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS m, quantile_cont(o_totalprice, 0.75) AS b FROM d)"
     inside = "o_totalprice BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)"
@@ -1374,6 +1440,7 @@ def request_summary() -> str:
 
 
 NAMES = (
+    feature_importance, histogram_coerced, read_json_arrays, read_json_mixed, input_checks, payload_items,
     profile_columns, profile_summary, profile_roles, role_counts, column_roles, missing_by_column,
     missing_and_duplicates, outlier_counts, invalid_entries, inconsistent_formatting, class_imbalance,
     csv_line_breaks, run_round_trip,

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from veritab.config import CleanConfig, scratch_root
+from veritab.config import CleanConfig, scratch_path, scratch_root
 from veritab.functions import text as X
 from veritab.operators import advice, analytics, audit, charts, clean, conversation, features, profile, runs, semantics
 from veritab.operators.facts import TableFacts
@@ -173,7 +173,10 @@ def analytics_summary(spark, sf_dir):
 
 def analytics_numeric(spark, sf_dir):
     out = rounded(both(spark, sf_dir, analytics.analytics_numeric), MOMENTS | {"q25": 4, "q50": 4, "q75": 4, "iqr": 4})
-    return out.withColumn("skewness", F.round("skewness", 2)).withColumn("variance", F.round(F.col("variance") / 1000, 0))
+    # ten digits of the variance, whatever its size
+    power = F.when(F.col("variance") > 0, F.floor(F.log10("variance"))).otherwise(F.lit(0))
+    out = out.withColumn("variance_power", power.cast("long"))
+    return out.withColumn("skewness", F.round("skewness", 2)).withColumn("variance", F.round(F.col("variance") / F.pow(F.lit(10.0), power), 9))
 
 
 def analytics_categorical(spark, sf_dir):
@@ -281,6 +284,11 @@ def histogram(spark, sf_dir):
     return rounded(out, {"lower": 4, "upper": 4})
 
 
+def histogram_coerced(spark, sf_dir):
+    """The histogram of a text column whose prices carry symbols."""
+    return rounded(charts.histogram(orders(spark, sf_dir), "price_text"), {"lower": 4, "upper": 4})
+
+
 def box_summary(spark, sf_dir):
     out = charts.box_summary(orders(spark, sf_dir), "o_totalprice")
     return rounded(out, {c: 4 for c in ("min", "q1", "median", "q3", "max", "whisker_low", "whisker_high")})
@@ -334,6 +342,42 @@ def csv_line_breaks(spark, sf_dir):
     return readers.read_csv(spark, sinks.write_run(texts, root, "r1", "raw", "csv"))
 
 
+def read_json_arrays(spark, sf_dir):
+    """Events through files that hold one JSON array each, and back."""
+    events = I.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    path = sinks.write_run(events, scratch_path(spark, "json"), "r1", "download", "json")
+    return readers.read_json(spark, path, keep_mixed=False)
+
+
+def read_json_mixed(spark, sf_dir):
+    """A field that holds numbers, texts and flags: how many of each are read, and the type it is given."""
+    e = F.col("event_id")
+    v = F.when(e % 3 == 0, F.coalesce(F.col("value"), F.lit(0.0)).cast("string")).when(e % 3 == 1, F.concat(F.lit('"'), "event_type", F.lit('"')))
+    line = F.concat(F.lit('{"event_id": '), e.cast("string"), F.lit(', "mixed": '), F.coalesce(v, F.lit("true")), F.lit("}"))
+    path = scratch_path(spark, "mixed")
+    I.table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    df = readers.read_json(spark, path)
+    types = semantics.semantic_types(TableFacts(df, "event_id")).where("column = 'mixed'").select("type")
+    kind = F.schema_of_variant("mixed")
+    kind = F.when(kind == "STRING", "text").when(kind == "BOOLEAN", "flag").when(kind.rlike("DECIMAL|DOUBLE|BIGINT"), "number").otherwise(kind)
+    return df.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("count")).crossJoin(F.broadcast(types))  # one row
+
+
+def input_checks(spark, sf_dir):
+    """Which files of a folder may be read: those of one table as CSV, JSON and parquet."""
+    root, nation = scratch_path(spark, "inputs"), I.table(spark, sf_dir, "nation")
+    nation.write.mode("append").csv(root)
+    nation.write.mode("append").json(root)
+    nation.write.mode("append").parquet(root)
+    found = readers.check_inputs(spark, root)
+    return found.select(F.regexp_extract("path", r"([a-z]+)$", 1).alias("kind"), "verdict", (F.col("bytes") > 0).alias("filled")).distinct()
+
+
+def payload_items(spark, sf_dir):
+    """Texts with more words than a payload may have items."""
+    return I.dirty_documents(spark, sf_dir).select("doc_id", X.too_many_items(F.split("text", " ")).alias("too_many"))
+
+
 def run_round_trip(spark, sf_dir):
     """Raw data of a run as parquet, read again by its id."""
     root = f"{scratch_root(spark)}/run-{uuid.uuid4().hex}"
@@ -471,7 +515,7 @@ ALL = [
     histogram, box_summary, distribution, totals, cleaning_recommendations, structured_plan, manual_actions,
     apply_plan, before_after, context_record, csv_round_trip, json_log_round_trip, route_intents, plan_modes,
     followups, last_messages, edit_messages, suggest_questions, search_messages, export_sections, join_chunks,
-    csv_line_breaks, run_round_trip, text_guards, payload_flags, repair_responses, over_limit, enforced_limit, expired_sessions, run_metrics,
+    csv_line_breaks, read_json_arrays, read_json_mixed, input_checks, payload_items, histogram_coerced, run_round_trip, text_guards, payload_flags, repair_responses, over_limit, enforced_limit, expired_sessions, run_metrics,
     request_summary,
 ]
 QUERIES = {q.__name__: q for q in ALL}

@@ -59,7 +59,7 @@ def histogram(facts: TableFacts, column: str | None = None, bins: int = HISTOGRA
     if low == high:
         low, high = low - 0.5, high + 0.5
     step = (high - low) / bins
-    slot = F.least(F.lit(bins - 1), F.floor((x - low) / F.lit(step)).cast("int"))
+    slot = F.when(x.isNotNull(), F.least(F.lit(bins - 1), F.floor((x - low) / F.lit(step)).cast("int")))  # least passes nulls over
     counted = facts.df.select(slot.alias("bin")).where("bin is not null").groupBy("bin").count()
     every = facts.spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(F.broadcast(counted), "bin", "left").select(  # at most `bins` rows on either side

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as E
+from . import importance
 from .analytics import imbalance_label, numeric_columns
 from .facts import TableFacts, half_even
 from .profile import frame, named, share
@@ -168,39 +169,31 @@ def target_summary(facts: TableFacts) -> DataFrame:
 def feature_importance(facts: TableFacts, target: str) -> DataFrame:
     """Importances above 0.01 from a depth-4 tree.
 
-    Text becomes an arbitrary but fixed number per value (a hash), so no dictionary of values is ever built.
+    Classes (text, flags, few values) are split exactly, over all values; texts are numbered in the order of their first
+    appearance; a gap in the target is a class of its own. A continuous target goes to Spark ML's tree, which bins.
     """
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
-
     schema = "feature string, importance double"
-    classes = is_class_target(facts, target)
     y = E.quoted(target)
     if facts.values[target].distinct <= 1:
         return frame(facts, schema, [])
-    label = y.cast("string") if classes else F.coalesce(y.cast("double"), F.lit(facts.quartiles[target][0.5]))
     inputs = [c for c in facts.names if c != target and facts.kinds[c] in ("number", "text", "boolean", "temporal")]
-    numbers = []
-    for c in inputs:
-        kind = facts.kinds[c]
-        if kind == "number":
-            fallback = facts.quartiles[c][0.5] if facts.base[c].n_numeric else -1.0
-            numbers.append(F.coalesce(E.quoted(c).cast("double"), F.lit(fallback)))
-        elif kind == "temporal":
-            numbers.append(F.coalesce(F.unix_micros(E.quoted(c).cast("timestamp")).cast("double"), F.lit(-1.0)))
-        else:
-            numbers.append(F.coalesce(F.xxhash64(E.quoted(c)).cast("double"), F.lit(-1.0)))
-    prepared = facts.df.select(label.alias("__label"), *[x.alias(f"x{i}") for i, x in enumerate(numbers)])
-    if classes:  # any number of them, a gap as one of its own
-        indexer = StringIndexer(inputCol="__label", outputCol="__class", handleInvalid="keep", stringOrderType="alphabetAsc")
-        prepared = indexer.fit(prepared.where("__label is not null")).transform(prepared)
-        prepared = prepared.drop("__label").withColumnRenamed("__class", "__label")
-    data = VectorAssembler(inputCols=[f"x{i}" for i in range(len(inputs))], outputCol="__x").transform(prepared)
-    tree = DecisionTreeClassifier if classes else DecisionTreeRegressor
-    model = tree(featuresCol="__x", labelCol="__label", maxDepth=4, seed=42).fit(data.select("__x", "__label"))
-    found = [(inputs[i], half_even(float(v), 3)) for i, v in enumerate(model.featureImportances.toArray()) if v > 0.01]
-    return frame(facts, schema, sorted(found, key=lambda r: -r[1]))
+    if is_class_target(facts, target):
+        rows = importance.encoded(facts, inputs, F.coalesce(y.cast("string"), F.lit("")))
+        shares = importance.class_importances(rows, len(inputs))
+    else:
+        rows = importance.encoded(facts, inputs, F.coalesce(y.cast("double"), F.lit(facts.quartiles[target][0.5])))
+        shares = _regression_importances(rows, len(inputs))
+    found = [(inputs[i], half_even(v, 3)) for i, v in shares.items() if v > 0.01]
+    return frame(facts, schema, sorted(found, key=lambda r: (-r[1], r[0])))
+
+
+def _regression_importances(rows: DataFrame, features: int) -> dict[int, float]:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    data = VectorAssembler(inputCols=[f"x{i}" for i in range(features)], outputCol="features").transform(rows)
+    model = DecisionTreeRegressor(featuresCol="features", labelCol="label", maxDepth=importance.DEPTH, seed=42).fit(data.select("features", "label"))
+    return {i: float(v) for i, v in enumerate(model.featureImportances.toArray())}
 
 
 # -------------------------------------------------------------------- suggestions and readiness
