@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 import sys
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timedelta
 from functools import cached_property
 
@@ -158,7 +158,7 @@ class TableFacts:
     def for_same_values(self, df: DataFrame) -> "TableFacts":
         """Facts of a table that holds the same values, at most in other types: nothing is measured again."""
         other = TableFacts(df, self.order_by)
-        done = ("_number_cells", "_text_cells", "_scan", "_bins", "quartiles", "outliers", "values", "duplicate_rows", "text_counts")
+        done = ("_number_cells", "_text_cells", "_scan", "_bins", "quartiles", "outliers", "values", "number_values", "text_values", "duplicate_rows", "text_counts")
         other.__dict__.update({p: self.__dict__[p] for p in done if p in self.__dict__})
         return other
 
@@ -387,22 +387,43 @@ class TableFacts:
     @cached_property
     def values(self) -> dict[str, ValueFacts]:
         """Distinct count, largest and smallest group, mode (smallest of ties) and case/blank-folded distinct count."""
-        # Text holding some numbers is profiled by the mode of its numbers, so those are counted as well.
+        at_once(self, "number_values", "text_values")
+        found = {c: ValueFacts() for c in self.names} | self.text_values
+        for c, v in self.number_values.items():
+            # text holding some numbers is profiled by the mode of its numbers
+            found[c] = replace(found[c], mode=v.mode) if self.kinds[c] == "text" else v
+        return found
+
+    @cached_property
+    def number_values(self) -> dict[str, ValueFacts]:
+        """The values of columns that are not text, and the mode of the numbers in text."""
         also = [c for c in self.numeric if self.kinds[c] == "text"]
-        found = {c: ValueFacts() for c in self.names}
-        leaders = self.leading_texts(1)
-        for r in text_summary(self.text_counts).collect() if leaders else []:  # one row per text column
-            found[self.names[r.field]] = ValueFacts(r.distinct_n, r.top, r.bottom, leaders[r.field][0][0], r.normalised)
+        found = {}
         counted = value_summary(self.df, self.kinds, also)
         for row in counted.collect() if counted is not None else []:  # at most one row per column
             if row.field >= len(self.names):
-                found[also[row.field - len(self.names)]].mode = float(row.mode)
+                found[also[row.field - len(self.names)]] = ValueFacts(mode=float(row.mode))
             else:
                 name = self.names[row.field]
                 mode = _temporal_text(row.mode, self.dtypes[name]) if self.kinds[name] == "temporal" else row.mode
                 found[name] = ValueFacts(row.distinct_n, row.top, row.bottom, mode, row.distinct_n)
         return found
 
+    @cached_property
+    def _text_leaders(self) -> dict[int, list[tuple[str, int]]]:
+        return self.leading_texts(1)
+
+    @cached_property
+    def _text_summary(self) -> list:
+        return text_summary(self.text_counts).collect() if self._texts else []  # one row per text column
+
+    @cached_property
+    def text_values(self) -> dict[str, ValueFacts]:
+        self.text_counts
+        at_once(self, "_text_leaders", "_text_summary")
+        leaders = self._text_leaders
+        return {self.names[r.field]: ValueFacts(r.distinct_n, r.top, r.bottom, leaders[r.field][0][0], r.normalised) for r in self._text_summary}
+
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each group of equal rows (NULLs equal).
