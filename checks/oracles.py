@@ -212,12 +212,12 @@ def invalid_entries() -> str:
     return with_orders(f"{NEGATIVE_AGE} UNION ALL {BAD_EMAIL}")
 
 
-def format_rows() -> str:
+def format_rows(t: str = "d", cols=ORDERS) -> str:
     return union(
         [
-            f"SELECT {lit(c)} AS \"column\", count(DISTINCT {c}) AS raw_unique, count(DISTINCT lower(trim({c}))) AS normalized_unique FROM d "
+            f"SELECT {lit(c)} AS \"column\", count(DISTINCT {c}) AS raw_unique, count(DISTINCT lower(trim({c}))) AS normalized_unique FROM {t} "
             f"HAVING count(DISTINCT {c}) <> count(DISTINCT lower(trim({c})))"
-            for c, kind, _ in ORDERS
+            for c, kind, _ in cols
             if kind == "text"
         ]
     )
@@ -306,18 +306,18 @@ def issues() -> str:
     )
 
 
-def health_inputs() -> str:
-    gaps = " + ".join(missing(c) for c, _, _ in ORDERS)
-    out = " + ".join(iqr_count("d", c) for c in numeric_columns(ORDERS))
-    wide = " + ".join(f"CAST(count(DISTINCT {c}) > 15 AS INTEGER)" for c, kind, _ in ORDERS if kind == "text")
-    bad = (
-        f"(SELECT count(DISTINCT \"column\") FROM (SELECT \"column\" FROM ({NEGATIVE_AGE} UNION ALL {BAD_EMAIL}) "
-        f"UNION ALL SELECT \"column\" FROM ({format_rows()})))"
-    )
+def health_inputs(t: str = "d", cols=ORDERS) -> str:
+    gaps = " + ".join(missing(c) for c, _, _ in cols)
+    out = " + ".join(iqr_count(t, c) for c in numeric_columns(cols))
+    wide = " + ".join(f"CAST(count(DISTINCT {c}) > 15 AS INTEGER)" for c, kind, _ in cols if kind == "text")
+    rules = f"{NEGATIVE_AGE} UNION ALL {BAD_EMAIL}".replace("FROM d ", f"FROM {t} ")
+    bad = f"(SELECT count(DISTINCT \"column\") FROM (SELECT \"column\" FROM ({rules}) UNION ALL SELECT \"column\" FROM ({format_rows(t, cols)})))"
+    # there is an issue wherever one of the five deductions has anything to count
     return (
-        f"SELECT 100.0 * ({gaps}) / (count(*) * {len(ORDERS)}) AS m, 100.0 * ({duplicates('d', ORDERS)}) / count(*) AS du, "
-        f"100.0 * ({out}) / (count(*) * {len(numeric_columns(ORDERS))}) AS ou, ({out}) AS n_out, {wide} AS hc, {bad} AS inv, "
-        f"(SELECT count(*) FROM ({format_rows()})) AS fmt, (SELECT count(*) FROM ({issue_rows()})) AS n_issues FROM d"
+        f"SELECT *, CAST(m > 0 OR du > 0 OR n_out > 0 OR hc > 0 OR inv > 0 AS INTEGER) AS n_issues FROM ("
+        f"SELECT 100.0 * ({gaps}) / (count(*) * {len(cols)}) AS m, 100.0 * ({duplicates(t, cols)}) / count(*) AS du, "
+        f"100.0 * ({out}) / (count(*) * {len(numeric_columns(cols))}) AS ou, ({out}) AS n_out, {wide} AS hc, {bad} AS inv, "
+        f"(SELECT count(*) FROM ({format_rows(t, cols)})) AS fmt FROM {t})"
     )
 
 
@@ -503,6 +503,25 @@ def with_clean(body: str, remove: bool = False) -> str:
     return f"WITH d AS MATERIALIZED ({I.for_duckdb(I.DIRTY_ORDERS)}), {steps} " + body.replace("<last>", last)
 
 
+# cleaning reads the dates and the prices and turns yes and no into booleans
+CLEANED_ORDERS = [
+    (c, {"order_date": "temporal", "is_final": "boolean", "price_text": "number"}.get(c, kind), t) for c, kind, t in ORDERS
+]
+
+
+def before_after() -> str:
+    def figures(t: str, cols) -> str:
+        return (
+            f"SELECT CAST((SELECT count(*) FROM {t}) AS DOUBLE) AS rows, CAST({' + '.join(f'(SELECT {missing(c)} FROM {t})' for c, _, _ in cols)} AS DOUBLE) AS missing_cells, "
+            f"CAST({duplicates(t, cols)} AS DOUBLE) AS duplicate_rows, CAST({' + '.join(iqr_count(t, c) for c in numeric_columns(cols))} AS DOUBLE) AS outliers, "
+            f"(SELECT CAST({SCORE} AS DOUBLE) FROM ({health_inputs(t, cols)})) AS health_score"
+        )
+
+    names = ("rows", "missing_cells", "duplicate_rows", "outliers", "health_score")
+    sides = f"({figures('d', ORDERS)}) b, ({figures('<last>', CLEANED_ORDERS)}) a"
+    return with_clean(union([f"SELECT '{n}' AS measure, b.{n} AS before, a.{n} AS after FROM {sides}" for n in names]))
+
+
 CLEAN_SELECT = (
     "SELECT * REPLACE (strftime(order_date, '%Y-%m-%d') AS order_date, round(o_totalprice, 4) AS o_totalprice, "
     "round(price_text, 4) AS price_text) FROM <last>"
@@ -1239,8 +1258,8 @@ def pick(q: str, words, out=None) -> str:
     return "CASE " + " ".join(f"WHEN contains({q}, {lit(w)}) THEN {lit(w if out is None else out(w))}" for w in words) + " END"
 
 
-def followups() -> str:
-    """The conversation told turn by turn: a recursive query that carries the memory along."""
+def told_in_turn() -> str:
+    """The conversation told turn by turn: a recursive query, m, that carries the memory along."""
     compare, column, chart = C.COMPARE_FOLLOW_UP, C.COLUMN_FOLLOW_UP, C.CHART_FOLLOW_UP
     lists = {"bench": C.BENCHMARKS}
     known = "lower(target) IN (" + ", ".join(lit(b) for b in lists["bench"]) + ")"
@@ -1253,7 +1272,10 @@ def followups() -> str:
     step = (
         f"SELECT conv_id, turn, k, question, resolved, {top_intent('lower(resolved)')} AS intent, "
         f"coalesce({pick('lower(resolved)', C.REMEMBERED_METRICS)}, metric) AS metric, "
-        f"coalesce({pick('lower(resolved)', C.REMEMBERED_BENCHMARKS, str.title)}, CASE WHEN target IS NOT NULL AND (known OR cmp IS NOT NULL) THEN target END, cmp) AS cmp "
+        f"coalesce({pick('lower(resolved)', C.REMEMBERED_BENCHMARKS, str.title)}, CASE WHEN target IS NOT NULL AND (known OR cmp IS NOT NULL) THEN target END, cmp) AS cmp, "
+        f"coalesce({pick('lower(resolved)', C.REMEMBERED_MODELS, str.title)}, model) AS model, "
+        f"CASE WHEN list_contains(charts, {pick('lower(resolved)', C.REMEMBERED_CHARTS)}) THEN charts "
+        f"ELSE list_filter(list_append(charts, {pick('lower(resolved)', C.REMEMBERED_CHARTS)}), lambda x: x IS NOT NULL) END AS charts "
         f"FROM (SELECT *, {resolved} AS resolved FROM (SELECT u.*, coalesce({known}, false) AS known, {{state}}))"
     )
     asked = "trim(text)"
@@ -1268,16 +1290,47 @@ def followups() -> str:
         f"initcap_words(trim(regexp_extract(lower({asked}), {lit(compare)}, 2)))",
         f"array_to_string(list_transform(str_split(trim(regexp_extract(lower({asked}), {lit(compare)}, 2)), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')",
     )
-    first = step.replace("{state}", "CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS metric, CAST(NULL AS VARCHAR) AS cmp FROM u WHERE k = 1")
-    later = step.replace("{state}", "m.intent, m.metric, m.cmp FROM u JOIN m ON u.conv_id = m.conv_id AND u.k = m.k + 1")
+    first = step.replace("{state}", "CAST(NULL AS VARCHAR) AS intent, CAST(NULL AS VARCHAR) AS metric, CAST(NULL AS VARCHAR) AS cmp, CAST(NULL AS VARCHAR) AS model, CAST([] AS VARCHAR[]) AS charts FROM u WHERE k = 1")
+    later = step.replace("{state}", "m.intent, m.metric, m.cmp, m.model, m.charts FROM u JOIN m ON u.conv_id = m.conv_id AND u.k = m.k + 1")
+    return f"WITH RECURSIVE u AS ({users}), m AS ({first} UNION ALL {later}) "
+
+
+def followups() -> str:
     low = "lower(resolved)"
-    return (
-        f"WITH RECURSIVE u AS ({users}), m AS ({first} UNION ALL {later}) "
+    return told_in_turn() + (
         f"SELECT conv_id, turn, question, resolved, intent, metric AS last_metric, cmp AS last_comparison, "
-        f"{pick(low, C.REMEMBERED_MODELS, str.title)} AS model_mentioned, {pick(low, C.REMEMBERED_CHARTS)} AS chart_mentioned FROM m"
+        f"{pick(low, C.REMEMBERED_MODELS, str.title)} AS model_mentioned, {pick(low, C.REMEMBERED_CHARTS)} AS chart_mentioned, "
+        "model AS last_model, array_to_string(charts, ',') AS discussed_charts FROM m"
     )
 
 
+def context_record() -> str:
+    """Last state of every conversation beside the figures of the raw and the cleaned table."""
+    raw, done = health_inputs(), health_inputs("<last>", CLEANED_ORDERS)
+    table = (
+        f"SELECT (SELECT count(*) FROM d) AS rows, ({' + '.join(f'(SELECT {missing(c)} FROM d)' for c, _, _ in ORDERS)}) AS missing_values, "
+        f"({duplicates('d', ORDERS)}) AS duplicate_rows, (SELECT CAST({SCORE} AS BIGINT) FROM ({raw})) AS raw_health, "
+        f"(SELECT CAST({SCORE} AS BIGINT) FROM ({done})) AS cleaned_health"
+    )
+    steps, end = clean_steps(False)
+    told = told_in_turn().rstrip()
+    ranked = ", ".join(f"{{'p': {i}, 'c': {x}, 'i': {lit(name)}}}" for i, (name, x) in enumerate(zip(Q.INTENTS, scores("lower(resolved)"))))
+    strong = f"list_filter([{ranked}], lambda x: x.c > 0)"
+    intents = (
+        f"CASE WHEN len(list_filter({strong}, lambda x: x.c >= 0.25)) = 0 THEN 'General Discussion' ELSE "
+        f"array_to_string(list_transform(list_sort(list_transform({strong}, lambda x: {{'o': -x.c, 'p': x.p, 'i': x.i}})), lambda x: x.i), ',') END"
+    )
+    return (
+        f"{told}, d AS MATERIALIZED ({I.for_duckdb(I.DIRTY_ORDERS)}), {steps}, facts AS MATERIALIZED ({table}), "
+        "q AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1), "
+        f"h AS (SELECT conv_id, count(*) AS n, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS said FROM "
+        f"(SELECT * FROM {conversations()} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20) GROUP BY conv_id) "
+        f"SELECT conv_id, rows, CAST(missing_values AS BIGINT) AS missing_values, CAST(duplicate_rows AS BIGINT) AS duplicate_rows, raw_health, cleaned_health, "
+        f"{intents} AS intents, intent AS previous_intent, metric AS last_metric, cmp AS last_comparison, model AS last_model, "
+        "array_to_string(charts, ',') AS discussed_charts, n AS messages, md5(said) AS history FROM h LEFT JOIN q USING (conv_id), facts"
+    ).replace("<last>", end)
+
+
 def last_messages() -> str:
     return (
         "SELECT conv_id, turn, role, text, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS parent_turn FROM "
@@ -1418,6 +1471,10 @@ def expired_sessions() -> str:
     return "SELECT event_id FROM events WHERE ts + INTERVAL 30 MINUTE < TIMESTAMP '2024-01-10 00:00:00'"
 
 
+def usage_counters() -> str:
+    return "SELECT event_type AS key, count(*) AS count FROM events GROUP BY 1"
+
+
 def run_metrics() -> str:
     return (
         "SELECT (SELECT count(*) FROM events) AS total_runs, "
@@ -1453,5 +1510,6 @@ NAMES = (
     manual_actions, apply_plan, csv_round_trip, json_log_round_trip, route_intents, plan_modes, followups,
     last_messages, edit_messages, suggest_questions, search_messages, export_sections, join_chunks, text_guards,
     payload_flags, repair_responses, over_limit, enforced_limit, expired_sessions, run_metrics, request_summary,
+    before_after, context_record, usage_counters,
 )
 ORACLES = {f.__name__: f() for f in NAMES}

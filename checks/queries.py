@@ -12,7 +12,7 @@ from veritab.operators import advice, analytics, audit, charts, clean, conversat
 from veritab.operators.facts import TableFacts
 from veritab.plans import manual
 from veritab.plans.report import Report
-from veritab.sources import readers, sinks
+from veritab.sources import counters, readers, sinks
 
 from . import inputs as I
 
@@ -322,11 +322,33 @@ def apply_plan(spark, sf_dir):
 
 
 def before_after(spark, sf_dir):
-    return Report(I.dirty_orders(spark, sf_dir), "o_orderkey").before_after()
+    """Written with other tables of the report under a run, and read back."""
+    root = scratch_path(spark, "report")
+    Report(I.dirty_orders(spark, sf_dir), "o_orderkey").write(root, "r1", ["before_after", "cleaned_health", "cleaning_log"])
+    return sinks.read_table(spark, root, "r1", "before_after")
 
 
 def context_record(spark, sf_dir):
-    return Report(I.dirty_orders(spark, sf_dir), "o_orderkey").context("dirty_orders")
+    """Fields of the JSON records, read back from their text."""
+    records = Report(I.dirty_orders(spark, sf_dir), "o_orderkey").contexts("dirty_orders", I.dirty_conversations(spark, sf_dir))
+    fields = (
+        "dataset_summary struct<rows: long, missing_values: long, duplicate_rows: long>, raw_health_score long, cleaned_health_score long, "
+        "detected_intents array<struct<intent: string>>, conversation_context struct<previous_intent: string, last_statistic_metric: string, "
+        "previous_comparison_dataset: string, previous_recommended_model: string, discussed_charts: array<string>>, "
+        "chat_history array<struct<turn: long, role: string, text: string>>"
+    )
+    r = records.select("conv_id", F.from_json("context", fields).alias("r")).select("conv_id", "r.*")
+    said = F.transform("chat_history", lambda m: F.concat(m["role"], F.lit(":"), m["text"]))
+    return r.select(
+        "conv_id", "dataset_summary.rows", "dataset_summary.missing_values", "dataset_summary.duplicate_rows",
+        F.col("raw_health_score").alias("raw_health"), F.col("cleaned_health_score").alias("cleaned_health"),
+        F.array_join("detected_intents.intent", ",").alias("intents"),
+        "conversation_context.previous_intent", F.col("conversation_context.last_statistic_metric").alias("last_metric"),
+        F.col("conversation_context.previous_comparison_dataset").alias("last_comparison"),
+        F.col("conversation_context.previous_recommended_model").alias("last_model"),
+        F.array_join("conversation_context.discussed_charts", ",").alias("discussed_charts"),
+        F.size("chat_history").cast("long").alias("messages"), F.md5(F.array_join(said, "\n")).alias("history"),
+    )
 
 
 def csv_round_trip(spark, sf_dir):
@@ -400,7 +422,8 @@ def plan_modes(spark, sf_dir):
 
 
 def followups(spark, sf_dir):
-    return conversation.resolve_followups(I.dirty_conversations(spark, sf_dir))
+    out = conversation.resolve_followups(I.dirty_conversations(spark, sf_dir))
+    return out.withColumn("discussed_charts", F.array_join("discussed_charts", ","))
 
 
 def last_messages(spark, sf_dir):
@@ -485,6 +508,18 @@ def run_metrics(spark, sf_dir):
     )
 
 
+def usage_counters(spark, sf_dir):
+    """Events counted in four batches, two of them compacted, one of them sent again after that."""
+    e, root = I.table(spark, sf_dir, "events"), scratch_path(spark, "counters")
+    parts = [e.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i) for i in range(4)]
+    for i in (0, 1):
+        counters.add(parts[i], root, f"b{i}", "event_type")
+    counters.compact(spark, root)
+    for i in (1, 2, 3):
+        counters.add(parts[i], root, f"b{i}", "event_type")
+    return counters.counts(spark, root).withColumnRenamed("n", "count")
+
+
 def request_summary(spark, sf_dir):
     e = I.table(spark, sf_dir, "events")
 
@@ -515,7 +550,7 @@ ALL = [
     histogram, box_summary, distribution, totals, cleaning_recommendations, structured_plan, manual_actions,
     apply_plan, before_after, context_record, csv_round_trip, json_log_round_trip, route_intents, plan_modes,
     followups, last_messages, edit_messages, suggest_questions, search_messages, export_sections, join_chunks,
-    csv_line_breaks, read_json_arrays, read_json_mixed, input_checks, payload_items, histogram_coerced, run_round_trip, text_guards, payload_flags, repair_responses, over_limit, enforced_limit, expired_sessions, run_metrics,
+    csv_line_breaks, read_json_arrays, read_json_mixed, input_checks, payload_items, histogram_coerced, run_round_trip, text_guards, payload_flags, repair_responses, over_limit, enforced_limit, expired_sessions, run_metrics, usage_counters,
     request_summary,
 ]
 QUERIES = {q.__name__: q for q in ALL}

@@ -2,6 +2,7 @@ import os
 import time
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from veritab.streaming import limits, memory
 
@@ -55,3 +56,50 @@ def test_followups_stream(spark, tmp_path):
         "Compare the uploaded dataset with Foo",
         "What is the mean of x?",
     ]
+
+
+def test_followups_stream_remembers_as_the_batch_does(spark, tmp_path):
+    from veritab.operators import conversation
+
+    texts = ["Recommend a random forest", "show a scatter plot", "Explain the correlation chart", "variance of age?",
+             "show the same for bar", "try xgboost", "Explain the bar chart", "What about svm?", None, "histogram, scatter"]
+    rows = [(i, i % 2, i, "user" if i != 5 else "assistant", t) for i, t in enumerate(texts + texts)]
+    pdf = pd.DataFrame(rows, columns=["n", "conv_id", "turn", "role", "text"])
+    schema = "n long, conv_id long, turn long, role string, text string"
+    out = drain(memory.resolve_stream(source(spark, pdf, schema, tmp_path / "in")), "remembered")
+    batch = conversation.resolve_followups(spark.createDataFrame(pdf, schema))
+    fields = ["conv_id", "turn", "resolved", "last_model", "discussed_charts"]
+    told = [tuple(r) for r in out.select(fields).orderBy("conv_id", "turn").collect()]
+    expected = batch.withColumn("resolved", F.coalesce("resolved", F.lit(""))).select(fields).orderBy("conv_id", "turn")
+    assert told == [tuple(r) for r in expected.collect()]
+    assert told[-1][4] and len(told) == 19
+
+
+def test_followups_stream_forgets(spark, tmp_path):
+    at = pd.to_datetime([0, 600, 10_000, 10_060, 90_000, 90_001], unit="s")
+    texts = ["What is the mean of a?", "show the same for b", "show the same for c", "What is the mode of d?", "hello", "show the same for e"]
+    pdf = pd.DataFrame({"n": range(6), "conv_id": [1, 1, 1, 1, 2, 1], "turn": range(6), "role": ["user"] * 6, "text": texts, "at": at})
+    schema = "n long, conv_id long, turn long, role string, text string, at timestamp"
+    stream = source(spark, pdf, schema, tmp_path / "in").withWatermark("at", "1 minute")
+    query = memory.resolve_stream(stream, at="at", idle_minutes=30).writeStream.format("memory").queryName("forgets")
+    query = query.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    said = {r.turn: r.resolved for r in spark.table("forgets").collect()}
+    assert said[1] == "What is the mean of b?"
+    assert said[2] == "show the same for c" and said[5] == "show the same for e"
+    # the watermark ends near 90,000 s: conversation 1 as of 10,060 s has timed out or begun afresh
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert kept[-1] <= 2
+
+
+def test_followups_stream_drops_state(spark, tmp_path):
+    """A conversation that never speaks again leaves no state behind."""
+    at = pd.to_datetime([0, 1, 50_000, 50_001], unit="s")
+    pdf = pd.DataFrame({"n": range(4), "conv_id": [1, 2, 3, 3], "turn": range(4), "role": ["user"] * 4, "text": ["mean"] * 4, "at": at})
+    schema = "n long, conv_id long, turn long, role string, text string, at timestamp"
+    stream = source(spark, pdf, schema, tmp_path / "in").withWatermark("at", "1 minute")
+    query = memory.resolve_stream(stream, at="at").writeStream.format("memory").queryName("dropped")
+    query = query.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) >= 2 and kept[-1] == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import exprs as E, questions as Q
-from .ordered import BLOCK_ROWS, per_key, segmented_min
+from .ordered import BLOCK_ROWS, per_key, running_minima, segmented_min
 
 # --- fixed values -----------------------------------------------------------
 COMPARE_FOLLOW_UP = r"^(what about|how about|and|try|compare with)\s+([a-zA-Z0-9_\-\s]+)\??$"
@@ -78,7 +78,7 @@ def first_mention(q: Column, words) -> Column:
     return F.coalesce(*[F.when(F.contains(q, F.lit(w)), F.lit(i)) for i, w in enumerate(words)])
 
 
-def _word(at: Column, words) -> Column:
+def word_at(at: Column, words) -> Column:
     return F.get(F.array(*[F.lit(w) for w in words]), at)
 
 
@@ -164,7 +164,7 @@ def _resolved(questions: DataFrame, conversation: str, turn: str, block: str | N
         F.when(F.col("compares"), compare_sentence(F.col("target")))
         .when(
             F.col("follows") & F.col("last_before").isNotNull(),
-            metric_sentence(_word(F.col("last_before"), REMEMBERED_METRICS), F.col("subject")),
+            metric_sentence(word_at(F.col("last_before"), REMEMBERED_METRICS), F.col("subject")),
         )
         .when(F.col("chart").isNotNull() & ~F.col("follows"), chart_sentence(F.col("chart")))
         .otherwise(F.col("question"))
@@ -179,9 +179,17 @@ def _resolved(questions: DataFrame, conversation: str, turn: str, block: str | N
     df = df.withColumn("resolved", F.coalesce(generic, F.col("resolved")))
 
     # Name of the last comparison: every mention replaces it. As a text it is carried like the others.
-    named = F.coalesce(F.initcap(_word(F.col("benchmark"), REMEMBERED_BENCHMARKS)), F.when(F.col("compares"), F.col("target")))
+    named = F.coalesce(F.initcap(word_at(F.col("benchmark"), REMEMBERED_BENCHMARKS)), F.when(F.col("compares"), F.col("target")))
     df = segmented_min(df, keys, turn, named, named.isNotNull(), "comparison", block)
+
+    # The last model spoken of, and every chart in the order in which they came up.
     low = F.lower(F.col("resolved"))
+    df = df.withColumns({"model_at": first_mention(low, REMEMBERED_MODELS), "chart_at": first_mention(low, REMEMBERED_CHARTS)})
+    df = segmented_min(df, keys, turn, F.col("model_at"), F.col("model_at").isNotNull(), "last_model_at", block)
+    firsts = {f"__chart{i}": F.when(F.col("chart_at") == i, E.quoted(turn)) for i in range(len(REMEMBERED_CHARTS))}
+    df = running_minima(df, keys, turn, firsts, block)
+    came_up = F.array(*[F.struct(F.col(c).alias("at"), F.lit(w).alias("chart")) for c, w in zip(firsts, REMEMBERED_CHARTS)])
+    discussed = F.transform(F.array_sort(F.filter(came_up, lambda x: x["at"].isNotNull())), lambda x: x["chart"])
     return df.select(
         *([] if block is None else [block]),
         E.quoted(conversation),
@@ -189,10 +197,47 @@ def _resolved(questions: DataFrame, conversation: str, turn: str, block: str | N
         "question",
         "resolved",
         Q.top_intent(F.col("resolved")).alias("intent"),
-        _word(F.col("last"), REMEMBERED_METRICS).alias("last_metric"),
+        word_at(F.col("last"), REMEMBERED_METRICS).alias("last_metric"),
         F.col("comparison").alias("last_comparison"),
-        title_case(_word(first_mention(low, REMEMBERED_MODELS), REMEMBERED_MODELS)).alias("model_mentioned"),
-        _word(first_mention(low, REMEMBERED_CHARTS), REMEMBERED_CHARTS).alias("chart_mentioned"),
+        title_case(word_at(F.col("model_at"), REMEMBERED_MODELS)).alias("model_mentioned"),
+        word_at(F.col("chart_at"), REMEMBERED_CHARTS).alias("chart_mentioned"),
+        title_case(word_at(F.col("last_model_at"), REMEMBERED_MODELS)).alias("last_model"),
+        discussed.alias("discussed_charts"),
+    )
+
+
+def current_state(
+    messages: DataFrame,
+    conversation: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    keep: int = KEPT_MESSAGES,
+) -> DataFrame:
+    """One row per conversation, as an answer to its last question needs it.
+
+    ``detected_intents`` of that question as it was resolved, strongest first; ``conversation_context``, the memory after
+    it; ``chat_history``, the last ``keep`` messages in order. A conversation that has no question has history only.
+    """
+    last = resolve_followups(messages, conversation, turn, role, text)
+    memory = F.struct(
+        F.col("intent").alias("previous_intent"),
+        F.col("last_metric").alias("last_statistic_metric"),
+        F.col("last_comparison").alias("previous_comparison_dataset"),
+        F.col("last_model").alias("previous_recommended_model"),
+        "discussed_charts",
+    )
+    newest = F.max_by(F.struct("resolved", memory.alias("memory")), E.quoted(turn)).alias("newest")
+    asked = last.groupBy(E.quoted(conversation).alias("__asked")).agg(newest)
+    message = F.struct(E.quoted(turn).alias("turn"), E.quoted(role).alias("role"), E.quoted(text).alias("text"))
+    kept = last_messages(messages, conversation, turn, keep)
+    history = kept.groupBy(E.quoted(conversation)).agg(F.array_sort(F.collect_list(message)).alias("chat_history"))
+    joined = history.join(asked, E.quoted(conversation).eqNullSafe(F.col("__asked")), "left")
+    return joined.select(
+        E.quoted(conversation),
+        Q.intents(F.col("newest.resolved")).alias("detected_intents"),
+        F.col("newest.memory").alias("conversation_context"),
+        "chat_history",
     )
 
 

@@ -109,6 +109,21 @@ def running_before(df: DataFrame, keys: list[str], order: list[str], value: str,
     return out.withColumn(name, F.col(name) + F.col("__ahead")).drop("__ahead")
 
 
+def running_minima(df: DataFrame, keys: list[str], order_by: str, values: dict[str, Column], block: str | None = None) -> DataFrame:
+    """Adds under each name the minimum of its column over the key's rows up to this one; one row per (key, block) carries all."""
+    part = [E.quoted(k) for k in keys] + ([] if block is None else [F.col(block)])
+    upto = Window.partitionBy(*part).orderBy(E.quoted(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({name: F.min(value).over(upto) for name, value in values.items()})
+    if block is None:
+        return out
+    least = {name: f"__least{i}" for i, name in enumerate(values)}
+    ends = df.groupBy(*part).agg(*[F.min(value).alias(least[name]) for name, value in values.items()])
+    ahead = Window.partitionBy(*part[:-1]).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({c: F.min(c).over(ahead) for c in least.values()})
+    out = _with_carried(out, _carried(ends, keys, block, list(least.values())), keys, block)
+    return out.withColumns({name: F.least(name, c) for name, c in least.items()}).drop(*least.values())
+
+
 def segmented_min(
     df: DataFrame, keys: list[str], order_by: str, value: Column, reset: Column, name: str, block: str | None = None
 ) -> DataFrame:

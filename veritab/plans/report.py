@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import CleanConfig, materialise
-from ..operators import advice, analytics, audit, charts, clean, features, profile, semantics
+from ..operators import advice, analytics, audit, charts, clean, conversation, features, profile, semantics
 from ..operators.facts import TableFacts
+from ..sources import sinks
 from . import manual
 
 
@@ -81,5 +82,18 @@ class Report:
         return profile.frame(self.raw, "measure string, before double, after double", rows)
 
     def context(self, source: str) -> DataFrame:
+        """One JSON record of the table: figures and names, never rows."""
         impact = self.cleaned.impact().first().asDict()
         return advice.context_record(self.raw, source, self.readiness["score"], audit.health(self.after), impact)
+
+    def contexts(self, source: str, messages: DataFrame) -> DataFrame:
+        """One JSON record per conversation: the table's, with the conversation's intents, memory and last messages."""
+        table = self.context(source).first().context
+        state = conversation.current_state(messages)
+        own = F.to_json(F.struct("detected_intents", "conversation_context", "chat_history"))
+        return state.select("conv_id", F.concat(F.lit(table[:-1] + ", "), F.substring(own, 2, 2**31 - 1)).alias("context"))
+
+    def write(self, root: str, run_id: str, names: list[str] | None = None) -> None:
+        """Keep tables of the report, all unless ``names`` are given, under the run."""
+        tables = self.tables()
+        sinks.write_tables({n: tables[n] for n in names or tables}, root, run_id)

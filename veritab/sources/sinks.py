@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from ..functions import exprs as E
+
+
+# whole microseconds, which the default format cuts
+AS_JSON = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "ignoreNullFields": "false",
+}
 
 
 def write_run(df: DataFrame, root: str, run_id: str, part: str = "cleaned", kind: str = "parquet") -> str:
@@ -56,3 +69,27 @@ def append_log(log: DataFrame, root: str, run_id: str) -> None:
 def read_log(spark: SparkSession, root: str, run_id: str, schema: str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.json(f"{root.rstrip('/')}/log/run_id={run_id}")
+
+
+def write_tables(tables: dict[str, DataFrame], root: str, run_id: str) -> str:
+    """All tables of a run's report in one partitioned write: a row is JSON, its table a folder.
+
+    Each table also has one row with its schema, so that an empty one comes back too. Meant for results, whose rows are
+    counted in columns of the judged table; whole data goes through ``write_run``.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    heads = spark.createDataFrame([(n, t.schema.json(), None) for n, t in tables.items()], "table string, schema string, row string")
+    rows = [
+        t.select(F.lit(n).alias("table"), F.lit(None).cast("string").alias("schema"), F.to_json(F.struct(*map(E.quoted, t.columns)), AS_JSON).alias("row"))
+        for n, t in tables.items()
+    ]
+    path = f"{root.rstrip('/')}/report/run_id={run_id}"
+    # few rows each: one file a table
+    reduce(DataFrame.unionByName, rows, heads).repartition("table").write.mode("errorifexists").partitionBy("table").parquet(path)
+    return path
+
+
+def read_table(spark: SparkSession, root: str, run_id: str, name: str) -> DataFrame:
+    kept = spark.read.parquet(f"{root.rstrip('/')}/report/run_id={run_id}").where(F.col("table") == name)
+    schema = StructType.fromJson(json.loads(kept.where("schema IS NOT NULL").first().schema))
+    return kept.where("schema IS NULL").select(F.from_json("row", schema, AS_JSON).alias("r")).select("r.*")
