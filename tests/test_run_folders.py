@@ -104,7 +104,7 @@ def test_state_of_a_conversation(spark):
 
 def test_discussed_charts_over_blocks(spark):
     words = ["bar chart", "nothing", "heatmap", "scatter", "bar", "xgboost", "histogram", "lasso"]
-    rows = [(k, t, "user", words[(t * 5 + k) % len(words)]) for k in (1, 2, None) for t in range(40 if k == 1 else 6)]
+    rows = [(k, t, "user", words[(t * 5 + (k or 0)) % len(words)]) for k in (1, 2, None) for t in range(40 if k == 1 else 6)]
     m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     whole, blocks = conversation.resolve_followups(m), conversation.resolve_followups(m, block_rows=7)
     assert sorted(map(str, whole.collect())) == sorted(map(str, blocks.collect()))

@@ -76,7 +76,7 @@ def test_followups_stream_remembers_as_the_batch_does(spark, tmp_path):
 
 
 def test_followups_stream_forgets(spark, tmp_path):
-    at = pd.to_datetime([0, 600, 10_000, 10_060, 90_000, 90_001], unit="s")
+    at = pd.to_datetime([1000, 1600, 10_000, 10_060, 90_000, 90_001], unit="s")
     texts = ["What is the mean of a?", "show the same for b", "show the same for c", "What is the mode of d?", "hello", "show the same for e"]
     pdf = pd.DataFrame({"n": range(6), "conv_id": [1, 1, 1, 1, 2, 1], "turn": range(6), "role": ["user"] * 6, "text": texts, "at": at})
     schema = "n long, conv_id long, turn long, role string, text string, at timestamp"
@@ -94,7 +94,7 @@ def test_followups_stream_forgets(spark, tmp_path):
 
 def test_followups_stream_drops_state(spark, tmp_path):
     """A conversation that never speaks again leaves no state behind."""
-    at = pd.to_datetime([0, 1, 50_000, 50_001], unit="s")
+    at = pd.to_datetime([1000, 1001, 50_000, 50_001], unit="s")
     pdf = pd.DataFrame({"n": range(4), "conv_id": [1, 2, 3, 3], "turn": range(4), "role": ["user"] * 4, "text": ["mean"] * 4, "at": at})
     schema = "n long, conv_id long, turn long, role string, text string, at timestamp"
     stream = source(spark, pdf, schema, tmp_path / "in").withWatermark("at", "1 minute")
