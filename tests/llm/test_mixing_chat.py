@@ -94,6 +94,22 @@ def test_chat_round_trip(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in ts).encode()).hexdigest()
         loss = "".join(x for _, r, x in ts if r == "assistant")
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        contexts = [hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in ts[:i]).encode()).hexdigest() for i in range(len(ts)) if ts[i][1] == "assistant"]
+        assert got[c].n_examples == len(contexts)
+        assert got[c].contexts_sha256 == hashlib.sha256("".join(contexts).encode()).hexdigest()
+
+
+def test_chat_wrong_contexts_change_the_digest(spark):
+    pieces = chat.format_turns(spark.createDataFrame([t for t in turns() if t[0] == 1], CHAT))
+    right = chat.digest(pieces).first()
+    rows_ = [r.asDict() for r in chat.expand(pieces).collect()]
+    at = next(r for r in rows_ if not r["is_piece"] and r["position"] > 0)
+    schema = chat.expand(pieces).schema
+    pieces_at = sorted(r["position"] for r in rows_ if r["is_piece"])
+    for wrong in [at["position"] - 1, at["position"] + 1, *(p for p in pieces_at if p != at["position"])]:
+        moved = [r | {"position": wrong} if r is at else r for r in rows_]
+        got = chat.read_back(spark.createDataFrame([tuple(r.values()) for r in moved], schema)).first()
+        assert got.contexts_sha256 != right.contexts_sha256 and got.turns_sha256 == right.turns_sha256, wrong
 
 
 def test_chat_examples_hold_all_turns_before(spark):

@@ -68,58 +68,107 @@ def write_out(pieces: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("c").alias("conv_id"), F.col("t").alias("turn"), "end", F.col("piece").alias("target")).agg(F.array_join(parts, "").alias("context")).drop("end")
 
 
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+def expand(pieces: DataFrame) -> DataFrame:
+    """The conversations' stored pieces and, beside them, the examples: conv_id, position, is_piece, piece, loss_start, loss_end.
+
+    An example stands where its context ends: the context is the conversation's text from 0 to ``position``, ``piece`` is
+    the reply that follows it, and only ``loss_start`` to ``loss_end`` of that is trainable. Nothing of a stored piece is.
+    """
+    none = F.lit(None).cast("long")
+    stored = F.struct(F.col("start").alias("position"), F.lit(True).alias("is_piece"), "piece", none.alias("loss_start"), none.alias("loss_end"))
+    example = F.struct(F.col("context_end").alias("position"), F.lit(False).alias("is_piece"), "piece", "loss_start", "loss_end")
+    both = F.when(F.col("context_end").isNull(), F.array(stored)).otherwise(F.array(example, stored))
+    return pieces.select("conv_id", F.inline(both))
+
+
+DIGEST = (
+    "conv_id long, n_turns long, turns_sha256 string, n_examples long, contexts_sha256 string, loss_chars long, "
+    "loss_sha256 string, formatted_chars long"
+)
+
+
+class _Reading:
+    """What was read of one conversation: running hashes and lengths, never its texts."""
+
+    def __init__(self, conv_id):
+        self.conv_id = conv_id
+        self.n_turns = self.n_examples = self.loss_chars = self.chars = 0
+        self.turns, self.contexts, self.loss = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+
+    def piece(self, piece: str) -> None:
+        role, text = (ESCAPED.sub(r"\1", x) for x in PIECE.fullmatch(piece).groups())
+        self.n_turns += 1
+        self.turns.update(f"{role}\n{text}\n".encode())
+        self.chars += len(piece)
+
+    def example(self, position: int, piece: str, lo: int, hi: int) -> None:
+        """Its context is what has been read, if that ends where the context does; else it is torn, and gets no turns' hash."""
+        self.n_examples += 1
+        self.contexts.update(self.turns.hexdigest().encode() if position == self.chars else b"torn")
+        trained = ESCAPED.sub(r"\1", piece[lo:hi])
+        self.loss_chars += len(trained)
+        self.loss.update(trained.encode())
+
+    def row(self) -> dict:
+        return {
+            "conv_id": self.conv_id,
+            "n_turns": self.n_turns,
+            "turns_sha256": self.turns.hexdigest(),
+            "n_examples": self.n_examples,
+            "contexts_sha256": self.contexts.hexdigest(),
+            "loss_chars": self.loss_chars,
+            "loss_sha256": self.loss.hexdigest(),
+            "formatted_chars": self.chars,
+        }
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by conversation in order; only the running hashes of one conversation are held."""
     names = [x.split()[0] for x in DIGEST.split(", ")]
     schema = pa.schema([(n, pa.string() if "sha" in n else pa.int64()) for n in names])
-    at, state, done = object(), None, []
-
-    def closed():
-        conv, n, turns, chars, loss, formatted = state
-        return dict(zip(names, (conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted)))
-
+    reading, done = None, []
     for batch in batches:
-        cols = (batch.column(c).to_pylist() for c in ("conv_id", "piece", "loss_start", "loss_end"))
-        for conv, piece, lo, hi in zip(*cols):
-            if conv != at:
-                if state:
-                    done.append(closed())
-                at, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            role, text = (ESCAPED.sub(r"\1", x) for x in PIECE.fullmatch(piece).groups())
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode())
-            if lo is not None:
-                trained = ESCAPED.sub(r"\1", piece[lo:hi])
-                state[3] += len(trained)
-                state[4].update(trained.encode())
-            state[5] += len(piece)
+        cols = (batch.column(c).to_pylist() for c in ("conv_id", "position", "is_piece", "piece", "loss_start", "loss_end"))
+        for conv, position, is_piece, piece, lo, hi in zip(*cols):
+            if reading is None or conv != reading.conv_id:
+                if reading is not None:
+                    done.append(reading.row())
+                reading = _Reading(conv)
+            if is_piece:
+                reading.piece(piece)
+            else:
+                reading.example(position, piece, lo, hi)
         if done:
             yield pa.RecordBatch.from_pylist(done, schema)
             done = []
-    if state:
-        yield pa.RecordBatch.from_pylist([closed()], schema)
+    if reading is not None:
+        yield pa.RecordBatch.from_pylist([reading.row()], schema)
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    """Read the pieces back, one row per conversation: turns and trained text as hashes.
+def read_back(expanded: DataFrame) -> DataFrame:
+    """One row per conversation: hashes of its turns, of each example's context (a hash of its turns), of the trained text.
 
-    A hash over a whole conversation is sequential, so its pieces stream through one task in order; that task holds one
-    batch and the running hashes, however long the conversation is.
+    A hash over a whole conversation is sequential, so its rows stream through one task in order; that task holds one
+    batch and the running hashes, however long the conversation is. An example comes before the piece at its position.
     """
-    rows = pieces.select("conv_id", "start", "piece", "loss_start", "loss_end")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "start").drop("start").mapInArrow(_digests, DIGEST)
+    return expanded.repartition("conv_id").sortWithinPartitions("conv_id", "position", "is_piece").mapInArrow(_digests, DIGEST)
+
+
+def digest(pieces: DataFrame) -> DataFrame:
+    return read_back(expand(pieces))
 
 
 SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, 14 + length(role || text) + length(regexp_replace(role || text, '[^\\<>#]', '', 'g')) AS chars FROM t)
+b AS (SELECT *, coalesce(string_agg(role || chr(10) || text || chr(10), '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM t),
+e AS (SELECT *, 14 + length(role || text) + length(regexp_replace(role || text, '[^\\<>#]', '', 'g')) AS chars FROM b)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  count(*) FILTER (WHERE role = 'assistant') AS n_examples,
+  sha256(coalesce(string_agg(sha256(context), '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS contexts_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
