@@ -260,40 +260,40 @@ def issue_rows() -> str:
     for i, (c, _, _) in enumerate(ORDERS):
         add(
             100 + i, lit(c), "'Missing Values'", severity("100.0 * n / r * 2"), "n || ' missing values'", "n",
-            "n || ' missing values in ' || r || ' rows (' || printf('%.1f', 100.0 * n / r) || '%)'",
-            "Impute or drop missing values", f"(SELECT {missing(c)} AS n, count(*) AS r FROM d) WHERE n > 0",
+            "n || ' of ' || r || ' cells are empty (' || printf('%.1f', 100.0 * n / r) || '%).'",
+            "Fill the gaps; leave the column out if little is left.", f"(SELECT {missing(c)} AS n, count(*) AS r FROM d) WHERE n > 0",
         )
     for i, c in enumerate(numeric_columns(ORDERS)):
         add(
             200 + i, lit(c), "'Outliers Detected'", severity("100.0 * n / r * 5"), "n || ' outliers (IQR)'", "n",
-            "n || ' outliers detected using IQR bounds'", "Cap or remove extreme values",
+            "n || ' values lie more than 1.5 IQR beyond the quartiles.'", "Compare with the source and clip what is wrong.",
             f"(SELECT {iqr_count('d', c)} AS n, {n_rows} AS r) WHERE n > 0",
         )
     order = "CASE \"column\" " + " ".join(f"WHEN {lit(c)} THEN {300 + i}" for i, (c, _, _) in enumerate(ORDERS)) + " END"
     add(
         order, '"column"', "'Inconsistent Formatting'", "'Medium'", "'Casing/whitespace issues'", "0",
-        "'Casing/whitespace inconsistencies (raw: ' || raw_unique || ', normalized: ' || normalized_unique || ')'",
-        "Strip whitespace and normalize case", f"({format_rows()})",
+        "raw_unique || ' spellings; ' || normalized_unique || ' without case and outer blanks.'",
+        "Write each value in one way.", f"({format_rows()})",
     )
     add(
         400, "'age'", "'Age Cannot Be Negative'", "'High'", "count || ' invalid values'", "count",
-        "count || ' invalid values violating rule ''' || rule || ''''", "Clean or remove invalid entries", f"({NEGATIVE_AGE})",
+        "count || ' values break the rule ' || rule || '.'", "Correct these values or empty them.", f"({NEGATIVE_AGE})",
     )
     add(
         401, "'email'", "'Invalid Email Pattern'", "'High'", "n || ' invalid values'", "n",
-        "n || ' invalid values violating rule ''invalid_email_pattern'''", "Clean or remove invalid entries",
+        "n || ' values break the rule invalid_email_pattern.'", "Correct these values or empty them.",
         f"(SELECT count(*) AS n FROM d WHERE NOT regexp_matches(email, '{EMAIL}')) WHERE n > 0",
     )
     add(
         500, "'All Columns'", "'Duplicate Rows'", severity("100.0 * n / r * 3"), "n || ' duplicate rows'", "n",
-        "n || ' duplicate rows out of ' || r || ' rows (' || printf('%.1f', 100.0 * n / r) || '%)'", "Remove duplicate records",
+        "n || ' of ' || r || ' rows repeat an earlier one (' || printf('%.1f', 100.0 * n / r) || '%).'", "Keep one row of each.",
         f"(SELECT {duplicates('d', ORDERS)} AS n, {n_rows} AS r) WHERE n > 0",
     )
     for i, (c, kind, _) in enumerate(ORDERS):
         if kind == "text":
             add(
                 600 + i, lit(c), "'High Cardinality'", "'Low'", "n || ' unique values'", "n",
-                "n || ' unique values in ' || r || ' rows'", "Consider text preprocessing or encoding strategy",
+                "n || ' different values in ' || r || ' rows.'", "Treat the column as text, or group its rare values.",
                 f"(SELECT count(DISTINCT {c}) AS n, count(*) AS r FROM d) WHERE n > 15",
             )
     return union(parts)
@@ -352,17 +352,17 @@ def health_explanation() -> str:
     nl = "chr(10)"
     items = ", ".join(
         [
-            "CASE WHEN m > 1 THEN '- ' || printf('%.1f', m) || '% missing values' END",
-            "CASE WHEN du > 1 THEN '- ' || printf('%.1f', du) || '% duplicate records' END",
-            "CASE WHEN hc > 0 THEN '- ' || hc || ' high-cardinality categorical column' || CASE WHEN hc > 1 THEN 's' ELSE '' END END",
-            "CASE WHEN n_out > 0 THEN '- ' || n_out || ' outlier values detected' END",
-            "CASE WHEN fmt > 0 THEN '- ' || fmt || ' column' || CASE WHEN fmt > 1 THEN 's' ELSE '' END || ' with inconsistent formatting' END",
+            "CASE WHEN m > 1 THEN '* ' || printf('%.1f', m) || '% of the cells are empty' END",
+            "CASE WHEN du > 1 THEN '* ' || printf('%.1f', du) || '% of the rows are repeats' END",
+            "CASE WHEN hc > 0 THEN '* text columns with many values: ' || hc END",
+            "CASE WHEN n_out > 0 THEN '* values far from the others: ' || n_out END",
+            "CASE WHEN fmt > 0 THEN '* columns with several spellings of a value: ' || fmt END",
         ]
     )
     effort = f"CASE WHEN {SCORE} >= 90 THEN 'Low' WHEN {SCORE} >= 70 THEN 'Medium' ELSE 'High' END"
     return with_orders(
-        f"SELECT CAST({SCORE} AS INTEGER) AS score, {effort} AS effort, 'Health Score = ' || CAST({SCORE} AS INTEGER) || {nl} || {nl} || "
-        f"'Primary Issues:' || {nl} || concat_ws({nl}, {items}) || {nl} || {nl} || 'Estimated Cleaning Effort:' || {nl} || {effort} AS explanation "
+        f"SELECT CAST({SCORE} AS INTEGER) AS score, {effort} AS effort, 'This table scores ' || CAST({SCORE} AS INTEGER) || ' of 100.' || {nl} || "
+        f"concat_ws({nl}, {items}) || {nl} || 'Work to expect: ' || lower({effort}) AS explanation "
         f"FROM ({health_inputs()})"
     )
 
@@ -817,8 +817,20 @@ def answer_metrics() -> str:
     def case(pick, otherwise="NULL"):
         return "CASE " + " ".join(f"WHEN {r[0]} THEN {pick(r)}" for r in rules) + f" ELSE {otherwise} END"
 
+    of_column = "first || ' is empty in ' || {v} || ' rows (' || printf('%.2f', 100.0 * {v} / (SELECT count(*) FROM d)) || '%).'"
+    share = f"round_even(100.0 * {total} / ((SELECT count(*) FROM d) * {len(ORDERS)}), 2)"
+
+    def said(r) -> str:
+        texts = {
+            "rows": "'There are ' || {v} || ' rows.'", "columns": "'There are ' || {v} || ' columns.'",
+            "shape": f"{{v}} || ' rows by {len(ORDERS)} columns.'", "duplicates": "({v}) || ' rows repeat an earlier one.'",
+            "missing": of_column if r[2] == "first" else "{v} || ' cells are empty, ' || " + share + " || '% of all.'",
+            "outliers": "({v}) || ' values lie beyond 1.5 IQR of the quartiles.'",
+        }
+        return texts[r[1]].format(v=r[4]) if r[1] in texts else "NULL"
+
     return with_orders(
-        f"SELECT conv_id, turn, {case(lambda r: lit(r[1]), lit('unmapped'))} AS topic, {case(lambda r: r[2])} AS \"column\", "
+        f"SELECT conv_id, turn, {case(said, lit('Which column and which figure of it are meant?'))} AS answer, {case(lambda r: lit(r[1]), lit('unmapped'))} AS topic, {case(lambda r: r[2])} AS \"column\", "
         f"{case(lambda r: r[3])} AS metric, round(CAST({case(lambda r: r[4])} AS DOUBLE), 4) AS value "
         f"FROM (SELECT *, {first} AS first, {number} AS number FROM ({I.for_duckdb(I.DIRTY_CONVERSATIONS)}) WHERE role = 'user')"
     )

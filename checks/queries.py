@@ -201,7 +201,8 @@ def missing_days(spark, sf_dir):
 def answer_metrics(spark, sf_dir):
     asked = I.dirty_conversations(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", "text")
     answered = analytics.answer_metrics(asked, "text", orders(spark, sf_dir))
-    return answered.select("conv_id", "turn", "topic", "column", "metric", F.round("value", 4).alias("value"))
+    said = F.when(~F.col("topic").isin("metric", "schema"), F.col("answer")).alias("answer")  # without texts of floating-point numbers
+    return answered.select("conv_id", "turn", "topic", "column", "metric", F.round("value", 4).alias("value"), said)
 
 
 def correlation_pairs(spark, sf_dir):

@@ -103,3 +103,11 @@ def test_followups_stream_drops_state(spark, tmp_path):
     query.awaitTermination(120)
     kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(kept) >= 2 and kept[-1] == 1
+
+
+def test_limit_holds_without_a_client(spark):
+    at = pd.to_datetime([1000 + i for i in range(30)] * 2, unit="s")
+    pdf = pd.DataFrame({"n": range(60), "user": pd.array([None] * 30 + [7] * 30, dtype="Int64"), "at": at})
+    events = spark.createDataFrame([(r.n, None if pd.isna(r.user) else int(r.user), r.at.to_pydatetime()) for r in pdf.itertuples()], "n long, user long, at timestamp")
+    out = limits.enforce_limit(events, "user", "at", "n", limit=5, window_seconds=3600).where("accepted").groupBy("user").count()
+    assert {r.user: r["count"] for r in out.collect()} == {None: 5, 7: 5}

@@ -65,7 +65,8 @@ def enforce_limit(
         stretch, taken = None, []
         for pdf in batches:
             verdicts = []
-            for key, t in zip(zip(pdf[client], pdf["__stretch"]), pdf["__us"].tolist()):
+            clients = pdf[client].astype(object).where(pdf[client].notna(), None)  # a NaN is not equal to itself
+            for key, t in zip(zip(clients, pdf["__stretch"]), pdf["__us"].tolist()):
                 if key != stretch:
                     stretch, taken = key, []
                 verdicts += accept([t], taken)
