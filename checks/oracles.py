@@ -1142,12 +1142,13 @@ def recommendation_rows() -> str:
         if kind == "number":
             robust = f"({iqr_count('d', c)} > 0 OR abs(coalesce(skewness({c}), 0)) > 1)"
             action, conf = f"CASE WHEN {robust} THEN 'median_imputation' ELSE 'mean_imputation' END", f"CASE WHEN {robust} THEN 0.92 ELSE 0.84 END"
+            why = f"CASE WHEN {robust} THEN 'Outliers or skew are present; the median is robust.' ELSE 'The distribution is stable; the mean keeps its centre.' END"
         else:
-            action, conf = "'mode_imputation'", "0.86"
+            action, conf, why = "'mode_imputation'", "0.86", "'The most frequent category preserves the distribution.'"
         parts.append(
-            f"SELECT {lit(c)} AS \"column\", {action} AS recommended_action, CAST({conf} AS DOUBLE) AS confidence FROM d HAVING {missing(c)} > 0"
+            f"SELECT {lit(c)} AS \"column\", {action} AS recommended_action, CAST({conf} AS DOUBLE) AS confidence, {why} AS explanation FROM d HAVING {missing(c)} > 0"
         )
-    parts.append(f"SELECT '__rows__', 'remove_duplicates', 0.97 WHERE {duplicates('d', ORDERS)} > 0")
+    parts.append(f"SELECT '__rows__', 'remove_duplicates', 0.97, 'Exact copies bias statistics and learning.' WHERE {duplicates('d', ORDERS)} > 0")
     return union(parts)
 
 
@@ -1157,22 +1158,26 @@ def cleaning_recommendations() -> str:
 
 def structured_plan() -> str:
     parts = [
-        "SELECT 0 AS o, 'remove_duplicates' AS action, CAST(NULL AS VARCHAR) AS \"column\", 'drop_exact_duplicates' AS method "
-        f"WHERE {duplicates('d', ORDERS)} > 0"
+        "SELECT 0 AS o, 'remove_duplicates' AS action, CAST(NULL AS VARCHAR) AS \"column\", 'drop_exact_duplicates' AS method, "
+        f"'Dataset contains ' || ({duplicates('d', ORDERS)}) || ' exact duplicate rows.' AS reason WHERE {duplicates('d', ORDERS)} > 0"
     ]
     for i, (c, kind, _) in enumerate(ORDERS):
         how = f"CASE WHEN abs(skewness({c})) > 1.5 THEN 'median' ELSE 'mean' END" if kind == "number" else "'mode'"
-        parts.append(f"SELECT {100 + i}, 'fill_missing', {lit(c)}, {how} FROM d HAVING {missing(c)} > 0")
+        about = f"'Column ''{c}'' "
+        gaps = f"{about}has ' || ({missing(c)}) || ' missing cells (' || printf('%.1f', 100.0 * ({missing(c)}) / count(*)) || '% missing).'"
+        parts.append(f"SELECT {100 + i}, 'fill_missing', {lit(c)}, {how}, {gaps} FROM d HAVING {missing(c)} > 0")
         if kind == "number":
-            parts.append(f"SELECT {200 + i}, 'handle_outliers', {lit(c)}, 'clip_iqr_bounds' WHERE {iqr_count('d', c)} > 0")
+            far = iqr_count("d", c)
+            parts.append(f"SELECT {200 + i}, 'handle_outliers', {lit(c)}, 'clip_iqr_bounds', {about}has ' || {far} || ' IQR outliers.' WHERE {far} > 0")
         else:
             parts.append(
-                f"SELECT {300 + i}, 'fix_formatting', {lit(c)}, 'strip_whitespace' FROM d HAVING count(DISTINCT {c}) <> count(DISTINCT lower(trim({c})))"
+                f"SELECT {300 + i}, 'fix_formatting', {lit(c)}, 'strip_whitespace', {about}mixes case or surrounding blanks.' "
+                f"FROM d HAVING count(DISTINCT {c}) <> count(DISTINCT lower(trim({c})))"
             )
             if "date" in c or "time" in c:
-                parts.append(f"SELECT {400 + i}, 'convert_dtypes', {lit(c)}, 'datetime_parse'")
+                parts.append(f"SELECT {400 + i}, 'convert_dtypes', {lit(c)}, 'datetime_parse', {about}holds dates as text.'")
     return with_orders(
-        f"SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS position, action, \"column\", method FROM ({union(parts)})"
+        f"SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS position, action, \"column\", method, reason FROM ({union(parts)})"
     )
 
 

@@ -304,11 +304,11 @@ def totals(spark, sf_dir):
 
 
 def cleaning_recommendations(spark, sf_dir):
-    return manual.cleaning_recommendations(orders(spark, sf_dir)).drop("explanation")
+    return manual.cleaning_recommendations(orders(spark, sf_dir))
 
 
 def structured_plan(spark, sf_dir):
-    return manual.structured_plan(orders(spark, sf_dir)).drop("reason")
+    return manual.structured_plan(orders(spark, sf_dir))
 
 
 def manual_actions(spark, sf_dir):
