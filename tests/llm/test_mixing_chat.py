@@ -128,5 +128,22 @@ def test_chat_examples_hold_all_turns_before(spark):
         text += r.piece
 
 
+def test_chat_examples_in_parts(spark):
+    pieces = chat.format_turns(spark.createDataFrame([t for t in turns() if t[0] != 4 and (t[1] or 0) < 12], CHAT))
+    parts = defaultdict(list)
+    for r in chat.write_parts(pieces).collect():
+        parts[r.conv_id, r.example].append(r)
+    stored = defaultdict(list)
+    for r in sorted(pieces.collect(), key=lambda r: r.start):
+        stored[r.conv_id].append(r)
+    replies = [r for rows_ in stored.values() for r in rows_ if r.context_end is not None]
+    assert set(parts) == {(r.conv_id, r.start) for r in replies} and len(replies) == 10
+    for r in replies:
+        got = sorted(parts[r.conv_id, r.start], key=lambda x: x.part)
+        assert [x.piece for x in got] == [x.piece for x in stored[r.conv_id] if x.start <= r.start]
+        assert [(x.loss_start, x.loss_end) for x in got] == [(None, None)] * (len(got) - 1) + [(r.loss_start, r.loss_end)]
+
+
 def test_chat_empty(spark):
+    assert chat.write_parts(chat.format_turns(spark.createDataFrame([], CHAT))).count() == 0
     assert chat.digest(chat.format_turns(spark.createDataFrame([], CHAT))).count() == 0

@@ -3,7 +3,7 @@
 Every assistant turn becomes an example of its own: all turns before it are context, its text alone is trainable. A
 conversation's formatted turns are stored once, as pieces with their offset in the conversation; an example names its
 context as the stretch from 0 to the target's offset. Written out, the examples of one conversation grow with the square
-of its turns; as stretches they stay one row per turn. ``write_out`` joins the pieces for those who want the texts.
+of its turns; as stretches they stay one row per turn. ``write_parts`` gives the texts of the examples, a row per turn.
 
 A piece is ``<turn ROLE>TEXT</turn>``. In ROLE and TEXT the characters ``\\ < > #`` get a backslash in front, so no marker
 or control string can come from a text, and taking backslashes away gives the text back.
@@ -59,13 +59,27 @@ def format_turns(conversations: DataFrame, trainable: tuple[str, ...] = ("assist
     )
 
 
+def write_parts(pieces: DataFrame) -> DataFrame:
+    """The examples in full, a row for each turn in them: conv_id, example, part, turn, piece, loss_start, loss_end.
+
+    ``example`` is the offset of the reply in its conversation, ``part`` that of the piece; an example's pieces in order of
+    ``part`` are its text, the last of them the reply, which alone has a span under the loss. No example is held in one
+    row or task, but the rows of a conversation grow with the square of its turns: that is what was asked for.
+    """
+    replies = pieces.filter("context_end IS NOT NULL").select(F.col("conv_id").alias("__conv"), F.col("context_end").alias("example"))
+    pairs = pieces.join(replies, F.col("__conv").eqNullSafe(F.col("conv_id")) & (F.col("start") <= F.col("example")))
+    is_reply = F.col("start") == F.col("example")
+    spans = [F.when(is_reply, F.col(c)).alias(c) for c in ("loss_start", "loss_end")]
+    return pairs.select("conv_id", "example", F.col("start").alias("part"), "turn", "piece", *spans)
+
+
 def write_out(pieces: DataFrame) -> DataFrame:
-    """The examples as texts: conv_id, turn, context, target. Use where conversations are short."""
-    targets = pieces.filter("context_end IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("start").alias("end"), "piece")
-    before = pieces.select("conv_id", "start", F.col("piece").alias("part"))
-    pairs = targets.join(before, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("start") < F.col("end")), "left")
-    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("start", "part")))), lambda x: x["part"])
-    return pairs.groupBy(F.col("c").alias("conv_id"), F.col("t").alias("turn"), "end", F.col("piece").alias("target")).agg(F.array_join(parts, "").alias("context")).drop("end")
+    """The examples as one text each: conv_id, turn, context, target. Use where conversations are short, else ``write_parts``."""
+    before = F.when(F.col("part") < F.col("example"), F.struct("part", "piece"))
+    reply = F.max(F.when(F.col("part") == F.col("example"), F.struct("turn", "piece"))).alias("reply")
+    whole = write_parts(pieces).groupBy("conv_id", "example").agg(F.array_sort(F.collect_list(before)).alias("before"), reply)
+    context = F.array_join(F.transform("before", lambda x: x["piece"]), "").alias("context")
+    return whole.select("conv_id", F.col("reply.turn").alias("turn"), context, F.col("reply.piece").alias("target"))
 
 
 def expand(pieces: DataFrame) -> DataFrame:
