@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,85 @@ def test_class_model(spark):
     assert len(untrained) == len(toks) and all(r.n_known == 0 for r in untrained)
 
 
+def _stream(classes, many, seed):
+    """Texts of numbered types, classes drawn for them, and what the model counts of them by recounting every text."""
+    rng = np.random.default_rng(seed)
+    kind = np.arange(many) % 3  # types follow types of the next kind
+    texts = []
+    for _ in range(120):
+        w, x = int(rng.integers(1, many)), []
+        for _ in range(25):
+            x.append(w)
+            w = int(rng.choice(np.flatnonzero((kind == (kind[w] + 1) % 3) & (np.arange(many) > 0))))
+        texts.append(np.array([*x, 0]))
+    of = np.concatenate([[0], rng.integers(1, classes, many - 1), [classes]])
+
+    def total(of):
+        t = np.zeros((classes + 1, classes + 1))
+        for x in texts:
+            np.add.at(t, (np.concatenate([[classes], of[x][:-1]]), of[x]), 1)
+        return t
+
+    near = {w: Counter() for w in range(1, many)}
+    for x in texts:
+        for i, w in enumerate(x[:-1]):
+            near[w][int(classes if i == 0 else of[x[i - 1]])] += 1
+            near[w][int(classes + 1 + of[x[i + 1]])] += 1
+    return of, total, [(w, [(k, n) for k, n in c.items()]) for w, c in near.items() if c]
+
+
+def test_moves_of_types_equal_a_recount():
+    """One type alone: the class a recount of all texts finds best, and the class bigrams that follow from it."""
+    of, total, near = _stream(5, 40, 3)
+    start = total(of)
+    arrow = pa.list_(pa.struct([("k", pa.int32()), ("n", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([w for w, _ in near], pa.int32()), pa.array([[{"k": k, "n": n} for k, n in x] for _, x in near], arrow)], names=["t", "near"])
+    moved = 0
+    for w, _ in near:
+        got = next(classlm._moves(iter([batch]), of, start, w, 40))  # the share of this type alone
+        went = np.frombuffer(got.column("moved")[0].as_py(), np.int32)
+        new = of.copy()
+        new[went] = np.frombuffer(got.column("into")[0].as_py(), np.int16)
+        assert set(went) <= {w}
+        assert np.array_equal(start + np.frombuffer(got.column("delta")[0].as_py()).reshape(start.shape), total(new))
+        ways = [classlm.likelihood(total(np.where(np.arange(len(of)) == w, c, of))) for c in range(1, 5)]
+        assert math.isclose(classlm.likelihood(total(new)), max(ways), rel_tol=1e-12)
+        moved += len(went)
+    assert moved > 10
+
+
+def test_refining_never_lowers_the_likelihood(spark):
+    """Also from classes that are all empty but one, and with shares that move together."""
+    for lone in (False, True):
+        of, total, near = _stream(6, 60, 4)
+        if lone:
+            of, near = np.where((of > 0) & (of < 6), 1, of), [(w, sorted(Counter({k if k in (0, 6, 7) else (1 if k < 6 else 8): 0 for k, _ in x}).items())) for w, x in near]
+            near = [(w, [(k, sum(n for j, n in y if (j if j in (0, 6, 7) else (1 if j < 6 else 8)) == k)) for k, _ in x]) for (w, x), (_, y) in zip(near, _stream(6, 60, 4)[2])]
+        df = spark.createDataFrame(near, "t int, near array<struct<k: int, n: long>>").repartition(3)
+        new, bigrams = classlm.refine(df, of, total(of))
+        assert classlm.likelihood(bigrams) >= classlm.likelihood(total(of))
+        assert set(new[1:-1]) <= set(range(1, 6)) and new[0] == 0 and new[-1] == 6
+        assert lone or classlm.likelihood(bigrams) > classlm.likelihood(total(of)) + 1
+    empty_ = spark.createDataFrame([], "t int, near array<struct<k: int, n: long>>")
+    same, _ = classlm.refine(empty_, of, total(of))
+    assert np.array_equal(same, of)
+
+
+def test_rare_words_get_classes_of_their_own(spark):
+    """Words far below one in 10,000 tokens are told apart by what stands around them."""
+    texts = [" ".join(f"{'abc'[(i + j) % 3]}word x{'abc'[(i + j) % 3]}{(i * 7 + j) % 4000}q" for j in range(60)) for i in range(1200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before, classlm.FREQUENT = classlm.FREQUENT, 0.01
+    try:
+        got = classlm.score(df, learn_from=F.col("doc_id") % 10 != 0).collect()
+        kept, classlm.refine = classlm.refine, lambda near, of, total: (of, total)
+        grouped = classlm.score(df, learn_from=F.col("doc_id") % 10 != 0).collect()
+    finally:
+        classlm.FREQUENT, classlm.refine = before, kept
+    held = [sum(r.score for r in rows if r.doc_id % 10 == 0) for rows in (got, grouped)]
+    assert held[0] > held[1] + 100
+
+
 def test_class_model_is_a_distribution():
     """Class bigrams sum to one from every state; so do the words of a class."""
     types = classlm.Types(np.array([5, 9, classlm.END], np.uint64))

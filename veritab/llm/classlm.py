@@ -1,13 +1,19 @@
 """Language-model scores from a Brown class-based bigram model.
 
 P(text) is the product over its tokens of P(class | class before) * P(token | class). Exchange clustering assigns types to
-classes so that the class bigrams of the training texts become as likely as possible. Types are the frequent words, each by
-itself, and groups of rarer words by how they end; a rarer word is emitted by its group. All counts cover all training
-texts.
-
-Frequent words are those with at least one in 10,000 of the training tokens, so there are at most 10,000 types beside the
-groups, however large the corpus is; only figures per type and class reach the driver. Counts of words with at least one in
-a million tokens (a million words at most, 16 MB) go to the executors; the others are joined.
+classes so that the class bigrams of the training texts become as likely as possible. Types are the words, each by itself
+from two occurrences and one in a million tokens on (a million words at most, which bounds what the executors hold), and
+groups of rarer words by how they end; a rarer word is emitted by its group. All counts cover all training texts.
+
+Clustering has two steps. The words with one in 10,000 tokens (10,000 at most) and the groups are exchanged one after the
+other over their bigrams. Every other type starts in the class of its group; its neighbours' classes are counted on Spark,
+and shares of the types then move side by side, each to the class where the likelihood gains most, against broadcast class
+totals. A share's moves are kept only if the likelihood of all of them together gained; if not, shares get smaller. Both
+steps go on until a sweep gains next to nothing. Neighbours' classes are those of the first step throughout the second; the
+class bigrams that score texts are counted anew at the end.
+
+Words from one in a million tokens on go to the executors with their counts and classes (some 20 MB at most); counts of the
+others are joined.
 """
 
 from __future__ import annotations
@@ -23,8 +29,12 @@ from .neardup import CHUNK, U64, cut, hash_words, mix64
 
 GROUPS = 256  # of rarer words, by a hash of their last two bytes
 CLASSES = 48
-FREQUENT = 1e-4  # share of the training tokens that makes a word a type of its own
-SENT = 1e-6  # share from which a word's count goes to the executors
+FREQUENT = 1e-4  # share of the training tokens from which words are exchanged one after the other
+OWN = 1e-6  # share from which a word is a type of its own and its count and class go to the executors
+LEAST = 2  # occurrences that a type of its own needs in any case
+SETTLED = 0.01  # a sweep that adds less than this share of the gain so far is the last one
+THIN = 0.05  # of an average class's tokens, added to every class while moves are weighed
+MOST_SHARES = 64  # of the types that move side by side
 ADD = 0.1  # added to counts, fixed for the base score
 PRIOR = 10.0  # weight of the class unigram in a class bigram
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end token among word hashes
@@ -114,23 +124,35 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
-def exchange(pairs: DataFrame, many: int, start: int, end: int, freq: np.ndarray, classes: int, rounds: int) -> np.ndarray:
+def likelihood(total: np.ndarray) -> float:
+    """Log likelihood of class bigrams, but for what no exchange changes."""
+    return float(_xlogx(total).sum() - _xlogx(total.sum(axis=0)).sum() - _xlogx(total.sum(axis=1)).sum())
+
+
+def exchange(pairs: DataFrame, many: int, start: int, end: int, freq: np.ndarray, classes: int) -> np.ndarray:
     """The class of each type. Class 0 is the end token's alone, the last number the start's.
 
     Each round counts, for each type and class, the class's tokens that follow and precede the type; then types of one half
-    move, one after the other, to the class where the likelihood gains most, the class counts being kept up to date. The
-    halves alternate, as types that follow each other would else move past one another.
+    move, one after the other, to the class where the likelihood gains most (the smallest number of ties, staying before
+    moving), the class counts being kept up to date. The halves alternate, as types that follow each other would else move
+    past one another. It ends when two rounds added next to nothing to the likelihood, with the best classes of all rounds.
     """
     spark = pairs.sparkSession
     order = np.argsort(-freq, kind="stable")
     of = np.empty(many + 1, np.int64)
     of[order] = 1 + np.arange(many) % (classes - 1)
     of[end], of[start] = 0, classes
-    for r in range(rounds):
+    seen, best = [], of
+    while True:
         after, ahead = _by_class(spark, pairs, of, many, classes)
         total = np.zeros((classes + 1, classes + 1))
         np.add.at(total, of, after)
-        moved = 0
+        seen.append(likelihood(total))
+        if seen[-1] >= max(seen):
+            best = of.copy()
+        r = len(seen) - 1
+        if r >= 2 and max(seen) - max(seen[:-2]) <= SETTLED * (max(seen) - seen[0]):
+            return best
         for w in np.flatnonzero((np.arange(many) + r) % 2 == 0):
             if w == end or freq[w] == 0:
                 continue
@@ -146,11 +168,7 @@ def exchange(pairs: DataFrame, many: int, start: int, end: int, freq: np.ndarray
                 b = a
             total[b] += right
             total[:, b] += left
-            moved += b != a
             of[w] = b
-        if not moved and r:
-            break
-    return of
 
 
 def _by_class(spark, pairs: DataFrame, of: np.ndarray, many: int, classes: int):
@@ -165,8 +183,139 @@ def _by_class(spark, pairs: DataFrame, of: np.ndarray, many: int, classes: int):
     return out
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], types: Types, of: np.ndarray, moving: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How often each moving type has each class before it (k) and after it (k beyond the start's number)."""
+    start = int(of[-1])
+    for batch in batches:
+        for h, g, d, _, _ in tokenise(batch.column("text").to_pylist()):
+            t = types.of(h, g)
+            c = of[t]
+            at = np.flatnonzero(moving[t])  # never an end token, so one follows in the same text
+            first = (at == 0) | (d[at] != d[np.maximum(at, 1) - 1])
+            before = np.where(first, start, c[np.maximum(at, 1) - 1])
+            wide = 2 * (start + 1)
+            u, n = np.unique(np.concatenate([t[at] * wide + before, t[at] * wide + start + 1 + c[at + 1]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u // wide, pa.int32()), pa.array(u % wide, pa.int32()), pa.array(n, pa.int64())], names=["t", "k", "n"])
+
+
+def _twice(total: np.ndarray, w: np.ndarray, a: np.ndarray, k: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """What cells add that a move from class a changes twice: between a and the new class, and of either with itself."""
+    every = np.zeros((len(w), 2 * len(total)))
+    every[owner, k] = n
+    left, right = every[:, : len(total)], every[:, len(total) :]
+    line = np.arange(len(w))
+    la, ra = left[line, a], right[line, a]
+
+    def both(cell, x, y):
+        return _xlogx(cell + x + y) - _xlogx(cell + x) - _xlogx(cell + y) + _xlogx(cell)
+
+    out = both(total[a], la[:, None], -right) + both(total[:, a].T, ra[:, None], -left) + both(np.diag(total), left, right)
+    out += both(total[a, a], -la, -ra)[:, None]
+    out[line, a] = 0
+    return out
+
+
+def _moves(batches: Iterator[pa.RecordBatch], of: np.ndarray, total: np.ndarray, share: int, shares: int) -> Iterator[pa.RecordBatch]:
+    """The types of one share that gain by another class, that class, and what their moves add to the class bigrams.
+
+    A type's gain in each class is exact as long as no other type moves.
+    """
+    start = len(total) - 1
+    known = np.concatenate([total, total.T])  # by k: how often each class stands beside
+    delta = np.zeros_like(total)
+    moved, into = [], []
+    for batch in batches:
+        near = batch.column("near")
+        t, offsets = batch.column("t").to_numpy(), near.offsets.to_numpy()
+        values = near.values
+        ks, ns = values.field("k").to_numpy(), values.field("n").to_numpy().astype(float)
+        at = 0
+        while at < len(t):  # some 20,000 counts at a time; a type has 2 * (start + 1) at most
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 20_000, side="right")) - 1)
+            lo, hi = offsets[at], offsets[upto]
+            size = np.diff(offsets[at : upto + 1])
+            pick = t[at:upto] % shares == share
+            kept = np.repeat(pick, size)
+            w, size = t[at:upto][pick], size[pick]
+            k, n = ks[lo:hi][kept], ns[lo:hi][kept]
+            at = upto
+            if not len(w):
+                continue
+            a = of[w]
+            owner = np.repeat(np.arange(len(w)), size)
+            begins = np.cumsum(size) - size
+            x = known[k]
+            each = _xlogx(x + n[:, None]) - _xlogx(x)
+            own, line = x[np.arange(len(k)), a[owner]], np.arange(len(k))
+            each[line, a[owner]] = _xlogx(own) - _xlogx(np.maximum(own - n, 0))
+            gain = np.add.reduceat(each, begins, axis=0)
+            gain += _twice(total, w, a, k, n, owner)
+            many = np.add.reduceat(np.where(k > start, n, 0.0), begins)
+            for margin in (total.sum(axis=1), total.sum(axis=0)):
+                less = _xlogx(margin + many[:, None]) - _xlogx(margin)
+                less[np.arange(len(w)), a] = _xlogx(margin[a]) - _xlogx(np.maximum(margin[a] - many, 0))
+                gain -= less
+            b = 1 + np.argmax(gain[:, 1:start], axis=1)
+            b = np.where(gain[np.arange(len(w)), b] > gain[np.arange(len(w)), a] + 1e-9, b, a)
+            go = b != a
+            moved.append(w[go])
+            into.append(b[go])
+            ahead = k <= start
+            for side, sign in ((a, -1.0), (b, 1.0)):
+                of_word = side[owner]
+                np.add.at(delta, (np.where(ahead, k, of_word), np.where(ahead, of_word, k - start - 1)), sign * np.where(go[owner], n, 0.0))
+    if moved:
+        out = [np.concatenate(moved).astype(np.int32), np.concatenate(into).astype(np.int16), delta]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in out], names=["moved", "into", "delta"])
+
+
+def _thickened(total: np.ndarray) -> np.ndarray:
+    """Class bigrams with a few average neighbours for every class words may move to.
+
+    An empty class would draw every type by itself, and all of them at once make it worse.
+    """
+    rows, cols, tokens = total.sum(axis=1), total.sum(axis=0), max(total.sum(), 1.0)
+    open_ = np.zeros(len(total))
+    open_[1:-1] = THIN / (len(total) - 1)
+    return total + np.outer(open_, cols) + np.outer(rows, open_)
+
+
+def refine(contexts: DataFrame, of: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and class bigrams after the moves of all types of ``contexts``, share by share; the likelihood never falls."""
+    sc = contexts.sparkSession.sparkContext
+    of, total, like, gained, shares = of.copy(), total.copy(), likelihood(total), 0.0, 2
+    while True:
+        before, refused = like, False
+        for share in range(shares):
+            sent = sc.broadcast((of, _thickened(total)))
+            found = contexts.mapInArrow(lambda rows, s=share, m=shares, v=sent: _moves(rows, *v.value, s, m), "moved binary, into binary, delta binary").collect()
+            new = total + sum((np.frombuffer(r["delta"]).reshape(total.shape) for r in found), np.zeros_like(total))
+            if likelihood(new) > like:
+                total, like = new, likelihood(new)
+                for r in found:
+                    of[np.frombuffer(r["moved"], np.int32)] = np.frombuffer(r["into"], np.int16)
+            else:
+                refused |= any(len(r["moved"]) for r in found)
+            sent.unpersist()
+        gained += like - before
+        if like - before <= SETTLED * gained and (not refused or shares >= MOST_SHARES):
+            return of, total
+        shares *= 2 if refused else 1
+
+
+def _steps(batches: Iterator[pa.RecordBatch], types: Types, of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    start = int(of[-1])
+    seen = np.zeros((start + 1) ** 2, np.int64)
+    for batch in batches:
+        for h, g, d, _, _ in tokenise(batch.column("text").to_pylist()):
+            c = of[types.of(h, g)]
+            before = np.concatenate([[start], np.where(d[1:] == d[:-1], c[:-1], start)])
+            seen += np.bincount(before * (start + 1) + c, minlength=len(seen))
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32()), pa.array(seen[seen > 0])], names=["k", "n"])
+
+
 class Model:
-    """What scoring needs: classes, class bigrams, counts of types, and word counts from one in a million tokens on."""
+    """What scoring needs: classes, class bigrams, counts of types, and counts of the words that are types of their own."""
 
     def __init__(self, types: Types, of, bigrams, type_counts, group_words, sent, counts, tokens, distinct, classes):
         self.types, self.tokens, self.distinct = types, tokens, distinct
@@ -226,7 +375,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([c for _, c in kept] + new, names)
 
 
-def score(docs: DataFrame, learn_from: Column | None = None, keep: tuple[str, ...] = ("doc_id",), classes: int = CLASSES, rounds: int = 4) -> DataFrame:
+def score(docs: DataFrame, learn_from: Column | None = None, keep: tuple[str, ...] = ("doc_id",), classes: int = CLASSES) -> DataFrame:
     """``keep`` with n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     Learns from the rows where ``learn_from`` holds (all by default). ``score`` is the model's log10 probability of the
@@ -240,35 +389,55 @@ def score(docs: DataFrame, learn_from: Column | None = None, keep: tuple[str, ..
     words = materialise(words, "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 
-    few = words.filter(c("n") >= tokens * FREQUENT).filter(c("word") != int(_signed(np.array([END]))[0])).select("word").toArrow()
-    types = Types(np.append(few.column("word").to_numpy().view(U64), END))
-    end = int(np.searchsorted(types.words, END))
-    pairs = train.mapInArrow(lambda batches: _pairs(batches, types), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # a million words at most, as each has one in a million tokens
+    own = (c("n") >= max(LEAST, tokens * OWN)) & (c("group") >= 0) | (c("group") < 0)
+    got = words.filter(own).toArrow()
+    keys, counts, groups = (got.column(x).to_numpy() for x in ("word", "n", "group"))
+    if not len(keys) or END not in keys.view(U64):  # nothing to learn from
+        keys, counts, groups = _signed(np.append(keys.view(U64), END)), np.append(counts, 0), np.append(groups, -1)
+    order = np.argsort(keys.view(U64))
+    keys, counts, groups = keys.view(U64)[order], counts[order], groups[order]
+    types, few = Types(keys), (counts >= tokens * FREQUENT) | (groups < 0)
+    core = Types(keys[few])
+    end = int(np.searchsorted(core.words, END))
+    pairs = train.mapInArrow(lambda batches: _pairs(batches, core), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = materialise(pairs, "pairs")
     got = pairs.groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    freq = np.zeros(types.many)
+    freq = np.zeros(core.many)
     freq[got.column("b").to_numpy()] = got.column("n").to_numpy()
-    of = exchange(pairs, types.many, types.many, end, freq, classes, rounds)
-    after, _ = _by_class(spark, pairs, of, types.many, classes)
+    of_core = exchange(pairs, core.many, core.many, end, freq, classes)
+    after, _ = _by_class(spark, pairs, of_core, core.many, classes)
     bigrams = np.zeros((classes + 1, classes + 1))
-    np.add.at(bigrams, of, after)
-
-    frequent = spark.createDataFrame([(int(x),) for x in _signed(types.words)], "frequent long")
-    rest = words.join(F.broadcast(frequent), c("word") == c("frequent"), "left_anti").groupBy("group").agg(F.count(F.lit(1)).alias("m")).toArrow()
-    group_words = np.zeros(GROUPS)
+    np.add.at(bigrams, of_core, after)
+
+    # every other type starts in its group's class
+    of = np.concatenate([of_core[core.of(keys, groups)], of_core[len(core.words) :]])
+    moving = np.concatenate([~few, np.zeros(GROUPS, bool)])
+    if moving.any():
+        sent = spark.sparkContext.broadcast((types, of, moving))
+        near = train.mapInArrow(lambda batches: _contexts(batches, *sent.value), "t int, k int, n long").groupBy("t", "k").agg(F.sum("n").alias("n"))
+        near = materialise(near.groupBy("t").agg(F.collect_list(F.struct("k", "n")).alias("near")), "contexts")
+        of, _ = refine(near, of, bigrams)
+        final = spark.sparkContext.broadcast((types, of))
+        got = train.mapInArrow(lambda batches: _steps(batches, *final.value), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        bigrams = np.zeros((classes + 1) ** 2)
+        bigrams[got.column("k").to_numpy()] = got.column("n").to_numpy()
+        bigrams = bigrams.reshape(classes + 1, classes + 1)
+
+    rest = words.filter(~own).groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).toArrow()
+    group_words, group_tokens = np.zeros(GROUPS), np.zeros(GROUPS)
     if rest.num_rows:
         group_words[rest.column("group").to_numpy()] = rest.column("m").to_numpy()
-    sent = words.filter(c("n") >= tokens * SENT).select("word", "n").toArrow()
-    keys, counts = sent.column("word").to_numpy().view(U64), sent.column("n").to_numpy()
-    order = np.argsort(keys)
-    model = spark.sparkContext.broadcast(Model(types, of, bigrams, freq, group_words, keys[order], counts[order], tokens, distinct, classes))
+        group_tokens[rest.column("group").to_numpy()] = rest.column("n").to_numpy()
+    freq = np.concatenate([counts, group_tokens]).astype(float)
+    model = spark.sparkContext.broadcast(Model(types, of, bigrams, freq, group_words, keys, counts, tokens, distinct, classes))
 
     rows = docs.select(*keep, "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     parts = rows.mapInArrow(lambda batches: _score(batches, model.value), f"{fields}, {PARTS}" if fields else PARTS)
     parts = materialise(parts.withColumn("_row", F.monotonically_increasing_id()), "parts")
     asked = parts.select("_row", F.explode("ask").alias("w")).groupBy("w", "_row").agg(F.count(F.lit(1)).alias("tf"))
-    asked = asked.join(words.filter(c("n") < tokens * SENT).select("word", "n"), c("w") == c("word"), "left")
+    asked = asked.join(words.filter(~own).select("word", "n"), c("w") == c("word"), "left")
     n = F.coalesce("n", F.lit(0))
     looked = asked.groupBy(c("_row").alias("_at")).agg(
         F.sum(c("tf") * F.log10(n + ADD)).alias("found"), F.sum(F.when(n > 0, c("tf")).otherwise(0)).alias("more")
