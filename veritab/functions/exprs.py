@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # --- fixed values -----------------------------------------------------------
 # Characters Python's str.strip() removes.
@@ -46,7 +46,10 @@ def quoted(name: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(BLANKS))
+    """Like Python's str.strip(). A text that begins and ends with a visible ASCII character is left as it is, which costs
+    a fraction of seeking its ends among all blanks."""
+    plain = F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(BLANKS)))
 
 
 def to_number(c: Column) -> Column:
@@ -98,6 +101,40 @@ def looks_like_date(c: Column) -> Column:
     return hit
 
 
+def readings(df: DataFrame, value: str) -> DataFrame:
+    """Adds number, loose, pair, date, plain, bytes and chars of a text: ``to_number``, ``to_number_loose``,
+    ``boolean_pair``, ``looks_like_date``, PLAIN_NUMBER and the two lengths.
+
+    Patterns are only tried where the first visible character allows them, and the stripped text is made once.
+    """
+    c, text, bare, first, bare_first = (F.col(x) for x in (value, "__text", "__bare", "__first", "__bare_first"))
+    signs = F.contains(c, F.lit(",")) | F.contains(c, F.lit("$")) | F.contains(c, F.lit("%"))
+    # octets: no character beyond ASCII has a word's letter as its lower case
+    longest = max(len(w) for words in BOOLEAN_PAIRS for w in words)
+    df = df.withColumns({"__text": strip(c)})
+    df = df.withColumns({"__bare": F.when(signs, without_symbols(c)).otherwise(text), "__first": F.ascii(text)})
+    df = df.withColumns({"__bare_first": F.ascii(bare), "__word": F.when(F.octet_length(text) <= longest, F.lower(text))})
+
+    def may_be_number(x: Column) -> Column:  # + - . or a digit
+        return x.isin(43, 45, 46) | x.between(48, 57)
+
+    spelled = F.when(F.lit(False), F.lit(0))
+    for i, words in enumerate(BOOLEAN_PAIRS):
+        spelled = spelled.when(F.col("__word").isin(*words), F.lit(i))
+    dated = first.between(48, 57) | ((first.between(65, 90) | first.between(97, 122)) & F.contains(c, F.lit(",")))
+    return df.withColumns(
+        {
+            "number": F.when(may_be_number(first) & c.rlike(NUMBER), c.try_cast("double")),
+            "loose": F.when(may_be_number(bare_first) & bare.rlike(NUMBER), bare.try_cast("double")),
+            "pair": F.when(F.col("__word").isNotNull(), spelled),
+            "date": dated & c.rlike("|".join(f"(?:{p})" for p in DATE_LOOKS)),
+            "plain": may_be_number(first) & c.rlike(PLAIN_NUMBER),
+            "bytes": F.octet_length(c),
+            "chars": F.char_length(c),
+        }
+    ).drop("__text", "__bare", "__first", "__bare_first", "__word")
+
+
 def contains_any(c: Column, words) -> Column:
     hit = F.lit(False)
     for word in words:

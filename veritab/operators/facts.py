@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timedelta
 from functools import cached_property
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +22,7 @@ from .quantiles import bin_of, exact_quantiles
 from .values import leading_values, long_cells, text_counts, text_summary
 
 QUARTILES = (0.25, 0.5, 0.75)
+TOGETHER = 16  # columns summed up in one scan
 
 
 @dataclass
@@ -63,6 +65,34 @@ class ValueFacts:
     normalised: int = 0
 
 
+def _measures(x: Column, kind: str) -> dict[str, Column]:
+    """What is summed up of a column: of numbers everything, of times the ends, of others how many there are."""
+    out = {"n": F.count(x)}
+    if kind in ("number", "temporal"):
+        out |= {"min": F.min(x), "max": F.max(x)}
+    if kind in ("number", "boolean"):
+        out["zeros"] = F.count_if(x == 0)
+    if kind == "number":
+        out |= {
+            "total": F.sum(x),
+            "negatives": F.count_if(x < 0),
+            "zero_one": F.count_if(x.isin(0.0, 1.0)),
+            "whole": F.count_if(x == F.floor(x)),
+        }
+    return out
+
+
+def summed(df: DataFrame, measures: list[tuple[object, dict[str, Column]]]) -> list[tuple[object, dict]]:
+    """Aggregates over all rows under a name each, for ``TOGETHER`` entries per scan; nothing is grouped."""
+    out = []
+    for lo in range(0, len(measures), TOGETHER):
+        part = measures[lo : lo + TOGETHER]
+        columns = [m.alias(f"m{i}") for i, m in enumerate(m for _, named in part for m in named.values())]
+        found = iter(df.agg(*columns).first())
+        out += [(key, {name: next(found) for name in named}) for key, named in part]
+    return out
+
+
 def set_moments(f: ColumnFacts, s2: float, s3: float, s4: float) -> None:
     """Sample deviation and bias-corrected skewness and excess kurtosis from central power sums."""
     n = f.n_numeric
@@ -88,6 +118,8 @@ def _read_cell_facts(f: ColumnFacts, r) -> None:
             f.pair = r.pair_low
     elif "email" in f.name.lower() and f.kind not in ("other", "mixed"):
         f.bad_email = r.n
+    if f.kind == "boolean":
+        f.zeros = r.zeros
     if f.kind == "temporal":
         f.first_time, f.last_time = _from_micros(r.min), _from_micros(r.max)
 
@@ -155,10 +187,16 @@ class TableFacts:
         at_once(self, "_number_cells", "_text_cells", *(p for p in passes if p == "duplicate_rows"))
         at_once(self, *passes)
 
+    def only(self, names: list[str]) -> "TableFacts":
+        """Facts of some of the columns, so that the others are not measured; these facts where they are measured already."""
+        if "_text_cells" in self.__dict__ or names == self.names:
+            return self
+        return TableFacts(self.df.select(*[E.quoted(c) for c in names]), self.order_by)
+
     def for_same_values(self, df: DataFrame) -> "TableFacts":
         """Facts of a table that holds the same values, at most in other types: nothing is measured again."""
         other = TableFacts(df, self.order_by)
-        done = ("_number_cells", "_text_cells", "_scan", "_bins", "quartiles", "outliers", "values", "number_values", "text_values", "duplicate_rows", "text_counts")
+        done = ("_number_cells", "_text_cells", "_scan", "_bins", "quartiles", "outliers", "values", "number_values", "text_values", "text_spread", "_text_summary", "duplicate_rows", "text_counts")
         other.__dict__.update({p: self.__dict__[p] for p in done if p in self.__dict__})
         return other
 
@@ -173,25 +211,21 @@ class TableFacts:
     # ---------------------------------------------------------------- pass 1: scalars
     @cached_property
     def _number_cells(self) -> dict[int, object]:
-        """One row per column, of texts only how many there are; field -1 says whether the row has a gap. No text travels."""
+        """One record per column, of texts only how many there are; field -1 says whether the row has a gap.
+
+        Summed where the rows are, column beside column: no cell is made or travels. ``TOGETHER`` bounds the plan, not the columns.
+        """
         any_null = F.lit(False)
         for c in self.names:
             any_null = any_null | E.quoted(c).isNull()
-        cells = [(-1, any_null.cast("double"))]
-        cells += [(i, self._plain_double(c)) for i, c in enumerate(self.names)]
-        x = F.col("x")
-        found = long_cells(self.df, cells, "x").groupBy("field").agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count(x).alias("n"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-            F.sum(x).alias("total"),
-            F.count_if(x == 0).alias("zeros"),
-            F.count_if(x < 0).alias("negatives"),
-            F.count_if(x.isin(0.0, 1.0)).alias("zero_one"),
-            F.count_if(x == F.floor(x)).alias("whole"),
-        )
-        return {r.field: r for r in found.collect()}
+        cells = [any_null.cast("double"), *map(self._plain_double, self.names)]
+        values = self.df.select(*[x.alias(f"x{i}") for i, x in enumerate(cells, -1)])  # read once, used in many sums
+        kinds = ["number", *(self.kinds[c] for c in self.names)]
+        out = {}
+        measures = [(i, {"rows": F.count(F.lit(1))} | _measures(F.col(f"`x{i}`"), k)) for i, k in enumerate(kinds, -1)]
+        for i, found in summed(values, measures):
+            out[i] = SimpleNamespace(**found)
+        return out if out[-1].rows else {}
 
     @property
     def _texts(self) -> list[tuple[int, Column]]:
@@ -203,18 +237,9 @@ class TableFacts:
         if not self._texts:
             return {}
         mail = [i for i, _ in self._texts if "email" in self.names[i].lower()]
-        v = F.col("value")
-        number, loose, pair = F.col("number"), F.col("loose"), F.col("pair")
-        parsed = long_cells(self.df, self._texts, "value").where("value is not null").select(
-            "field",
-            E.to_number(v).alias("number"),
-            E.to_number_loose(v).alias("loose"),
-            E.boolean_pair(v).alias("pair"),
-            E.looks_like_date(v).alias("date"),
-            v.rlike(E.PLAIN_NUMBER).alias("plain"),
-            (F.col("field").isin(*mail) & ~v.rlike(E.EMAIL) if mail else F.lit(False)).alias("bad_email"),
-            F.octet_length(v).alias("bytes"),
-            F.char_length(v).alias("chars"),
+        v, number, loose, pair = F.col("value"), F.col("number"), F.col("loose"), F.col("pair")
+        parsed = E.readings(long_cells(self.df, self._texts, "value").where("value is not null"), "value").withColumn(
+            "bad_email", F.col("field").isin(*mail) & ~v.rlike(E.EMAIL) if mail else F.lit(False)
         )
         found = parsed.groupBy("field").agg(
             F.count(F.lit(1)).alias("n_texts"),
@@ -282,20 +307,21 @@ class TableFacts:
         fields = [(i, c) for i, c in enumerate(self.numeric)]
         if not fields:
             return {}
+        values = self.df.select(*[self.number(c).alias(f"x{i}") for i, c in fields])  # read once, used three times
         cells = [
             (
                 i,
                 F.struct(
-                    bin_of(self.number(c), base[c].min, base[c].max).alias("bin"),
-                    self.number(c).alias("x"),
-                    (self.number(c) - F.lit(base[c].mean)).alias("d"),
+                    bin_of(F.col(f"x{i}"), base[c].min, base[c].max).alias("bin"),
+                    F.col(f"x{i}").alias("x"),
+                    (F.col(f"x{i}") - F.lit(base[c].mean)).alias("d"),
                 ),
             )
             for i, c in fields
         ]
         d, x = F.col("cell.d"), F.col("cell.x")
         counted = (
-            long_cells(self.df, cells, "cell")
+            long_cells(values, cells, "cell")
             .where(x.isNotNull())
             .groupBy("field", "cell.bin")
             .agg(
@@ -361,22 +387,18 @@ class TableFacts:
         """Counts per numeric column: ``iqr`` (0 when the IQR is 0), ``iqr_always`` and ``z``."""
         if not self.numeric:
             return {}
-        cells = []
-        for i, c in enumerate(self.numeric):
+        measures = []
+        for c in self.numeric:
             f, q, x = self.measured[c], self.quartiles[c], self.number(c)
             spread = q[0.75] - q[0.25]
             low, high = q[0.25] - 1.5 * spread, q[0.75] + 1.5 * spread
             far = F.abs((x - f.mean) / f.std_population) > 3 if f.std_population else F.lit(False)
-            cells.append((i, F.struct(((x < low) | (x > high)).alias("box"), far.alias("far"))))
-        counted = long_cells(self.df, cells, "is_out").groupBy("field").agg(
-            F.count_if("is_out.box").alias("box"), F.count_if("is_out.far").alias("far")
-        )
+            measures.append((c, {"box": F.count_if((x < low) | (x > high)), "far": F.count_if(far)}))
         out = {}
-        for r in counted.collect():
-            name = self.numeric[r.field]
-            q = self.quartiles[name]
-            out[name] = {"iqr": 0 if q[0.75] == q[0.25] else r.box, "iqr_always": r.box, "z": r.far}
-        return {c: out[c] for c in self.numeric}
+        for c, found in summed(self.df, measures):
+            flat = self.quartiles[c][0.75] == self.quartiles[c][0.25]
+            out[c] = {"iqr": 0 if flat else found["box"], "iqr_always": found["box"], "z": found["far"]}
+        return out
 
     # ---------------------------------------------------------------- duplicates
     @cached_property
@@ -417,12 +439,27 @@ class TableFacts:
     def _text_summary(self) -> list:
         return text_summary(self.text_counts).collect() if self._texts else []  # one row per text column
 
+    @cached_property
+    def text_spread(self) -> dict[str, ValueFacts]:
+        """What ``values`` tells of text columns but their modes, which take another look at the texts."""
+        return {self.names[r.field]: ValueFacts(r.distinct_n, r.top, r.bottom, None, r.normalised) for r in self._text_summary}
+
+    def distinct_counts(self, names: list[str]) -> dict[str, int]:
+        """Distinct values of some columns, without modes."""
+        if "values" in self.__dict__:
+            return {c: self.values[c].distinct for c in names}
+        part = TableFacts(self.df.select(*[E.quoted(c) for c in names]), self.order_by) if names != self.names else self
+        counted = value_summary(part.df, part.kinds) if names else None
+        found = {part.names[r.field]: r.distinct_n for r in counted.collect()} if counted is not None else {}
+        found |= {c: v.distinct for c, v in part.text_spread.items()} if names else {}
+        return {c: found.get(c, 0) for c in names}
+
     @cached_property
     def text_values(self) -> dict[str, ValueFacts]:
         self.text_counts
         at_once(self, "_text_leaders", "_text_summary")
         leaders = self._text_leaders
-        return {self.names[r.field]: ValueFacts(r.distinct_n, r.top, r.bottom, leaders[r.field][0][0], r.normalised) for r in self._text_summary}
+        return {c: replace(v, mode=leaders[self.names.index(c)][0][0]) for c, v in self.text_spread.items()}
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

@@ -102,6 +102,26 @@ def bin_of(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int"))
 
 
+def _values(df: DataFrame, columns: dict[str, Column], ranges: list[tuple]) -> tuple[DataFrame, dict[str, list[tuple[int, Column]]]]:
+    """The columns with open ranges, read once, and per column the numbers of its ranges with the test for each.
+
+    Open ranges of a column do not overlap, so one cell per column and row serves all of them.
+    """
+    names = list(dict.fromkeys(k[0] for k, _, _ in ranges))
+    of = {c: F.col(f"x{j}") for j, c in enumerate(names)}
+    tests: dict[str, list] = {c: [] for c in names}
+    for i, ((c, low, high), _, _) in enumerate(ranges):
+        tests[c].append((i, of[c].between(low, high)))
+    return df.select(*[columns[c].alias(f"x{j}") for j, c in enumerate(names)]), {c: tests[c] for c in names}
+
+
+def _first_of(tests: list[tuple[Column, Column]]) -> Column:
+    out = F.when(*tests[0])
+    for test, value in tests[1:]:
+        out = out.when(test, value)
+    return out
+
+
 def _open_ranges(columns: dict[str, Column], ranks: list[_Rank]) -> list[tuple[tuple, Column, Column]]:
     ranges = sorted({r.range_key for r in ranks})
     return [(k, columns[k[0]], columns[k[0]].between(k[1], k[2])) for k in ranges]
@@ -109,13 +129,16 @@ def _open_ranges(columns: dict[str, Column], ranks: list[_Rank]) -> list[tuple[t
 
 def _narrow(df: DataFrame, columns: dict[str, Column], ranks: list[_Rank]) -> None:
     ranges = _open_ranges(columns, ranks)
+    values, tests = _values(df, columns, ranges)
     parts = []
-    for i, ((_, low, high), x, inside) in enumerate(ranges):
-        parts.append(F.struct(F.lit(i).alias("k"), F.when(inside, bin_of(x, low, high)).alias("bin"), x.alias("x")))
+    for j, found in enumerate(tests.values()):
+        x = F.col(f"x{j}")
+        slots = [(test, F.struct(F.lit(i).alias("k"), bin_of(x, *ranges[i][0][1:]).alias("bin"))) for i, test in found]
+        parts.append(F.struct(_first_of(slots).alias("at"), x.alias("x")))
     found = (
-        _cells(df, parts)
-        .where("bin is not null")
-        .groupBy("k", "bin")
+        _cells(values, parts)
+        .where("at is not null")
+        .groupBy(F.col("at.k").alias("k"), F.col("at.bin").alias("bin"))
         .agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
         .collect()  # at most ranges x BINS rows
     )
@@ -129,11 +152,13 @@ def _narrow(df: DataFrame, columns: dict[str, Column], ranks: list[_Rank]) -> No
 
 def _pick(df: DataFrame, columns: dict[str, Column], ranks: list[_Rank]) -> None:
     ranges = _open_ranges(columns, ranks)
+    values, tests = _values(df, columns, ranges)
     parts = [
-        F.struct(F.lit(i).alias("k"), F.when(inside, x).alias("x")) for i, (_, x, inside) in enumerate(ranges)
+        F.struct(_first_of([(test, F.lit(i)) for i, test in found]).alias("k"), F.col(f"x{j}").alias("x"))
+        for j, found in enumerate(tests.values())
     ]
     found = (
-        _cells(df, parts).where("x is not null").groupBy("k", "x").count().collect()
+        _cells(values, parts).where("k is not null").groupBy("k", "x").count().collect()
     )  # at most ranges x `listed` rows
     values: dict[int, list] = {}
     for k, x, n in sorted(found):
