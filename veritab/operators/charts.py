@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import exprs as E
 from .facts import TableFacts, half_even
 from .features import correlations
-from .profile import CATEGORY_LIMIT, TARGET_WORDS, frame, named, role_lists
+from .profile import CATEGORY_LIMIT, TARGET_WORDS, frame, named
 from .quantiles import exact_quantiles
 
 # --- fixed values -----------------------------------------------------------
@@ -92,10 +92,17 @@ def box_summary(facts: TableFacts, column: str | None = None) -> DataFrame:
 
 def distribution_column(facts: TableFacts) -> str:
     """Target-like name first, then a categorical, a boolean, a column with few values, the first."""
-    roles = role_lists(facts)
-    few = [c for c in facts.names if facts.values[c].distinct <= CATEGORY_LIMIT]
     aimed = [c for c in facts.names if named(c, TARGET_WORDS)]
-    return next(iter(aimed + roles["categorical"] + roles["boolean"] + few + facts.names))
+    if aimed:
+        return aimed[0]  # the name decides: nothing is measured
+    texts = [c for c in facts.names if facts.kinds[c] == "text"]
+    distinct = facts.distinct_counts(texts)
+    categorical = [c for c in texts if distinct[c] <= CATEGORY_LIMIT]
+    boolean = [c for c in facts.names if facts.kinds[c] == "boolean"]
+    if categorical + boolean:
+        return (categorical + boolean)[0]
+    distinct = facts.distinct_counts(facts.names)
+    return next(iter([c for c in facts.names if distinct[c] <= CATEGORY_LIMIT] + facts.names))
 
 
 def distribution(facts: TableFacts, column: str | None = None, bars: int | None = None) -> DataFrame:
