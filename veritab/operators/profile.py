@@ -103,15 +103,21 @@ def role_counts(facts: TableFacts) -> DataFrame:
     return frame(facts, "role string, columns long", rows)
 
 
-def column_role(facts: TableFacts, c: str) -> tuple[str, float, str]:
-    """First matching rule over name, uniqueness and text length."""
-    name, distinct = c.lower(), facts.values[c].distinct
+def _role_by_name(facts: TableFacts, c: str) -> tuple[str, float, str] | None:
+    name = c.lower()
     if name.endswith("_id") or name in ID_NAMES:
         return "identifier", 0.95, "The name is that of an identifier."
     if named(c, TARGET_WORDS):
         return "target_candidate", 0.83, "The name suggests something to predict."
     if facts.kinds[c] == "temporal" or named(c, DATE_WORDS):
         return "time_feature", 0.88, "The type or the name is temporal."
+    return None
+
+
+def column_role(facts: TableFacts, c: str, distinct: int) -> tuple[str, float, str]:
+    """First matching rule over name, uniqueness and text length."""
+    if found := _role_by_name(facts, c):
+        return found
     if share(distinct, facts.rows) > 0.95 and distinct > 100:
         return "likely_leakage_or_identifier", 0.72, "Almost every row has its own value."
     if facts.kinds[c] == "text" and mean_text_length(facts, c) > LONG_TEXT:
@@ -120,5 +126,9 @@ def column_role(facts: TableFacts, c: str) -> tuple[str, float, str]:
 
 
 def column_roles(facts: TableFacts) -> DataFrame:
-    rows = [(c, *column_role(facts, c)) for c in facts.names]
+    """Only columns whose name leaves their role open are measured."""
+    undecided = [c for c in facts.names if _role_by_name(facts, c) is None]
+    part = facts.only(undecided) if undecided else facts
+    distinct = part.distinct_counts(undecided)
+    rows = [(c, *(_role_by_name(facts, c) or column_role(part, c, distinct[c]))) for c in facts.names]
     return frame(facts, "column string, role string, confidence double, reason string", rows)
