@@ -44,6 +44,7 @@ def cleaning_recommendations(facts: TableFacts) -> DataFrame:
 
 def structured_plan(facts: TableFacts) -> DataFrame:
     """Ordered actions: deduplicate, fill, clip, strip, parse."""
+    facts.gather("outliers", "text_spread", "duplicate_rows")  # no modes are needed
     rows = []
     if facts.duplicate_rows:
         why = f"Dataset contains {facts.duplicate_rows} exact duplicate rows."
