@@ -40,32 +40,34 @@ class Report:
     def readiness(self) -> dict:
         return features.readiness(self.after, self.semantics)
 
-    def tables(self) -> dict[str, DataFrame]:
-        raw, types = self.raw, self.semantics
-        return {
-            "profile_summary": profile.profile_summary(raw),
-            "profile_columns": profile.profile_columns(raw),
-            "profile_roles": profile.profile_roles(raw),
-            "issues": audit.issues(raw),
-            "health": audit.health_score(raw),
-            "health_explanation": audit.health_explanation(raw),
-            "semantic_types": semantics.semantic_types(raw),
-            "cleaning_log": self.cleaned.log(),
-            "cleaning_strategies": self.cleaned.strategies(),
-            "cleaning_impact": self.cleaned.impact(),
-            "column_impact": self.cleaned.column_impact(),
-            "cleaned_health": audit.health_score(self.after),
-            "before_after": self.before_after(),
-            "recommendations": manual.cleaning_recommendations(raw),
-            "feature_suggestions": features.feature_suggestions(self.after, types),
-            "readiness": features.ml_readiness(self.after, types),
-            "insights": advice.insights(raw, self.readiness["score"]),
-            "models": advice.recommend_models(raw),
-            "advice": advice.ml_advice(raw),
-            "analytics": analytics.analytics_summary(self.after),
-            "missing_bars": charts.missing_bars(raw),
-            "totals": charts.totals(raw),
+    def tables(self, names: list[str] | None = None) -> dict[str, DataFrame]:
+        """The tables under ``names``, all by default; nothing is measured for the others."""
+        raw, types = self.raw, lambda: self.semantics
+        made = {
+            "profile_summary": lambda: profile.profile_summary(raw),
+            "profile_columns": lambda: profile.profile_columns(raw),
+            "profile_roles": lambda: profile.profile_roles(raw),
+            "issues": lambda: audit.issues(raw),
+            "health": lambda: audit.health_score(raw),
+            "health_explanation": lambda: audit.health_explanation(raw),
+            "semantic_types": lambda: semantics.semantic_types(raw),
+            "cleaning_log": lambda: self.cleaned.log(),
+            "cleaning_strategies": lambda: self.cleaned.strategies(),
+            "cleaning_impact": lambda: self.cleaned.impact(),
+            "column_impact": lambda: self.cleaned.column_impact(),
+            "cleaned_health": lambda: audit.health_score(self.after),
+            "before_after": lambda: self.before_after(),
+            "recommendations": lambda: manual.cleaning_recommendations(raw),
+            "feature_suggestions": lambda: features.feature_suggestions(self.after, types()),
+            "readiness": lambda: features.ml_readiness(self.after, types()),
+            "insights": lambda: advice.insights(raw, self.readiness["score"]),
+            "models": lambda: advice.recommend_models(raw),
+            "advice": lambda: advice.ml_advice(raw),
+            "analytics": lambda: analytics.analytics_summary(self.after),
+            "missing_bars": lambda: charts.missing_bars(raw),
+            "totals": lambda: charts.totals(raw),
         }
+        return {n: made[n]() for n in (made if names is None else names)}
 
     def before_after(self) -> DataFrame:
         def figures(facts: TableFacts) -> tuple:
@@ -95,5 +97,4 @@ class Report:
 
     def write(self, root: str, run_id: str, names: list[str] | None = None) -> None:
         """Keep tables of the report, all unless ``names`` are given, under the run."""
-        tables = self.tables()
-        sinks.write_tables({n: tables[n] for n in names or tables}, root, run_id)
+        sinks.write_tables(self.tables(names or None), root, run_id)
