@@ -184,6 +184,20 @@ def test_decontamination(spark):
     assert decontam.scan(df, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_rows_that_cannot_be_contaminated_stay_where_they_are(spark):
+    """Neither few nor many contaminated rows make the texts of the others travel."""
+    texts = [(i, f"row {i} " + (" ".join(ITEM) if i % 3 == 0 else "is clean")) for i in range(300)] + [(None, "no id"), (None, " ".join(ITEM))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = [tuple(r) for r in decontam.clean(df, items).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept == [t for t in texts if " ".join(ITEM) not in t[1]]
+
+
 def test_every_overlap_of_four_fifths_is_found(spark):
     item = lambda n: [f"i{n}w{k}" for k in range(n)]
     items = [(n, " ".join(item(n))) for n in (*range(1, 13), 15, 20, 60)]

@@ -19,6 +19,7 @@ WINDOW = 24  # words compared at most; an item with fewer is compared whole
 RUN = 13  # words compared at least, in items that have more
 LEAST = 0.8  # share of them that must agree
 BROADCAST_BYTES = 64_000_000  # of benchmark seeds with their stretch of words; beyond, seeds are joined by shuffling
+BIT_WORDS = 1 << 18  # of 64 bits: at most so many rows are broadcast, however many keys there are
 
 
 def word_hashes(text):
@@ -128,10 +129,28 @@ def scan(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] | None = None,
     )
 
 
+def _word(key):
+    return F.shiftrightunsigned(key["a"], 6).bitwiseAND(F.lit(BIT_WORDS - 1).cast("long"))
+
+
+def _bit(key):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), key["a"].bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, unchanged."""
-    packed = docs.select("doc_id", "text", F.struct(*[quoted(c) for c in docs.columns]).alias("all"))
-    return scan(packed, items, keep=("all",), **how).filter("NOT contaminated").select("all.*")
+    """The rows of ``docs`` that are not contaminated, unchanged.
+
+    Only rows that may be contaminated travel: a table of bits says which keys cannot be among those found, and rows with
+    such keys stay where they are, whatever the share of contaminated ones.
+    """
+    c = F.col
+    found = materialise(overlaps(docs, items, **how).select("key").distinct(), "contaminated")
+    bits = F.broadcast(found.groupBy(_word(c("key")).alias("_word")).agg(F.bit_or(_bit(c("key"))).alias("_bits")))
+    rows = docs.select(F.struct(*[quoted(x) for x in docs.columns]).alias("all"), content_key("doc_id", "text").alias("of"))
+    rows = rows.join(bits, _word(c("of")) == c("_word"), "left")
+    may_be = F.coalesce(c("_bits").bitwiseAND(_bit(c("of"))) != 0, F.lit(False))
+    cleared = rows.filter(may_be).join(found, c("of") == c("key"), "left_anti")
+    return rows.filter(~may_be).select("all.*").unionAll(cleared.select("all.*"))
 
 
 # Brute force: every alignment of every text with every item, every stretch of it.
