@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from veritab.functions import exprs as E
-from veritab.operators import analytics, charts, profile
+from veritab.functions import dates, exprs as E
+from veritab.operators import analytics, charts, clean, profile
+from veritab.config import CleanConfig
 from veritab.operators.facts import TableFacts
 from veritab.plans import manual, report
 
@@ -63,3 +64,29 @@ def test_report_makes_only_the_tables_asked_for(spark):
     made = report.Report(table(spark), "id")
     assert list(made.tables(["missing_bars"])) == ["missing_bars"]
     assert not {"cleaned", "after", "semantics"} & set(made.__dict__)
+
+
+def dated(spark):
+    rows = [(i, f"t{i % 3} " if i % 2 else "t1", None if i % 7 == 6 else f"2024-01-{1 + i % 28:02d}", i * 0.5 if i < 39 else 9000.0) for i in range(40)]
+    return spark.createDataFrame(rows + rows[:2], "id long, kind string, order_date string, amount double")
+
+
+def test_a_record_looks_at_dates_once_and_at_no_modes_of_raw_texts(spark, monkeypatch):
+    seen, whole = [], dates.formats_read
+    monkeypatch.setattr(dates, "formats_read", lambda df, columns: seen.extend(columns) or whole(df, columns))
+    made = report.Report(dated(spark), "id")
+    assert made.context("dated").count() == 1
+    assert seen == ["order_date"]
+    assert not {"values", "_text_leaders"} & set(made.raw.__dict__)
+
+
+def test_cleaning_reads_texts_once(spark):
+    f = TableFacts(dated(spark), "id")
+    done = clean.clean(f, CleanConfig(outliers="remove"))
+    assert done.df.count() == 39 and done.rows_after == 39
+    assert {r.kind for r in done.df.collect()} == {"t0", "t1", "t2"} and done.df.where("order_date is null").count() == 0
+    assert {(r.column, r.issue): r.affected_rows for r in done.log().collect()} == {
+        (None, "Duplicate Rows"): 2, ("kind", "Whitespace Formatting"): 20, ("order_date", "DateTime Formatting"): 40,
+        ("order_date", "Missing Values"): 5, ("amount", "Outliers"): 1,
+    }
+    assert not {"values", "_text_leaders", "outliers", "quartiles"} & set(f.__dict__)

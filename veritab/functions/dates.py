@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .exprs import quoted, strip
@@ -35,11 +37,15 @@ SHAPES = dict((pattern, shape) for shape, pattern in FORMATS)
 
 
 def _read(c: Column, pattern: str) -> Column:
-    return F.when(c.rlike(f"^(?:{SHAPES[pattern]})$"), F.try_to_timestamp(c, F.lit(pattern)))
+    """The value if it has the shape; that is only tried where the signs between its parts are there."""
+    there = F.lit(True)
+    for sign in sorted(set(re.sub(r"\\d\{[\d,]+\}|\[A-Za-z\]\{[\d,]+\}|\\", "", SHAPES[pattern]))):
+        there = there & F.contains(c, F.lit(sign))
+    return F.when(there & c.rlike(f"^(?:{SHAPES[pattern]})$"), F.try_to_timestamp(c, F.lit(pattern)))
 
 
-def formats_of(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, ...]]:
-    """The patterns that read any value of each text column, those that read most first. One scan, no shuffle of values."""
+def formats_read(df: DataFrame, columns: list[str]) -> dict[str, dict[str, int]]:
+    """Per text column how many values each pattern reads, those that read most first, none without any. One scan."""
     out = {}
     for lo in range(0, len(columns), 20):  # bounds the plan, not the columns
         part = columns[lo : lo + 20]
@@ -47,10 +53,15 @@ def formats_of(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, ...]]:
         found = iter(df.agg(*[n.alias(f"n{i}") for i, n in enumerate(counts)]).first())
         for c in part:
             n = {p: next(found) for _, p in FORMATS}
-            out[c] = tuple(sorted((p for p in n if n[p]), key=lambda p: -n[p]))
+            out[c] = {p: n[p] for p in sorted((p for p in n if n[p]), key=lambda p: -n[p])}
     return out
 
 
+def formats_of(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, ...]]:
+    """The patterns that read any value of each text column, those that read most first. One scan, no shuffle of values."""
+    return {c: tuple(found) for c, found in formats_read(df, columns).items()}
+
+
 def parse_date(c: Column, patterns: tuple[str, ...]) -> Column:
     """The value as the first of the patterns reads it; NULL if none does."""
     text = strip(c)

@@ -17,7 +17,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import materialise
-from ..functions import exprs as E
+from ..functions import dates, exprs as E
 from .quantiles import bin_of, exact_quantiles
 from .values import leading_values, long_cells, text_counts, text_summary
 
@@ -181,6 +181,7 @@ class TableFacts:
         self.kinds = {f.name: E.kind_of(f.dataType) for f in df.schema}
         self.dtypes = {f.name: f.dataType.simpleString() for f in df.schema}
         self.names = list(df.columns)
+        self._dates: dict[str, tuple[tuple[str, ...], int]] = {}
 
     def gather(self, *passes: str) -> None:
         """Start independent passes together, so that the short stages of one fill the idle cores of another."""
@@ -401,9 +402,27 @@ class TableFacts:
         return out
 
     # ---------------------------------------------------------------- duplicates
+    @cached_property
+    def repeated(self) -> DataFrame:
+        """The hashes of rows that occur more than once; written once for all that read it."""
+        return materialise(repeated_rows(self.df), "repeated")
+
     @cached_property
     def duplicate_rows(self) -> int:
-        return duplicate_count(self.df).first()[0] or 0
+        return self.repeated.agg(F.sum(F.col("count") - 1)).first()[0] or 0
+
+    # ---------------------------------------------------------------- dates in texts
+    def date_texts(self, names: list[str]) -> dict[str, tuple[tuple[str, ...], int]]:
+        """Per text column its date formats and how many of its values they read; a column is looked at once."""
+        new = [c for c in names if c not in self._dates]
+        found = dates.formats_read(self.df, new)
+        # of several formats each may read what another one reads, so their values are counted together
+        several = [c for c in new if len(found[c]) > 1]
+        cells = [F.count(dates.parse_date(E.quoted(c), tuple(found[c]))).alias(f"n{i}") for i, c in enumerate(several)]
+        counted = dict(zip(several, self.df.agg(*cells).first())) if cells else {}
+        for c in new:
+            self._dates[c] = tuple(found[c]), counted.get(c, sum(found[c].values()))
+        return {c: self._dates[c] for c in names}
 
     # ---------------------------------------------------------------- values
     @cached_property
@@ -444,6 +463,15 @@ class TableFacts:
         """What ``values`` tells of text columns but their modes, which take another look at the texts."""
         return {self.names[r.field]: ValueFacts(r.distinct_n, r.top, r.bottom, None, r.normalised) for r in self._text_summary}
 
+    @cached_property
+    def spread(self) -> dict[str, ValueFacts]:
+        """``values``, but without the modes of texts, unless these are known."""
+        if "values" in self.__dict__:
+            return self.values
+        at_once(self, "number_values", "text_spread")
+        numbers = {c: v for c, v in self.number_values.items() if self.kinds[c] != "text"}
+        return {c: ValueFacts() for c in self.names} | self.text_spread | numbers
+
     def distinct_counts(self, names: list[str]) -> dict[str, int]:
         """Distinct values of some columns, without modes."""
         if "values" in self.__dict__:
@@ -462,16 +490,14 @@ class TableFacts:
         return {c: replace(v, mode=leaders[self.names.index(c)][0][0]) for c, v in self.text_spread.items()}
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows (NULLs equal).
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """(__x, __y, count) per group of two or more equal rows (NULLs equal).
 
     Rows are counted by two 64-bit hashes of their values and gaps, so 16 bytes a row travel; map-side combine absorbs hot
     copies.
     """
     first, second = row_hashes(df)
-    return df.groupBy(first.alias("a"), second.alias("b")).count().agg(
-        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows")
-    )
+    return df.groupBy(first.alias("__x"), second.alias("__y")).count().where("count > 1")
 
 
 def row_hashes(df: DataFrame) -> tuple[Column, Column]:
@@ -488,12 +514,14 @@ def comparable(df: DataFrame) -> list[Column]:
     return [F.to_json(E.quoted(c)).alias(c) if c in json else E.quoted(c) for c in df.columns]
 
 
-def distinct_rows(df: DataFrame) -> DataFrame:
-    """One of each group of equal rows. Rows whose hash occurs once stay where they are; only the others are compared."""
+def distinct_rows(df: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """One of each group of equal rows. Rows whose hash occurs once stay where they are; only the others are compared.
+
+    ``again`` are the ``repeated_rows`` where they are known already.
+    """
     first, second = row_hashes(df)
     hashed = df.withColumns({"__a": first, "__b": second})
-    again = hashed.groupBy(F.col("__a").alias("__x"), F.col("__b").alias("__y")).count().where("count > 1").select("__x", "__y")
-    again = materialise(again, "repeated")
+    again = (materialise(repeated_rows(df), "repeated") if again is None else again).select("__x", "__y")
     same = (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y"))
     columns = [E.quoted(c) for c in df.columns]
     alone = hashed.join(again, same, "left_anti").select(*columns)

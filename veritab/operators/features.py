@@ -28,29 +28,29 @@ def target_column(names: list[str]) -> str | None:
 
 
 def is_class_target(facts: TableFacts, c: str) -> bool:
-    return facts.kinds[c] in ("text", "boolean") or facts.values[c].distinct <= CLASS_TARGET_LIMIT
+    return facts.kinds[c] in ("text", "boolean") or facts.spread[c].distinct <= CLASS_TARGET_LIMIT
 
 
 def constant_columns(facts: TableFacts) -> list[str]:
-    return [c for c in facts.names if facts.values[c].distinct <= 1]
+    return [c for c in facts.names if facts.spread[c].distinct <= 1]
 
 
 def target_balance(facts: TableFacts) -> str:
     c = target_column(facts.names)
     if c is None:
         return "No target detected"
-    v = facts.values[c]
+    v = facts.spread[c]
     if not is_class_target(facts, c):
         return "Continuous Target"
     return imbalance_label(v.top, v.bottom, v.distinct) if v.distinct > 1 else "No target detected"
 
 
 def column_flags(facts: TableFacts) -> dict[str, dict[str, bool]]:
-    facts.gather("_bins", "values")
+    facts.gather("_bins", "spread")
     constant = set(constant_columns(facts))
     out = {}
     for c in facts.names:
-        f, v, text = facts.measured[c], facts.values[c], facts.kinds[c] == "text"
+        f, v, text = facts.measured[c], facts.spread[c], facts.kinds[c] == "text"
         live = c not in constant
         if facts.kinds[c] == "number":
             flat = f.std is None or f.std < 0.01
@@ -174,7 +174,7 @@ def feature_importance(facts: TableFacts, target: str) -> DataFrame:
     """
     schema = "feature string, importance double"
     y = E.quoted(target)
-    if facts.values[target].distinct <= 1:
+    if facts.spread[target].distinct <= 1:
         return frame(facts, schema, [])
     inputs = [c for c in facts.names if c != target and facts.kinds[c] in ("number", "text", "boolean", "temporal")]
     if is_class_target(facts, target):
@@ -200,7 +200,7 @@ def _regression_importances(rows: DataFrame, features: int) -> dict[int, float]:
 def suggest_features(facts: TableFacts, semantics: dict[str, Semantic]) -> list[tuple[str, str, str | None, str]]:
     out = []
     for c in facts.names:
-        s, distinct = semantics[c], facts.values[c].distinct
+        s, distinct = semantics[c], facts.spread[c].distinct
         if distinct <= 1:
             out.append(("drop_column", c, None, "Constant column adds no predictive value."))
         elif s.type == "Identifier":

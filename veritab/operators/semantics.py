@@ -73,22 +73,20 @@ def _mixed_columns(facts: TableFacts) -> dict[str, bool]:
     return {c: "STRING" in k and len(k - {"STRING", "VOID"}) > 0 for c, k in kinds.items()}
 
 
-def _parse_shares(facts: TableFacts, formats: dict[str, tuple[str, ...]]) -> dict[str, float]:
-    if not formats:
-        return {}
-    names = list(formats)
-    cells = [(i, dates.parse_date(E.quoted(c), formats[c])) for i, c in enumerate(names)]
-    parsed = long_cells(facts.df, cells, "at").groupBy("field").agg(F.count("at").alias("n")).collect()
-    return {names[r.field]: r.n / facts.base[names[r.field]].count for r in parsed}
+def infer_semantics(facts: TableFacts) -> dict[str, Semantic]:
+    """The types of all columns, found once per table. Counts of values decide, modes take no part."""
+    if "_semantics" not in facts.__dict__:
+        facts._semantics = _infer(facts)
+    return facts._semantics
 
 
-def infer_semantics(facts: TableFacts) -> dict[str, Semantic]:
-    facts.gather("values")
+def _infer(facts: TableFacts) -> dict[str, Semantic]:
+    facts.gather("spread")
     used = [c for c in facts.names if facts.rows and facts.base[c].count]
     coerced = [c for c in used if _reads_as_number(facts, c)]
-    tried = dates.formats_of(facts.df, [c for c in used if c not in coerced and _may_be_dates(facts, c)])
-    formats = {c: f for c, f in tried.items() if f}
-    shares = _parse_shares(facts, formats)
+    tried = facts.date_texts([c for c in used if c not in coerced and _may_be_dates(facts, c)])
+    formats = {c: f for c, (f, _) in tried.items() if f}
+    shares = {c: tried[c][1] / facts.base[c].count for c in formats}
     distinct_numbers = _value_uniqueness(facts, coerced)
     mixed = _mixed_columns(facts)
     out = {}
@@ -101,7 +99,7 @@ def infer_semantics(facts: TableFacts) -> dict[str, Semantic]:
 
 
 def _classify(facts, c, coerced, date_formats, parsed, distinct_numbers, mixed) -> Semantic:
-    f, v, kind = facts.base[c], facts.values[c], facts.kinds[c]
+    f, v, kind = facts.base[c], facts.spread[c], facts.kinds[c]
     n = f.loose["n"] if coerced else f.count
     distinct = distinct_numbers if distinct_numbers is not None else v.distinct
     text = kind == "text" and not coerced

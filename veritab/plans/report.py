@@ -26,7 +26,7 @@ class Report:
 
     @cached_property
     def cleaned(self) -> clean.Cleaned:
-        return clean.clean(self.raw, self.config, None if "semantics" not in self.__dict__ else self.semantics)
+        return clean.clean(self.raw, self.config)
 
     @cached_property
     def after(self) -> TableFacts:
